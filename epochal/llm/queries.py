@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, topk
+from . import linededup, mixing, packing, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_mixing": mixing.op4_mixing,
         "op7_topk": topk.op7_topk,
+        "op8_linededup": linededup.op8_linededup,
+        "op10_packing": packing.op10_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.SQL, "op7_topk": topk.SQL}
+    return {"op4_mixing": mixing.SQL, "op7_topk": topk.SQL, "op8_linededup": linededup.SQL}
