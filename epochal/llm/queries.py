@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import linededup, mixing, packing, topk
+from . import linededup, mixing, packing, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_toxicity": toxicity.op2_toxicity,
         "op4_mixing": mixing.op4_mixing,
         "op7_topk": topk.op7_topk,
         "op8_linededup": linededup.op8_linededup,
