@@ -58,7 +58,7 @@ def salted_left_join(left: DataFrame, right: DataFrame, on: list[str], salt_by:
     s = "__salt"
     left = left.withColumn(s, F.pmod(F.xxhash64(*salt_by), F.lit(salts)).cast("int"))
     right = right.withColumn(s, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*on, s], "left").drop(s)
+    return left.join(right.hint("merge"), [*on, s], "left").drop(s)  # its size after repeating is not what a planner sees
 
 
 def keep_ids(df: DataFrame, ids: DataFrame, how: str = "left_semi", key: str = "doc_id", limit: int = BROADCAST_IDS) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import linededup, mixing, packing, topk, toxicity
+from . import linededup, mixing, ngramjoin, packing, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,9 +15,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_mixing": mixing.op4_mixing,
         "op7_topk": topk.op7_topk,
         "op8_linededup": linededup.op8_linededup,
+        "op9_ngramjoin": ngramjoin.op9_ngramjoin,
         "op10_packing": packing.op10_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.SQL, "op7_topk": topk.SQL, "op8_linededup": linededup.SQL}
+    return {"op4_mixing": mixing.SQL, "op7_topk": topk.SQL, "op8_linededup": linededup.SQL, "op9_ngramjoin": ngramjoin.SQL}
