@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import linededup, mixing, ngramjoin, packing, topk, toxicity
+from . import htmltext, linededup, mixing, ngramjoin, packing, topk, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_toxicity": toxicity.op2_toxicity,
         "op4_mixing": mixing.op4_mixing,
+        "op5_html": htmltext.op5_html,
         "op7_topk": topk.op7_topk,
         "op8_linededup": linededup.op8_linededup,
         "op9_ngramjoin": ngramjoin.op9_ngramjoin,
