@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import htmltext, linededup, mixing, ngramjoin, packing, topk, toxicity
+from . import htmltext, linededup, mixing, ngramjoin, packing, topk, toxicity, winnowing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_toxicity": toxicity.op2_toxicity,
         "op4_mixing": mixing.op4_mixing,
         "op5_html": htmltext.op5_html,
+        "op6_winnowing": winnowing.op6_winnowing,
         "op7_topk": topk.op7_topk,
         "op8_linededup": linededup.op8_linededup,
         "op9_ngramjoin": ngramjoin.op9_ngramjoin,
