@@ -11,13 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import bloom
 from .common import Scratch, salted_left_join, table
 
 MIN_CHARS, MIN_DOCS = 40, 5
 #: Bits of a filter for each document (about 16 a line), and the least and the most bits. The most (128 MB) bounds what is broadcast: a corpus that fills
 #: them only makes more lines suspects, which are confirmed exactly all the same.
 BITS_PER_DOC, LEAST_BITS, MOST_BITS = 256, 1 << 22, 1 << 30
-SEGMENT = 1 << 21
 BLANK = b" \t\n\x0b\x0c\r"
 
 
@@ -46,59 +46,24 @@ def _texts(batch: pa.RecordBatch, at: int) -> Iterator[bytes]:
         yield t.as_py() or b""
 
 
-def twice_seen(texts: DataFrame, bits: int, least: int) -> DataFrame:
-    """(segment, bitmap) of the filter of line keys that were seen at least twice.
+def seen_lines(texts: DataFrame, bits: int, least: int) -> DataFrame:
+    """Each task's notes of the filter bits that its line keys set once and more often."""
 
-    Each task notes the filter bits that its lines set once and more often. Per segment of the filter those notes are merged one by one, in the memory of two
-    bitmaps: a bit seen by two tasks, or twice by one, goes to the second filter.
-    """
-
-    def notes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: list[np.ndarray] = []
         for b in batches:
             at = [x for t in _texts(b, 0) for line in t.split(b"\n") if (k := line_key(line, least)) is not None for x in _bits(k, bits)]
             seen.append(np.array(at, dtype=np.uint32))
-        pos, n = np.unique(np.concatenate(seen) if seen else np.zeros(0, np.uint32), return_counts=True)
-        cut = np.searchsorted(pos, np.arange(0, bits + 1, SEGMENT, dtype=np.int64))
-        for s in range(bits // SEGMENT):
-            p, c = pos[cut[s] : cut[s + 1]], n[cut[s] : cut[s + 1]]
-            if len(p):
-                p = (p - np.uint32(s * SEGMENT)).astype("<u4")
-                yield pa.record_batch([pa.array([s], pa.int32()), pa.array([p.tobytes()], pa.binary()), pa.array([p[c > 1].tobytes()], pa.binary())], names=["segment", "once", "twice"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segment, once, twice = None, None, None
+        yield from bloom.notes(seen, bits)
 
-        def row():
-            return pa.record_batch([pa.array([segment], pa.int32()), pa.array([np.packbits(twice).tobytes()], pa.binary())], names=["segment", "bitmap"])
-
-        for b in batches:
-            for s, o, t in zip(*(b.column(i) for i in range(3))):
-                if s.as_py() != segment:
-                    if segment is not None:
-                        yield row()
-                    segment, once, twice = s.as_py(), np.zeros(SEGMENT, bool), np.zeros(SEGMENT, bool)
-                p = np.frombuffer(o.as_py(), dtype="<u4")
-                twice[p[once[p]]] = True
-                twice[np.frombuffer(t.as_py(), dtype="<u4")] = True
-                once[p] = True
-        if segment is not None:
-            yield row()
-
-    found = texts.mapInArrow(notes, "segment int, once binary, twice binary")
-    return found.repartition("segment").sortWithinPartitions("segment").mapInArrow(merge, "segment int, bitmap binary")
+    return texts.mapInArrow(run, bloom.NOTES)
 
 
 def drop_lists(docs: DataFrame, scratch: Scratch, least: int = MIN_CHARS, min_docs: int = MIN_DOCS, text: str = "text") -> DataFrame:
     """(doc_id, digests): the line keys that each document loses; null as a doc_id is the smallest one."""
-    bits = LEAST_BITS
-    while bits < min(BITS_PER_DOC * docs.count(), MOST_BITS):
-        bits *= 2
+    bits = bloom.bits_for(docs.count(), BITS_PER_DOC, LEAST_BITS, MOST_BITS)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.col(text).alias("text"))
-    bitmap = np.zeros((bits // SEGMENT, SEGMENT // 8), dtype=np.uint8)
-    for r in twice_seen(rows.select("text"), bits, least).collect():  # at most MOST_BITS
-        bitmap[r.segment] = np.frombuffer(r.bitmap, dtype=np.uint8)
-    twice = docs.sparkSession.sparkContext.broadcast(bitmap.tobytes())
+    twice = docs.sparkSession.sparkContext.broadcast(bloom.twice_seen(seen_lines(rows.select("text"), bits, least), bits))
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = twice.value
