@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 import numpy as np
@@ -44,6 +45,11 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def free(self) -> None:
+        """Lets Spark delete the shuffles and broadcasts of finished steps, which it does once the driver's garbage is collected."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *frames: DataFrame) -> None:
         """Deletes tables that no later step reads."""
         for df in frames:
