@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import htmltext, linededup, mixing, ngramjoin, packing, substrings, topk, toxicity, winnowing
+from . import htmltext, linededup, mixing, ngramjoin, packing, quality, substrings, topk, toxicity, winnowing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substrings": substrings.op1_substrings,
         "op2_toxicity": toxicity.op2_toxicity,
+        "op3_quality": quality.op3_quality,
         "op4_mixing": mixing.op4_mixing,
         "op5_html": htmltext.op5_html,
         "op6_winnowing": winnowing.op6_winnowing,
