@@ -113,14 +113,13 @@ def set_table(rows: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(COUNTERS, dtype=np.uint32)
         for b in batches:
-            ids = np.asarray(b.column(0))
             for a, h, cut in _sets(b, 1, words):
                 d1, d2 = _digests(h, cut)
                 sketch += np.bincount((h & U(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype(np.uint32) if len(h) * 8 > COUNTERS else 0
                 if len(h) * 8 <= COUNTERS:
                     np.add.at(sketch, (h & U(COUNTERS - 1)).astype(np.int64), 1)
                 n = len(d1)
-                yield pa.record_batch([pa.array(ids[a : a + n]), _i64(np.diff(cut)), _i64(d1), _i64(d2), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=["doc_id", "n", "d1", "d2", "part", "counts"])
+                yield pa.record_batch([b.column(0).slice(a, n), _i64(np.diff(cut)), _i64(d1), _i64(d2), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names=["doc_id", "n", "d1", "d2", "part", "counts"])
         for p in range(COUNTERS // PART):
             own = sketch[p * PART : (p + 1) * PART]
             if own.any():
