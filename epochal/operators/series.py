@@ -32,12 +32,12 @@ def read_counts(counts: DataFrame, availability: DataFrame, key: list[str], t: s
 def estimated_sales(counts: DataFrame, key: list[str], t: str, start: Column, end: Column, cap: int | None = None, tie: list[str] = ()) -> DataFrame:
     """(key, sold, decreases, added, increases, at_least, since): falls of the count within the window are sales, rises are additions.
 
-    A step counts if it ends after `start` and by `end` and both its counts are known; at_least is set where a fall starts at the shop's cap. Keys without a
+    A step counts if it ends from `start` to `end` and both its counts are known; at_least is set where a fall starts at the shop's cap. Keys without a
     known count by `end` are left out; since is the window's start or the first known count, whichever is later.
     """
     w = Window.partitionBy(*key).orderBy(t, *tie)
     rows = counts.withColumn("__before", F.lag("quantity").over(w)).where(F.col(t) <= end)
-    step = F.when(F.col(t) > start, F.col("quantity") - F.col("__before"))
+    step = F.when(F.col(t) >= start, F.col("quantity") - F.col("__before"))
     fall, rise = F.when(step < 0, -step), F.when(step > 0, step)
     capped = F.max((fall.isNotNull() & (F.col("__before") >= cap)).cast("int")) if cap is not None else F.lit(0)
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
