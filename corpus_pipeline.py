@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epochal.llm import linededup, mixing, ngramjoin, packing, toxicity
-from epochal.llm.common import Scratch, keep_ids, table
+from epochal.llm.common import Scratch, keep_ids, plain, table
 
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +56,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _names(docs: DataFrame) -> list:
-    return [F.col(f"`{c}`") for c in docs.columns]
+    return [F.col(f"`{c}`") for c in plain(docs).columns]
 
 
 STAGES = [("toxicity", toxic_out), ("line dedup", lines_out), ("n-gram Jaccard join", near_copies_out), ("mixing sources", mixed), ("best-fit packing", packed)]

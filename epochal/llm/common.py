@@ -25,6 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def plain(docs: DataFrame) -> DataFrame:
+    """docs without columns whose names start with two underscores: those names are the operators' own."""
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns if not c.startswith("__")])
+
+
 class Scratch:
     """Tables written to the folder in spark.checkpoint.dir, which all executors share.
 

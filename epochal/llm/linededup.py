@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bloom
-from .common import Scratch, salted_left_join, table
+from .common import Scratch, plain, salted_left_join, table
 
 MIN_CHARS, MIN_DOCS = 40, 5
 #: Bits of a filter for each document (about 16 a line), and the least and the most bits. The most (128 MB) bounds what is broadcast: a corpus that fills
@@ -95,6 +95,7 @@ def line_dedup(docs: DataFrame, scratch: Scratch, least: int = MIN_CHARS, min_do
     lose all their lines except in the largest doc_id that holds them. Documents are told apart by doc_id: rows that repeat one count once and are treated
     alike. A null or empty text is one empty line and stays as it is. Extra columns pass through. Lines are confirmed by 128-bit digests of their keys.
     """
+    docs = plain(docs)
     key = "__lines_of"
     lists = drop_lists(docs, scratch, least, min_docs).withColumnsRenamed({"doc_id": key, "digests": "__digests"})
     rows = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).join(lists, key, "left").drop(key)

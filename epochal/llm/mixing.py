@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, WORD, Scratch, salted_left_join, table
+from .common import BROADCAST_IDS, WORD, Scratch, plain, salted_left_join, table
 
 WEIGHTS = (5, 2, 1)
 #: Of all sizes, as a ratio of integers.
@@ -56,7 +56,7 @@ def with_copies(docs: DataFrame, scratch: Scratch, text: str = "text") -> DataFr
     The draw is the first 32 bits of md5(seed:doc_id), so reruns agree. Rows that repeat a doc_id are each taken alike. Null and empty texts have size 0 and
     are taken by their source's rate as well; a source whose texts are all empty has rate 0.
     """
-    sized = docs.withColumn("__size", size_of(text))
+    sized = plain(docs).withColumn("__size", size_of(text))
     targets = scratch.write(source_targets(sized.select("source", F.col("__size").alias("size"))))
     side = targets.select(F.struct("source").alias("__key"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
     sized = sized.withColumn("__key", F.struct("source"))
@@ -73,7 +73,7 @@ def with_copies(docs: DataFrame, scratch: Scratch, text: str = "text") -> DataFr
 def mix_documents(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """The mix itself: each document as often as its copies say, in the columns of docs."""
     out = with_copies(docs, scratch)
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.greatest("__copies", F.lit(1))))).where("__copies > 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.greatest("__copies", F.lit(1))))).where("__copies > 0").select(*[F.col(f"`{c}`") for c in plain(docs).columns])
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

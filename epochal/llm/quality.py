@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import plain, table
 
 #: Documents that the scorer is trained on, at most (the first by hash of their id), and its hashed features.
 TRAIN_ROWS, FEATURES = 6_000, 1 << 12
@@ -169,6 +169,7 @@ def fit(docs: DataFrame) -> tuple[LabelModel, np.ndarray]:
 
 def score_documents(docs: DataFrame, model: LabelModel, weights: np.ndarray) -> DataFrame:
     """docs with __posterior (of the label model), __score (of the linear scorer) and __votes. Null and empty texts are judged by what they are: short."""
+    docs = plain(docs)
     share = docs.sparkSession.sparkContext.broadcast((model, weights))
     names = docs.columns
     at = names.index("text")

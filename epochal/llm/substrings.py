@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bloom
-from .common import Scratch, mix, powers, prefix_hashes, range_hash, steps, table, text_buffer
+from .common import Scratch, mix, powers, plain, prefix_hashes, range_hash, steps, table, text_buffer
 
 LENGTH, GRAM = 50, 16
 #: Bits of the filters for each document and for each stretch, and the least and most (128 MB) bits.
@@ -395,6 +395,7 @@ def substring_dedup(docs: DataFrame, scratch: Scratch) -> DataFrame:
     Texts count as UTF-8 bytes, null as empty. Strings are judged on the input: each byte goes that a string of LENGTH bytes covers which also starts in a
     document with a smaller doc_id; a null doc_id is the smallest. Rows that repeat a doc_id do not remove each other's strings. Texts shorter than LENGTH stay.
     """
+    docs = plain(docs)
     names = docs.columns
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID)).alias("doc_id")
     text_key = F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key")
