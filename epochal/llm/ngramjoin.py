@@ -16,8 +16,8 @@ from .common import Scratch, components, keep_ids, mix, salted_left_join, shingl
 WORDS, NUM, DEN = 4, 85, 100
 #: Counters of the frequency sketch, in parts that are summed apart; the whole (4 MB) is broadcast.
 COUNTERS, PART = 1 << 20, 1 << 16
-#: Documents and shingles of one side of a block of the product.
-BLOCK_DOCS, BLOCK_SHINGLES = 2_048, 1_500_000
+#: Documents of one side of a block of the product (at least and at most), and its shingles at most.
+LEAST_BLOCK, BLOCK_DOCS, BLOCK_SHINGLES = 256, 2_048, 1_500_000
 U = np.uint64
 
 
@@ -314,7 +314,8 @@ def join_classes(docs: DataFrame, scratch: Scratch, words: int = WORDS, num: int
     reps = own.where("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.count("*").alias("same"))
     reps = scratch.write(reps.join(cands.select(F.col("node").alias("d1"), F.col("root").alias("comp")), "d1", "left").where("same > 1 or comp is not null"))
     comps = reps.where("comp is not null").groupBy("comp").agg(F.count("*").alias("docs"), F.sum("n").alias("size")).where("docs > 1")
-    blocks = F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("size") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+    side = F.least(F.greatest(F.col("docs") / 16, F.lit(LEAST_BLOCK)), F.lit(BLOCK_DOCS))  # a group of copies is work for several tasks
+    blocks = F.greatest(F.ceil(F.col("docs") / side), F.ceil(F.col("size") / BLOCK_SHINGLES)).cast("int").alias("blocks")
     todo = scratch.write(reps.join(comps, "comp").select("doc_id", "comp", blocks))
     few = keep_ids(rows, todo.select("doc_id"))
     found = scratch.write(verified_links(few, todo, words, rule).distinct())
