@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import plain, table
 
-#: Labelled rows that the lexicon is learnt from, at most: the first of each class by hash of the text.
+#: Labelled rows that the lexicon is learnt from, at most: the first of each class by hash of their id, as good as drawn by lot.
 TOXIC_ROWS, CLEAN_ROWS = 2_000, 6_000
 #: Least share of the toxic rows (and least number) that a term must explain, the most clean rows that may hold it by share, and what each of these counts against it.
 LEAST_SHARE, LEAST_ROWS, CLEAN_SHARE, CLEAN_COST = 0.002, 4, 0.03, 3
@@ -244,18 +244,18 @@ def learn(rows: list[tuple[str, int]]) -> Lexicon:
 
 
 def fit(documents: DataFrame, labels: DataFrame) -> Lexicon:
-    """Learns from at most TOXIC_ROWS and CLEAN_ROWS labelled rows, the first by hash of their text; rows with null labels, texts or ids are left out."""
+    """Learns from at most TOXIC_ROWS and CLEAN_ROWS labelled rows, the first by hash of their id; rows with null labels, texts or ids are left out."""
     train = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0))
-    rows = documents.select("doc_id", "text").join(train.select("doc_id", F.col("toxic").cast("int").alias("toxic")), "doc_id").where("text is not null")
-    order = rows.select("doc_id", "toxic", F.xxhash64("text").alias("h"))
+    order = train.select("doc_id", F.col("toxic").cast("int").alias("toxic")).withColumn("h", F.xxhash64("doc_id"))
     first = order.where("toxic = 1").orderBy("h", "doc_id").limit(TOXIC_ROWS).unionAll(order.where("toxic = 0").orderBy("h", "doc_id").limit(CLEAN_ROWS))
     ids = first.select("doc_id", "toxic")  # at most TOXIC_ROWS + CLEAN_ROWS rows
-    sample = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic").toArrow()
+    sample = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where("text is not null").select("text", "toxic").toArrow()
     return learn(sorted(zip(sample["text"].to_pylist(), sample["toxic"].to_pylist())))
 
 
 def score_documents(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """docs with __score between 0 and 1. Null and empty texts score 0; equal texts score alike; extra columns pass through."""
+    docs = plain(docs)
     model = docs.sparkSession.sparkContext.broadcast(lexicon)
     names = docs.columns
     at = names.index("text")
