@@ -14,7 +14,7 @@ from .common import table
 GRAM, WINDOW = 16, 16
 #: Rows of a range of ids, and the most ranges. Only the bounds and first ids of ranges pass the driver, and each range's first row is repeated.
 RANGE_ROWS, MOST_RANGES = 256, 10_000
-PLACE_BITS = 24
+PLACE_BITS = 26
 MASK = (1 << PLACE_BITS) - 1
 LEAST_ID = -(2**63)
 
@@ -25,35 +25,32 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
 
 
 def grams(text: Column, k: int) -> Column:
-    """A number for each k-gram of code points: 40 bits of its hash, then its place counted backwards in 24 bits. A shorter text is one gram, an empty has none.
+    """A number for each k-gram of code points: 38 bits of its hash above its place, which counts backwards. A shorter text is one gram, an empty has none.
 
-    The text is laid out with four bytes a code point, so that a gram is cut out in the time of its length wherever it stands.
+    The text is laid out with four bytes a code point, so that a gram is cut out in the time of its length wherever it stands; places are those of bytes, from 1,
+    modulo 2^26.
     """
-    last = F.char_length(text) - k
+    last = F.greatest(F.char_length(text) - k, F.lit(0))
 
     def run(wide: Column) -> Column:
-        def gram(i: Column) -> Column:
-            h = F.xxhash64(F.substring(wide, i * 4 + 1, F.lit(4 * k)))
-            return h.bitwiseAND(F.lit(~MASK)).bitwiseOR(F.lit(MASK) - i.cast("long").bitwiseAND(F.lit(MASK)))
-
-        return F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), gram)
+        return F.transform(F.sequence(F.lit(1), last * 4 + 1, F.lit(4)), lambda i: F.shiftleft(F.xxhash64(F.substring(wide, i, F.lit(4 * k))), PLACE_BITS) - i.bitwiseAND(F.lit(MASK)))
 
     return F.when(F.char_length(text) > 0, let(F.encode(text, "UTF-32"), run)).otherwise(F.array().cast("array<bigint>"))
 
 
 def minima(numbers: Column, w: int) -> Column:
-    """The least number of each window of w numbers; fewer numbers are one window. Windows double in each step: w steps would be log2(w)."""
+    """The least number of each window of w numbers; fewer numbers are one window. Windows double in each step: there are log2(w) steps."""
 
     def run(a: Column, shift: int) -> Column:
         if shift == w:
             return F.slice(a, 1, F.greatest(F.size(a) - (w - 1), F.least(F.size(a), F.lit(1))))
-        return let(F.transform(a, lambda x, i: F.least(x, F.get(a, i + shift))), lambda b: run(b, 2 * shift))
+        return let(F.zip_with(a, F.slice(a, shift + 1, F.size(a)), lambda x, y: F.least(x, y)), lambda b: run(b, 2 * shift))
 
     return let(numbers, lambda a: run(a, 1))
 
 
 def fingerprint(text: Column, k: int = GRAM, w: int = WINDOW) -> Column:
-    """array<long>: the chosen grams of a text in order of place, each as 40 bits of hash and 24 of place (see grams).
+    """array<long>: the chosen grams of a text in order of place, each as 38 bits of hash over 26 of place (see grams).
 
     Of every window the least hash is chosen, the rightmost of equal ones: as places count backwards, that is the least number. (Where the count wraps, each
     2^24 grams, equal hashes on both sides keep the left one.) Null and empty texts have no fingerprints; equal texts have equal ones.
@@ -61,13 +58,17 @@ def fingerprint(text: Column, k: int = GRAM, w: int = WINDOW) -> Column:
     return F.array_distinct(minima(grams(F.coalesce(text, F.lit("")), k), w))
 
 
+def hash_part(x: Column) -> Column:
+    return F.shiftright(x + MASK, PLACE_BITS)
+
+
 def places(prints: Column) -> Column:
-    """array<struct<place, hash>> of a fingerprint, places modulo 2^24."""
-    return F.transform(prints, lambda x: F.struct((F.lit(MASK) - x.bitwiseAND(F.lit(MASK))).alias("place"), F.shiftright(x, PLACE_BITS).alias("hash")))
+    """array<struct<place, hash>> of a fingerprint, places in code points from 0, modulo 2^24."""
+    return F.transform(prints, lambda x: F.struct((((-x).bitwiseAND(F.lit(MASK)) - 1) / 4).cast("long").alias("place"), hash_part(x).alias("hash")))
 
 
 def hashes(prints: Column) -> Column:
-    return F.array_distinct(F.transform(prints, lambda x: F.shiftright(x, PLACE_BITS)))
+    return F.array_distinct(F.transform(prints, hash_part))
 
 
 def likeness(a: Column, b: Column) -> Column:
