@@ -378,13 +378,15 @@ def removal_lists(docs: DataFrame, scratch: Scratch) -> DataFrame:
     hot = share([r.anchor for r in several.groupBy("anchor").count().where(F.col("count") > HOT).select("anchor").collect()])  # at most one for each HOT stretches
     masks = scratch.write(_masks(rows, wanted, own, hot))
     scratch.free()
-    masks = masks.withColumnRenamed("doc_id", "first")
-    known = shared.join(masks, ["anchor", "digest", "first"], "left").where("many or mask is not null").select("anchor", "digest", "first", F.coalesce("mask", F.lit(0)).alias("mask"))
+    known = shared.join(masks.withColumnRenamed("doc_id", "first"), ["anchor", "digest", "first"], "left").where("many or mask is not null").select("anchor", "digest", "first", F.coalesce("mask", F.lit(0)).alias("mask"))
     known = scratch.write(known)
-    scratch.drop(shared)
+    scratch.drop(shared, masks)
+    scratch.free()
     found = _occurrences(rows, twice, bits).join(known.hint("merge"), ["anchor", "digest"])
     found = found.select("doc_id", "text_key", "at", F.when(F.col("doc_id") > F.col("first"), F.col("full")).otherwise(F.col("mask")).alias("mask")).where("mask <> 0")
     lists = scratch.write(found.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("at", "mask")).alias("cuts")))
+    del found
+    scratch.drop(known)
     scratch.free()
     return lists
 
