@@ -39,6 +39,11 @@ def alternatives(code: Column) -> Column:
     return F.when((F.size(parts) > 1) & F.forall(parts, lambda p: (F.char_length(p) >= 5) & part_number(p)), parts).otherwise(F.array().cast("array<string>"))
 
 
+def rewritten(codes: Column, shape: str, prefix: str) -> Column:
+    """What the codes of a shape hold in its group, behind a prefix."""
+    return F.transform(F.filter(codes, lambda c: c.rlike(shape)), lambda c: F.concat(F.lit(prefix), F.regexp_extract(c, shape, 1)))
+
+
 def derived_codes(codes: Column, store: Column, vendor: Column) -> Column:
     """Keys that codes give beyond themselves: annotations and alternatives, resold makers' forms, maker prefixes, nine-digit numbers; none of the codes."""
     plain = F.array_compact(F.transform(codes, plain_of_annotated))
@@ -50,8 +55,7 @@ def derived_codes(codes: Column, store: Column, vendor: Column) -> Column:
     )).otherwise(F.array().cast("array<string>"))
     resold = F.array().cast("array<string>")
     for name, (shape, prefix) in RESOLD_FORMS.items():
-        form = F.transform(F.filter(codes, lambda c, s=shape: c.rlike(s)), lambda c, s=shape, p=prefix: F.concat(F.lit(p), F.regexp_extract(c, s, 1)))
-        resold = F.when((store == "pimoroni") & (vendor == name), form).otherwise(resold)
+        resold = F.when((store == "pimoroni") & (vendor == name), rewritten(codes, shape, prefix)).otherwise(resold)
     forms = F.concat(codes, plain, parts)
     rest = F.filter(F.transform(forms, lambda c: F.regexp_extract(c, f"^(?:{'|'.join(PREFIXES)})-(.+)$", 1)), lambda c: part_number(c))
     return F.array_except(F.array_distinct(F.concat(plain, parts, seeed, numbers, resold, rest)), codes)

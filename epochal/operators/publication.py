@@ -18,9 +18,9 @@ def dataset_issues(files: DataFrame, manifest_version: str, key: str = "product"
     times_ok = F.forall("offers", lambda o: F.forall(o["segments"], lambda s: is_ascending(F.transform(s["prices"], lambda p: p["t"])) & is_ascending(F.transform(s["presence"], lambda p: p["t"]))))
     fits = lambda p: F.when(p["state"] == "unavailable", p["low"].isNull() & p["high"].isNull()).when(p["state"] == "exact", p["low"] == p["high"]).otherwise(p["low"] < p["high"])
     prices_ok = F.forall("offers", lambda o: F.forall(o["segments"], lambda s: F.forall(s["prices"], fits)))
-    n = F.count("*").over(Window.partitionBy("store", key))
-    bad = F.array_compact(F.array(F.when(n > 1, "repeated key"), F.when(F.col("version") != manifest_version, "another version"), F.when(~times_ok, "times do not rise"), F.when(~F.coalesce(prices_ok, F.lit(False)), "amounts do not fit")))
-    return files.select(F.explode(bad).alias("issue")).groupBy("issue").agg(F.count("*").alias("n"))
+    counted = files.withColumn("__n", F.count("*").over(Window.partitionBy("store", key)))
+    bad = F.array_compact(F.array(F.when(F.col("__n") > 1, "repeated key"), F.when(F.col("version") != manifest_version, "another version"), F.when(~times_ok, "times do not rise"), F.when(~F.coalesce(prices_ok, F.lit(False)), "amounts do not fit")))
+    return counted.select(F.explode(bad).alias("issue")).groupBy("issue").agg(F.count("*").alias("n"))
 
 
 def encode(rows: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
