@@ -41,3 +41,9 @@ def nearest(left: DataFrame, right: DataFrame, key: list[str], t: str, state: li
     pick = F.when(before.isNotNull() & (before <= tolerance) & (after.isNull() | (before <= after)), F.col("__b")).when(after <= tolerance, F.col("__a"))
     both = both.withColumn("__n", pick)
     return both.select("__row.*", *[F.col(f"__n.{c}").alias(c) for c in state], F.abs(F.col("__n.at") - F.col("__t")).alias("distance"))
+
+
+def first_after(rows: DataFrame, key: list[str], t: str, hit: Column, within: int, name: str) -> DataFrame:
+    """Rows with the time of the first hit of their key strictly after them, at most `within` later: a minimum over a range of times."""
+    w = Window.partitionBy(*key).orderBy(t).rangeBetween(1, within)
+    return rows.withColumn(name, F.min(F.when(hit, F.col(t))).over(w))

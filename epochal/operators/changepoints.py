@@ -45,9 +45,9 @@ def presence_points(seen: DataFrame, key: list[str], run: str, last_run: Column
     return rows.select(*key, points.alias("__p")).select(*key, F.col("__p.run").alias(run), F.col("__p.present").alias("present"))
 
 
-def drop_leading_absent(points: DataFrame, key: list[str], t: str, present: str = "present") -> DataFrame:
+def drop_leading_absent(points: DataFrame, key: list[str], t: str, present: str = "present", tie: list[str] = ()) -> DataFrame:
     """Presence points from the first sighting on."""
-    w = Window.partitionBy(*key).orderBy(t).rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*key).orderBy(t, *tie).rowsBetween(Window.unboundedPreceding, 0)
     return points.withColumn("__seen", F.max(present).over(w)).where("__seen").drop("__seen")
 
 

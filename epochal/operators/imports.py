@@ -92,3 +92,19 @@ def primary_segment(segments: DataFrame, key: list[str], listed: str, last: str,
     """One segment a key: listed now before not, then the last listed, then the least basis."""
     w = Window.partitionBy(*key).orderBy(F.col(listed).desc(), F.col(last).desc(), F.col(basis))
     return segments.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+
+
+def run_statistics(rows: DataFrame, key: list[str], run: str, state: list[str]) -> DataFrame:
+    """(run, items, fresh, returned, changed): per run, entities seen, seen for the first time, seen again after a gap, and seen in another state than last time.
+
+    rows has one row for each entity and run; runs are numbered without holes.
+    """
+    w = Window.partitionBy(*key).orderBy(run)
+    last, before, now = F.lag(run).over(w), F.lag(F.struct(*state)).over(w), F.struct(*state)
+    flags = rows.select(run, last.isNull().alias("fresh"), (last + 1 < F.col(run)).alias("returned"), (last.isNotNull() & ~before.eqNullSafe(now)).alias("changed"))
+    return flags.groupBy(run).agg(F.count("*").alias("items"), *[F.count_if(c).alias(c) for c in ("fresh", "returned", "changed")])
+
+
+def latest_summary(rows: DataFrame, key: list[str], run: str, order: list[str]) -> DataFrame:
+    """(key, run, order...): of each key's latest run, its least row; combined before the shuffle."""
+    return rows.groupBy(*key).agg(F.min_by(F.struct(run, *order), F.struct(-F.col(run), *order)).alias("__r")).select(*key, "__r.*")

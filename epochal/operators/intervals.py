@@ -50,3 +50,9 @@ def window_stats(rows: DataFrame, key: list[str], low: str, high: str, end: Colu
 def clipped(rows: DataFrame, start: Column, end: Column) -> DataFrame:
     """Spans cut to [start, end]; those outside are left out."""
     return rows.withColumn("start", F.greatest("start", start)).withColumn("stop", F.least("stop", end)).where("start <= stop")
+
+
+def gaps(rows: DataFrame, key: list[str]) -> DataFrame:
+    """(key, start, stop) of what lies between the spans of a key, which do not overlap."""
+    w = Window.partitionBy(*key).orderBy("start")
+    return rows.select(*key, (F.lag("stop").over(w) + 1).alias("__from"), (F.col("start") - 1).alias("stop")).select(*key, F.col("__from").alias("start"), "stop").where("start <= stop")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import keys, money, times
 from ..operators import compare, graph, imports, matching
 from ..sources import html
-from ..sources.tables import EVENTS_SQL, PRICES_SQL, cents, event_stream, price_stream, table
+from ..sources.tables import EVENTS_SQL, PRICES_SQL, cents, event_stream, fnv_sql, price_stream, table
 from .registry import query
 
 RUN_BEFORE, RUN_NOW = 1998 * 12 + 5, 1998 * 12 + 6
@@ -207,7 +207,7 @@ def set_cover_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.greedy_cover(spark, m, m.groupBy("s").agg(F.count("*").alias("cost")), "s", "p", 3)
 
 
-@query("rotation_slice")
+@query("rotation_slice", f"""WITH k AS (SELECT s_name AS key, {fnv_sql('s_name')} AS hash, {fnv_sql("('5:' || s_name)")} AS o FROM supplier) SELECT key, hash FROM (SELECT *, row_number() OVER (ORDER BY o, key) AS n FROM k WHERE hash % 7 = 5) WHERE n <= 50""")
 def rotation_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.rotation_slice(table(spark, sf_dir, "supplier").select(F.col("s_name").alias("key")), "key", 5, 7, 50)
 

@@ -43,3 +43,8 @@ EVENTS_SQL = "e AS (SELECT event_id, user_id, epoch_us(ts) // 1000 AS t, event_t
 PRICES_SQL = """x AS (SELECT l_partkey AS part, l_suppkey AS offer, CAST(year(l_shipdate) * 12 + month(l_shipdate) AS INTEGER) AS run, epoch_ms(l_shipdate) AS t,
   CAST(floor(l_extendedprice * 100 / l_quantity + 0.5) AS BIGINT) AS cents, CAST(floor(l_quantity + 0.5) AS BIGINT) AS quantity FROM lineitem),
 d AS (SELECT part, t, min(cents) AS cents, min(run) AS run FROM x GROUP BY part, t)"""
+
+
+def fnv_sql(text: str) -> str:
+    """32-bit FNV-1a of an ASCII text in SQL."""
+    return f"list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split({text}, ''), lambda c: CAST(ord(c) AS BIGINT))), lambda h, b: (xor(h, b) * 16777619) & 4294967295)"
