@@ -23,6 +23,8 @@ LEAST_SHARE, LEAST_ROWS, CLEAN_SHARE, CLEAN_COST = 0.002, 4, 0.03, 3
 COVER, GAINS = 3, (0, 0.5, 0.7, 1)
 #: Misspelt hits of a term count if they are toxic at least this often.
 SURE = 0.7
+#: Ways to be misspelt: the whole word is one edit from the term, or only its beginning is one edit from a stem.
+ENDS, GOES_ON = 1, 2
 STEM_CHARS = range(4, 9)
 #: Words on either side that a hit is judged by.
 WINDOW = 6
@@ -38,26 +40,28 @@ class Lexicon:
     """Terms in a trie. A term is a whole word or a stem that any word may go on from.
 
     Each has the precision of its exact and of its misspelt hits, and, if clean rows hold it too, how often it stands in the toxic and the clean rows that do:
-    (prior log-odds, mean and spread of the log of hits a word for toxic, the same for clean), or None.
+    (prior log-odds, mean and spread of the log of hits a word for toxic, the same for clean), or None. A fourth value, if given, is the precision of misspelt
+    stems that the word goes on from; else these count as other misspelt hits do.
     """
 
-    def __init__(self, terms: dict[tuple[str, bool], tuple[float, float, tuple | None]]):
+    def __init__(self, terms: dict[tuple[str, bool], tuple]):
         self.terms = terms
-        self.root: dict = {}
         self.stems = {t for t, whole in terms if not whole}
         self.stem_sizes = sorted({len(t) for t in self.stems})
         self.words = {t for t, whole in terms if whole}
-        self.heads: set[str] = set()
-        self.tails: set[str] = set()
-        for t in (t for t in self.words | self.stems if len(t) >= 5):
-            node = self.root
+        self.children: list[dict[str, int]] = [{}]
+        self.term_at: dict[int, str] = {}
+        for t in sorted(self.words | self.stems):
+            node = 0
             for c in t:
-                node = node.setdefault(c, {})
-            node[""] = t
-            self.heads.add(t[: len(t) // 2])
-            self.tails.add(t[len(t) // 2 :])
-        self.sizes = sorted({len(x) for x in self.heads | self.tails})
-        self.known: dict[str, tuple[str, bool, bool] | None] = {}
+                if c not in self.children[node]:
+                    self.children[node][c] = len(self.children)
+                    self.children.append({})
+                node = self.children[node][c]
+            self.term_at[node] = t
+        self.letters = {c for t, _ in terms for c in t}
+        self._forget()
+        self.known: dict[str, tuple[str, bool, int] | None] = {}
 
     def __getstate__(self):
         return self.terms
@@ -65,61 +69,85 @@ class Lexicon:
     def __setstate__(self, terms):
         self.__init__(terms)
 
-    def find(self, word: str) -> tuple[str, bool, bool] | None:
-        """(term, whole, misspelt) that a lower-case word stands for."""
+    def find(self, word: str) -> tuple[str, bool, int] | None:
+        """(term, whole, misspelt) that a lower-case word stands for; misspelt is False, ENDS or GOES_ON."""
         if word not in self.known:
             if len(self.known) > 300_000:
                 self.known.clear()
             self.known[word] = self._find(word)
         return self.known[word]
 
-    def _find(self, word: str) -> tuple[str, bool, bool] | None:
+    def exact(self, word: str) -> tuple[str, bool, int] | None:
         if word in self.words:
             return word, True, False
         for n in self.stem_sizes:
             if word[:n] in self.stems:
                 return word[:n], False, False
-        # one edit leaves one half of the term as it is: few words come to the automaton
-        if len(word) < 4 or not any(word[:n] in self.heads or word[-n:] in self.tails for n in self.sizes):
-            return None
-        near = self.near(word)
-        if not near or self.terms[near, near in self.words][1] < SURE:
-            return None
-        return near, near in self.words, True
-
-    def near(self, word: str) -> str | None:
-        """The first term in the trie at edit distance 1 from word (a swap of neighbours is one edit).
-
-        The automaton's states are the positions of `word` with the edits spent so far; reading a letter of the trie moves them, and a subtree is left as soon
-        as no state remains.
+        return None
+
+    def _find(self, word: str) -> tuple[str, bool, int] | None:
+        if found := self.exact(word):
+            return found
+        sure = [x for x in self.near(word) if self.precision(*x) >= SURE]
+        return min(sure, key=lambda x: (-self.precision(*x), x[2], x)) if sure else None
+
+    def precision(self, term: str, whole: bool, misspelt: int) -> float:
+        values = self.terms[term, whole]
+        return values[3] if misspelt == GOES_ON and len(values) > 3 else values[1 if misspelt else 0]
+
+    def near(self, word: str) -> set[tuple[str, bool, int]]:
+        """(term, whole, misspelt) of all terms at edit distance 1 from word, or of stems from its beginning (a swap of neighbours is one edit).
+
+        The terms' Levenshtein automata run over the trie together, made deterministic as words ask for it; a word is left as soon as no state remains.
         """
-        size = len(word)
-        stack = [(self.root, "", {(0, 0)}, {(0, 0)})]
-        found: list[str] = []
-        while stack:
-            node, path, now, before = stack.pop()
-            if "" in node and any(size - i + e <= 1 for i, e in now):
-                found.append(node[""])
-            for c, child in node.items():
-                if c == "":
-                    continue
-                then = set()
-                for i, e in now:
-                    if i < size and word[i] == c:
-                        then.add((i + 1, e))
-                    if e < 1:
-                        then.add((i, 1))
-                        if i < size:
-                            then.add((i + 1, 1))
-                            if i + 1 < size and word[i + 1] == c:
-                                then.add((i + 2, 1))
-                if path:
-                    then |= {(i + 2, 1) for i, e in before if e == 0 and i + 1 < size and word[i] == c and word[i + 1] == path[-1]}
-                if then:
-                    stack.append((child, path + c, then, now))
-        return min(found) if found else None
-
-    def hits(self, text: str) -> list[tuple[str, bool, bool, int, int]]:
+        state, on = self.start, set()
+        for c in word:
+            on.update(state[2])
+            key = c if c in self.letters else ""
+            state = state[0].get(key) or self._step(state, key)
+            if not state[1]:
+                return {(t, False, GOES_ON) for t in on}
+        ends = state[3]
+        return {(t, whole, ENDS) for t in ends for whole in (True, False) if (t, whole) in self.terms} | {(t, False, GOES_ON) for t in on if t not in ends}
+
+    def _forget(self) -> None:
+        self.states: dict[frozenset, tuple] = {}
+        self.start = self._state(frozenset({(0, 0, "")}))
+
+    def _state(self, places: frozenset) -> tuple[dict, frozenset, frozenset, frozenset]:
+        """(next states by letter, places, stems read by now, terms read by now) with one edit at most.
+
+        A place is a node of the trie, the edits spent, and the letter that a swap still waits for.
+        """
+        if places not in self.states:
+            ends = {self.term_at[n] for n, _, wait in places if not wait and n in self.term_at}
+            ends |= {self.term_at[m] for n, e, _ in places if e == 0 for m in self.children[n].values() if m in self.term_at}
+            self.states[places] = ({}, places, frozenset(ends & self.stems), frozenset(ends))
+        return self.states[places]
+
+    def _step(self, state: tuple, c: str) -> tuple:
+        then = set()
+        for node, e, wait in state[1]:
+            if wait:
+                if wait == c:
+                    then.add((node, 1, ""))
+                continue
+            children = self.children[node]
+            if c in children:
+                then.add((children[c], e, ""))
+            if e == 0:
+                then.add((node, 1, ""))
+                for x, m in children.items():
+                    then.add((m, 1, ""))
+                    if c in self.children[m]:
+                        then.add((self.children[m][c], 1, ""))
+                        then.add((self.children[m][c], 1, x))
+        if len(self.states) > 100_000:
+            self._forget()
+        state[0][c] = out = self._state(frozenset(then))
+        return out
+
+    def hits(self, text: str) -> list[tuple[str, bool, int, int, int]]:
         low = text.lower()
         get, out = self.find, []
         bad = {w for w in set(_WORD.findall(low)) if get(w)}
@@ -140,7 +168,7 @@ class Lexicon:
         words = len(_WORD.findall(low))
         often: dict[tuple[str, bool], float] = {}
         for term, whole, misspelt, a, b in found:
-            p, q, density = self.terms[term, whole]
+            density, sure = self.terms[term, whole][2], self.precision(term, whole, misspelt)
             left, right = low[max(0, a - 80) : a], low[b : b + 80]
             around = set(_WORD.findall(left)[-WINDOW:]) | set(_WORD.findall(right)[:WINDOW])
             quoted = left[-1:] and left[-1] in OPENERS and right[:1] and right[0] in CLOSERS or len(around & REPORTING) >= 2
@@ -149,7 +177,7 @@ class Lexicon:
                 if not misspelt:
                     often[term, whole] = often.get((term, whole), 0) + weight
             else:
-                clean *= (1 - (q if misspelt else p)) ** weight if weight > 1 else 1 - weight * (q if misspelt else p)
+                clean *= (1 - sure) ** weight if weight > 1 else 1 - weight * sure
         for term, n in often.items():
             prior, m1, s1, m0, s0 = self.terms[term][2]
             x = math.log(n / words)
@@ -219,9 +247,15 @@ def learn(rows: list[tuple[str, int]]) -> Lexicon:
     first = Lexicon(terms)
     wrong: Counter = Counter()
     right: Counter = Counter()
+    near: dict[str, set] = {}
     for group, tally in ((clean, wrong), (toxic, right)):
         for w in group:
-            tally.update({(f[0], f[1]) for x in w if (f := first.find(x)) and f[2]})
+            own = set()
+            for x in w:
+                if x not in near:
+                    near[x] = set() if first.exact(x) else first.near(x)
+                own |= near[x]
+            tally.update(own)
     texts = {k: list(dict.fromkeys(t for t, y in rows if y == k)) for k in (0, 1)}
     logs: dict[tuple[tuple[str, bool], int], list[float]] = {}
     mixed = {c for c in terms if against[c]}
@@ -239,7 +273,8 @@ def learn(rows: list[tuple[str, int]]) -> Lexicon:
             spread = lambda x, m: math.sqrt(sum((v - m) ** 2 for v in x) / len(x) + 0.1)
             m1, m0 = sum(x1) / len(x1), sum(x0) / len(x0)
             density = (math.log(len(x1) / len(x0)), m1, spread(x1, m1), m0, spread(x0, m0))
-        out[c] = (p, 0.0 if c in mixed else (right[c] + 1) / (right[c] + wrong[c] * 2 + 1.2), density)
+        sure = [0.0 if c in mixed else (right[*c, k] + 1) / (right[*c, k] + wrong[*c, k] * 2 + 1.2) for k in (ENDS, GOES_ON)]
+        out[c] = (p, sure[0], density, sure[1])
     return Lexicon(out)
 
 

@@ -46,6 +46,31 @@ def test_automaton_finds_one_edit_and_no_more():
     assert lexicon.find("Grobian".lower())[2] is False
 
 
+@pytest.mark.parametrize("whole", [True, False])
+def test_automaton_finds_every_edit_of_every_term(whole):
+    terms = ["trash", "clown", "moron", "idiot", "stupid", "scum", "pathetic", "grobian"]
+    lexicon = toxicity.Lexicon({(t, whole): (0.99, 0.9, None) for t in terms})
+    for t in terms:
+        edits = {t[:i] + t[i + 1] + t[i] + t[i + 2 :] for i in range(len(t) - 1)} | {t[:i] + t[i + 1 :] for i in range(len(t))}
+        edits |= {t[:i] + "q" + t[j:] for i in range(len(t) + 1) for j in (i, i + 1) if j <= len(t)}
+        for word in edits - {t}:
+            assert lexicon.find(word), word
+            assert whole or lexicon.find(word + "ness"), word
+    for word in ("tarhs", "iidto", "qqrash", "wclnoq", "spidut"):
+        assert lexicon.find(word) is None, word
+    assert {lexicon.find(w) for w in ("tarsh", "colwn", "mroon", "iidot", "stpuid")} == {(t, whole, toxicity.ENDS) for t in terms[:5]}
+
+
+def test_misspelt_inflected_words_are_learnt_as_sure():
+    rng = random.Random(4)
+    vocab = [f"w{rng.choice('abcdefghij')}{i}" for i in range(300)]
+    rows = [(" ".join(rng.choice(vocab) for _ in range(30)) + (f" disgustin{rng.choice(['g', 'gly'])} scum{rng.choice(['s', ''])}" if i % 5 == 0 else ""), int(i % 5 == 0)) for i in range(400)]
+    lexicon = toxicity.learn(rows)
+    for word in ("dsigusting", "disugstingly", "digsusting", "sucm", "scumms"):
+        assert lexicon.score(f"wa1 wb2 {word} wc3") >= 0.5, word
+    assert lexicon.score("wa1 wb2 dsiugsting wc3") == 0
+
+
 def test_quotation_counts_less_than_address():
     lexicon = toxicity.Lexicon({("grobian", True): (0.9, 0.8, None)})
     plain, quoted, aimed = (lexicon.score(t) for t in ("what a grobian this is", 'they wrote "grobian" in the letter', "you grobian"))
