@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import fnv1a
@@ -46,20 +46,34 @@ def cover_gains(membership: DataFrame, covered: DataFrame, cost: DataFrame, grou
     return gains.select(group, "gain", "cost", (F.col("gain") / F.col("cost")).alias("score"))
 
 
-def greedy_cover(spark: SparkSession, membership: DataFrame, cost: DataFrame, group: str, item: str, rounds: int) -> DataFrame:
-    """(round, group, gain): a greedy cover's first `rounds` picks by gain for cost; ties go to more gain, then to the lesser group.
+def greedy_cover(spark: SparkSession, membership: DataFrame, cost: DataFrame, group: str, item: str, rounds: int | None = None, stable: Column | None = None) -> DataFrame:
+    """(round, group, gain): a greedy cover's picks by gain for cost until no group has a gain, or the first `rounds`; ties go to more gain, then to the lesser group.
 
-    One pick a round leaves the cluster; membership stays there.
+    With `stable`, a condition on cost's columns, those groups cover all that they can before any other is picked.
+
+    A group that comes before all others with which it shares an uncovered item keeps its gain until it is picked, as gains only shrink. So each step picks all
+    such groups at once, and their order is that of their gains. Groups of the two pools share no item: the second has only what no stable group holds. The
+    picks leave the cluster; membership stays there.
     """
-    covered, picks = membership.select(item).limit(0), []
-    for i in range(rounds):
-        best = cover_gains(membership, covered, cost, group, item).orderBy(F.col("score").desc(), F.col("gain").desc(), group).limit(1).collect()
-        if not best:
+    pools = cost.select(group, "cost", (F.lit(True) if stable is None else F.coalesce(stable, F.lit(False))).alias("__s"))
+    left = membership.select(group, item).where(F.col(group).isNotNull() & F.col(item).isNotNull()).distinct().join(pools, group)
+    if stable is not None:
+        first = left.where("__s").select(item).distinct()
+        left = left.where("__s").unionByName(left.where("not __s").join(first, item, "left_anti").select(left.columns))
+    left, picks = _cut(left), []
+    while True:
+        gains = left.groupBy(group).agg(F.count("*").alias("gain"))
+        key = F.struct((-F.col("gain") / F.col("cost")).alias("o"), (-F.col("gain")).alias("n"), F.col(group).alias("g"))
+        best = left.join(gains, group).groupBy(item).agg(F.min(key).alias("k"))
+        won = _cut(best.groupBy("k").agg(F.count("*").alias("n")).where("n = -k.n").select("k"))
+        new = [(not r.s, r.o, r.n, r.g) for r in won.join(pools, F.col("k.g") == F.col(group)).select(F.col("__s").alias("s"), "k.*").collect()]
+        if not new:
             break
-        picks.append((i + 1, best[0][group], best[0].gain))
-        covered = _cut(covered.unionByName(membership.where(F.col(group) == best[0][group]).select(item)).distinct())
+        picks += new
+        gone = left.join(won.select(F.col("k.g").alias(group)), group).select(item).distinct()
+        left = _cut(left.join(gone, item, "left_anti").select(left.columns))
     schema = f"round int, {group} {membership.schema[group].dataType.simpleString()}, gain long"
-    return spark.createDataFrame(picks, schema)
+    return spark.createDataFrame([(i + 1, g, -n) for i, (_, _, n, g) in enumerate(sorted(picks)[:rounds])], schema)
 
 
 def rotation_slice(keys: DataFrame, key: str, round_: int, shards: int, cap: int) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from epochal.operators import alerts, compare, graph, imports, matching
+from epochal.plans import catalogue
 
 
 def rows_of(df, *cols):
@@ -111,3 +112,28 @@ def test_alert_actions(spark):
     text = spark.range(1).select(alerts.printable(F.lit("a\x00`b`<!-- c\n d")).alias("x"), alerts.capped(F.array(*[F.lit(str(i)) for i in range(9)])).alias("y")).first()
     assert text.x == "a 'b'<! -- c d"
     assert text.y == ["0", "1", "2", "3", "… 5 more"]
+
+
+def test_cover_plan_against_a_greedy_loop(spark):
+    def plain(sets, cost, pools):
+        covered, out = set(), []
+        for pool in pools:
+            while best := min((g for g in pool if sets[g] - covered), key=lambda g: (-len(sets[g] - covered) / cost[g], -len(sets[g] - covered), g), default=None):
+                out.append((len(out) + 1, best, len(sets[best] - covered)))
+                covered |= sets[best]
+        return out
+
+    rng = random.Random(5)
+    sets = {g: {rng.randrange(300) for _ in range(rng.randrange(1, 25))} for g in range(1, 90)}
+    cost = {g: rng.randrange(1, 9) for g in sets}
+    m = spark.createDataFrame([(g, i) for g, x in sets.items() for i in x] + [(None, 1), (1, None)], "g long, i long")
+    c = spark.createDataFrame(list(cost.items()), "g long, cost long")
+    assert [tuple(r) for r in graph.greedy_cover(spark, m, c, "g", "i").orderBy("round").collect()] == plain(sets, cost, [sets])
+    even = [[g for g in sets if g % 2 == 0], [g for g in sets if g % 2]]
+    assert [tuple(r) for r in graph.greedy_cover(spark, m, c, "g", "i", stable=F.col("g") % 2 == 0).orderBy("round").collect()] == plain(sets, cost, even)
+
+
+def test_cover_plan_covers_every_part(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet").select("l_suppkey", "l_partkey").collect()
+    got = catalogue.set_cover_plan(spark, "/root/testdata/sf0.01").collect()
+    assert sum(r.gain for r in got) == len({r.l_partkey for r in rows}) and len({r.s for r in got}) == len(got) > 3
