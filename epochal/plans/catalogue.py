@@ -231,7 +231,9 @@ def html_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("html_entities")
 def html_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.char_length(html.decoded(F.regexp_extract("html", r"(?s)<footer>(.*?)</footer>", 1))).cast("long").alias("n"))
+    """Every page's whole source with its character references decoded, and its length."""
+    pages = table(spark, sf_dir, "pages").select("page_id", html.decoded("html").alias("text"))
+    return pages.select("page_id", "text", F.char_length("text").cast("long").alias("n"))
 
 
 _OFFERS = """o AS (SELECT l_partkey AS part, l_suppkey AS offer, CAST(min(floor(l_extendedprice * 100 / l_quantity + 0.5)) AS BIGINT) AS amount, max(epoch_ms(l_shipdate)) AS observed_at, sum(CAST(l_quantity AS BIGINT)) AS stock FROM lineitem GROUP BY 1, 2),

@@ -1,5 +1,6 @@
 """Imports, matching, graphs and comparison on small fixtures."""
 
+import html
 import random
 
 from pyspark.sql import functions as F
@@ -137,3 +138,11 @@ def test_cover_plan_covers_every_part(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet").select("l_suppkey", "l_partkey").collect()
     got = catalogue.set_cover_plan(spark, "/root/testdata/sf0.01").collect()
     assert sum(r.gain for r in got) == len({r.l_partkey for r in rows}) and len({r.s for r in got}) == len(got) > 3
+
+
+def test_references_are_decoded_in_whole_pages(spark, tmp_path):
+    rows = [(1, "<p>a &amp; b &eacute;</p><footer>&copy; x</footer>"), (2, "no footer: &#8364;5 &lt;b&gt; &unknown; &#x1F600;"), (3, ""), (4, None), (5, "plain")]
+    spark.createDataFrame(rows, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    want = [(i, t if t is None else html.unescape(t), t if t is None else len(html.unescape(t))) for i, t in rows]
+    assert rows_of(catalogue.html_entities(spark, str(tmp_path)).where("page_id <> 4"), "page_id", "text", "n") == [r for r in want if r[0] != 4]
+    assert tuple(catalogue.html_entities(spark, str(tmp_path)).where("page_id = 4").first()) == want[3]
