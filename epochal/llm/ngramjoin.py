@@ -221,12 +221,12 @@ def _root(parent: np.ndarray, i: int) -> int:
     return i
 
 
-def product_links(ids: np.ndarray, side: np.ndarray, cut: np.ndarray, h: np.ndarray, rule: Threshold) -> list[tuple[int, int]]:
-    """A spanning forest of the links between documents of one block pair, by accumulating their overlaps.
+def product_links(ids: np.ndarray, side: np.ndarray, cut: np.ndarray, h: np.ndarray, rule: Threshold, weights: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """A spanning forest of the links between documents of one block pair, by accumulating their overlaps; and for each document the weight of all that it links to.
 
     The product of the documents-by-shingles matrix with its transpose is built a row at a time: the lists of documents of a row's shingles are counted into a
     dense array of overlaps. Columns outside the size bounds, or whose overlap is below what their sizes ask for, are left out; links among documents that are
-    already connected need no edge. side tells the two sides of the block pair apart where it joins two blocks (both 0 within one).
+    already connected need no edge, but are counted. side tells the two sides of the block pair apart where it joins two blocks (both 0 within one).
     """
     m = len(ids)
     size = np.diff(cut)
@@ -240,6 +240,7 @@ def product_links(ids: np.ndarray, side: np.ndarray, cut: np.ndarray, h: np.ndar
     count = np.diff(lists)
     parent = np.arange(m)
     links = []
+    linked = np.zeros(m, dtype=np.int64)
     both = bool(side.any())
     for i in range(m):
         if both and side[i]:
@@ -256,46 +257,65 @@ def product_links(ids: np.ndarray, side: np.ndarray, cut: np.ndarray, h: np.ndar
         ok[: i + 1] = False if not both else ok[: i + 1]
         if both:
             ok &= side == 1
+        linked[i] += weights[ok].sum()
+        linked[ok] += weights[i]
         for j in np.nonzero(ok)[0]:
             x, y = _root(parent, i), _root(parent, int(j))
             if x != y:
                 parent[max(x, y)] = min(x, y)
                 links.append((int(ids[i]), int(ids[j])))
-    return links
+    return links, linked
 
 
 def verified_links(docs: DataFrame, comps: DataFrame, words: int, rule: Threshold) -> DataFrame:
-    """(a, b) doc_ids: links that connect what is linked, within each candidate component.
+    """(a, b, d1, d2, n), within each candidate component: doc_ids of links that connect what is linked; and for sets, by their digests, how many rows of other
+    sets they link to, in parts that are to be summed.
 
-    A component is cut into blocks by hash so that a block has a bounded number of documents and shingles, and each pair of its blocks is one group.
+    comps has the digests of each set and the number of its rows (same); rows of the same doc_id that hold another text are left out. A component is cut into blocks by hash so that a block has a bounded number of documents and shingles, and each pair of its blocks is one group.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for a, h, cut in _sets(b, 3, words):
+            for a, h, cut in _sets(b, 6, words):
                 n = len(cut) - 1
                 size = pa.array(cut * 8, pa.int32())
                 raw = pa.Array.from_buffers(pa.binary(), n, [None, size.buffers()[1], pa.py_buffer(np.ascontiguousarray(h).tobytes())])
-                yield pa.record_batch([*(b.column(i).slice(a, n) for i in range(3)), raw], names=["doc_id", "comp", "blocks", "h"])
+                own = np.ones(n, dtype=bool)
+                for i, d in zip((3, 4), _digests(h, cut)):
+                    own &= np.asarray(b.column(i).slice(a, n)) == d.view(np.int64)
+                yield pa.record_batch([*(b.column(i).slice(a, n) for i in range(6)), raw], names=names).filter(pa.array(own))
 
-    rows = docs.join(comps, "doc_id").select("doc_id", "comp", "blocks", "text").mapInArrow(run, "doc_id long, comp long, blocks int, h binary")
+    names = ["doc_id", "comp", "blocks", "d1", "d2", "same", "h"]
+    rows = docs.join(comps, "doc_id").select(*names[:-1], "text").mapInArrow(run, "doc_id long, comp long, blocks int, d1 long, d2 long, same long, h binary")
     block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("comp", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "doc_id", "h")
+    rows = rows.select("comp", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "doc_id", "d1", "d2", "same", "h")
 
     def product(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
+        if t.num_rows:  # rows that repeat an id and its text are one set
+            _, first = np.unique(np.stack([np.asarray(t["d1"]), np.asarray(t["d2"])]), axis=1, return_index=True)
+            t = t if len(first) == t.num_rows else t.take(pa.array(np.sort(first))).combine_chunks()
         raw = t["h"].to_pylist()
         cut = np.concatenate([[0], np.cumsum([len(x) // 8 for x in raw])]).astype(np.int64)
         side = (np.asarray(t["block"]) != np.asarray(t["x"])).astype(np.int8)
-        links = product_links(np.asarray(t["doc_id"]), side, cut, np.frombuffer(b"".join(raw), dtype=U), rule)
-        return pa.table([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
+        links, linked = product_links(np.asarray(t["doc_id"]), side, cut, np.frombuffer(b"".join(raw), dtype=U), rule, np.asarray(t["same"]))
+        has = np.nonzero(linked)[0]
+        none, many = pa.nulls(len(has), pa.int64()), pa.nulls(len(links), pa.int64())
+        ends = [pa.concat_arrays([pa.array([x[i] for x in links], pa.int64()), none]) for i in (0, 1)]
+        counts = [pa.concat_arrays([many, pa.array(np.asarray(c)[has], pa.int64())]) for c in (t["d1"], t["d2"], linked)]
+        return pa.table([*ends, *counts], names=["a", "b", "d1", "d2", "n"])
 
-    return rows.groupBy("comp", "x", "y").applyInArrow(product, "a long, b long")
+    return rows.groupBy("comp", "x", "y").applyInArrow(product, "a long, b long, d1 long, d2 long, n long")
 
 
 def join_classes(docs: DataFrame, scratch: Scratch, words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
-    """(doc_id, n_shingles, component_id), a row for each row of docs.
+    """(doc_id, n_shingles, component_id), a row for each row of docs; as join_links, without the numbers of links."""
+    return join_links(docs, scratch, words, num, den).drop("n_links")
+
+
+def join_links(docs: DataFrame, scratch: Scratch, words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links), a row for each row of docs. n_links is the number of other rows that the row's text links to.
 
     Sets are the distinct `words`-word shingles in A-Z lower case (fewer words: the sequence as one), as 64-bit hashes. Two documents link when
     den * |intersection| >= num * |union|; a component is named by its smallest doc_id. Null and blank texts have no set and no link. Equal sets count once
@@ -316,17 +336,21 @@ def join_classes(docs: DataFrame, scratch: Scratch, words: int = WORDS, num: int
     comps = reps.where("comp is not null").groupBy("comp").agg(F.count("*").alias("docs"), F.sum("n").alias("size")).where("docs > 1")
     side = F.least(F.greatest(F.col("docs") / 16, F.lit(LEAST_BLOCK)), F.lit(BLOCK_DOCS))  # a group of copies is work for several tasks
     blocks = F.greatest(F.ceil(F.col("docs") / side), F.ceil(F.col("size") / BLOCK_SHINGLES)).cast("int").alias("blocks")
-    todo = scratch.write(reps.join(comps, "comp").select("doc_id", "comp", blocks))
-    few = keep_ids(rows, todo.select("doc_id"))
-    found = scratch.write(verified_links(few, todo, words, rule).distinct())
-    roots = components(found, scratch)
+    todo = scratch.write(reps.join(comps, "comp").select("doc_id", "comp", blocks, "d1", "d2", "same"))
+    few = keep_ids(rows, todo.select("doc_id").distinct())
+    found = scratch.write(verified_links(few, todo, words, rule))
+    roots = components(found.where("a is not null").select("a", "b"), scratch)
+    linked = found.where("d1 is not null").groupBy("d1", "d2").agg(F.sum("n").alias("linked"))
     least = scratch.write(roots.groupBy("root").agg(F.min("node").alias("component")))
     named = roots.join(least, "root").select(F.col("node").alias("doc_id"), "component")
-    by_set = reps.join(named, "doc_id", "left").select("d1", "d2", F.coalesce("component", "doc_id").alias("component")).where("d1 is not null")
+    n_links = (F.col("same") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links")
+    by_set = reps.join(named, "doc_id", "left").join(linked, ["d1", "d2"], "left")
+    by_set = by_set.select("d1", "d2", F.coalesce("component", "doc_id").alias("component"), n_links).where("d1 is not null")
     by_set = scratch.write(by_set)
     out = salted_left_join(own, by_set, ["d1", "d2"], ["doc_id"])
-    alone = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("component"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(alone, "doc_id").alias("component_id"))
+    judged = F.col("doc_id").isNotNull() & (F.col("n") > 0)
+    n_links = F.coalesce(F.when(judged, F.col("n_links")), F.lit(0)).alias("n_links")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce(F.when(judged, F.col("component")), "doc_id").alias("component_id"), n_links)
 
 
 def op9_ngramjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -334,6 +358,11 @@ def op9_ngramjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_classes(table(spark, sf_dir, "documents"), Scratch(spark))
 
 
+def op9_ngramjoin_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op9_ngramjoin, with the number of documents that each links to."""
+    return join_links(table(spark, sf_dir, "documents"), Scratch(spark))
+
+
 SQL = """
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
 s AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) < 4 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[i : i + 3], ' ') END AS g

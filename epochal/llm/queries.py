@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_topk": topk.op7_topk,
         "op8_linededup": linededup.op8_linededup,
         "op9_ngramjoin": ngramjoin.op9_ngramjoin,
+        "op9_ngramjoin_links": ngramjoin.op9_ngramjoin_links,
         "op10_packing": packing.op10_packing,
     }
 

@@ -275,6 +275,24 @@ def test_classes_against_brute_force(spark, monkeypatch, blocks):
     assert sorted(map(tuple, got.collect())) == brute_classes(rows)
 
 
+@pytest.mark.parametrize("blocks", [8, 2048])
+def test_links_are_counted_whole(spark, monkeypatch, blocks):
+    """Every pair that reaches the threshold counts, within a group of near copies too; also where an id is repeated with the same or another text."""
+    monkeypatch.setattr(ngramjoin, "BLOCK_DOCS", blocks)
+    monkeypatch.setattr(ngramjoin, "LEAST_BLOCK", min(blocks, 256))
+    rng = random.Random(blocks)
+    base = [f"v{rng.randrange(10**6)}" for _ in range(120)]
+    other = [f"v{rng.randrange(10**6)}" for _ in range(60)]
+    rows = [(i, " ".join(base[: 120 - i % 12])) for i in range(30)] + [(100 + i, " ".join(other[i % 3 :])) for i in range(8)] + [(7, " ".join(base[:115])), (7, " ".join(other)), (5, " ".join(base[: 120 - 5])), (200, "alone here with few words"), (201, None)]
+    sets = [{tuple(w[i : i + 4]) for i in range(max(len(w) - 3, 1))} if (w := (t or "").split()) else set() for _, t in rows]
+    reach = lambda a, b: bool(a and b) and 100 * len(a & b) >= 85 * len(a | b)
+    want = sorted((d, len(x), sum(reach(x, y) for j, y in enumerate(sets) if j != i)) for i, ((d, _), x) in enumerate(zip(rows, sets)))
+    docs = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows] + [(None, rows[0][1], "en", "s", 0)], SCHEMA)
+    got = ngramjoin.join_links(docs, common.Scratch(spark)).select("doc_id", "n_shingles", "n_links").collect()
+    assert sorted(map(tuple, [r for r in got if r.doc_id is not None])) == want
+    assert [r.n_links for r in got if r.doc_id is None] == [0]
+
+
 def test_signatures_lose_no_pair():
     """Pairs at the threshold share a signature, whatever is called frequent."""
     rng = np.random.default_rng(4)
