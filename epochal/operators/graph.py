@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import fnv1a
 
+#: Rows of (group, item) that a cover's driver takes at most.
+COLLECTED = 1_000_000
+
 
 def _cut(df: DataFrame) -> DataFrame:
     """Cuts lineage in the folder that the cluster shares for checkpoints; sets one only where none is named."""
@@ -46,6 +51,26 @@ def cover_gains(membership: DataFrame, covered: DataFrame, cost: DataFrame, grou
     return gains.select(group, "gain", "cost", (F.col("gain") / F.col("cost")).alias("score"))
 
 
+def _greedy(rows: list) -> list[tuple]:
+    """(pool, -score, -gain, group) of all picks, from rows of (pool, cost, group, item). Gains only shrink, so a group is looked at anew only when it comes first."""
+    items: dict = {}
+    for pool, cost, g, i in rows:
+        items.setdefault((pool, cost, g), set()).add(i)
+    queue = [(pool, -len(x) / cost, -len(x), g, cost) for (pool, cost, g), x in items.items()]
+    heapq.heapify(queue)
+    covered, picks = set(), []
+    while queue:
+        pool, score, n, g, cost = heapq.heappop(queue)
+        own = items[pool, cost, g]
+        own -= covered
+        if len(own) == -n:
+            picks.append((pool, score, n, g))
+            covered |= own
+        elif own:
+            heapq.heappush(queue, (pool, -len(own) / cost, -len(own), g, cost))
+    return picks
+
+
 def greedy_cover(spark: SparkSession, membership: DataFrame, cost: DataFrame, group: str, item: str, rounds: int | None = None, stable: Column | None = None) -> DataFrame:
     """(round, group, gain): a greedy cover's picks by gain for cost until no group has a gain, or the first `rounds`; ties go to more gain, then to the lesser group.
 
@@ -53,22 +78,23 @@ def greedy_cover(spark: SparkSession, membership: DataFrame, cost: DataFrame, gr
 
     A group that comes before all others with which it shares an uncovered item keeps its gain until it is picked, as gains only shrink. So each step picks all
     such groups at once, and their order is that of their gains. Groups of the two pools share no item: the second has only what no stable group holds. The
-    picks leave the cluster; membership stays there.
+    picks leave the cluster; what is left of membership does so once it has at most COLLECTED rows, and the driver goes on with the same picks.
     """
-    pools = cost.select(group, "cost", (F.lit(True) if stable is None else F.coalesce(stable, F.lit(False))).alias("__s"))
+    pools = cost.select(group, F.col("cost").cast("double").alias("cost"), (F.lit(True) if stable is None else F.coalesce(stable, F.lit(False))).alias("__s"))
     left = membership.select(group, item).where(F.col(group).isNotNull() & F.col(item).isNotNull()).distinct().join(pools, group)
     if stable is not None:
         first = left.where("__s").select(item).distinct()
         left = left.where("__s").unionByName(left.where("not __s").join(first, item, "left_anti").select(left.columns))
     left, picks = _cut(left), []
     while True:
+        if left.count() <= COLLECTED:
+            picks += _greedy(left.select(F.expr("not __s"), "cost", group, item).collect())
+            break
         gains = left.groupBy(group).agg(F.count("*").alias("gain"))
         key = F.struct((-F.col("gain") / F.col("cost")).alias("o"), (-F.col("gain")).alias("n"), F.col(group).alias("g"))
         best = left.join(gains, group).groupBy(item).agg(F.min(key).alias("k"))
         won = _cut(best.groupBy("k").agg(F.count("*").alias("n")).where("n = -k.n").select("k"))
         new = [(not r.s, r.o, r.n, r.g) for r in won.join(pools, F.col("k.g") == F.col(group)).select(F.col("__s").alias("s"), "k.*").collect()]
-        if not new:
-            break
         picks += new
         gone = left.join(won.select(F.col("k.g").alias(group)), group).select(item).distinct()
         left = _cut(left.join(gone, item, "left_anti").select(left.columns))

@@ -3,6 +3,7 @@
 import html
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from epochal.operators import alerts, compare, graph, imports, matching
@@ -115,7 +116,10 @@ def test_alert_actions(spark):
     assert text.y == ["0", "1", "2", "3", "… 5 more"]
 
 
-def test_cover_plan_against_a_greedy_loop(spark):
+@pytest.mark.parametrize("collected", [50, 1_000_000])
+def test_cover_plan_against_a_greedy_loop(spark, monkeypatch, collected):
+    monkeypatch.setattr(graph, "COLLECTED", collected)
+
     def plain(sets, cost, pools):
         covered, out = set(), []
         for pool in pools:
