@@ -6,9 +6,13 @@ stretches, about one for each 17 bytes, and only stretches whose anchor occurs t
 
 1. Bloom filters of anchors seen once and twice, built by tasks; their size is bounded and the second one is broadcast.
 2. Stretches whose anchor may repeat are shuffled as digests by anchor: which are found in several documents, and in which first; which anchors have several.
-3. The bytes of stretches whose anchor has several (a second filter, of bounded size too, picks them) are sorted within their anchor as suffixes, to the right
-   and to the left of it, by merging runs with hashed comparisons; what neighbours have in common tells which strings are equal, and so each one's first document.
+3. Of stretches whose anchor has several, the bytes that the first document holds (a second filter, of bounded size too, picks them) are sorted within their
+   anchor as suffixes, to the right and to the left of it, by merging runs with hashed comparisons, checked against the bytes; what neighbours have in common
+   tells which strings are equal, and so each one's first document.
 4. Occurrences meet both answers; each document's removed bytes are gathered and applied to its text.
+
+Stretches are equal if two 64-bit hashes of them are (one of the anchor, one of the whole); strings of stretches that differ are compared by their bytes.
+Texts are read in steps of bounded size, however long they are: a stretch that two steps share is two shorter ones, which step 3 tells apart.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bloom
-from .common import Scratch, mix, powers, plain, prefix_hashes, range_hash, steps, table, text_buffer
+from .common import STEP, Scratch, mix, plain, powers, prefix_hashes, range_hash, steps, table, text_buffer
 
 LENGTH, GRAM = 50, 16
 #: Bits of the filters for each document and for each stretch, and the least and most (128 MB) bits.
@@ -30,55 +34,68 @@ BITS_PER_DOC, BITS_PER_STRETCH, LEAST_BITS, MOST_BITS = 1_500, 8, 1 << 22, 1 <<
 #: An anchor with more different stretches than this is split by its strings.
 HOT = 4_000
 LEAST_ID = -(2**63)
+#: A gram's place within its step, beside which its hash is compared; steps are shorter than this allows.
+PLACE_BITS = 21
 U = np.uint64
 
 
 class Stretches:
-    """Of one step of texts: by stretch its text, the place of its anchor, how many strings start before it there (left, at most) and which do."""
+    """Of one step of bytes: by stretch its text, the place of its anchor, and the first and last start of its strings (lo, hi).
+
+    off are the texts' bounds in buf; strings that start at `starts` or later belong to the next step.
+    """
 
-    def __init__(self, buf: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GRAM):
-        n, w = len(buf), length - gram + 1
+    def __init__(self, buf: np.ndarray, off: np.ndarray, starts: int | None = None, length: int = LENGTH, gram: int = GRAM):
+        w = length - gram + 1
         self.length = length
         e = np.zeros(0, np.int64)
         self.row, self.at, self.lo, self.hi = e, e, e, e
-        self.anchor, self.digest = np.zeros(0, U), np.zeros(0, U)
-        if n < length:
+        self.begin, self.anchor, self.digest = off, np.zeros(0, U), np.zeros(0, U)
+        n = min(len(buf) - length + 1, len(buf) if starts is None else starts)
+        if n <= 0:
             return
         h = prefix_hashes(buf)
-        at = np.arange(n - gram + 1)
-        g = range_hash(h, at, at + gram)
-        bits = n.bit_length()
-        low = U((1 << bits) - 1)
-        m = (g & ~low) | (low - at.astype(U))
+        _, inv = powers(len(h))
+        g = (h[gram:] - h[:-gram]) * inv[: len(h) - gram]
+        low = U((1 << PLACE_BITS) - 1)
+        m = (g ^ (g >> U(29))) * U(0xBF58476D1CE4E5B9)
+        m &= ~low
+        m |= low - np.arange(len(g), dtype=U)
         s = 1
         while 2 * s <= w:
             m = np.minimum(m[:-s], m[s:])
             s *= 2
-        m = np.minimum(m[: n - length + 1], m[w - s :][: n - length + 1])
-        at = (low - (m & low)).astype(np.int64)
-        row = np.searchsorted(off, np.arange(n - length + 1), side="right") - 1
-        start = np.nonzero(np.arange(n - length + 1) + length <= off[row + 1])[0]
-        if not len(start):
-            return
-        at, row = at[start], row[start]
-        new = np.nonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (row[1:] != row[:-1])]))[0]
-        self.row, self.at, self.lo = row[new], at[new], start[new]
-        self.hi = start[np.append(new[1:], len(start)) - 1]
-        self.anchor = g[self.at]
+        m = np.minimum(m[:n], m[w - s :][:n]) & low
+        row = np.repeat(np.arange(len(off) - 1), np.diff(off))[:n]
+        inside = np.arange(length, n + length) <= off[1:][row]
+        new = inside.copy()
+        new[1:] &= ~inside[:-1] | (m[1:] != m[:-1]) | (row[1:] != row[:-1])
+        last = inside.copy()
+        last[:-1] &= ~inside[1:] | new[1:]
+        self.lo, self.hi = np.nonzero(new)[0], np.nonzero(last)[0]
+        self.row, self.at = row[self.lo], (low - m[self.lo]).astype(np.int64)
+        self.anchor = mix(g[self.at] + U(gram))
         self.digest = mix(range_hash(h, self.lo, self.hi + length) + (self.at - self.lo).astype(U) * U(0x9E3779B97F4A7C15))
 
     def bytes(self, buf: np.ndarray, which: np.ndarray) -> pa.Array:
-        size = self.hi[which] + self.length - self.lo[which]
-        off = np.concatenate([[0], np.cumsum(size)])
-        at = np.repeat(self.lo[which] - off[:-1], size) + np.arange(off[-1])
-        return pa.Array.from_buffers(pa.binary(), len(which), [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(buf[at])])
+        return _slices(buf, self.lo[which], self.hi[which] + self.length)
+
 
+def _slices(buf: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.Array:
+    off = np.concatenate([[0], np.cumsum(hi - lo)])
+    at = np.repeat(lo - off[:-1], hi - lo) + np.arange(off[-1])
+    return pa.Array.from_buffers(pa.binary(), len(lo), [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(buf[at])])
 
-def _stretches(batch: pa.RecordBatch, at: int):
+
+def _stretches(batch: pa.RecordBatch, at: int, size: int | None = None, length: int = LENGTH):
+    """(first row, its bytes that came in earlier steps, bytes, stretches) by step; each string belongs to the step that it starts in."""
     buf, off = text_buffer(batch.column(at))
-    for a, b in steps(off):
-        part = buf[off[a] : off[b]]
-        yield a, part, Stretches(part, off[a : b + 1] - off[a])
+    size = size or STEP
+    for a in range(0, len(buf), size):
+        b = min(a + size + length - 1, len(buf))
+        i, j = int(np.searchsorted(off, a, side="right")) - 1, int(np.searchsorted(off, b, side="left"))
+        part = np.clip(off[i : j + 1], a, b) - a
+        yield i, a - int(off[i]), buf[a:b], Stretches(buf[a:b], part, size, length)
 
 
 def _bit(x: np.ndarray, bits: int) -> np.ndarray:
@@ -99,9 +116,12 @@ class Suffixes:
         self.raw, self.start, self.size, self.group = raw, start, size, group
         self.h = prefix_hashes(raw)
         self.most = most
+        self.by_bytes = False
 
     def common(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Length of the longest common prefix of strings x and y: log2(most) comparisons of hashes."""
+        """Length of the longest common prefix of strings x and y: log2(most) comparisons of hashes (of the bytes, once a hash was found to lie)."""
+        if self.by_bytes:
+            return self.shared_bytes(x, y)
         lo, hi = np.zeros(len(x), np.int64), np.minimum(self.size[x], self.size[y])
         a, b = self.start[x], self.start[y]
         _, inv = powers(len(self.h))
@@ -113,6 +133,18 @@ class Suffixes:
             hi = np.where(same, hi, np.maximum(mid - 1, lo))
         return lo
 
+    def shared_bytes(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """As common, from the bytes themselves."""
+        out = np.empty(len(x), np.int64)
+        col, top = np.arange(self.most), len(self.raw) - 1
+        for a in range(0, len(x), 1 << 16):
+            p, q = x[a : a + (1 << 16)], y[a : a + (1 << 16)]
+            bp, bq = (self.raw[np.minimum(self.start[z][:, None] + col, top)] for z in (p, q))
+            short = np.minimum(self.size[p], self.size[q])
+            differ = (bp != bq) | (col >= short[:, None])
+            out[a : a + (1 << 16)] = np.minimum(np.where(differ.any(axis=1), differ.argmax(axis=1), self.most), short)
+        return out
+
     def less(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """x before y: by the byte after what they share; the shorter first; equal ones by number."""
         n = self.common(x, y)
@@ -160,16 +192,10 @@ class Suffixes:
         if len(inner):
             x, y = order[inner - 1], order[inner]
             lcp[inner] = self.common(x, y)
-            # verification: the hashes' word is taken only where the bytes agree, and differ right after
-            col = np.arange(self.most)
-            top = len(self.raw) - 1
-            bx, by = (self.raw[np.minimum(self.start[z][:, None] + col, top)] for z in (x, y))
-            short = np.minimum(self.size[x], self.size[y])
-            differ = (bx != by) | (col >= short[:, None])
-            true = np.where(differ.any(axis=1), differ.argmax(axis=1), self.most)
-            true = np.minimum(true, short)
-            if (true != lcp[inner]).any():
-                raise ArithmeticError("two different strings have one hash; choose another base in common.prefix_hashes")
+            # verification: where the bytes say otherwise, two strings have one hash, and the sort is made again by bytes
+            if not self.by_bytes and not ((lcp[inner] == self.shared_bytes(x, y)) & self.less(x, y)).all():
+                self.by_bytes = True
+                return self.sort()
         return order, lcp
 
 
@@ -214,7 +240,7 @@ def _anchor_notes(texts: DataFrame, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = []
         for b in batches:
-            for _, _, s in _stretches(b, 0):
+            for _, _, _, s in _stretches(b, 0):
                 seen.append(_bit(s.anchor, bits).astype(np.uint32))
         yield from bloom.notes(seen, bits)
 
@@ -229,7 +255,7 @@ def _digests(rows: DataFrame, twice, bits: int) -> DataFrame:
         for b in batches:
             ids = np.asarray(b.column(0))
             out = []
-            for first, _, s in _stretches(b, 1):
+            for first, _, _, s in _stretches(b, 1):
                 hit = bloom.holds(have, _bit(s.anchor, bits))
                 out.append((s.anchor[hit], s.digest[hit], ids[first + s.row[hit]]))
             g, d, i = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.int64))
@@ -280,41 +306,45 @@ def _shared(digests: DataFrame) -> DataFrame:
     return digests.repartition("anchor").sortWithinPartitions("anchor", "digest", "doc_id").mapInArrow(run, "anchor long, digest long, first long, many boolean, several boolean")
 
 
-def _key_bit(anchor: np.ndarray, digest: np.ndarray, bits: int) -> np.ndarray:
-    return _bit(mix(anchor.view(U)) + digest.view(U), bits)
+def _key_bit(anchor: np.ndarray, digest: np.ndarray, doc: np.ndarray, bits: int) -> np.ndarray:
+    return _bit(mix(mix(anchor.view(U)) + digest.view(U)) + doc.view(U), bits)
 
 
-def _masks(rows: DataFrame, wanted, bits: int, hot) -> DataFrame:
-    """(anchor, digest, doc_id, mask): for stretches of anchors with several, which of their strings a smaller document holds too."""
+def _masks(rows: DataFrame, wanted, bits: int, hot, hot_bits: int) -> DataFrame:
+    """(anchor, digest, doc_id, mask): for stretches of anchors with several, which of their strings a smaller document holds too.
+
+    Stretches are looked for where their first document holds them; what the filters let through besides changes nothing.
+    """
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = np.frombuffer(wanted.value, dtype=np.uint8)
-        split = np.array(hot.value, dtype=np.int64)
-        names = ["key", "anchor", "digest", "doc_id", "left", "string", "raw"]
+        have, split = np.frombuffer(wanted.value, dtype=np.uint8), np.frombuffer(hot.value, dtype=np.uint8)
+        names = ["key", "anchor", "digest", "doc_id", "left", "raw"]
+
+        def out(key, s, one, doc, back, lo, hi, buf):
+            for a in range(0, len(one), 1 << 20):
+                p = slice(a, a + (1 << 20))
+                yield pa.record_batch([_i64(key[p]), _i64(s.anchor[one[p]]), _i64(s.digest[one[p]]), _i64(doc[p]), pa.array(back[p].astype(np.int32)), _slices(buf, lo[p], hi[p])], names=names)
+
         for b in batches:
             ids = np.asarray(b.column(0))
-            for first, buf, s in _stretches(b, 1):
-                hit = np.nonzero(bloom.holds(have, _key_bit(s.anchor, s.digest, bits)))[0]
-                doc = ids[first + s.row[hit]]
-                by = np.lexsort((doc, s.digest[hit], s.anchor[hit]))
-                hit, doc = hit[by], doc[by]
+            for first, _, buf, s in _stretches(b, 1):
+                doc = ids[first + s.row]
+                hit = np.nonzero(bloom.holds(have, _key_bit(s.anchor, s.digest, doc, bits)))[0]
+                hit = hit[np.lexsort((doc[hit], s.digest[hit], s.anchor[hit]))]
                 new = np.ones(len(hit), bool)
                 new[1:] = (s.anchor[hit[1:]] != s.anchor[hit[:-1]]) | (s.digest[hit[1:]] != s.digest[hit[:-1]])
-                hit, doc = hit[new], doc[new]
-                often = np.isin(s.anchor[hit].view(np.int64), split)
+                hit = hit[new]
+                often = bloom.holds(split, _bit(s.anchor[hit], hot_bits))
                 one = hit[~often]
-                yield pa.record_batch([_i64(s.anchor[one]), _i64(s.anchor[one]), _i64(s.digest[one]), _i64(doc[~often]), pa.array((s.at - s.lo)[one], pa.int64()), pa.array(np.full(len(one), -1), pa.int64()), s.bytes(buf, one)], names=names)
+                yield from out(s.anchor[one], s, one, doc[one], (s.at - s.lo)[one], s.lo[one], s.hi[one] + s.length, buf)
                 if often.any():  # a string each, keyed by its own hash
-                    one, d = hit[often], doc[often]
+                    one = hit[often]
                     n = s.hi[one] - s.lo[one] + 1
-                    of = np.repeat(np.arange(len(one)), n)
+                    of = np.repeat(one, n)
                     at = np.repeat(s.lo[one] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                    part = Stretches(np.zeros(0, np.uint8), np.zeros(1, np.int64))
-                    part.lo = part.hi = at
-                    part.length = s.length
-                    back = s.at[one][of] - at
+                    back = s.at[of] - at
                     key = mix(range_hash(prefix_hashes(buf), at, at + s.length) + back.astype(U))
-                    yield pa.record_batch([_i64(key), _i64(s.anchor[one][of]), _i64(s.digest[one][of]), _i64(d[of]), pa.array(back, pa.int64()), pa.array(back, pa.int64()), part.bytes(buf, np.arange(len(at)))], names=names)
+                    yield from out(key, s, of, doc[of], back, at, at + s.length, buf)
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.RecordBatch | None = None
@@ -323,11 +353,11 @@ def _masks(rows: DataFrame, wanted, bits: int, hot) -> DataFrame:
             if held is not None:
                 known = len(held)
                 b = pa.concat_batches([held, b])
-            raw = b.column(6)
+            raw = b.column(5)
             off = np.frombuffer(raw.buffers()[1], dtype=np.int32)[raw.offset : raw.offset + len(raw) + 1].astype(np.int64)
             buf = np.frombuffer(raw.buffers()[2], dtype=np.uint8)[off[0] : off[-1]] if len(raw) else np.zeros(0, np.uint8)
             key, doc = np.asarray(b.column(0)), np.asarray(b.column(3))
-            mask, fresh = first_holders(buf, off[:-1] - off[0], np.diff(off), np.asarray(b.column(4)), key, doc)
+            mask, fresh = first_holders(buf, off[:-1] - off[0], np.diff(off), np.asarray(b.column(4)).astype(np.int64), key, doc)
             told = np.nonzero((mask != 0) & (np.arange(len(key)) >= known))[0]
             if len(told):
                 yield pa.record_batch([b.column(1).take(pa.array(told)), b.column(2).take(pa.array(told)), b.column(3).take(pa.array(told)), pa.array(mask[told])], names=["anchor", "digest", "doc_id", "mask"])
@@ -335,7 +365,7 @@ def _masks(rows: DataFrame, wanted, bits: int, hot) -> DataFrame:
             held = b.take(pa.array(np.nonzero(fresh & (key == key[-1]))[0])) if len(key) else None
             known = 0
 
-    schema = "key long, anchor long, digest long, doc_id long, left long, string long, raw binary"
+    schema = "key long, anchor long, digest long, doc_id long, left int, raw binary"
     found = rows.select("doc_id", "text").mapInArrow(pick, schema).repartition("key").sortWithinPartitions("key", "doc_id")
     return found.mapInArrow(sort, "anchor long, digest long, doc_id long, mask long").groupBy("anchor", "digest", "doc_id").agg(F.bit_or("mask").alias("mask"))
 
@@ -347,12 +377,11 @@ def _occurrences(rows: DataFrame, twice, bits: int) -> DataFrame:
         have = np.frombuffer(twice.value, dtype=np.uint8)
         for b in batches:
             ids, keys = np.asarray(b.column(0)), np.asarray(b.column(2))
-            _, off = text_buffer(b.column(1))
-            for first, _, s in _stretches(b, 1):
+            for first, before, _, s in _stretches(b, 1):
                 i = np.nonzero(bloom.holds(have, _bit(s.anchor, bits)))[0]
                 row = first + s.row[i]
                 full = (np.int64(1) << (s.at - s.lo + 1)[i]) - (np.int64(1) << (s.at - s.hi)[i])
-                at = s.at[i] + off[first] - off[row]
+                at = s.at[i] - s.begin[s.row[i]] + np.where(s.row[i] == 0, before, 0)
                 yield pa.record_batch([_i64(s.anchor[i]), _i64(s.digest[i]), _i64(ids[row]), _i64(keys[row]), pa.array(at.astype(np.int32)), pa.array(full)], names=["anchor", "digest", "doc_id", "text_key", "at", "full"])
 
     return rows.select("doc_id", "text", "text_key").mapInArrow(run, "anchor long, digest long, doc_id long, text_key long, at int, full long")
@@ -370,13 +399,19 @@ def removal_lists(docs: DataFrame, scratch: Scratch) -> DataFrame:
     several = shared.where("several")
     own = bloom.bits_for(several.count(), BITS_PER_STRETCH, LEAST_BITS, MOST_BITS)
 
-    def note(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = [_key_bit(np.asarray(b.column(0)), np.asarray(b.column(1)), own).astype(np.uint32) for b in batches]
-        yield from bloom.notes([np.repeat(x, 2) for x in seen], own)  # noted twice, so that one filter holds all of them
+    def filled(keys: DataFrame, place, bits: int):
+        """A filter of all keys: each is noted twice."""
+
+        def note(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen = [place(*(np.asarray(c) for c in b.columns), bits).astype(np.uint32) for b in batches]
+            yield from bloom.notes([np.repeat(x, 2) for x in seen], bits)
 
-    wanted = share(bloom.twice_seen(several.select("anchor", "digest").mapInArrow(note, bloom.NOTES), own))
-    hot = share([r.anchor for r in several.groupBy("anchor").count().where(F.col("count") > HOT).select("anchor").collect()])  # at most one for each HOT stretches
-    masks = scratch.write(_masks(rows, wanted, own, hot))
+        return share(bloom.twice_seen(keys.mapInArrow(note, bloom.NOTES), bits))
+
+    wanted = filled(several.select("anchor", "digest", "first"), _key_bit, own)
+    # a filter too: an anchor that is split without need gives the same answer
+    hot = filled(several.groupBy("anchor").count().where(F.col("count") > HOT).select("anchor"), lambda a, bits: _bit(a.view(U), bits), LEAST_BITS)
+    masks = scratch.write(_masks(rows, wanted, own, hot, LEAST_BITS))
     scratch.free()
     known = shared.join(masks.withColumnRenamed("doc_id", "first"), ["anchor", "digest", "first"], "left").where("many or mask is not null").select("anchor", "digest", "first", F.coalesce("mask", F.lit(0)).alias("mask"))
     known = scratch.write(known)
@@ -391,6 +426,27 @@ def removal_lists(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return lists
 
 
+def without(buf: np.ndarray, off: np.ndarray, row: np.ndarray, at: np.ndarray, mask: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(bytes that stay, number of those that go, number of their runs) of texts in buf from the strings to remove: bits of mask, by how far they start before `at`."""
+    n = len(buf)
+    on = np.zeros(n + 1, dtype=np.int64)
+    for k in range(0, len(at), 1 << 18):
+        p = slice(k, k + (1 << 18))
+        bits = np.unpackbits(np.ascontiguousarray(mask[p]).astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")[:, : LENGTH - GRAM + 1]
+        which, back = np.nonzero(bits)
+        start = (off[row[p]] + at[p])[which] - back
+        on += np.bincount(start, minlength=n + 1)
+        on -= np.bincount(start + LENGTH, minlength=n + 1)
+    gone = np.cumsum(on[:n]) > 0
+    fresh = gone.copy()
+    first = np.zeros(n + 1, bool)
+    first[off] = True
+    fresh[1:] &= ~gone[:-1] | first[1:n]
+    count = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[off])
+    stay = np.concatenate([[0], np.cumsum(~gone)])[off].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(off) - 1, [None, pa.py_buffer(stay), pa.py_buffer(buf[~gone])]), count(gone), count(fresh)
+
+
 def substring_dedup(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """docs (doc_id, text, further columns) with __kept, the bytes that stay, __n_bytes, __n_removed and __n_spans.
 
@@ -410,27 +466,15 @@ def substring_dedup(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kept, size, lost, spans = [], [], [], []
+            buf, off = text_buffer(b.column(at))
             cuts = b.column(len(names))
-            for t, c in zip(b.column(at).cast(pa.large_binary()), cuts):
-                raw = t.as_py() or b""
-                size.append(len(raw))
-                if not c.is_valid:
-                    kept.append(raw), lost.append(0), spans.append(0)
-                    continue
-                x = c.values
-                place, mask = np.asarray(x.field("at")).astype(np.int64), np.asarray(x.field("mask"))
-                on = np.zeros(len(raw) + 1, dtype=np.int32)
-                for a in range(LENGTH - GRAM + 1):
-                    start = place[(mask >> a) & 1 == 1] - a
-                    np.add.at(on, start, 1)
-                    np.add.at(on, start + LENGTH, -1)
-                gone = np.cumsum(on)[: len(raw)] > 0
-                kept.append(np.frombuffer(raw, dtype=np.uint8)[~gone].tobytes())
-                lost.append(int(gone.sum()))
-                spans.append(int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()))
-            cols = [*b.columns[: len(names)], pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (size, lost, spans))]
-            yield pa.record_batch(cols, names=[f"c{i}" for i in range(len(cols))])
+            for i, j in steps(off, 4 * STEP):
+                c = cuts.slice(i, j - i)
+                x = c.flatten()
+                row = np.repeat(np.arange(j - i), np.nan_to_num(c.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64))
+                kept, lost, spans = without(buf[off[i] : off[j]], off[i : j + 1] - off[i], row, np.asarray(x.field("at")), np.asarray(x.field("mask")))
+                cols = [*(v.slice(i, j - i) for v in b.columns[: len(names)]), kept, *(pa.array(v, pa.int64()) for v in (np.diff(off[i : j + 1]), lost, spans))]
+                yield pa.record_batch(cols, names=[f"c{k}" for k in range(len(cols))])
 
     safe = rows.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate([*names, "__cuts"])])
     return safe.mapInArrow(run, T.StructType(fields)).toDF(*names, "__kept", "__n_bytes", "__n_removed", "__n_spans")
@@ -440,3 +484,17 @@ def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its bytes, how many go, in how many runs, and the SHA-256 of the rest."""
     out = substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark))
     return out.select("doc_id", F.col("__n_bytes").alias("n_bytes"), F.col("__n_removed").alias("n_removed"), F.col("__n_spans").alias("n_spans"), F.sha2("__kept", 256).alias("kept_sha256"))
+
+
+# texts as hexadecimal digits, two a byte; cut into pieces first, so that a string is found in a short text
+SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT doc_id, i, substr(h, 2 * i + 1, 2098) AS piece FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2, 1000)) AS i FROM d)),
+s AS (SELECT doc_id, i + j AS p, substr(piece, 2 * j + 1, 100) AS string FROM (SELECT doc_id, i, piece, unnest(range(0, least(length(piece) // 2 - 49, 1000))) AS j FROM c)),
+o AS (SELECT string, min(doc_id) AS first FROM s GROUP BY string HAVING count(*) > 1),
+r AS (SELECT s.doc_id, p, CASE WHEN p <= lag(p) OVER w + 50 THEN 0 ELSE 1 END AS fresh FROM s JOIN o USING (string) WHERE first < s.doc_id WINDOW w AS (PARTITION BY s.doc_id ORDER BY p)),
+g AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM r) GROUP BY doc_id, k),
+e AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM (SELECT * FROM g UNION ALL SELECT doc_id, length(h) // 2, length(h) // 2 FROM d)),
+k AS (SELECT doc_id, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a, b) AS kept, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) - 1 AS n_spans FROM e JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, n_removed, n_spans, sha256(unhex(kept)) AS kept_sha256 FROM k JOIN d USING (doc_id)
+"""

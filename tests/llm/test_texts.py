@@ -80,9 +80,29 @@ def test_hot_anchors_are_split_with_the_same_result(spark, docs, write, monkeypa
     assert got == {k: v[1] for k, v in want.items()}
 
 
+@pytest.mark.parametrize("step", [64, 700])
+def test_texts_longer_than_a_step_lose_the_same_bytes(spark, docs, write, monkeypatch, step):
+    monkeypatch.setattr(substrings, "STEP", step)
+    want = brute_substrings([(r.doc_id, r.text.encode()) for r in docs.collect()])
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.op1_substrings(spark, write(documents=docs)).collect()}
+    assert got == want
+
+
+def test_equal_hashes_of_different_strings_are_told_apart_by_bytes(monkeypatch):
+    """With prefix hashes that see three bits of each byte, suffixes collide all the time."""
+    whole = substrings.Suffixes.__init__
+
+    def blurred(self, raw, *rest):
+        whole(self, raw, *rest)
+        self.h = common.prefix_hashes(raw & 0xE7)
+
+    monkeypatch.setattr(substrings.Suffixes, "__init__", blurred)
+    test_suffix_sort_orders_and_measures()
+
+
 def test_suffix_sort_orders_and_measures():
     rng = random.Random(1)
-    texts = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(1, 50))) for _ in range(300)]
+    texts = [bytes(rng.choice(b"abi") for _ in range(rng.randrange(1, 50))) for _ in range(300)]
     group = np.array([rng.randrange(7) for _ in texts])
     size = np.array([len(t) for t in texts])
     start = np.concatenate([[0], np.cumsum(size)[:-1]])
