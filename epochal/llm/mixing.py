@@ -12,6 +12,8 @@ WEIGHTS = (5, 2, 1)
 SHARE = (3, 2)
 CAP = 2
 SEED = "mix-1"
+#: Parts that a source's documents are dealt into by hash, for their draws.
+PARTS = 4096
 
 
 def size_of(text: str) -> Column:
@@ -50,24 +52,49 @@ def source_targets(sized: DataFrame) -> DataFrame:
     return src.select("source", "source_size", F.when(F.col("open"), level).otherwise(F.col("cap").cast("double")).alias("target"))
 
 
+def hash_bits(value: Column, digits: int) -> Column:
+    """The first hexadecimal digits of md5(seed:value), as a number."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(value.cast("string"), F.lit("null"))).cast("binary")), 1, digits), 16, 10).cast("long")
+
+
+def with_draws(parts: DataFrame, targets: DataFrame) -> DataFrame:
+    """targets with floor(rate) and the circular run [draw_from, draw_to) of parts whose documents are taken once more.
+
+    parts has the words of each (source, part). Lay the parts of a source, in order of hash, round a circle as long as its words; from a place that the seed
+    chooses, from the next part's edge on, take as much of it as the rate's fraction: the parts whose middles lie there. Each document is so taken with the
+    fraction's probability, and a source's taken words miss its target by half of one part's words at most (a document's, in a source of some thousands).
+    """
+    own = Window.partitionBy("__key")
+    before = F.coalesce(F.sum("words").over(own.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("double")
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size").cast("double")).otherwise(F.lit(0.0))
+    side = targets.select(F.struct("source").alias("__key"), "source_size", "target", F.floor(rate).alias("times"), (rate - F.floor(rate)).alias("fraction"), hash_bits(F.col("source"), 8).alias("start"))
+    whole = F.col("source_size").cast("double")
+    rows = parts.withColumn("before", before).withColumn("middle", F.col("before") + F.col("words") / 2).join(side, "__key")
+    chosen = F.col("middle") >= F.floor(F.col("start") / F.lit(4294967296.0) * whole)
+    rows = rows.withColumn("begin", F.coalesce(F.min(F.when(chosen, F.col("before"))).over(own), whole))
+    end = F.col("begin") + F.col("fraction") * whole
+    first = lambda x: F.coalesce(F.min(F.when(x, F.col("part"))), F.lit(PARTS))
+    stop = F.col("middle") >= F.when(end > whole, end - whole).otherwise(end)
+    return rows.groupBy("__key", "source_size", "target", "times").agg(first(chosen).alias("draw_from"), first(stop).alias("draw_to"), F.first(end > whole).alias("round"))
+
+
 def with_copies(docs: DataFrame, scratch: Scratch, text: str = "text") -> DataFrame:
-    """docs with __size, __source_size, __target and __copies: floor(rate) of them, and one more with the fraction's probability.
+    """docs with __size, __source_size, __target and __copies: floor(rate) of them, and one more with the fraction's probability (see with_draws).
 
-    The draw is the first 32 bits of md5(seed:doc_id), so reruns agree. Rows that repeat a doc_id are each taken alike. Null and empty texts have size 0 and
-    are taken by their source's rate as well; a source whose texts are all empty has rate 0.
+    Draws hang on md5(seed:doc_id) and md5(seed:source), so reruns agree. Rows that repeat a doc_id are each taken alike. Null and empty texts have size 0 and
+    are taken by their source's rate as well; a source whose texts are all empty has rate 0. Input columns whose names start with two underscores are left behind.
     """
-    sized = plain(docs).withColumn("__size", size_of(text))
-    targets = scratch.write(source_targets(sized.select("source", F.col("__size").alias("size"))))
-    side = targets.select(F.struct("source").alias("__key"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"))
-    sized = sized.withColumn("__key", F.struct("source"))
+    sized = plain(docs).withColumns({"__size": size_of(text), "__part": hash_bits(F.col("doc_id"), 3), "__key": F.struct("source")})
+    parts = scratch.write(sized.groupBy("__key", F.col("__part").alias("part")).agg(F.sum("__size").alias("words")))  # at most PARTS rows a source
+    targets = scratch.write(source_targets(parts.select("__key.source", F.col("words").alias("size"))))
+    side = scratch.write(with_draws(parts, targets)).withColumnsRenamed({"source_size": "__source_size", "target": "__target", "times": "__times", "draw_from": "__from", "draw_to": "__to", "round": "__round"})
     if side.count() <= BROADCAST_IDS // 10:
         out = sized.join(F.broadcast(side), "__key", "left")
     else:
         out = salted_left_join(sized, side, ["__key"], ["doc_id"])
-    rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size").cast("double")).otherwise(F.lit(0.0))
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")), 1, 8), 16, 10).cast("double")
-    extra = (draw < (rate - F.floor(rate)) * F.lit(4294967296.0)).cast("long")
-    return out.drop("__key").withColumn("__copies", F.floor(rate) + extra)
+    after, before = F.col("__part") >= F.col("__from"), F.col("__part") < F.col("__to")
+    extra = F.when(F.col("__round"), after | before).otherwise(after & before).cast("long")
+    return out.withColumn("__copies", F.col("__times") + extra).drop("__key", "__part", "__times", "__from", "__to", "__round")
 
 
 def mix_documents(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -93,8 +120,12 @@ r AS (SELECT *, sum(source_size) OVER () * 3 - 2 * coalesce(sum(cap) OVER (ORDER
 f AS (SELECT *, 2 * cap * remaining > weight * rest AS open FROM r),
 a AS (SELECT rest, remaining FROM f WHERE open ORDER BY n LIMIT 1),
 t AS (SELECT f.source, f.source_size, CASE WHEN open THEN CAST(weight AS DOUBLE) * CAST(a.rest AS DOUBLE) / (2.0::DOUBLE * CAST(a.remaining AS DOUBLE)) ELSE CAST(cap AS DOUBLE) END AS target FROM f LEFT JOIN a ON true),
-m AS (SELECT d.doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / CAST(source_size AS DOUBLE) ELSE 0.0::DOUBLE END AS rate,
-  CAST(CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null')), 1, 8) AS BIGINT) AS DOUBLE) AS draw
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, CAST((floor(rate) + CASE WHEN draw < (rate - floor(rate)) * 4294967296.0::DOUBLE THEN 1 ELSE 0 END) AS BIGINT) * size AS taken FROM m
+f2 AS (SELECT *, CASE WHEN source_size > 0 THEN target / CAST(source_size AS DOUBLE) ELSE 0.0::DOUBLE END AS rate,
+  floor(CAST(CAST('0x' || substr(md5('mix-1:' || coalesce(source, 'null')), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0::DOUBLE * source_size) AS start FROM t),
+h AS (SELECT *, CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 3) AS BIGINT) AS part FROM d),
+p AS (SELECT source, part, sum(sum(size)) OVER (PARTITION BY source ORDER BY part) - sum(size) / 2.0::DOUBLE AS middle, sum(sum(size)) OVER (PARTITION BY source ORDER BY part) - sum(size) AS edge FROM h GROUP BY source, part),
+b AS (SELECT f2.*, coalesce((SELECT min(edge) FROM p WHERE p.source IS NOT DISTINCT FROM f2.source AND middle >= start), source_size) AS begin FROM f2),
+m AS (SELECT h.doc_id, size, source_size, target, rate, (middle - begin + CASE WHEN middle < begin THEN source_size ELSE 0 END) < (rate - floor(rate)) * source_size AS more
+  FROM h JOIN b ON h.source IS NOT DISTINCT FROM b.source JOIN p ON h.source IS NOT DISTINCT FROM p.source AND h.part = p.part)
+SELECT doc_id, size, source_size, target, CAST(floor(rate) + CASE WHEN more THEN 1 ELSE 0 END AS BIGINT) * size AS taken FROM m
 """
