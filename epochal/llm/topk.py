@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,17 +11,17 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Rows and queries of a block; blocks bound the memory of a task, and every query block meets every row block.
-ROWS, QUERIES = 16_384, 2_048
+#: Bytes of vectors in a block of rows and of queries, and rows at most; blocks bound the memory of a task, and every query block meets every row block.
+ROW_BYTES, QUERY_BYTES, ROWS, QUERIES = 64 << 20, 32 << 20, 65_536, 16_384
 #: Query rows scored at a time: a dense score array of ROUND by ROWS numbers.
-ROUND = 256
-SCORES = "query_id long, query_key long, vec_id long, score long"
+ROUND = 64
+SCORES = "query_id long, query_key long, vec_id long, score long, over string"
 
 
 def usable(vectors: DataFrame, vec: str = "embedding") -> DataFrame:
     """Rows whose vector is there and has finite components only, in doubles."""
     x = F.transform(F.col(vec), lambda v: v.cast("double"))
-    bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v * 1024) == F.lit(float("inf"))))
+    bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == F.lit(float("inf"))))
     return vectors.where(F.col(vec).isNotNull()).where(~F.coalesce(bad, F.lit(False)))
 
 
@@ -28,14 +30,26 @@ def _postings(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
     lengths = np.diff(np.asarray(col.offsets))
-    x = np.floor(np.asarray(col.flatten().cast(pa.float64())) * 1024)
+    x = np.asarray(col.flatten().cast(pa.float64()))
     row = np.repeat(np.arange(len(lengths)), lengths)
     term = np.arange(len(x)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    there = x != 0
-    x = x[there]
-    big = len(x) and np.abs(x).max() >= 2.0**53
-    weight = np.array([int(v) for v in x], dtype=object) if big else x.astype(np.int64)
-    return term[there], row[there], weight
+    if len(x) and np.abs(x).max() >= 2.0**43:
+        weight = np.array([int(v) * 1024 if abs(v) >= 2.0**43 else math.floor(v * 1024) for v in x.tolist()], dtype=object)
+    else:
+        weight = np.floor(x * 1024).astype(np.int64)
+    there = weight != 0
+    return term[there], row[there], weight[there]
+
+
+def beyond(score: int) -> str:
+    """Text by which scores order that 64 bits can't hold, and 1 for all others: more digits or higher ones rank later if positive, earlier if negative."""
+    if -(2**63) <= score < 2**63:
+        return "1"
+    size, digits = f"{len(hex(abs(score))):04d}", hex(abs(score))[2:]
+    if score > 0:
+        return f"2{size}{digits}"
+    turned = str.maketrans("0123456789abcdef", "fedcba9876543210")
+    return "0" + "".join(str(9 - int(c)) for c in size) + digits.translate(turned) + "g"
 
 
 def _safe(q: np.ndarray, c: np.ndarray, terms: int) -> bool:
@@ -97,9 +111,9 @@ def score_block(queries: pa.Table, rows: pa.Table, k: int) -> pa.Table:
                     above = found[v > least]
                     found = np.concatenate([above, found[v == least][: k - len(above)]])
             for i in found:
-                out.append((int(qid[a + q]), int(qkey[a + q]), int(ids[i]), max(min(int(s[i]), 2**63 - 1), -(2**63))))
-    cols = list(zip(*out)) if out else [[], [], [], []]
-    return pa.table([pa.array(c, pa.int64()) for c in cols], names=["query_id", "query_key", "vec_id", "score"])
+                out.append((int(qid[a + q]), int(qkey[a + q]), int(ids[i]), max(min(int(s[i]), 2**63 - 1), -(2**63)), beyond(int(s[i]))))
+    cols = list(zip(*out)) if out else [[]] * 5
+    return pa.table([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.string())], names=["query_id", "query_key", "vec_id", "score", "over"])
 
 
 def top_k(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
@@ -107,22 +121,25 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
 
     Components count as floor(1024 * x). Vectors that are null or hold null or non-finite components take no part; one shorter than another lacks its last
     terms; an empty one scores 0. Rows with a null vec_id take no part. Rows that repeat a query's vec_id are the query's own; equal query rows are one query,
-    different ones with one vec_id are merged under that id. Scores beyond 64 bits stop at their limits.
+    different ones with one vec_id are merged under that id. Scores beyond 64 bits are ranked by their whole value and shown as the nearest long.
 
-    Rows and queries are dealt into blocks by hash; a grid of block pairs shares the work, so a task holds one block of each. The blocks' winners are few
-    (k for each query and block) and are merged by a window over each query, of which Spark keeps k rows a task before the shuffle.
+    Rows and queries are dealt into blocks by hash, as large as a task's memory allows; a grid of block pairs shares the work, so that n rows move once for
+    each QUERY_BYTES of queries and queries once for each ROW_BYTES of rows. The blocks' winners are few (k for each query and block) and are merged by a
+    window over each query, of which Spark keeps k rows a task before the shuffle.
     """
     rows = usable(vectors).where("vec_id is not null").select(F.col("vec_id").cast("long"), F.transform("embedding", lambda v: v.cast("double")).alias("embedding"))
-    counts = rows.agg(F.count("*").alias("n"), F.count(F.when(F.col("vec_id") % every == 0, 1)).alias("q")).first()
+    wide = F.size("embedding").cast("long") * 8
+    query = F.col("vec_id") % every == 0
+    c = rows.agg(F.count("*").alias("n"), F.count(F.when(query, 1)).alias("q"), F.coalesce(F.sum(wide), F.lit(0)).alias("rb"), F.coalesce(F.sum(F.when(query, wide)), F.lit(0)).alias("qb")).first()
     parallel = vectors.sparkSession.sparkContext.defaultParallelism * 2
-    nr = max(-(-counts["n"] // ROWS), min(parallel, -(-counts["n"] // 512)), 1)
-    nq = max(-(-counts["q"] // QUERIES), 1)
+    nr = max(-(-c["n"] // ROWS), -(-c["rb"] // ROW_BYTES), min(parallel, -(-c["n"] // 512)), 1)
+    nq = max(-(-c["q"] // QUERIES), -(-c["qb"] // QUERY_BYTES), 1)
     key = F.xxhash64("vec_id", "embedding")
     queries = rows.where(F.col("vec_id") % every == 0).withColumn("query_key", key).dropDuplicates(["vec_id", "query_key"])
     queries = queries.withColumn("qb", F.pmod(F.hash("query_key"), F.lit(nq))).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(nr - 1))))
     rows = rows.withColumn("rb", F.pmod(F.hash("vec_id", F.monotonically_increasing_id()), F.lit(nr))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
     best = queries.groupBy("rb", "qb").cogroup(rows.groupBy("rb", "qb")).applyInArrow(lambda q, r: score_block(q, r, k), SCORES)
-    w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id", "query_key")
+    w = Window.partitionBy("query_id").orderBy(F.col("over").desc(), F.col("score").desc(), "vec_id", "query_key")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
