@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,12 +32,12 @@ RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|$)", re.I) for name in RAW}
 
 
 class Node:
-    __slots__ = ("name", "parent", "children", "marks", "score", "text", "linked", "bad")
+    __slots__ = ("name", "parent", "children", "marks", "score", "text", "chars", "commas", "linked", "own", "bad")
 
     def __init__(self, name: str, parent: Node | None, marks: str = "", bad: bool = False):
         self.name, self.parent, self.marks, self.bad = name, parent, marks, bad
         self.children: list[Node | str] = []
-        self.score, self.text, self.linked = 0.0, 0, 0
+        self.score, self.own, self.text, self.chars, self.commas, self.linked = 0.0, 0.0, 0, 0, 0, 0
 
 
 def parse(source: str) -> Node:
@@ -44,6 +45,7 @@ def parse(source: str) -> Node:
     root = Node("html", None)
     at, node = 0, root
     size = len(source)
+    opened: Counter = Counter()  # how many elements of a name were ever opened: an end tag without one is skipped at once
     while at < size:
         lt = source.find("<", at)
         if lt < 0:
@@ -63,7 +65,7 @@ def parse(source: str) -> Node:
             continue
         name = m[2].lower()
         if m[1]:
-            x = node
+            x = node if opened[name] else None
             while x is not None and x.name != name:
                 if x.name in ("td", "th", "table") and name not in ("td", "th", "tr", "tbody", "thead", "tfoot", "table") and name in BLOCK | {"p"}:
                     x = None  # an end tag from outside doesn't close a cell
@@ -96,14 +98,15 @@ def parse(source: str) -> Node:
             if end:
                 at = source.find(">", end.start()) + 1 or size
             new.bad = True
-        elif name not in VOID and not m[3].endswith("/") or name in BLOCK:
+        elif name not in VOID and (name in BLOCK or not m[3].endswith("/")):
             node = new
+            opened[name] += 1
     return root
 
 
-def _measure(node: Node, in_link: bool) -> None:
-    """Characters of text and of linked text below each node, without what is dropped. Nodes come in page order, so a list read backwards is bottom-up."""
-    order, stack = [], [(node, in_link)]
+def _measure(root: Node) -> list[Node]:
+    """Nodes in an order in which ancestors come first, without what is dropped; of each, the characters, commas and linked characters of the text below it."""
+    order, stack = [], [(root, False)]
     while stack:
         n, link = stack.pop()
         link = link or n.name == "a"
@@ -112,13 +115,18 @@ def _measure(node: Node, in_link: bool) -> None:
             if isinstance(c, str):
                 k = len(c.strip())
                 n.text += k
+                n.chars += len(c)
+                n.commas += c.count(",") + c.count("，")
                 n.linked += k if link else 0
             elif not (c.bad or dropped(c)):
                 stack.append((c, link))
     for n in reversed(order):
         if n.parent is not None:
             n.parent.text += n.text
+            n.parent.chars += n.chars
+            n.parent.commas += n.commas
             n.parent.linked += n.linked
+    return order
 
 
 def dropped(n: Node) -> bool:
@@ -142,28 +150,22 @@ def own_text(n: Node) -> str:
     return "".join(parts)
 
 
-def best_container(root: Node) -> Node | None:
-    """The node with most points. A paragraph gives one point, one for each comma and one for each 100 characters (3 at most) to its parent, half to the next
-    ancestor and a third of that to further ones; loose text in a block counts as a paragraph. Points are discounted by link density."""
-    stack, scored = [root], {}
-    while stack:
-        n = stack.pop()
-        loose = n.name in BLOCK and n.name not in PARAGRAPH and sum(len(c.strip()) for c in n.children if isinstance(c, str)) > 0
-        if n.name in PARAGRAPH and n.text or loose:
-            text = own_text(n) if not loose else "".join(c for c in n.children if isinstance(c, str))
-            points = 1 + text.count(",") + text.count("，") + min(len(text) // 100, 3)
-            points *= 1 - density(n)
-            up, share = (n if loose else n.parent), 1.0
-            level = 0
-            while up is not None and level < 6:
-                scored[id(up)] = up
-                up.score += points * share
-                level += 1
-                share = 0.5 if level == 1 else share / 3
-                up = up.parent
-        stack.extend(c for c in n.children if not isinstance(c, str) and not (c.bad or dropped(c)))
+def best_container(order: list[Node]) -> Node | None:
+    """The node with most points. A paragraph gives one point, one for each comma and one for each 100 characters (3 at most) to its parent, half of that to
+    the next ancestor and a third of what the one below got to each further one, up to the root; loose text in a block counts as a paragraph. Points are
+    discounted by link density."""
+    for n in order:
+        loose = "".join(c for c in n.children if isinstance(c, str)) if n.name in BLOCK and n.name not in PARAGRAPH else ""
+        if loose.strip():
+            n.own += (1 + loose.count(",") + loose.count("，") + min(len(loose) // 100, 3)) * (1 - density(n))
+        elif n.name in PARAGRAPH and n.text and n.parent is not None:
+            n.parent.own += (1 + n.commas + min(n.chars // 100, 3)) * (1 - density(n))
+    for n in reversed(order):  # a node's score is its own points and what rises from below: half of the children's own, a third of what they were given
+        n.score += n.own
+        if n.parent is not None:
+            n.parent.score += n.own / 2 + (n.score - n.own) / 3
     best, most = None, 0.0
-    for n in scored.values():
+    for n in order:
         s = n.score * (1 - density(n)) * (1.25 if n.name in ("article", "main") or LIKELY.search(n.marks or "") else 1.0)
         if n.name in ("ul", "ol", "table", "tbody", "tr", "dl"):
             s *= 0.6
@@ -230,13 +232,12 @@ def extract(source: str | None) -> str:
     if not source:
         return ""
     root = parse(source)
-    _measure(root, False)
-    best = best_container(root)
+    best = best_container(_measure(root))
     return "\n".join(blocks(kept_nodes(best))) if best is not None else ""
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars) of every row; repeated rows come out alike, other columns are left behind."""
+    """(page_id, url, text, n_chars) of every row; repeated rows come out alike, null and empty pages have an empty text, other columns are left behind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
