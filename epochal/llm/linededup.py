@@ -1,4 +1,4 @@
-"""Line dedup: Bloom filters of what was seen once and twice pick suspected repeats; only those shuffle, to be confirmed exactly."""
+"""Line dedup: Bloom filters of what was seen once and twice pick suspected repeats; only those shuffle, to be confirmed exactly; texts stay where they are."""
 
 from __future__ import annotations
 
@@ -18,6 +18,8 @@ MIN_CHARS, MIN_DOCS = 40, 5
 #: Bits of a filter for each document (about 16 a line), and the least and the most bits. The most (128 MB) bounds what is broadcast: a corpus that fills
 #: them only makes more lines suspects, which are confirmed exactly all the same.
 BITS_PER_DOC, LEAST_BITS, MOST_BITS = 256, 1 << 22, 1 << 30
+#: Confirmed lines (24 bytes each) that may be broadcast; beyond that texts are joined with the lists of what they lose.
+BROADCAST_LINES = 1_000_000
 BLANK = b" \t\n\x0b\x0c\r"
 
 
@@ -59,33 +61,57 @@ def seen_lines(texts: DataFrame, bits: int, least: int) -> DataFrame:
     return texts.mapInArrow(run, bloom.NOTES)
 
 
-def drop_lists(docs: DataFrame, scratch: Scratch, least: int = MIN_CHARS, min_docs: int = MIN_DOCS, text: str = "text") -> DataFrame:
-    """(doc_id, digests): the line keys that each document loses; null as a doc_id is the smallest one."""
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), "text")
+
+
+class Suspects:
+    """The filter of keys seen twice; its answer for a line is its key's digest, or None."""
+
+    def __init__(self, twice, bits: int, least: int):
+        self.have, self.bits, self.least = twice.value, bits, least
+
+    def __call__(self, line: bytes) -> tuple[int, int] | None:
+        if (k := line_key(line, self.least)) is None:
+            return None
+        for x in _bits(k, self.bits):
+            if not self.have[x >> 3] & (128 >> (x & 7)):
+                return None
+        return digest(k)
+
+
+def repeated(docs: DataFrame, scratch: Scratch, least: int, min_docs: int):
+    """(filter of keys seen twice, its bits, suspected (doc_id, d1, d2), confirmed (d1, d2, keep)): keys of at least min_docs documents and the largest of them."""
     bits = bloom.bits_for(docs.count(), BITS_PER_DOC, LEAST_BITS, MOST_BITS)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.col(text).alias("text"))
+    rows = _rows(docs)
     twice = docs.sparkSession.sparkContext.broadcast(bloom.twice_seen(seen_lines(rows.select("text"), bits, least), bits))
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = twice.value
-
-        def hit(x: int) -> int:
-            return have[x >> 3] & (128 >> (x & 7))
-
+        suspect = Suspects(twice, bits, least)
         for b in batches:
-            out: set[tuple[int, int, int]] = set()
-            for doc, t in zip(b.column(0).to_pylist(), _texts(b, 1)):
-                for line in t.split(b"\n"):
-                    if (k := line_key(line, least)) is not None:
-                        x, y = _bits(k, bits)
-                        if hit(x) and hit(y):
-                            out.add((doc, *digest(k)))
+            out = {(doc, *d) for doc, t in zip(b.column(0).to_pylist(), _texts(b, 1)) for line in t.split(b"\n") if (d := suspect(line)) is not None}
             cols = list(zip(*out)) or [[], [], []]
             yield pa.record_batch([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "d1", "d2"])
 
     found = scratch.write(rows.mapInArrow(suspects, "doc_id long, d1 long, d2 long").distinct())
     common = found.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.max("doc_id").alias("keep")).where(F.col("n") >= min_docs).select("d1", "d2", "keep")
-    lost = salted_left_join(found, scratch.write(common), ["d1", "d2"], ["doc_id"]).where("doc_id < keep")
-    return lost.groupBy("doc_id").agg(F.collect_list(F.struct("d1", "d2")).alias("digests"))
+    return twice, bits, found, scratch.write(common)
+
+
+class Keepers:
+    """Which document keeps a line, by the digest of its key: sorted arrays."""
+
+    def __init__(self, table: pa.Table):
+        by = np.argsort(np.asarray(table["d1"]), kind="stable")
+        self.d1, self.d2, self.keep = (np.asarray(table[c])[by] for c in ("d1", "d2", "keep"))
+
+    def holder(self, d: tuple[int, int]) -> int | None:
+        i = int(np.searchsorted(self.d1, d[0]))
+        while i < len(self.d1) and self.d1[i] == d[0]:
+            if self.d2[i] == d[1]:
+                return int(self.keep[i])
+            i += 1
+        return None
 
 
 def line_dedup(docs: DataFrame, scratch: Scratch, least: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -93,36 +119,51 @@ def line_dedup(docs: DataFrame, scratch: Scratch, least: int = MIN_CHARS, min_do
 
     A line's key is the line stripped of ASCII white space and with A-Z in lower case. Keys of at least `least` code points in at least `min_docs` documents
     lose all their lines except in the largest doc_id that holds them. Documents are told apart by doc_id: rows that repeat one count once and are treated
-    alike. A null or empty text is one empty line and stays as it is. Extra columns pass through. Lines are confirmed by 128-bit digests of their keys.
+    alike; null is the smallest. A null or empty text is one empty line and stays as it is. Extra columns pass through, but for names that start with two
+    underscores, which are the operators' own. Lines are confirmed by 128-bit digests of their keys.
+
+    The confirmed lines are few, as each is in several documents, and are broadcast after they were counted; then no text moves. More than BROADCAST_LINES are
+    joined with the suspects, and the lists of what each document loses with the texts.
     """
     docs = plain(docs)
-    key = "__lines_of"
-    lists = drop_lists(docs, scratch, least, min_docs).withColumnsRenamed({"doc_id": key, "digests": "__digests"})
-    rows = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).join(lists, key, "left").drop(key)
+    twice, bits, found, common = repeated(docs, scratch, least, min_docs)
     names = docs.columns
     at = names.index("text")
-    schema = T.StructType([*docs.schema.fields, T.StructField("__n_lines", T.LongType()), T.StructField("__n_dropped", T.LongType())])
+    key = "__lines_of"
+    rows = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))))
+    few = common.count() <= BROADCAST_LINES
+    if few:
+        keepers = docs.sparkSession.sparkContext.broadcast(Keepers(common.toArrow()))
+        rows = rows.withColumn("__digests", F.lit(None).cast("array<struct<d1:bigint,d2:bigint>>"))
+    else:
+        lost = salted_left_join(found, common, ["d1", "d2"], ["doc_id"]).where("doc_id < keep")
+        lists = lost.groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("d1", "d2")).alias("__digests"))
+        rows = rows.join(lists, key, "left")
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        suspect = Suspects(twice, bits, least)
+        holder = keepers.value.holder if few else None
         for b in batches:
             texts, lines, dropped = [], [], []
-            for t, lose in zip(b.column(at).cast(pa.large_binary()), b.column(len(names))):
-                raw, gone = t.as_py(), lose.as_py()
-                own = (raw or b"").split(b"\n")
-                kept = own
-                if gone:
-                    gone = {(x["d1"], x["d2"]) for x in gone}
-                    kept = [x for x in own if (k := line_key(x, least)) is None or digest(k) not in gone]
-                texts.append(raw if raw is None else b"\n".join(kept))
+            for doc, t, lose in zip(b.column(len(names)).to_pylist(), b.column(at).cast(pa.large_binary()), b.column(len(names) + 1)):
+                raw = t.as_py()
+                own = kept = (raw or b"").split(b"\n")
+                if few:
+                    kept = [x for x in own if (d := suspect(x)) is None or (keep := holder(d)) is None or keep <= doc]
+                elif lose.is_valid:
+                    gone = {(x["d1"], x["d2"]) for x in lose.as_py()}
+                    kept = [x for x in own if suspect(x) not in gone]
+                texts.append(raw if raw is None or len(kept) == len(own) else b"\n".join(kept))
                 lines.append(len(own))
                 dropped.append(len(own) - len(kept))
             cols = b.columns[: len(names)]
             cols[at] = pa.array(texts, pa.binary()).cast(pa.string())
             yield pa.record_batch([*cols, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], names=[f"c{i}" for i in range(len(names) + 2)])
 
-    safe = rows.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate([*names, "__digests"])])
-    out = safe.mapInArrow(rebuild, T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(schema.fields)]))
-    return out.toDF(*[f.name for f in schema.fields])
+    kinds = [*(f.dataType for f in docs.schema.fields), T.LongType(), T.LongType()]
+    safe = rows.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate([*names, key, "__digests"])])
+    out = safe.mapInArrow(rebuild, T.StructType([T.StructField(f"c{i}", k) for i, k in enumerate(kinds)]))
+    return out.toDF(*names, "__n_lines", "__n_dropped")
 
 
 def op8_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
