@@ -33,7 +33,8 @@ def plain(docs: DataFrame) -> DataFrame:
 class Scratch:
     """Tables written to the folder in spark.checkpoint.dir, which all executors share.
 
-    They cut lineage: a lost executor recomputes from them. Where the setting is unset (tests), a folder beside the warehouse is used.
+    They cut lineage: a lost executor recomputes from them. Results may read them until the application ends, which deletes the folder. Where the setting is unset
+    (tests), a folder beside the warehouse is used.
     """
 
     def __init__(self, spark: SparkSession):
@@ -41,11 +42,13 @@ class Scratch:
         base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
         self.root = f"{base.rstrip('/')}/epochal-{uuid.uuid4().hex}"
         self.n = 0
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
 
-    def write(self, df: DataFrame, partitions: int | None = None) -> DataFrame:
+    def write(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
-        (df.coalesce(partitions) if partitions else df).write.parquet(path)
+        df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

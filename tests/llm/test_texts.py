@@ -159,6 +159,17 @@ def test_mixing_targets_and_takings(spark, docs, odd, write):
     assert sorted(map(str, again)) == sorted(map(str, rows))
 
 
+def test_taken_words_come_near_their_targets(spark, write):
+    rng = random.Random(3)
+    rows = [(i, "w " * (rng.randrange(60, 140)), "en", f"s{i % 20:02d}", 0) for i in range(1000)]
+    out = mixing.op4_mixing(spark, write(documents=spark.createDataFrame(rows, SCHEMA))).collect()
+    taken, target = {}, {}
+    for r in out:
+        s = rows[r.doc_id][3]
+        taken[s], target[s] = taken.get(s, 0) + r.taken, r.target
+    assert len(taken) == 20 and all(abs(taken[s] / target[s] - 1) < 0.02 for s in taken)
+
+
 def test_mix_emits_copies(spark, docs, none):
     scratch = common.Scratch(spark)
     out = mixing.mix_documents(docs, scratch)
@@ -234,7 +245,9 @@ def brute_lines(rows, least=40, docs=5):
     return sorted((d, len(t.split("\n")), "\n".join(x for x in t.split("\n") if lost.get(key(x), d) == d)) for d, t in rows)
 
 
-def test_lines_against_brute_force(spark):
+@pytest.mark.parametrize("broadcast", [0, 1_000])
+def test_lines_against_brute_force(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(linededup, "BROADCAST_LINES", broadcast)
     rng = random.Random(9)
     lines = [f"Line NUMBER {i} is long enough to count, É {'x' * rng.randrange(20)}" for i in range(8)] + ["short"] * 2
     rows = [(i, "\n".join(rng.choice(lines) + rng.choice(["", " ", "\t"]) for _ in range(rng.randrange(1, 6)))) for i in range(40)]
@@ -381,6 +394,13 @@ def test_packing_of_texts(spark, docs, odd, none, write):
     assert packing.op10_packing(spark, write(documents=none)).count() == 0
 
 
+def test_ranks_give_the_ids_of_the_tokenizer_file(spark):
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    fast, plain = packing.encoder(), packing.encoder(by_ranks=False)
+    for t in [*texts, "<|endoftext|> x", "a" * 100_000, "\r\n \t  é\u0301\u200b😀" * 50]:
+        assert (fast(t) == plain(t)).all()
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_packing_is_close_to_the_bound_and_reduction_is_sound(seed):
     rng = np.random.default_rng(seed)
