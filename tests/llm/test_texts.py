@@ -213,6 +213,8 @@ def test_winnowing_against_brute_force(spark, docs, odd, write):
         e = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
         r, a = got[d], brute_prints(t)
         assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(e.encode()).hexdigest())
+        digest = lambda p: hashlib.sha256(str([(h << winnowing.PLACE_BITS) - j for j, h in p]).encode()).hexdigest()
+        assert (r.fingerprint, r.edited_fingerprint) == (digest(a), digest(brute_prints(e)))
         assert math.isclose(r.near_edited, like(a, brute_prints(e))) and math.isclose(r.near_next, like(a, brute_prints(n)))
 
 
@@ -224,6 +226,34 @@ def test_fingerprint_places_and_guarantee(spark):
     assert {x.hash for x in got[0].p} & {x.hash for x in got[1].p}
 
 
+def test_spliced_fingerprints_are_those_of_the_spliced_text(spark):
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("ab cé😀") for _ in range(n))
+    rows = []
+    for n in (0, 1, 30, 44, 45, 46, 47, 60, 200, 400):
+        for m in (0, 1, 44, 45, 46, 47, 61, 300):
+            t, u = word(n + rng.randrange(3) * 20), rng.choice([word(m + rng.randrange(2) * 30), "ab" * m])
+            rows.append((t, n, u, m))
+    df = spark.createDataFrame(rows, "t string, keep int, u string, more int").withColumn("more", F.least("more", F.char_length("u")))
+    df = df.withColumns({"p": winnowing.fingerprint(F.col("t")), "q": winnowing.fingerprint(F.col("u"))})
+    got = df.select("t", "keep", "u", "more", winnowing.places(winnowing.spliced(*map(F.col, ("t", "p", "keep", "u", "q", "more")))).alias("x")).collect()
+    for r in got:
+        assert [tuple(x) for x in r.x] == brute_prints(r.t[: r.keep] + r.u[: r.more]), (r.keep, r.more)
+
+
+def test_places_hold_for_texts_beyond_any_wrap(spark):
+    x = F.shiftleft(F.lit(-3).cast("long"), winnowing.PLACE_BITS) - F.col("id")
+    got = spark.range(2**29 - 3, 2**29).select(winnowing.place(x).alias("p"), winnowing.hash_part(x).alias("h")).collect()
+    assert [tuple(r) for r in got] == [(2**29 - 3, -3), (2**29 - 2, -3), (2**29 - 1, -3)]
+
+
+def test_ranges_are_found_whatever_their_number(spark):
+    for n in (1, 2, 3, 10, 1000):
+        cuts = sorted(random.Random(n).sample(range(5000), n))
+        got = spark.range(-1, 5001).select("id", winnowing.ranges_before(F.col("id"), cuts).alias("k")).collect()
+        assert all(r.k == sum(c <= r.id for c in cuts) for r in got)
+
+
 def test_winnowing_of_odd_and_no_rows(spark, odd, none, write):
     assert winnowing.op6_winnowing(spark, write(documents=odd)).count() == odd.count()
     assert winnowing.op6_winnowing(spark, write(documents=none)).count() == 0
