@@ -143,12 +143,15 @@ def count_patterns(docs: DataFrame) -> dict[int, int]:
 
 
 def fit(docs: DataFrame) -> tuple[LabelModel, np.ndarray]:
-    """The label model of all documents, and the scorer's weights from the first TRAIN_ROWS by hash of doc_id. No reviewed label is used."""
+    """The label model of all documents, and the scorer's weights from the first TRAIN_ROWS by hash of doc_id. No reviewed label is used. A doc_id that rows
+    repeat is trained on once, with the least of its texts."""
     model = estimate(count_patterns(docs))
     n = docs.count()
-    ids = docs.select("doc_id").where("doc_id is not null").select("doc_id", F.xxhash64("doc_id").alias("h"))
-    if n > TRAIN_ROWS:
-        ids = ids.orderBy("h", "doc_id").limit(TRAIN_ROWS)
+    h = F.xxhash64("doc_id")
+    ids = docs.select("doc_id", h.alias("h")).where("doc_id is not null")
+    if n > 4 * TRAIN_ROWS:  # the least hashes lie far below this bound
+        ids = ids.where(F.col("h") < int(-(2**63) + 2**64 * 4 * TRAIN_ROWS / n))
+    ids = ids.distinct().orderBy("h", "doc_id").limit(TRAIN_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -158,7 +161,8 @@ def fit(docs: DataFrame) -> tuple[LabelModel, np.ndarray]:
                 out.append((doc, list(votes(m)), features(t.as_py() or "", m).tolist()))
             yield pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.list_(pa.int32())), pa.array([x[2] for x in out], pa.list_(pa.int32()))], names=["doc_id", "votes", "at"])
 
-    sample = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids.select("doc_id")), "doc_id").mapInArrow(run, "doc_id long, votes array<int>, at array<int>").toArrow()
+    chosen = docs.select("doc_id", "text").join(F.broadcast(ids.select("doc_id")), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    sample = chosen.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, votes array<int>, at array<int>").toArrow()
     rows = sorted(zip(sample["doc_id"].to_pylist(), sample["votes"].to_pylist(), sample["at"].to_pylist()))
     if not rows:
         return model, np.zeros(FEATURES + 1)
@@ -168,7 +172,8 @@ def fit(docs: DataFrame) -> tuple[LabelModel, np.ndarray]:
 
 
 def score_documents(docs: DataFrame, model: LabelModel, weights: np.ndarray) -> DataFrame:
-    """docs with __posterior (of the label model), __score (of the linear scorer) and __votes. Null and empty texts are judged by what they are: short."""
+    """docs with __posterior (of the label model), __score (of the linear scorer) and __votes. Null and empty texts are judged by what they are: short.
+    Equal texts and repeated rows score alike; extra columns pass through, but for names that start with two underscores, which are the operators' own."""
     docs = plain(docs)
     share = docs.sparkSession.sparkContext.broadcast((model, weights))
     names = docs.columns

@@ -9,14 +9,14 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import plain, table
 
-#: Labelled rows that the lexicon is learnt from, at most: the first of each class by hash of their id, as good as drawn by lot.
-TOXIC_ROWS, CLEAN_ROWS = 2_000, 6_000
+#: Labelled rows that the lexicon is learnt from, at most: the first of each class by hash of their id, as good as drawn by lot; and their bytes by class, at most.
+TOXIC_ROWS, CLEAN_ROWS, CLASS_BYTES = 2_000, 6_000, 32 << 20
 #: Least share of the toxic rows (and least number) that a term must explain, the most clean rows that may hold it by share, and what each of these counts against it.
 LEAST_SHARE, LEAST_ROWS, CLEAN_SHARE, CLEAN_COST = 0.002, 4, 0.03, 3
 #: Terms that explain a row before it counts no more, and what the next one gains by those still wanted.
@@ -26,12 +26,16 @@ SURE = 0.7
 #: Ways to be misspelt: the whole word is one edit from the term, or only its beginning is one edit from a stem.
 ENDS, GOES_ON = 1, 2
 STEM_CHARS = range(4, 9)
+SLOTS = 1 << 20
 #: Words on either side that a hit is judged by.
 WINDOW = 6
 QUOTED = 0.4
-# Marks and words that report another's speech, and words that address someone.
-REPORTING = frozenset("quote quoted quotes said says wrote writes called term word slur example cited mention mentioned".split())
-ADDRESS = frozenset("you your you're u ur yours".split())
+# Marks and words that report another's speech, and words that address someone, in English, German, French and Spanish.
+REPORTING = frozenset((
+    "quote quoted quotes said says wrote writes called term word slur example cited mention mentioned zitat zitiert sagt sagte schrieb schreibt nannte wort beleidigung beispiel erwähnt "
+    "citation cité cite disait écrit écrivait appelé terme mot insulte exemple mentionné cita citado dice dijo escribió escribe llamó término palabra insulto ejemplo mencionado"
+).split())
+ADDRESS = frozenset("you your you're u ur yours du dich dir dein deine euch toi vous votre tú usted ustedes".split())
 OPENERS, CLOSERS = "\"“«„‘", "\"”»“’"
 _WORD = re.compile(r"[^\W_]+")
 
@@ -147,31 +151,36 @@ class Lexicon:
         state[0][c] = out = self._state(frozenset(then))
         return out
 
-    def hits(self, text: str) -> list[tuple[str, bool, int, int, int]]:
+    def bad_words(self, low: str) -> set[str]:
+        return {w for w in set(_WORD.findall(low)) if self.find(w)}
+
+    def counts(self, text: str) -> tuple[Counter, int]:
+        """How often each term is met as it is spelt, and the number of words."""
         low = text.lower()
-        get, out = self.find, []
-        bad = {w for w in set(_WORD.findall(low)) if get(w)}
-        if bad:
-            for m in _WORD.finditer(low):
-                if m[0] in bad:
-                    out.append((*get(m[0]), m.start(), m.end()))
-        return out
+        bad = self.bad_words(low)
+        words = _WORD.findall(low)
+        return Counter(self.find(w)[:2] for w in words if w in bad and not self.find(w)[2]), len(words)
 
     def score(self, text: str | None) -> float:
-        """Noisy-or of the terms found: hits count less where their context reports speech, more where it addresses someone."""
+        """Noisy-or of the terms found: hits count less where their context, WINDOW words on either side, reports speech, more where it addresses someone."""
         if not text:
             return 0.0
-        found = self.hits(text)
-        if not found:
+        low = text.lower()
+        bad = self.bad_words(low)
+        if not bad:
             return 0.0
-        clean, low = 1.0, text.lower()
-        words = len(_WORD.findall(low))
+        found = list(_WORD.finditer(low))
+        words = len(found)
+        clean = 1.0
         often: dict[tuple[str, bool], float] = {}
-        for term, whole, misspelt, a, b in found:
+        for i, m in enumerate(found):
+            if m[0] not in bad:
+                continue
+            term, whole, misspelt = self.find(m[0])
             density, sure = self.terms[term, whole][2], self.precision(term, whole, misspelt)
-            left, right = low[max(0, a - 80) : a], low[b : b + 80]
-            around = set(_WORD.findall(left)[-WINDOW:]) | set(_WORD.findall(right)[:WINDOW])
-            quoted = left[-1:] and left[-1] in OPENERS and right[:1] and right[0] in CLOSERS or len(around & REPORTING) >= 2
+            around = {x[0] for x in found[max(0, i - WINDOW) : i]} | {x[0] for x in found[i + 1 : i + 1 + WINDOW]}
+            marks = low[m.start() - 1 : m.start()], low[m.end() : m.end() + 1]
+            quoted = marks[0] and marks[0] in OPENERS and marks[1] and marks[1] in CLOSERS or len(around & REPORTING) >= 2
             weight = QUOTED if quoted else 1.5 if around & ADDRESS else 1.0
             if density:
                 if not misspelt:
@@ -211,12 +220,17 @@ def _without_copies(rows: list[set[str]], size: int = 16) -> list[set[str]]:
 
 def learn(rows: list[tuple[str, int]]) -> Lexicon:
     """Terms that occur in toxic rows and hardly ever in clean ones, taken greedily while each still explains toxic rows that few earlier terms do."""
-    split = {k: [set(_WORD.findall(t.lower())) for t in dict.fromkeys(t for t, y in rows if y == k)] for k in (0, 1)}
+    one: dict[str, str] = {}  # a string for each word, however many rows hold it
+    split = {k: [{one.setdefault(w, w) for w in _WORD.findall(t.lower())} for t in dict.fromkeys(t for t, y in rows if y == k)] for k in (0, 1)}
     toxic, clean = _without_copies(split[1]), split[0]
     least = max(LEAST_ROWS, LEAST_SHARE * len(toxic))
+    rough = [0] * SLOTS  # candidates share slots, so a slot says at most how often each of them occurs; only those that may be common are counted one by one
+    for w in toxic:
+        for c in _candidates(w):
+            rough[hash(c) % SLOTS] += 1
     count: Counter = Counter()
     for w in toxic:
-        count.update(_candidates(w))
+        count.update(c for c in _candidates(w) if rough[hash(c) % SLOTS] >= least)
     count = Counter({c: n for c, n in count.items() if n >= least})
     against: Counter = Counter()
     for w in clean:
@@ -261,10 +275,10 @@ def learn(rows: list[tuple[str, int]]) -> Lexicon:
     mixed = {c for c in terms if against[c]}
     for k, own in texts.items():
         for t in own if mixed else []:
-            n = Counter((h[0], h[1]) for h in first.hits(t) if not h[2] and (h[0], h[1]) in mixed)
-            words = len(_WORD.findall(t))
+            n, words = first.counts(t)
             for c, m in n.items():
-                logs.setdefault((c, k), []).append(math.log(m / words))
+                if c in mixed:
+                    logs.setdefault((c, k), []).append(math.log(m / words))
     out = {}
     for c, (p, _, _) in terms.items():
         density = None
@@ -279,17 +293,21 @@ def learn(rows: list[tuple[str, int]]) -> Lexicon:
 
 
 def fit(documents: DataFrame, labels: DataFrame) -> Lexicon:
-    """Learns from at most TOXIC_ROWS and CLEAN_ROWS labelled rows, the first by hash of their id; rows with null labels, texts or ids are left out."""
+    """Learns from at most TOXIC_ROWS and CLEAN_ROWS labelled rows, the first by hash of their id, as far as they have CLASS_BYTES; rows with null labels, texts or
+    ids are left out. An id is one row, however often either table repeats it: toxic if any label says so, with the least of its texts."""
     train = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0))
-    order = train.select("doc_id", F.col("toxic").cast("int").alias("toxic")).withColumn("h", F.xxhash64("doc_id"))
+    order = train.select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct().withColumn("h", F.xxhash64("doc_id"))
     first = order.where("toxic = 1").orderBy("h", "doc_id").limit(TOXIC_ROWS).unionAll(order.where("toxic = 0").orderBy("h", "doc_id").limit(CLEAN_ROWS))
-    ids = first.select("doc_id", "toxic")  # at most TOXIC_ROWS + CLEAN_ROWS rows
-    sample = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where("text is not null").select("text", "toxic").toArrow()
+    ids = first.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("h").alias("h"))  # at most TOXIC_ROWS + CLEAN_ROWS rows
+    rows = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where("text is not null").groupBy("doc_id", "toxic", "h").agg(F.min("text").alias("text"))
+    so_far = F.sum(F.octet_length("text").cast("long")).over(Window.partitionBy("toxic").orderBy("h", "doc_id"))
+    sample = rows.withColumn("bytes", so_far).where(F.col("bytes") <= CLASS_BYTES).select("text", "toxic").toArrow()
     return learn(sorted(zip(sample["text"].to_pylist(), sample["toxic"].to_pylist())))
 
 
 def score_documents(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """docs with __score between 0 and 1. Null and empty texts score 0; equal texts score alike; extra columns pass through."""
+    """docs with __score between 0 and 1. Null and empty texts score 0; equal texts and repeated rows score alike; extra columns pass through, but for names that
+    start with two underscores, which are the operators' own."""
     docs = plain(docs)
     model = docs.sparkSession.sparkContext.broadcast(lexicon)
     names = docs.columns

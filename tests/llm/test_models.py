@@ -71,6 +71,55 @@ def test_misspelt_inflected_words_are_learnt_as_sure():
     assert lexicon.score("wa1 wb2 dsiugsting wc3") == 0
 
 
+def within_one_edit(a, b):
+    """Whether a word becomes another by one letter put in, left out or exchanged, or by two neighbours swapped."""
+    if a == b or abs(len(a) - len(b)) > 1:
+        return False
+    i = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    return a[i + 1 :] == b[i:] or a[i:] == b[i + 1 :] or a[i + 1 :] == b[i + 1 :] or a[i : i + 2] == b[i : i + 2][::-1] and a[i + 2 :] == b[i + 2 :]
+
+
+def test_automaton_against_brute_force():
+    rng = random.Random(12)
+    terms = {"".join(rng.choice("abcd") for _ in range(rng.randrange(3, 8))) for _ in range(60)}
+    lexicon = toxicity.Lexicon({(t, whole): (0.99, 0.9, None) for t in terms for whole in (True, False)})
+    for _ in range(3000):
+        word = "".join(rng.choice("abcde") for _ in range(rng.randrange(2, 11)))
+        if rng.random() < 0.5:
+            t = list(rng.choice(sorted(terms)))
+            i = rng.randrange(len(t))
+            t[i : i + 2] = rng.choice([t[i : i + 2][::-1], t[i : i + 1], [rng.choice("abcde"), *t[i : i + 2]], []])
+            word = "".join(t) + rng.choice(["", "e", "ing"])
+        ends = {t for t in terms if within_one_edit(t, word)}
+        starts = {t for t in terms for n in range(len(t) - 1, len(t) + 2) if 0 < n <= len(word) and within_one_edit(t, word[:n])}
+        got = {x for x in lexicon.near(word) if x[0] != word}
+        assert {t for t, whole, how in got if whole} == ends - {word}, word
+        assert {t for t, whole, how in got if not whole} >= (starts | ends) - {word} - {t for t in terms if word.startswith(t)}, word
+
+
+def test_context_is_whole_words_however_long():
+    lexicon = toxicity.Lexicon({("grobian", True): (0.9, 0.8, None)})
+    plain = lexicon.score("w w w grobian w w w")
+    for n in range(70, 90):
+        assert lexicon.score(f"w w w {'x' * n}you {'q' * n} grobian {'z' * n} w") == plain
+        assert lexicon.score(f"you {'q' * n} {'q' * n} grobian") > plain > lexicon.score(f"{'q' * n} sie schrieb das wort {'q' * n} grobian") > 0
+    assert lexicon.score("you " + "w " * 6 + "grobian") == plain < lexicon.score("you " + "w " * 5 + "grobian")
+
+
+def test_training_rows_are_bounded_whatever_is_repeated(spark, monkeypatch):
+    docs = spark.createDataFrame([(i % 40, f"text {i % 3} grobian" if i % 2 else f"word {i % 5}") for i in range(2000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i % 40, 1, i % 2) for i in range(400)] + [(i, 1, 1 - i % 2) for i in range(4)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "learn", lambda rows: seen.append(rows))
+    toxicity.fit(docs, labels)
+    assert len(seen[0]) <= 40
+    monkeypatch.setattr(toxicity, "CLASS_BYTES", 60)
+    toxicity.fit(docs, labels)
+    assert 0 < len(seen[1]) < len(seen[0]) and sum(len(t) for t, y in seen[1] if y) <= 60
+    model, weights = quality.fit(docs)
+    assert np.isfinite(weights).all()
+
+
 def test_quotation_counts_less_than_address():
     lexicon = toxicity.Lexicon({("grobian", True): (0.9, 0.8, None)})
     plain, quoted, aimed = (lexicon.score(t) for t in ("what a grobian this is", 'they wrote "grobian" in the letter', "you grobian"))
@@ -113,6 +162,32 @@ def test_em_recovers_labellers_accuracies():
     assert abs(model.prior - 0.7) < 0.05 and np.abs(model.accuracies() - rates).max() < 0.05
 
 
+def test_quality_against_brute_force(spark):
+    """EM a document at a time, in plain loops, gives the posteriors that the query gives."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    v = [quality.votes(quality.measures(r.text or "")) for r in rows]
+    p = [{0: 0.95, 1: 0.45}.get(sum(x == 0 for x in y), 0.05) for y in v]
+    for _ in range(quality.ROUNDS):
+        prior = min(max(sum(p) / len(p), 0.02), 0.98)
+        rate = [[[0.1 for _ in range(3)] for _ in quality.NAMES] for _ in (0, 1)]
+        for y, q in zip(v, p):
+            for j, x in enumerate(y):
+                rate[0][j][x + 1] += 1 - q
+                rate[1][j][x + 1] += q
+        share = [[[x / sum(one) for x in one] for one in side] for side in rate]
+        new = []
+        for y in v:
+            good = prior * math.prod(share[1][j][x + 1] for j, x in enumerate(y))
+            bad = (1 - prior) * math.prod(share[0][j][x + 1] for j, x in enumerate(y))
+            new.append(good / (good + bad))
+        done = max(abs(a - b) for a, b in zip(new, p)) < 1e-6
+        p = new
+        if done:
+            break
+    got = {r.doc_id: r.posterior for r in quality.op3_quality(spark, "/root/testdata/sf0.001").collect()}
+    assert all(abs(got[r.doc_id] - q) < 1e-6 for r, q in zip(rows, p))
+
+
 def test_quality_agrees_with_reviews_it_never_saw(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = {r.doc_id: r.keep for r in quality.op3_quality(spark, SF).collect()}
@@ -263,6 +338,9 @@ def test_pipeline_of_odd_and_no_rows(spark, odd, none, write):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert cp.run(spark, write(documents=none, labels=labels)).count() == 0
     sf = write(documents=odd, labels=labels)
+    twice = odd.select(*(c for c in odd.columns)).limit(0).unionByName(odd.where("doc_id = 1").withColumn("text", F.lit("a text of its own, with many other words than before"))).unionByName(odd)
+    ids = sorted(str(r.doc_id) for r in cp.near_copies_out(spark, twice, sf).collect())
+    assert ids == sorted(["1", "1", "3", "4", "5", "6", "7", "None", "9"])  # rows of one id with different texts are different documents
     out = cp.near_copies_out(spark, odd, sf)
     assert sorted(str(r.doc_id) for r in out.collect()) == sorted(["1", "3", "4", "5", "6", "7", "None", "9"]) and out.columns == odd.columns
     assert cp.run(spark, sf).count() > 0
