@@ -30,19 +30,25 @@ def lines_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest doc_id. Five words and a similarity of 0.8, as for all near-duplicate stages.
 
-    Documents without words are no copies of each other. Rows that repeat a doc_id are copies: the one with the least text hash stays. Null ids stay.
+    Documents without words are no copies of each other. Where rows repeat a doc_id, each is judged by its own text: rows that are equal in both are one document
+    without more ado, others are told apart by a hash of both, the least of which stays where ids are equal. Null ids stay.
     """
     scratch = Scratch(spark)
-    classes = ngramjoin.join_classes(docs, scratch, words=5, num=80, den=100)
-    gone = scratch.write(classes.where("component_id <> doc_id").select("doc_id").distinct())
-    kept = keep_ids(docs, gone, "left_anti")
-    twice = scratch.write(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id"))
-    if twice.isEmpty():
-        return kept.select(*_names(docs))
-    once = keep_ids(kept, twice, "left_anti")
-    again = keep_ids(kept, twice).select(F.col("doc_id").alias("__id"), F.struct(F.xxhash64("text").alias("h"), F.struct(*_names(docs)).alias("row")).alias("r"))
-    again = again.groupBy("__id").agg(F.min_by(F.col("r.row"), F.col("r.h")).alias("row")).select("row.*")
-    return once.select(*_names(docs)).unionByName(again.select(*_names(docs)))
+    repeated = not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
+    if not repeated:
+        classes = ngramjoin.join_classes(docs, scratch, words=5, num=80, den=100)
+        gone = scratch.write(classes.where("component_id <> doc_id").select("doc_id"))
+        return keep_ids(docs, gone, "left_anti").select(*_names(docs))
+    own = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    keyed = docs.withColumn("__key", own)
+    one = keyed.where("__key is not null").select("__key", F.struct(*_names(docs)).alias("__row"), F.xxhash64(*_names(docs)).alias("__order"))
+    one = scratch.write(one.groupBy("__key").agg(F.min_by("__row", "__order").alias("__row")))
+    texts = one.select(F.col("__key").alias("doc_id"), F.col("__row.text").alias("text"))
+    classes = ngramjoin.join_classes(texts, scratch, words=5, num=80, den=100).select(F.col("doc_id").alias("__key"), "component_id")
+    first = F.min_by("__key", F.struct("__id", "__key")).alias("__key")
+    kept = scratch.write(classes.join(one.select("__key", F.col("__row.doc_id").alias("__id")), "__key").groupBy("component_id").agg(first).select("__key"))
+    rest = keyed.where("__key is null").select(*_names(docs))
+    return keep_ids(one, kept, key="__key").select("__row.*").unionByName(rest)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
