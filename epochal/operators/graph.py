@@ -13,7 +13,7 @@ from ..functions.keys import fnv1a
 COLLECTED = 1_000_000
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """Cuts lineage in the folder that the cluster shares for checkpoints; sets one only where none is named."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
@@ -25,22 +25,23 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): components of an undirected graph, each named by its least node.
 
     Large-star and small-star steps in turn: every node's larger, then its smaller neighbours are linked to the least one around it, until nothing changes. Both
-    are a minimum (combined before the shuffle) and a join back; the rounds grow with the logarithm of the graph's size.
+    are a minimum (combined before the shuffle) and a join back, whose skew at hubs Spark splits as it runs; the rounds grow with the logarithm of the graph's
+    size, and each writes the links once. The end is seen by their number and the exclusive or of their hashes.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null")
     nodes = e.select(F.col("u").alias("node")).union(e.select(F.col("v").alias("node"))).distinct()
-    e = _cut(e.where("u <> v").distinct())
+    e, before = cut(e.where("u <> v").distinct()), None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
-        small = _cut(small)
-        if small.count() == e.count() and small.exceptAll(e).isEmpty():
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
+        e = cut(small)
+        now = tuple(e.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first())
+        if now == before:
             break
-        e = small
+        before = now
     return nodes.join(e.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
@@ -85,7 +86,7 @@ def greedy_cover(spark: SparkSession, membership: DataFrame, cost: DataFrame, gr
     if stable is not None:
         first = left.where("__s").select(item).distinct()
         left = left.where("__s").unionByName(left.where("not __s").join(first, item, "left_anti").select(left.columns))
-    left, picks = _cut(left), []
+    left, picks = cut(left), []
     while True:
         if left.count() <= COLLECTED:
             picks += _greedy(left.select(F.expr("not __s"), "cost", group, item).collect())
@@ -93,11 +94,11 @@ def greedy_cover(spark: SparkSession, membership: DataFrame, cost: DataFrame, gr
         gains = left.groupBy(group).agg(F.count("*").alias("gain"))
         key = F.struct((-F.col("gain") / F.col("cost")).alias("o"), (-F.col("gain")).alias("n"), F.col(group).alias("g"))
         best = left.join(gains, group).groupBy(item).agg(F.min(key).alias("k"))
-        won = _cut(best.groupBy("k").agg(F.count("*").alias("n")).where("n = -k.n").select("k"))
+        won = cut(best.groupBy("k").agg(F.count("*").alias("n")).where("n = -k.n").select("k"))
         new = [(not r.s, r.o, r.n, r.g) for r in won.join(pools, F.col("k.g") == F.col(group)).select(F.col("__s").alias("s"), "k.*").collect()]
         picks += new
         gone = left.join(won.select(F.col("k.g").alias(group)), group).select(item).distinct()
-        left = _cut(left.join(gone, item, "left_anti").select(left.columns))
+        left = cut(left.join(gone, item, "left_anti").select(left.columns))
     schema = f"round int, {group} {membership.schema[group].dataType.simpleString()}, gain long"
     return spark.createDataFrame([(i + 1, g, -n) for i, (_, _, n, g) in enumerate(sorted(picks)[:rounds])], schema)
 
