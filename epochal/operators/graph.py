@@ -110,13 +110,26 @@ def rotation_slice(keys: DataFrame, key: str, round_: int, shards: int, cap: int
     return keys.withColumns({"hash": h, "__o": order}).where(F.col("hash") % shards == round_ % shards).orderBy("__o", key).limit(cap).drop("__o")
 
 
-def least_loaded(weights: list[tuple[int, str]], shards: int) -> dict[str, int]:
-    """Heaviest first, each to the shard with least weight, the lowest of equals: for the bounded list of component weights of a publication."""
+def fill_shards(counts: dict[int, int], shards: int) -> dict[int, list[tuple[int, int, int]]]:
+    """{weight: [(first rank, number, shard)]}: heaviest first, each to the shard with least load, the lowest of equals. Those of one weight are dealt at once: up to
+    the highest level that they fill evenly, then one by one."""
     load, out = [0] * shards, {}
-    for w, name in sorted(weights, key=lambda x: (-x[0], x[1])):
-        i = min(range(shards), key=lambda j: (load[j], j))
-        load[i] += w
-        out[name] = i
+    for w in sorted(counts, reverse=True):
+        left, low, high = counts[w], min(load), max(load) + w * counts[w]
+        room = lambda level: [max(0, (level - x) // w) for x in load]
+        while low < high:
+            mid = (low + high + 1) // 2
+            low, high = (mid, high) if sum(room(mid)) <= left else (low, mid - 1)
+        take = room(low)
+        for i in range(shards):
+            load[i] += take[i] * w
+        for _ in range(left - sum(take)):
+            i = min(range(shards), key=lambda j: (load[j], j))
+            load[i] += w
+            take[i] += 1
+        at, out[w] = 0, []
+        for i, k in enumerate(take):
+            if k:
+                out[w].append((at, k, i))
+                at += k
     return out
-
-

@@ -24,9 +24,9 @@ def dedupe_occurrences(rows: DataFrame, key: list[str], rich: Column, order: lis
     """One row a key: the first that is rich, else the first; with its sources, how many occurrences it had and how many of them disagreed with it."""
     w = Window.partitionBy(*key)
     first = w.orderBy(rich.desc(), *order)
-    rows = rows.withColumns({"__n": F.row_number().over(first), "occurrences": F.count("*").over(w), "n_sources": F.size(F.collect_set(source).over(w)), "__facts": F.first(F.struct(*facts)).over(first)})
-    rows = rows.withColumn("disagreeing", F.sum((~F.col("__facts").eqNullSafe(F.struct(*facts))).cast("long")).over(w))
-    return rows.where("__n = 1").drop("__n", "__facts")
+    rows = rows.withColumns({"__n": F.row_number().over(first), "occurrences": F.count("*").over(w), "__source": F.dense_rank().over(w.orderBy(source)), "__facts": F.first(F.struct(*facts)).over(first)})
+    rows = rows.withColumns({"n_sources": F.max("__source").over(w), "disagreeing": F.sum((~F.col("__facts").eqNullSafe(F.struct(*facts))).cast("long")).over(w)})
+    return rows.where("__n = 1").drop("__n", "__facts", "__source")
 
 
 def compare_runs(before: DataFrame, now: DataFrame, key: list[str], value: str) -> DataFrame:

@@ -44,17 +44,24 @@ def decode(rows: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
     return rows
 
 
-def shards(relations: DataFrame, n: int, most: int = 100_000) -> DataFrame:
-    """(node, component, shard): components are whole in a shard, heaviest first to the least loaded. More than `most` components go by hash instead, which keeps
-    them whole as well."""
+def shards(relations: DataFrame, n: int, buckets: int = 256) -> DataFrame:
+    """(node, component, shard): components are whole in a shard, the heaviest first to the least loaded, whatever their number.
+
+    Components of one weight can take each other's places, so the plan is made from how many there are of each weight, and they take its places by rank, which is
+    counted within buckets.
+    """
     comp = graph.components(relations)
-    ends = relations.select(F.col("a").alias("node")).join(comp, "node")
-    weights = ends.groupBy("component").agg(F.count("*").alias("w"))
-    if weights.count() > most:
-        return comp.withColumn("shard", F.pmod(F.hash("component"), F.lit(n)))
-    place = graph.least_loaded([(r.w, r.component) for r in weights.collect()], n)
-    table = relations.sparkSession.createDataFrame(sorted(place.items()), f"component {comp.schema['component'].dataType.simpleString()}, shard int")
-    return comp.join(F.broadcast(table), "component")
+    weights = relations.select(F.col("a").alias("node")).join(comp, "node").groupBy("component").agg(F.count("*").alias("w"))
+    weights = graph.cut(weights.withColumn("bucket", F.pmod(F.xxhash64("component"), F.lit(buckets)).cast("int")))
+    counts = weights.groupBy("w", "bucket").agg(F.count("*").alias("k"))
+    plan = graph.fill_shards({r.w: r.k for r in counts.groupBy("w").agg(F.sum("k").alias("k")).collect()}, n)  # a row a weight, of which a graph has few
+    places = relations.sparkSession.createDataFrame([(w, at, at + k, s) for w, x in plan.items() for at, k, s in x], "w long, first long, last long, shard int")
+    before = counts.select("w", "bucket", F.coalesce(F.sum("k").over(Window.partitionBy("w").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    rank = F.row_number().over(Window.partitionBy("w", "bucket").orderBy("component")) - 1
+    ranked = weights.withColumn("rank", rank).join(before, ["w", "bucket"]).select("component", "w", (F.col("rank") + F.col("before")).alias("rank"))
+    spots = places.groupBy("w").agg(F.array_sort(F.collect_list(F.struct("first", "shard"))).alias("spots"))
+    at = F.element_at(F.filter("spots", lambda s: s["first"] <= F.col("rank")), -1)
+    return comp.join(ranked.join(F.broadcast(spots), "w").select("component", at["shard"].alias("shard")), "component")
 
 
 def caveats(flags: dict[str, Column]) -> Column:

@@ -10,6 +10,10 @@ from . import asof
 from .changepoints import change_points
 
 
+# Points of a series that a reader gets at most.
+TAIL = 730
+
+
 def segment_stats(obs: DataFrame, key: list[str], t: str, value: str, tie: list[str] = ()) -> DataFrame:
     """(key, current, previous, difference, percent, direction, low, high, first_t, last_t, n_points) of a series of exact amounts; null amounts are unavailable
     prices: they are points, but no amounts."""

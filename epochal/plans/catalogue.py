@@ -127,19 +127,29 @@ def tiered_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.tiered(rows, tiers).select("a", "b", "tier")
 
 
-@query("token_blocks", f"""WITH {_LIST}, k AS (SELECT id, store, maker, unnest([p_name || ' ' || p_type, p_name || p_brand]) AS key FROM l), s AS (SELECT key FROM k GROUP BY key HAVING count(*) BETWEEN 2 AND 20)
-SELECT a.id AS a, b.id AS b, CAST(count(DISTINCT a.key) AS INTEGER) AS n_tokens FROM k a JOIN k b ON a.key = b.key AND {_FIT} WHERE a.key IN (SELECT key FROM s) GROUP BY 1, 2""")
+_WORDS = f"""WITH {_LIST}, w AS (SELECT *, list_distinct(list_filter([code, 'X' || id % 300 || 'Z/Y' || id % 200 || 'Q2', 'X' || id % 300 || 'Z', 'Y' || id % 200 || 'Q2'], lambda t: length(t) >= 4)) AS tokens FROM l),
+k AS (SELECT id, store, maker, unnest(tokens) AS key FROM w), s AS (SELECT key FROM k GROUP BY key HAVING count(*) BETWEEN 2 AND 20), b AS (SELECT a.id AS a, b.id AS b, a.store AS sa, b.store AS sb, CAST(count(DISTINCT a.key) AS INTEGER) AS n_tokens FROM k a JOIN k b ON a.key = b.key AND {_FIT} WHERE a.key IN (SELECT key FROM s) GROUP BY ALL)"""
+
+
+def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings with the model-like words of their whole names, which hold a code, a measurement, and two words joined by a slash."""
+    rows = _listings(spark, sf_dir)
+    t = lambda m: (F.col("id") % m).cast("string")
+    name = F.concat_ws(" ", F.lower("p_name"), F.col("codes")[0], F.concat(t(48), F.lit("V")), F.concat(F.lit("x"), t(300), F.lit("z/y"), t(200), F.lit("q2")), F.lit("V2.1"), F.lit("(4-pin)"))
+    return rows.withColumn("name", name).withColumn("tokens", keys.words_with_digits(keys.normal_name(F.col("name"))))
+
+
+@query("token_blocks", f"{_WORDS} SELECT a, b, n_tokens FROM b")
 def token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _listings(spark, sf_dir).withColumn("tokens", F.array(F.concat_ws(" ", "p_name", "p_type"), F.concat("p_name", "p_brand")))
-    return matching.token_pairs(rows).select("a", "b", F.size("keys").alias("n_tokens"))
+    return matching.token_pairs(_named(spark, sf_dir)).select("a", "b", F.size("keys").alias("n_tokens"))
 
 
-@query("dice_similarity", f"""WITH {_LIST}, k AS (SELECT id, store, maker, p_name || ' ' || p_type AS key, replace(lower(p_name || p_type || p_brand), ' ', '') AS n FROM l), s AS (SELECT key FROM k GROUP BY key HAVING count(*) BETWEEN 2 AND 20),
-g AS (SELECT *, list_distinct(list_transform(range(1, length(n) - 1), lambda i: substr(n, i, 3))) AS gr FROM k), p AS (SELECT a.id AS a, b.id AS b, a.store AS sa, b.store AS sb,
-floor(2000.0::DOUBLE * len(list_intersect(a.gr, b.gr)) / (len(a.gr) + len(b.gr)) + 0.5) / 1000 AS similarity FROM g a JOIN g b ON a.key = b.key AND {_FIT} WHERE a.key IN (SELECT key FROM s)),
+@query("dice_similarity", f"""{_WORDS}, g AS (SELECT id, list_distinct(list_transform(range(1, length(n) - 1), lambda i: substr(n, i, 3))) AS gr FROM (SELECT id, upper(replace(p_name, ' ', '') || code || id % 48 || 'VX' || id % 300 || 'Z/Y' || id % 200 || 'Q2V2.1(4-PIN)') AS n FROM l)),
+p AS (SELECT b.*, floor(2000.0::DOUBLE * len(list_intersect(x.gr, y.gr)) / (len(x.gr) + len(y.gr)) + 0.5) / 1000 AS similarity FROM b JOIN g x ON x.id = b.a JOIN g y ON y.id = b.b),
 r AS (SELECT *, row_number() OVER (PARTITION BY a, sb ORDER BY similarity DESC, b) AS ra, row_number() OVER (PARTITION BY b, sa ORDER BY similarity DESC, a) AS rb FROM p) SELECT a, b, similarity FROM r WHERE (ra <= 2 OR rb <= 2) AND similarity >= 0.2""")
 def dice_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _listings(spark, sf_dir).withColumn("tokens", F.array(F.concat_ws(" ", "p_name", "p_type"))).withColumn("grams", keys.trigrams(F.lower(F.concat("p_name", "p_type", "p_brand"))))
+    rows = _named(spark, sf_dir).withColumn("whole", keys.normal_name(F.col("name")))
+    rows = graph.cut(rows.withColumn("grams", keys.trigrams(F.col("whole"))).select("id", "store", "maker", "tokens", "grams"))
     return matching.mutual_best(matching.token_pairs(rows), rows.select("id", "store", "grams"))
 
 

@@ -69,12 +69,15 @@ def offer_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Presence of offers over the runs in which their product was present: run numbers are counted within the product."""
     from pyspark.sql import Window
 
-    x = price_stream(spark, sf_dir)
-    runs = x.select("part", "run").distinct().withColumn("k", F.row_number().over(Window.partitionBy("part").orderBy("run"))).withColumn("last", F.count("*").over(Window.partitionBy("part")).cast("int"))
-    seen = x.select("part", "offer", "run").distinct().join(runs, ["part", "run"])
-    last = seen.select("part", "last").distinct()
-    points = changepoints.presence_points(seen, ["part", "offer"], "k", 1 << 30).join(last, "part")
-    return points.where("present or k <= last").select("part", "offer", "k", "present")
+    # one shuffle by part: its runs are numbered by a dense rank, and the last of them is known beside each row
+    x = price_stream(spark, sf_dir).select("part", "offer", "run").repartition("part")
+    seen = x.distinct().withColumn("k", F.dense_rank().over(Window.partitionBy("part").orderBy("run")))
+    seen = seen.withColumn("last", F.max("k").over(Window.partitionBy("part")))
+    w = Window.partitionBy("part", "offer").orderBy("k")
+    rows = seen.select("part", "offer", "k", "last", F.lag("k").over(w).alias("before"), F.lead("k").over(w).alias("next"))
+    start = F.when(F.col("before").isNull() | (F.col("before") + 1 < F.col("k")), F.struct("k", F.lit(True).alias("present")))
+    end = F.when((F.coalesce("next", F.col("last") + 1) > F.col("k") + 1) & (F.col("k") < F.col("last")), F.struct((F.col("k") + 1).alias("k"), F.lit(False).alias("present")))
+    return rows.select("part", "offer", F.explode(F.array_compact(F.array(start, end))).alias("p")).select("part", "offer", "p.*")
 
 
 @query("series_invariants", """SELECT conv_id, count(*) FILTER (WHERE prev >= turn) AS n_broken, count(*) AS n_rows FROM (SELECT *, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations) GROUP BY conv_id""")
@@ -86,9 +89,7 @@ def series_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("state_asof", f"WITH {EVENTS_SQL} SELECT user_id, arg_max(event_type, (t, event_id)) AS event_type, max(t) AS t FROM e WHERE t <= {MID_MS} GROUP BY user_id")
 def state_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = changepoints.change_points(event_stream(spark, sf_dir), ["user_id"], "t", ["event_type"], ["event_id"])
-    out = asof.state_at(event_stream(spark, sf_dir), ["user_id"], "t", ["event_id", "event_type"], F.lit(MID_MS)).drop("event_id")
-    return out.join(points.select("user_id").distinct(), "user_id", "left_semi")
+    return asof.state_at(event_stream(spark, sf_dir), ["user_id"], "t", ["event_id", "event_type"], F.lit(MID_MS)).drop("event_id")
 
 
 @query("asof_two_series", f"""WITH {EVENTS_SQL}, v AS (SELECT * FROM e WHERE event_type = 'purchase'), k AS (SELECT user_id, t, max(cents) AS cents FROM e WHERE event_type = 'view' GROUP BY user_id, t)
@@ -184,9 +185,9 @@ def stock_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.steps(rows, ["user_id"], "t", "cents", F.lit(MID_MS - 7 * DAY_MS), F.lit(MID_MS), ["event_id"])
 
 
-@query("tail_points", f"""WITH {EVENTS_SQL} SELECT event_id, user_id, t, total FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS total, row_number() OVER (PARTITION BY user_id ORDER BY t DESC, event_id DESC) AS n FROM e) WHERE n <= 20""")
+@query("tail_points", f"""WITH {EVENTS_SQL} SELECT event_id, user_id, t, total FROM (SELECT *, count(*) OVER (PARTITION BY user_id) AS total, row_number() OVER (PARTITION BY user_id ORDER BY t DESC, event_id DESC) AS n FROM e) WHERE n <= 730""")
 def tail_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return series.tail(event_stream(spark, sf_dir), ["user_id"], "t", 20, ["event_id"]).select("event_id", "user_id", "t", "total")
+    return series.tail(event_stream(spark, sf_dir), ["user_id"], "t", series.TAIL, ["event_id"]).select("event_id", "user_id", "t", "total")
 
 
 @query("last_non_null", f"""WITH {EVENTS_SQL} SELECT user_id, coalesce(arg_max(event_type, (t, event_id)) FILTER (WHERE event_type <> 'error'), 'unknown') AS last_known, max(t) AS latest FROM e GROUP BY user_id""")

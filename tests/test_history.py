@@ -64,6 +64,41 @@ def test_bad_snapshots_are_kept_out(spark, tmp_path, load):
     assert state.read("runs").count() == 1 and state.read("rejected").count() == 2
 
 
+def test_an_import_writes_its_own_files_only_and_a_cut_off_one_changes_nothing(spark, tmp_path, load):
+    state = history.State.acquire(spark, str(tmp_path / "s"), bootstrap=True)
+    files = lambda: {p: p.stat().st_mtime_ns for p in (tmp_path / "s").rglob("*.parquet")}
+    sizes, seen = [], {}
+    for day in range(1, 5):
+        assert history.import_snapshot(state, load(snapshot(day, {"a": day} | {f"p{i}": i for i in range(9)}))).outcome == "ok"
+        now = files()
+        assert all(now[p] == at for p, at in seen.items())  # older files are never touched
+        sizes.append(sum(p.stat().st_size for p in now if p not in seen))
+        seen = now
+    assert max(sizes) < 1.5 * min(sizes)
+    with pytest.raises(ValueError, match="already"):
+        history.State.acquire(spark, str(tmp_path / "s"), bootstrap=True)
+    with pytest.raises(ValueError, match="no state"):
+        history.State.acquire(spark, str(tmp_path / "none"))
+    (tmp_path / "s" / "manifests" / "00000009.json").write_text('{"format": 2, "ver')  # a run that was cut off
+    assert history.State.acquire(spark, str(tmp_path / "s")).manifest()["version"] == 4 and state.read("runs").count() == 4
+
+
+def test_an_older_format_is_brought_up_to_date_and_a_newer_one_refused(spark, tmp_path, load):
+    state = history.State(spark, str(tmp_path / "m"))
+    for day in (1, 2):
+        history.import_snapshot(state, load(snapshot(day, {"a": 1, "b": 2})))
+    path = tmp_path / "m" / "manifests"
+    m = state.manifest()
+    for t in ("parts", "rows"):
+        m[t].pop("offers")
+    (path / "00000003.json").write_text(json.dumps(m | {"format": 1, "version": 3}))
+    assert state.migrate() == (1, 2)
+    assert sorted(map(tuple, state.read("offers").select("product", "first_seen", "last_seen").collect())) == [(k, 1_767_225_600_000, 1_767_312_000_000) for k in "ab"]
+    (path / "00000099.json").write_text(json.dumps(m | {"format": 9}))
+    with pytest.raises(ValueError, match="newer"):
+        state.manifest()
+
+
 def test_shapes_normalize(spark, tmp_path):
     item = {"listing": {"salesCode": "123", "name": " A ", "prices": [{"amountYen": 100, "display": "100", "quantityUnit": "1個", "taxIncluded": True}], "stock": {"status": "在庫 5", "availableQuantity": 5, "purchasable": True}}}
     item["catalogue"] = {"handle": "h", "productId": 1, "title": "T", "variants": [{"variantId": 2, "sku": "S2", "priceYen": 5, "available": False, "position": 2}, {"variantId": 1, "sku": "S1", "priceYen": 4, "compareAtPriceYen": 6, "available": True, "position": 1}]}

@@ -70,7 +70,30 @@ def test_dictionary_round_trip_and_shards(spark):
     assert sorted(map(tuple, publication.decode(rows, table, ["a", "b"]).select("a", "b").collect())) == sorted(map(tuple, rel.collect()))
     got = publication.shards(rel, 2).collect()
     assert len({r.shard for r in got if r.component == "a"}) == 1 and {r.shard for r in got} == {0, 1}
-    assert {r.shard for r in publication.shards(rel, 2, most=0).collect()} <= {0, 1}
+    chain = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(60) if i % 7 and i % 5], "a string, b string")
+    got = publication.shards(chain, 3).collect()
+    assert len({(r.component, r.shard) for r in got}) == len({r.component for r in got}) and {r.shard for r in got} == {0, 1, 2}
+
+
+def test_shards_are_filled_like_the_heaviest_first():
+    import random
+
+    from epochal.operators import graph
+
+    rng = random.Random(5)
+    for _ in range(200):
+        counts = {rng.randrange(1, 40): rng.randrange(1, 30) for _ in range(rng.randrange(1, 8))}
+        n = rng.randrange(1, 9)
+        load = [0] * n
+        for w in sorted(counts, reverse=True):
+            for _ in range(counts[w]):
+                load[min(range(n), key=lambda j: (load[j], j))] += w
+        got = [0] * n
+        for w, spots in graph.fill_shards(counts, n).items():
+            assert sum(k for _, k, _ in spots) == counts[w]
+            for _, k, i in spots:
+                got[i] += k * w
+        assert sorted(got) == sorted(load)
 
 
 def test_dataset_checks(spark):
