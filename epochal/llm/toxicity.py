@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,6 +28,8 @@ SURE = 0.7
 ENDS, GOES_ON = 1, 2
 STEM_CHARS = range(4, 9)
 SLOTS = 1 << 20
+#: States of the automata that are kept (about a kilobyte each), and words whose term is remembered.
+STATES, KNOWN = 20_000, 200_000
 #: Words on either side that a hit is judged by.
 WINDOW = 6
 QUOTED = 0.4
@@ -76,7 +79,7 @@ class Lexicon:
     def find(self, word: str) -> tuple[str, bool, int] | None:
         """(term, whole, misspelt) that a lower-case word stands for; misspelt is False, ENDS or GOES_ON."""
         if word not in self.known:
-            if len(self.known) > 300_000:
+            if len(self.known) > KNOWN:
                 self.known.clear()
             self.known[word] = self._find(word)
         return self.known[word]
@@ -146,7 +149,7 @@ class Lexicon:
                     if c in self.children[m]:
                         then.add((self.children[m][c], 1, ""))
                         then.add((self.children[m][c], 1, x))
-        if len(self.states) > 100_000:
+        if len(self.states) > STATES:
             self._forget()
         state[0][c] = out = self._state(frozenset(then))
         return out
@@ -204,12 +207,12 @@ def _candidates(words: set[str]) -> set[tuple[str, bool]]:
     return out
 
 
-def _without_copies(rows: list[set[str]], size: int = 16) -> list[set[str]]:
+def _without_copies(rows: list[array], names: list[str], size: int = 16) -> list[array]:
     """Rows without those that share half of their smallest word digests with an earlier one: a word of one text and its copies is no vocabulary."""
     index: dict[int, list[int]] = {}
     kept = []
     for w in rows:
-        small = sorted(zlib.crc32(x.encode()) for x in w)[:size]
+        small = sorted(zlib.crc32(names[i].encode()) for i in w)[:size]
         shared = Counter(i for x in small for i in index.get(x, ()))
         if small and max(shared.values(), default=0) * 2 < len(small):
             for x in small:
@@ -219,26 +222,32 @@ def _without_copies(rows: list[set[str]], size: int = 16) -> list[set[str]]:
 
 
 def learn(rows: list[tuple[str, int]]) -> Lexicon:
-    """Terms that occur in toxic rows and hardly ever in clean ones, taken greedily while each still explains toxic rows that few earlier terms do."""
-    one: dict[str, str] = {}  # a string for each word, however many rows hold it
-    split = {k: [{one.setdefault(w, w) for w in _WORD.findall(t.lower())} for t in dict.fromkeys(t for t, y in rows if y == k)] for k in (0, 1)}
-    toxic, clean = _without_copies(split[1]), split[0]
+    """Terms that occur in toxic rows and hardly ever in clean ones, taken greedily while each still explains toxic rows that few earlier terms do.
+
+    Rows are held as numbers of their distinct words, so that memory grows with the vocabulary and four bytes for each word of a row.
+    """
+    number: dict[str, int] = {}
+    split = {k: [array("I", sorted({number.setdefault(w, len(number)) for w in _WORD.findall(t.lower())})) for t in dict.fromkeys(t for t, y in rows if y == k)] for k in (0, 1)}
+    names = list(number)
+    del number
+    toxic, clean = _without_copies(split[1], names), split[0]
+    candidates = lambda row: _candidates({names[i] for i in row})
     least = max(LEAST_ROWS, LEAST_SHARE * len(toxic))
     rough = [0] * SLOTS  # candidates share slots, so a slot says at most how often each of them occurs; only those that may be common are counted one by one
     for w in toxic:
-        for c in _candidates(w):
+        for c in candidates(w):
             rough[hash(c) % SLOTS] += 1
     count: Counter = Counter()
     for w in toxic:
-        count.update(c for c in _candidates(w) if rough[hash(c) % SLOTS] >= least)
+        count.update(c for c in candidates(w) if rough[hash(c) % SLOTS] >= least)
     count = Counter({c: n for c, n in count.items() if n >= least})
     against: Counter = Counter()
     for w in clean:
-        against.update(_candidates(w) & count.keys())
+        against.update(candidates(w) & count.keys())
     good = {c for c in count if against[c] <= CLEAN_SHARE * len(clean)}
     holds: dict[tuple[str, bool], set[int]] = {c: set() for c in good}
     for i, w in enumerate(toxic):
-        for c in _candidates(w) & good:
+        for c in candidates(w) & good:
             holds[c].add(i)
     share = len(toxic) / max(len(clean), 1)
     need = [COVER] * len(toxic)
@@ -261,15 +270,14 @@ def learn(rows: list[tuple[str, int]]) -> Lexicon:
     first = Lexicon(terms)
     wrong: Counter = Counter()
     right: Counter = Counter()
-    near: dict[str, set] = {}
+    near: dict[int, tuple] = {}
+    for i in sorted(range(len(names)), key=names.__getitem__):  # words that begin alike share states
+        if not first.exact(names[i]) and (found := first.near(names[i])):
+            near[i] = tuple(found)
     for group, tally in ((clean, wrong), (toxic, right)):
         for w in group:
-            own = set()
-            for x in w:
-                if x not in near:
-                    near[x] = set() if first.exact(x) else first.near(x)
-                own |= near[x]
-            tally.update(own)
+            tally.update({x for i in w if i in near for x in near[i]})
+    del names
     texts = {k: list(dict.fromkeys(t for t, y in rows if y == k)) for k in (0, 1)}
     logs: dict[tuple[tuple[str, bool], int], list[float]] = {}
     mixed = {c for c in terms if against[c]}
