@@ -71,7 +71,7 @@ def test_greedy_cover_and_rotation(spark):
     keys = spark.createDataFrame([(f"k{i}",) for i in range(40)], "key string")
     slices = [graph.rotation_slice(keys, "key", r, 5, 100) for r in range(5)]
     assert sum(s.count() for s in slices) == 40
-    assert graph.least_loaded([(5, "x"), (4, "y"), (3, "z")], 2) == {"x": 0, "y": 1, "z": 1}
+    assert graph.fill_shards({5: 1, 4: 1, 3: 1}, 2) == {5: [(0, 1, 0)], 4: [(0, 1, 1)], 3: [(0, 1, 1)]}
 
 
 def test_pairs_stay_within_blocks_and_makers(spark):
