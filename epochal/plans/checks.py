@@ -190,3 +190,36 @@ def id_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = F.when(d % 6 == 0, t).when(d % 6 == 1, F.concat(F.lit("0"), t)).when(d % 6 == 2, F.concat(F.lit("AB-"), t)).when(d % 6 == 3, F.concat(F.lit("AB--"), t)).when(d % 6 == 4, F.concat(F.lit("《お取り寄せ商品》"), t)).otherwise(F.coalesce(F.substring("text", 1, 9), F.lit("")))
     rows = table(spark, sf_dir, "documents").select("doc_id", w.alias("w"))
     return rows.select("doc_id", F.col("w").rlike(rawchecks.API_ID).alias("api"), F.col("w").rlike(rawchecks.CATEGORY_CODE).alias("category"), F.col("w").rlike(rawchecks.SALES_CODE).alias("sales"), rawchecks.shows_count(F.col("w")).alias("counted"))
+
+
+@query("price_lines", """WITH b AS (SELECT p_partkey AS n, p_size AS s, CAST(floor(p_retailprice) AS BIGINT) AS y FROM part), l AS (SELECT n, 0 AS pos, 1::BIGINT AS least, '個' AS unit, '単価' AS label, s::BIGINT AS amount FROM b WHERE n % 7 <> 0 AND n % 11 <> 0
+UNION ALL SELECT n, 1, 10, '個', '10個以上単価', y FROM b WHERE n % 7 <> 0 AND n % 11 <> 0 UNION ALL SELECT n, 0, NULL, NULL, '価格お見積り', NULL FROM b WHERE n % 7 = 0 AND n % 11 <> 0) SELECT n AS p_partkey, pos, least, unit, label, amount FROM l UNION ALL SELECT n, NULL, NULL, NULL, 'unreadable', NULL FROM b WHERE n % 11 = 0""")
+def price_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Price blocks as a shop prints them, read line by line; a block with any other text is unreadable as a whole."""
+    from ..sources import html
+
+    n = F.col("p_partkey")
+    whole = F.concat(F.lit("<p>【数量1個〜】単価&nbsp;¥"), F.col("p_size").cast("string"), F.lit("<br>\n【数量10個〜】10個以上単価&nbsp;&yen;"), F.format_number(F.floor("p_retailprice"), 0), F.lit("<br /></p>"))
+    block = F.when(n % 11 == 0, F.concat(whole, F.lit("new"))).when(n % 7 == 0, "価格お見積り&nbsp;¥0<br>").otherwise(whole)
+    rows = table(spark, sf_dir, "part").select("p_partkey", html.price_lines(block).alias("lines"))
+    read = rows.select("p_partkey", F.posexplode("lines").alias("pos", "x")).select("p_partkey", "pos", "x.*")
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("pos", "int"), ("least", "bigint"), ("unit", "string"))]
+    return read.unionByName(rows.where("lines is null").select("p_partkey", *none, F.lit("unreadable").alias("label"), F.lit(None).cast("bigint").alias("amount")))
+
+
+@query("stock_card_items", """WITH b AS (SELECT p_partkey AS n, p_name, p_size, CAST(floor(p_retailprice) AS BIGINT) AS y FROM part) SELECT n % 10 AS page, CASE WHEN n % 13 = 0 THEN (n + 1)::VARCHAR ELSE n::VARCHAR END AS code, p_name || ' & more' AS name, CASE WHEN n % 3 = 0 THEN NULL ELSE 'M-' || n END AS model, CASE WHEN n % 5 = 0 THEN NULL ELSE y END AS price,
+CASE WHEN n % 4 = 0 THEN NULL ELSE p_size END::BIGINT AS quantity, CASE WHEN n % 6 = 0 THEN '' ELSE '在庫 / あり' END AS status, concat_ws('; ', CASE WHEN n % 17 = 0 AND n % 13 <> 0 THEN 'unusable code text' END, CASE WHEN n % 13 = 0 THEN 'code disagrees with link' END, CASE WHEN n % 5 = 0 THEN 'no price' END, CASE WHEN n % 6 = 0 THEN 'no stock status' END) AS issues FROM b""")
+def stock_card_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listing pages of cards, ten of all parts; what a card lacks is an issue of its row."""
+    from ..sources import stockpages
+
+    n = F.col("p_partkey")
+    t = n.cast("string")
+    card = F.concat(
+        F.lit('<div class="block-cart-i--item"><div class="block-cart-i--goods-name"> <a href="/catalog/g/g'), t, F.lit('/" data-category="x">'), "p_name", F.lit(' &amp; more</a></div><div class="block-cart-i--code"><strong>c</strong> '), F.when(n % 13 == 0, (n + 1).cast("string")).when(n % 17 == 0, "??").otherwise(t),
+        F.lit("</div>"), F.when(n % 3 != 0, F.concat(F.lit('<div class="block-cart-i--model_number"><strong>m</strong> M-'), t, F.lit("</div>"))).otherwise(""), F.when(n % 5 != 0, F.concat(F.lit('<div class="block-cart-i--price price">¥'), F.format_number(F.floor("p_retailprice"), 0), F.lit("(税込)</div>"))).otherwise(""),
+        F.when(n % 4 != 0, F.concat(F.lit('<dl class="block-cart-i--available_purchase"><dt>n</dt><dd>'), F.col("p_size").cast("string"), F.lit(" sets</dd></dl>"))).otherwise(""), F.when(n % 6 != 0, '<div class="block-cart-i--stock-info-a">在庫</div><div class="block-cart-i--stock-info-b"> <b>あり</b></div>').otherwise(""), F.lit("</div>"),
+    )
+    pages = table(spark, sf_dir, "part").groupBy((n % 10).alias("page")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(n.alias("n"), card.alias("c")))), lambda x: x["c"]), "").alias("html"))
+    items = stockpages.listing_items(pages.withColumn("html", F.concat(F.lit("<h1>list</h1>"), "html")), "page", "html")
+    return items.select("page", "code", "name", "model", "price", "quantity", "status", F.array_join("issues", "; ").alias("issues"))
