@@ -223,3 +223,31 @@ def stock_card_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "part").groupBy((n % 10).alias("page")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(n.alias("n"), card.alias("c")))), lambda x: x["c"]), "").alias("html"))
     items = stockpages.listing_items(pages.withColumn("html", F.concat(F.lit("<h1>list</h1>"), "html")), "page", "html")
     return items.select("page", "code", "name", "model", "price", "quantity", "status", F.array_join("issues", "; ").alias("issues"))
+
+
+@query("normalized_products", """WITH b AS (SELECT p_partkey AS n, p_name, p_size, CASE WHEN p_partkey % 9 = 0 THEN 0 WHEN p_partkey % 9 = 1 THEN 99999999 ELSE CAST(floor(p_retailprice) AS BIGINT) END AS y, p_size % 5 * 3 AS stock FROM part)
+SELECT 'api' AS shape, n::VARCHAR AS product, p_name AS name, CASE WHEN n % 4 = 0 THEN NULL ELSE 'M-' || n END AS model, CASE WHEN n % 9 < 2 THEN 'unavailable' ELSE 'exact' END AS price, CASE WHEN n % 9 >= 2 THEN y END AS low, CASE WHEN n % 6 = 0 THEN 'discontinued' WHEN stock > 0 THEN 'in_stock' WHEN n % 6 = 1 THEN 'preparing' ELSE 'out_of_stock' END AS state, stock::BIGINT AS quantity FROM b
+UNION ALL SELECT 'listing', n::VARCHAR, p_name, CASE WHEN n % 4 = 0 THEN NULL ELSE 'M-' || n END, CASE WHEN n % 8 = 0 THEN 'unavailable' ELSE 'exact' END, CASE WHEN n % 8 <> 0 THEN y END,
+CASE n % 6 WHEN 0 THEN 'discontinued' WHEN 1 THEN CASE WHEN n % 2 = 1 THEN 'restocking' END WHEN 2 THEN 'out_of_stock' WHEN 3 THEN 'in_stock' WHEN 4 THEN 'unknown' ELSE 'in_stock' END, CASE WHEN n % 7 <> 0 THEN stock END FROM b""")
+def normalized_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of two shapes as products: sentinel prices, stock words beside the cart, counts of the shop's own."""
+    from ..operators import normalize
+
+    n = F.col("p_partkey")
+    t = n.cast("string")
+    price = F.when(n % 9 == 0, 0).when(n % 9 == 1, 99_999_999).otherwise(F.floor("p_retailprice")).cast("long")
+    stock = (F.col("p_size") % 5 * 3).cast("long")
+    model = F.when(n % 4 != 0, F.concat(F.lit("M-"), t)).otherwise("")
+    word = F.when(n % 6 == 0, "終了品").when(n % 6 == 1, "販売予定品").otherwise("通常品")
+    api = F.struct(n.alias("id"), F.concat(F.lit(" "), "p_name").alias("name"), model.alias("model"), price.alias("price"), stock.alias("stock"), F.struct(word.alias("name")).alias("status"))
+    said = F.when(n % 6 == 0, "販売終了").when(n % 6 == 1, "入荷予定").when(n % 6 == 2, "納期未定").when(n % 6 == 4, "").otherwise("在庫あり")
+    one = F.struct(F.when(n % 8 != 0, price).alias("amountYen"), F.lit("1個").alias("quantityUnit"), F.lit(True).alias("taxIncluded"))
+    listing = F.struct(t.alias("salesCode"), model.alias("modelNumber"), F.col("p_name").alias("name"), F.lit("").alias("category"), F.lit("/").alias("url"), F.array(one).alias("prices"), F.struct(said.alias("status"), F.when(n % 7 != 0, stock).alias("availableQuantity"), (n % 2 == 1).alias("purchasable")).alias("stock"))
+    p = table(spark, sf_dir, "part").select(api.alias("api"), listing.alias("listing"))
+    out = None
+    for shape, made in (("api", normalize.of_api(F.col("api"))), ("listing", normalize.of_listing(F.col("listing")))):
+        x = p.select(made.alias("p")).select("p", F.col("p.offers")[0].alias("o"))
+        quote = F.col("o.priceQuotes")[0]
+        rows = x.select(F.lit(shape).alias("shape"), F.col("p.externalProductId").alias("product"), F.col("p.metadata.name").alias("name"), F.col("p.metadata.modelNumber").alias("model"), quote["state"].alias("price"), quote["minAmountMinor"].alias("low"), F.col("o.availability.state").alias("state"), F.col("o.availability.quantity").alias("quantity"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
