@@ -251,3 +251,15 @@ def normalized_products(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = x.select(F.lit(shape).alias("shape"), F.col("p.externalProductId").alias("product"), F.col("p.metadata.name").alias("name"), F.col("p.metadata.modelNumber").alias("model"), quote["state"].alias("price"), quote["minAmountMinor"].alias("low"), F.col("o.availability.state").alias("state"), F.col("o.availability.quantity").alias("quantity"))
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+@query("dictionary_codes", """WITH s AS (SELECT s, row_number() OVER (ORDER BY count(*) DESC, s) - 1 AS i FROM (SELECT p_brand AS s FROM part UNION ALL SELECT p_type FROM part UNION ALL SELECT p_name FROM part) GROUP BY s)
+SELECT p_partkey, b.i AS p_brand_i, t.i AS p_type_i, n.i AS p_name_i, p_brand, p_type, p_name FROM part JOIN s b ON b.s = p_brand JOIN s t ON t.s = p_type JOIN s n ON n.s = p_name""")
+def dictionary_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strings as indexes by falling frequency, and the strings that the indexes give back."""
+    from ..operators import publication
+
+    columns = ["p_brand", "p_type", "p_name"]
+    rows, strings = publication.encode(table(spark, sf_dir, "part").select("p_partkey", *columns), columns)
+    codes = rows.select("p_partkey", *[f"{c}_i" for c in columns])
+    return codes.join(publication.decode(rows, strings, columns), "p_partkey")
