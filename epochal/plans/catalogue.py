@@ -211,7 +211,11 @@ def set_cover_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.cover_gains(m, m.where("s = 0").select("p"), m.groupBy("s").agg(F.count("*").alias("cost")), "s", "p")
 
 
-@query("set_cover_plan")
+@query("set_cover_plan", """WITH RECURSIVE c AS (SELECT l_suppkey AS s, CAST(count(*) AS DOUBLE) AS cost FROM lineitem GROUP BY 1),
+r AS (SELECT 0 AS round, s, p, CAST(NULL AS BIGINT) AS pick, CAST(NULL AS BIGINT) AS gain FROM (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem WHERE l_suppkey IS NOT NULL AND l_partkey IS NOT NULL UNION ALL SELECT NULL, NULL)
+UNION ALL SELECT r.round + 1, r.s, r.p, b.s, b.gain FROM r, (SELECT g.s, g.gain FROM (SELECT s, count(*) AS gain FROM r WHERE s IS NOT NULL GROUP BY s) g JOIN c ON c.s = g.s ORDER BY g.s % 2 = 0 DESC, g.gain / cost DESC, g.gain DESC, g.s LIMIT 1) b
+WHERE r.s IS NULL OR r.p NOT IN (SELECT x.p FROM r x WHERE x.s = b.s))
+SELECT round, pick AS s, gain FROM r WHERE s IS NULL AND round > 0""")
 def set_cover_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers in the order to read them in until all parts are covered; those of even numbers stand for the stable listings."""
     m = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p"))
@@ -314,17 +318,22 @@ def hash_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "region").join(n, "r_regionkey").select("r_regionkey", keys.version_of(F.col("r_name"), names).alias("version"))
 
 
-@query("canonical_hash")
+@query("canonical_hash", """SELECT event_id, sha256('{' || array_to_string([to_json(k)::VARCHAR || ':' || json_extract(props, '$."' || k || '"')::VARCHAR FOR k IN list_sort(json_keys(props))], ',') || '}') AS hash FROM events""")
 def canonical_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.sha2(keys.canonical_json(F.col("props")), 256).alias("hash"))
 
 
-@query("name_normal_forms")
+@query("name_normal_forms", r"""WITH p AS (SELECT *, lower(replace(p_name, ' ', '-')) AS handle, upper(concat_ws(' ', replace(p_brand, '#', '-'), p_size || 'mm/' || p_type || p_size)) AS model FROM part),
+w AS (SELECT p_partkey, regexp_extract_all(model, '[A-Z0-9+./-]+') AS runs FROM p), a AS (SELECT p_partkey, list_concat(runs, flatten([string_split(x, '/') FOR x IN runs IF contains(x, '/')])) AS words FROM w),
+t AS (SELECT p_partkey, [x FOR x IN words IF length(x) >= 4 AND regexp_matches(x, '[A-Z]') AND regexp_matches(x, '[0-9]') AND NOT regexp_full_match(x, '[0-9]+MM')] AS tokens FROM a)
+SELECT p_partkey, upper(regexp_replace(trim(p_name), '\s+', ' ', 'g')) AS name, upper(regexp_replace(p_brand, '\s+', '', 'g')) AS code, 'h-' || replace(replace(url_encode(handle), '_', '%5F'), '%', '_') AS page_key, handle, array_to_string(tokens, '|') AS tokens FROM p JOIN t USING (p_partkey)""")
 def name_normal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names, codes and page keys in normal form, and the model-like words of brand, size and type."""
     p = table(spark, sf_dir, "part")
     handle = F.regexp_replace(F.lower("p_name"), " ", "-")
     key = keys.page_key_of_handle(handle)
-    return p.select("p_partkey", keys.normal_name(F.col("p_name")).alias("name"), keys.normal_code(F.col("p_brand")).alias("code"), key.alias("page_key"), keys.handle_of_page_key(key).alias("handle"), F.array_join(keys.words_with_digits(F.upper("p_brand")), "|").alias("tokens"))
+    model = F.upper(F.concat_ws(" ", F.replace("p_brand", F.lit("#"), F.lit("-")), F.concat("p_size", F.lit("mm/"), "p_type", "p_size")))
+    return p.select("p_partkey", keys.normal_name(F.col("p_name")).alias("name"), keys.normal_code(F.col("p_brand")).alias("code"), key.alias("page_key"), keys.handle_of_page_key(key).alias("handle"), F.array_join(keys.words_with_digits(model), "|").alias("tokens"))
 
 
 @query("crawl_alert_actions", """WITH s AS (SELECT o_custkey AS store, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS last FROM orders GROUP BY 1), v AS (SELECT store, CASE last WHEN 'F' THEN 'alert' WHEN 'O' THEN 'observed' ELSE 'not_attempted' END AS verdict FROM s),
