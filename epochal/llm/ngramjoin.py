@@ -373,3 +373,4 @@ e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE
 r AS (SELECT doc_id, doc_id AS c FROM w UNION SELECT r.doc_id, e.y FROM r JOIN e ON e.x = r.c)
 SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, m.c AS component_id FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id) m USING (doc_id)
 """
+LINKS_SQL = SQL.replace("m.c AS component_id FROM w", "m.c AS component_id, (SELECT count(*) FROM e WHERE e.x = w.doc_id) AS n_links FROM w")

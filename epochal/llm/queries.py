@@ -26,4 +26,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substrings": substrings.SQL, "op4_mixing": mixing.SQL, "op7_topk": topk.SQL, "op8_linededup": linededup.SQL, "op9_ngramjoin": ngramjoin.SQL}
+    return {
+        "op1_substrings": substrings.SQL,
+        "op4_mixing": mixing.SQL,
+        "op7_topk": topk.SQL,
+        "op8_linededup": linededup.SQL,
+        "op9_ngramjoin": ngramjoin.SQL,
+        "op9_ngramjoin_links": ngramjoin.LINKS_SQL,
+    }
