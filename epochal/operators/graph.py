@@ -13,11 +13,17 @@ from ..functions.keys import fnv1a
 COLLECTED = 1_000_000
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the folder that the cluster shares for checkpoints; sets one only where none is named."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares for checkpoints; sets one only where none is named."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cuts lineage in the folder that the cluster shares."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

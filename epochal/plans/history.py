@@ -139,11 +139,14 @@ def primary_prices(obs: DataFrame) -> DataFrame:
 
 
 def import_snapshot(state: State, snapshot: DataFrame) -> Report:
-    """Validates one snapshot against the latest run of its shop and adds its observations; one that fails is kept out and noted."""
+    """Validates one snapshot against the latest run of its shop and adds its observations; one that fails is kept out and noted.
+
+    A large snapshot may come as several rows, each with some of its products.
+    """
     report = Report()
     spark = state.spark
     obs, stock = S.observations(snapshot), S.stock_observations(snapshot)
-    run = snapshot.select(F.col("storeId").alias("store"), S_time().alias("t"), "normalizedHash")
+    run = snapshot.select(F.col("storeId").alias("store"), S_time().alias("t"), "normalizedHash").distinct()
     this = run.first()
     known = [r for r in (state.manifest() or {"runs": []})["runs"] if r["store"] == this.store]
     if same := next((r for r in known if r["t"] == this.t), None):

@@ -60,3 +60,9 @@ def upsert_into(path: str, key: list[str], t: str) -> Callable[[DataFrame, int],
 def series(observations: DataFrame, key: list[str], t: str, state: list[str]) -> DataFrame:
     """Change points of all batches written by upsert_into."""
     return change_points(observations.dropDuplicates([*key, t]), key, t, state)
+
+
+def settled(found: DataFrame, key: list[str], t: str) -> DataFrame:
+    """The change points that stand after all batches written by upsert_into from updates(): the last batch that named a point says whether it is one."""
+    last = found.groupBy(*key, t).agg(F.max_by(F.struct("state", "added"), "batch").alias("__u"))
+    return last.where("__u.added").select(*key, t, "__u.state")
