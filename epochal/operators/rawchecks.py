@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import is_handle, is_safe_key
 from ..functions.money import half_up
+from ..functions.times import DAY_MS
+from .compare import eligibility
 
 # Shapes of ids, the least and most of a shop's tax rate, a listing's page and search limits, capabilities, the mark of titles without a shown count.
 SALES_CODE, API_ID, CATEGORY_CODE, SLUG = r"^\d{1,12}$", r"^[1-9]\d{0,8}$", r"^[A-Z0-9]+(-[A-Z0-9]+)*$", r"^[a-z0-9][a-z0-9-]*$"
@@ -15,6 +17,7 @@ PAGE_SIZE, SEARCH_CAP = 40, 2000
 CAPABILITIES = "supportsExactPrice supportsPriceRange supportsVariants supportsCompareAtPrice supportsTaxIncluded supportsTaxExcluded supportsAvailability supportsInventoryQuantity".split()
 ORDERED_ON_REQUEST = "《お取り寄せ商品》"
 WARN_RATIO = 0.8
+FULL_RUN_SLACK_MS = 6 * 3_600_000
 
 
 def found(rows: DataFrame, subject: str, rules: dict[str, Column]) -> DataFrame:
@@ -177,3 +180,19 @@ def repair_pick(membership: DataFrame, missing: DataFrame, read: DataFrame, page
     left = membership.join(read.select("id"), "id", "left_anti").join(missing.select("product").distinct(), "product", "left_semi").distinct()
     gains = left.groupBy("id").agg(F.count("*").alias("gain")).join(pages, "id")
     return gains.orderBy(F.col("stable").desc(), (F.col("gain") / F.col("pages")).desc(), F.col("gain").desc(), "id").limit(1).select("id", "gain", "pages", "stable")
+
+
+def crawl_choice(shops: DataFrame, planned: DataFrame, known: DataFrame, shop: str) -> DataFrame:
+    """(shop, mode, reason, listings, pages): a cover crawl where nothing speaks against it, else a full one and the first reason why; a doubt is a reason.
+
+    shops has configured, named (the caller gave the listings), families, wanted, age (milliseconds since the full run, null without one) and every_days; planned
+    is (shop, id, pages), known (shop, id) what the sitemap still has.
+    """
+    gone = planned.join(known.select(shop, "id").distinct().withColumn("__k", F.lit(True)), [shop, "id"], "left")
+    plan = gone.groupBy(shop).agg(F.count("*").alias("listings"), F.sum("pages").alias("pages"), F.count_if(F.col("__k").isNull()).alias("gone"))
+    rows = shops.join(plan, shop, "left").fillna(0, ["listings", "pages", "gone"])
+    reason = eligibility([
+        (F.col("configured"), "not configured"), (~F.col("named"), "listings given"), (F.col("families").isNotNull(), "no full run"), (F.array_sort("families") == F.array_sort("wanted"), "other families"),
+        (F.col("age") >= 0, "dated ahead"), (F.col("age") < F.col("every_days") * DAY_MS - FULL_RUN_SLACK_MS, "full run due"), (F.col("gone") == 0, "listings gone"),
+    ])
+    return rows.select(shop, F.when(reason.isNull(), "cover").otherwise("full").alias("mode"), reason.alias("reason"), "listings", "pages")

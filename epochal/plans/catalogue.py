@@ -243,7 +243,7 @@ def html_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.cleaned(table(spark, sf_dir, "pages"), "page_id", "html")
 
 
-@query("html_entities")
+@query("html_entities", """WITH t AS (SELECT page_id, replace(replace(replace(replace(replace(html, '&middot;', '·'), '&copy;', '©'), '&quot;', '"'), '&amp;', '&'), '&amp', '&') AS text FROM pages) SELECT page_id, text, length(text) AS n FROM t""")
 def html_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's whole source with its character references decoded, and its length."""
     pages = table(spark, sf_dir, "pages").select("page_id", html.decoded("html").alias("text"))

@@ -1,15 +1,19 @@
-"""Registered queries on the write path, streams, shops' pages and what is published. Parts and suppliers stand for products and pages, with faults put in at fixed keys."""
+"""Registered queries on the write path, streams, shops' pages and sitemaps, and what is published. Parts and suppliers stand for products and pages, with faults put in at fixed keys."""
 
 from __future__ import annotations
 
+import gzip
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.times import DAY_MS
-from ..operators import compare, graph, publication
-from ..sources import snapshots, stockpages
+from ..operators import compare, graph, publication, rawchecks
+from ..sources import sitemaps, snapshots, stockpages
+from ..sources.html import sitemap_locations
 from ..sources.tables import EVENTS_SQL, event_stream, table
 from ..streaming import history as streaming
 from . import history
@@ -170,3 +174,64 @@ def imported_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     prices = row(history.price_series(state), "price", F.col("product"), F.col("low"))
     present = row(history.segment_presence(state), "present", F.col("product"), F.col("present"))
     return prices.unionByName(present).unionByName(row(state.read("rejected"), "rejected", F.lit(None).cast("string"), F.lit(1)))
+
+
+@F.pandas_udf(T.BinaryType())
+def _zipped(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: gzip.compress(t.encode()))
+
+
+def _sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sitemap for each 100 parts, every other one gzipped: products, categories, genres, handles plain and escaped, and addresses that name nothing."""
+    n = F.col("p_partkey")
+    text, few = n.cast("string"), (n % 50).cast("string")
+    forms = [
+        ("/catalog/g/g", text, "/"), ("/catalog/g/gx", text, "/"), ("/catalog/c/c", few, "_p2/"), ("/catalog/r/r-", few, ""), ("/products/part-", text, ""),
+        ("/products/%E8%B5%A4+", text, "/"), ("/products/%21bad &amp; ", text, ""), ("/products/%E8%ZZ", text, ""), ("/products/%E8", text, ""),
+    ]
+    path = F.lit(None).cast("string")
+    for i, (before, value, after) in enumerate(forms):
+        path = F.when(n % len(forms) == i, F.concat(F.lit(f"https://shop.example{before}"), value, F.lit(after))).otherwise(path)
+    rows = table(spark, sf_dir, "part").select((n / 100).cast("long").alias("g"), n.alias("n"), F.concat(F.lit("<url><loc> "), path, F.lit(" </loc></url>")).alias("x"))
+    xml = F.concat(F.lit("<urlset>"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "x"))), lambda r: r["x"]), "\n"), F.lit("</urlset>"))
+    maps = rows.groupBy("g").agg(xml.alias("xml"))
+    return maps.select("g", F.when(F.col("g") % 2 == 0, _zipped("xml")).otherwise(F.col("xml").cast("binary")).alias("body"))
+
+
+@query("sitemap_addresses", """WITH r AS (SELECT CASE p_partkey % 9 WHEN 0 THEN 'product' WHEN 2 THEN 'category' WHEN 3 THEN 'genre' WHEN 4 THEN 'handle' WHEN 5 THEN 'handle' WHEN 6 THEN 'unsupported' END AS kind,
+ CASE p_partkey % 9 WHEN 0 THEN p_partkey::VARCHAR WHEN 2 THEN 'c' || p_partkey % 50 WHEN 3 THEN 'r-' || p_partkey % 50 WHEN 4 THEN 'part-' || p_partkey WHEN 5 THEN '赤+' || p_partkey WHEN 6 THEN '!bad & ' || p_partkey END AS id FROM part)
+SELECT kind, id, count(*) AS n FROM r WHERE kind IS NOT NULL GROUP BY ALL""")
+def sitemap_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    maps = _sitemaps(spark, sf_dir).select("g", sitemaps.body_text("body").alias("xml"))
+    return sitemaps.addressed(sitemap_locations(maps, "g", "xml"), "loc")
+
+
+@query("sitemap_indexes", f"""SELECT s_suppkey AS supplier, count(n_nationkey) AS maps, min('https://shop.example/m?a=' || n_nationkey || '&b=1') AS first, max(CASE WHEN n_nationkey % 3 <> 0 THEN strftime(DATE '2026-01-01' + CAST(n_nationkey + s_suppkey % 28 AS INTEGER), '%Y-%m-%d') END) AS modified
+FROM supplier JOIN nation ON n_nationkey % 5 = s_suppkey % 5 WHERE n_nationkey % 10 <> 9 GROUP BY s_suppkey""")
+def sitemap_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per supplier's index: its sub-sitemaps, the first address and the newest date; some entries have no date, some no address."""
+    k, s = F.col("n_nationkey"), F.col("s_suppkey")
+    nations = F.broadcast(table(spark, sf_dir, "nation").select("n_nationkey", (k % 5).alias("m")))  # a table of 25 rows
+    date = F.date_format(F.date_add(F.lit("2026-01-01").cast("date"), (k + s % 28).cast("int")), "yyyy-MM-dd")
+    loc = F.when(k % 10 != 9, F.concat(F.lit("<loc>https://shop.example/m?a="), k.cast("string"), F.lit("&amp;b=1</loc>"))).otherwise("")
+    entry = F.concat(F.lit("<sitemap>"), loc, F.when(k % 3 != 0, F.concat(F.lit("\n<lastmod>"), date, F.lit("</lastmod>"))).otherwise(""), F.lit("</sitemap>"))
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", (s % 5).alias("m")).join(nations, "m").groupBy(s.alias("supplier")).agg(F.array_join(F.collect_list(entry), "").alias("xml"))
+    found = sitemaps.index_entries(rows, "supplier", "xml")
+    return found.groupBy("supplier").agg(F.count("*").alias("maps"), F.min("url").alias("first")).join(sitemaps.newest(found, "supplier"), "supplier")
+
+
+@query("crawl_choices", f"""WITH p AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem WHERE l_partkey % 40 = 3), a AS (SELECT s, count(*) AS listings, sum(p % 7 + 1) AS pages, count(*) FILTER (WHERE p % 200 = 43) AS gone FROM p GROUP BY s),
+r AS (SELECT s_suppkey AS s, coalesce(listings, 0) AS listings, coalesce(pages, 0) AS pages, CASE WHEN s_suppkey % 17 = 1 THEN 'not configured' WHEN s_suppkey % 13 = 1 THEN 'listings given' WHEN s_suppkey % 11 = 1 THEN 'no full run' WHEN s_suppkey % 7 = 1 THEN 'other families'
+ WHEN s_suppkey % 9 = 0 THEN 'dated ahead' WHEN (s_suppkey % 9) * {DAY_MS // 2}::BIGINT >= 3 * {DAY_MS}::BIGINT - {rawchecks.FULL_RUN_SLACK_MS} THEN 'full run due' WHEN gone > 0 THEN 'listings gone' END AS reason FROM supplier LEFT JOIN a ON a.s = s_suppkey)
+SELECT s AS supplier, CASE WHEN reason IS NULL THEN 'cover' ELSE 'full' END AS mode, reason, listings, CAST(pages AS BIGINT) AS pages FROM r""")
+def crawl_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as shops: whether the next crawl may walk the planned listings alone, and what speaks against it."""
+    s, p = F.col("s_suppkey"), F.col("l_partkey")
+    both, one = F.array(F.lit("r"), F.lit("c")), F.array(F.lit("c"))
+    shops = table(spark, sf_dir, "supplier").select(
+        s.alias("supplier"), (s % 17 != 1).alias("configured"), (s % 13 == 1).alias("named"), F.when(s % 11 != 1, F.when(s % 7 == 1, one).otherwise(both)).alias("families"), F.array_sort(both).alias("wanted"),
+        F.when(s % 9 == 0, -1).otherwise(s % 9 * (DAY_MS // 2)).cast("long").alias("age"), F.lit(3).alias("every_days"),
+    )
+    shown = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("supplier"), p.alias("id")).distinct()
+    planned = shown.where(F.col("id") % 40 == 3).withColumn("pages", F.col("id") % 7 + 1)
+    return rawchecks.crawl_choice(shops, planned, shown.where(F.col("id") % 200 != 43), "supplier")
