@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import htmltext, linededup, mixing, ngramjoin, packing, quality, substrings, topk, toxicity, winnowing
+from . import htmltext, linededup, mixing, ngramjoin, packing, quality, repetition, resampling, spelling, substrings, topk, toxicity, winnowing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_ngramjoin": ngramjoin.op9_ngramjoin,
         "op9_ngramjoin_links": ngramjoin.op9_ngramjoin_links,
         "op10_packing": packing.op10_packing,
+        "op11_resampling": resampling.op11_resampling,
+        "op12_spelling": spelling.op12_spelling,
+        "op13_repetition": repetition.op13_repetition,
     }
 
 
