@@ -34,7 +34,7 @@ def _postings(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     row = np.repeat(np.arange(len(lengths)), lengths)
     term = np.arange(len(x)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     if len(x) and np.abs(x).max() >= 2.0**43:
-        weight = np.array([int(v) * 1024 if abs(v) >= 2.0**43 else math.floor(v * 1024) for v in x.tolist()], dtype=object)
+        weight = np.array([int(v) * 1024 if abs(v) >= 2.0**53 else math.floor(v * 1024) for v in x.tolist()], dtype=object)  # above 2^53 there is no fraction
     else:
         weight = np.floor(x * 1024).astype(np.int64)
     there = weight != 0
