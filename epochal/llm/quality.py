@@ -146,10 +146,10 @@ def fit(docs: DataFrame) -> tuple[LabelModel, np.ndarray]:
     """The label model of all documents, and the scorer's weights from the first TRAIN_ROWS by hash of doc_id. No reviewed label is used. A doc_id that rows
     repeat is trained on once, with the least of its texts."""
     model = estimate(count_patterns(docs))
-    n = docs.count()
+    n = docs.agg(F.approx_count_distinct("doc_id", 0.02)).first()[0]  # ids, not rows: a repeated id has one hash
     h = F.xxhash64("doc_id")
     ids = docs.select("doc_id", h.alias("h")).where("doc_id is not null")
-    if n > 4 * TRAIN_ROWS:  # the least hashes lie far below this bound
+    if n > 4 * TRAIN_ROWS:  # the TRAIN_ROWS least hashes of n ids lie far below this bound
         ids = ids.where(F.col("h") < int(-(2**63) + 2**64 * 4 * TRAIN_ROWS / n))
     ids = ids.distinct().orderBy("h", "doc_id").limit(TRAIN_ROWS)
 
