@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from .common import plain, table
 
 #: Labelled rows that the lexicon is learnt from, at most: the first of each class by hash of their id, as good as drawn by lot; and their bytes by class, at most.
-TOXIC_ROWS, CLEAN_ROWS, CLASS_BYTES = 2_000, 6_000, 32 << 20
+TOXIC_ROWS, CLEAN_ROWS, CLASS_BYTES, TEXT_BYTES = 2_000, 6_000, 32 << 20, 2 << 20
 #: Least share of the toxic rows (and least number) that a term must explain, the most clean rows that may hold it by share, and what each of these counts against it.
 LEAST_SHARE, LEAST_ROWS, CLEAN_SHARE, CLEAN_COST = 0.002, 4, 0.03, 3
 #: Terms that explain a row before it counts no more, and what the next one gains by those still wanted.
@@ -302,12 +302,12 @@ def learn(rows: list[tuple[str, int]]) -> Lexicon:
 
 def fit(documents: DataFrame, labels: DataFrame) -> Lexicon:
     """Learns from at most TOXIC_ROWS and CLEAN_ROWS labelled rows, the first by hash of their id, as far as they have CLASS_BYTES; rows with null labels, texts or
-    ids are left out. An id is one row, however often either table repeats it: toxic if any label says so, with the least of its texts."""
+    ids are left out, and so is a text of more than TEXT_BYTES, which says little of one word and would take the room of many. An id is one row, however often either table repeats it: toxic if any label says so, with the least of its texts."""
     train = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0))
     order = train.select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct().withColumn("h", F.xxhash64("doc_id"))
     first = order.where("toxic = 1").orderBy("h", "doc_id").limit(TOXIC_ROWS).unionAll(order.where("toxic = 0").orderBy("h", "doc_id").limit(CLEAN_ROWS))
     ids = first.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("h").alias("h"))  # at most TOXIC_ROWS + CLEAN_ROWS rows
-    rows = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where("text is not null").groupBy("doc_id", "toxic", "h").agg(F.min("text").alias("text"))
+    rows = documents.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where(F.octet_length("text") <= TEXT_BYTES).groupBy("doc_id", "toxic", "h").agg(F.min("text").alias("text"))
     so_far = F.sum(F.octet_length("text").cast("long")).over(Window.partitionBy("toxic").orderBy("h", "doc_id"))
     sample = rows.withColumn("bytes", so_far).where(F.col("bytes") <= CLASS_BYTES).select("text", "toxic").toArrow()
     return learn(sorted(zip(sample["text"].to_pylist(), sample["toxic"].to_pylist())))
@@ -332,8 +332,8 @@ def score_documents(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: whether it is held out from learning, its score and the label that it gets."""
+    """Per document: whether it is held out from learning (as one without a doc_id is), its score and the label that it gets."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = score_documents(docs, fit(docs, table(spark, sf_dir, "labels")))
-    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True))
     return out.select("doc_id", held.alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
