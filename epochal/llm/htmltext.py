@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,67 +30,99 @@ ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?
 RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|$)", re.I) for name in RAW}
 
 
+#: Names that end one of their like, up to what holds them.
+ALIKE = ((("li",), ("ul", "ol", "menu")), (("dt", "dd"), ("dl",)), (("td", "th"), ("tr", "table")), (("tr",), ("table",)), (("option",), ("select",)))
+TABLE_PARTS = frozenset("td th tr tbody thead tfoot table".split())
+
+
+def unlikely(name: str, marks: str) -> bool:
+    """Whether an element holds none of the text, by its name, or by a class, id or role that says so. One that names text alone, as `post` does, outweighs a
+    word inside another (`post with-sidebar`), but not a whole class (`post comments`); a compound that says what it is of the text goes (`post-comments`)."""
+    if name in DROPPED or name in RAW:
+        return True
+    if not marks or name in ("body", "article", "main", "html", "p", "h1") or not UNLIKELY.search(marks):
+        return False
+    own = marks.lower().split()
+    return any(UNLIKELY.fullmatch(x) for x in own) or not any(LIKELY.fullmatch(x) for x in own)
+
+
 class Node:
-    __slots__ = ("name", "parent", "children", "marks", "score", "text", "chars", "commas", "linked", "own", "bad")
+    __slots__ = ("name", "parent", "depth", "children", "marks", "score", "text", "chars", "commas", "linked", "own", "bad", "gone")
 
     def __init__(self, name: str, parent: Node | None, marks: str = "", bad: bool = False):
         self.name, self.parent, self.marks, self.bad = name, parent, marks, bad
+        self.depth, self.gone = 0 if parent is None else parent.depth + 1, unlikely(name, marks)
         self.children: list[Node | str] = []
         self.score, self.own, self.text, self.chars, self.commas, self.linked = 0.0, 0.0, 0, 0, 0, 0
 
 
+class Open:
+    """The elements that are open, by name and in order of depth: what an end tag or a new element closes is found without climbing."""
+
+    def __init__(self, root: Node):
+        self.node, self.by_name, self.walls = root, {}, [root]
+
+    def last(self, *names: str) -> Node | None:
+        """The deepest open element of these names."""
+        return max((x[-1] for n in names if (x := self.by_name.get(n))), key=lambda n: n.depth, default=None)
+
+    def enter(self, n: Node) -> None:
+        self.node = n
+        self.by_name.setdefault(n.name, []).append(n)
+        if n.name in BLOCK or n.name in DROPPED:
+            self.walls.append(n)
+
+    def close(self, x: Node) -> None:
+        """Closes x and all that is open in it."""
+        while self.node.depth >= x.depth:
+            n = self.node
+            self.by_name[n.name].pop()
+            if self.walls[-1] is n:
+                self.walls.pop()
+            self.node = n.parent
+
+
 def parse(source: str) -> Node:
-    """A forgiving tree: unknown end tags are skipped, a block ends an open paragraph, list items and cells end their like, what is open at the end is closed."""
+    """A forgiving tree: unknown end tags are skipped, a block ends an open paragraph, list items and cells end their like, what is open at the end is closed. Every
+    element is opened and closed once, whatever stands in between: time is in proportion to the page."""
     root = Node("html", None)
-    at, node = 0, root
-    size = len(source)
-    opened: Counter = Counter()  # how many elements of a name were ever opened: an end tag without one is skipped at once
+    at, size, now = 0, len(source), Open(root)
     while at < size:
         lt = source.find("<", at)
         if lt < 0:
-            node.children.append(source[at:])
+            now.node.children.append(source[at:])
             break
         if lt > at:
-            node.children.append(source[at:lt])
+            now.node.children.append(source[at:lt])
         m = TOKEN.match(source, lt)
         if not m:
-            node.children.append("<")
+            now.node.children.append("<")
             at = lt + 1
             continue
         at = m.end()
         if m[2] is None:
             if m[0].startswith("<![CDATA["):
-                node.children.append(m[0][9:].removesuffix("]]>"))
+                now.node.children.append(m[0][9:].removesuffix("]]>"))
             continue
         name = m[2].lower()
         if m[1]:
-            x = node if opened[name] else None
-            while x is not None and x.name != name:
-                if x.name in ("td", "th", "table") and name not in ("td", "th", "tr", "tbody", "thead", "tfoot", "table") and name in BLOCK | {"p"}:
-                    x = None  # an end tag from outside doesn't close a cell
-                    break
-                x = x.parent
-            if x is not None and x.parent is not None:
-                node = x.parent
+            x = now.last(name)
+            if x is not None and name not in TABLE_PARTS and (name in BLOCK or name == "p"):
+                cell = now.last("td", "th", "table")
+                x = None if cell is not None and cell.depth > x.depth else x  # an end tag from outside doesn't close a cell
+            if x is not None:
+                now.close(x)
             continue
-        if name in CLOSES_P:
-            x = node
-            while x.parent is not None and x.name not in BLOCK and x.name not in DROPPED:
-                x = x.parent
-            if x.name == "p" and x.parent is not None:
-                node = x.parent
-        for like, stop in ((("li",), ("ul", "ol", "menu")), (("dt", "dd"), ("dl",)), (("td", "th"), ("tr", "table")), (("tr",), ("table",)), (("option",), ("select",))):
-            if name in like:
-                x = node
-                while x.parent is not None and x.name not in like and x.name not in stop:
-                    x = x.parent
-                if x.name in like:
-                    node = x.parent
+        if name in CLOSES_P and now.walls[-1].name == "p":
+            now.close(now.walls[-1])
+        for like, stop in ALIKE:
+            if name in like and (x := now.last(*like, *stop)) is not None and x.name in like:
+                now.close(x)
         attrs = {a[0].lower(): a[1] or a[2] or a[3] for a in ATTR.findall(m[3])} if m[3].strip(" /") else {}
         marks = " ".join(v for k, v in attrs.items() if k in ("class", "id", "role"))
         hidden = "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()
-        new = Node(name, node, marks, hidden)
-        node.children.append(new)
+        new = Node(name, now.node, marks, hidden)
+        now.node.children.append(new)
         if name in RAW:
             end = RAW_END[name].search(source, at)
             at = end.start() if end else size
@@ -99,8 +130,7 @@ def parse(source: str) -> Node:
                 at = source.find(">", end.start()) + 1 or size
             new.bad = True
         elif name not in VOID and (name in BLOCK or not m[3].endswith("/")):
-            node = new
-            opened[name] += 1
+            now.enter(new)
     return root
 
 
@@ -130,9 +160,7 @@ def _measure(root: Node) -> list[Node]:
 
 
 def dropped(n: Node) -> bool:
-    if n.name in DROPPED or n.name in RAW:
-        return True
-    return bool(n.marks) and n.name not in ("body", "article", "main", "html", "p", "h1") and bool(UNLIKELY.search(n.marks)) and not LIKELY.search(n.marks)
+    return n.gone
 
 
 def density(n: Node) -> float:

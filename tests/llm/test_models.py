@@ -2,6 +2,7 @@
 
 import math
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -120,6 +121,19 @@ def test_training_rows_are_bounded_whatever_is_repeated(spark, monkeypatch):
     assert np.isfinite(weights).all()
 
 
+def test_one_very_long_text_does_not_empty_its_class(spark, monkeypatch):
+    rng = random.Random(3)
+    words = [f"word{i}" for i in range(50)]
+    rows = [(i, " ".join(rng.choices(words, k=12)) + (" zorgle" if i % 2 else ""), i % 2) for i in range(300)]
+    docs, labels = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    want = toxicity.fit(docs, labels)
+    monkeypatch.setattr(toxicity, "TEXT_BYTES", 5_000)
+    ids = [i for i in range(1000, 1400) if zlib.crc32(str(i).encode()) % 5][:40]
+    more = spark.createDataFrame([(i, "word1 " * 2_000) for i in ids], "doc_id long, text string")
+    got = toxicity.fit(docs.union(more), labels.union(spark.createDataFrame([(i, 1) for i in ids], "doc_id long, toxic int")))
+    assert got.score("you zorgle") == want.score("you zorgle") > 0.5 > got.score("word1 word2")
+
+
 def test_quotation_counts_less_than_address():
     lexicon = toxicity.Lexicon({("grobian", True): (0.9, 0.8, None)})
     plain, quoted, aimed = (lexicon.score(t) for t in ("what a grobian this is", 'they wrote "grobian" in the letter', "you grobian"))
@@ -198,6 +212,15 @@ def test_quality_agrees_with_reviews_it_never_saw(spark):
     assert sum(got[d] for d in good) >= 0.98 * len(good)
 
 
+@pytest.mark.parametrize("times", [1, 20])
+def test_repeated_ids_do_not_shrink_the_sample(spark, monkeypatch, times):
+    monkeypatch.setattr(quality, "TRAIN_ROWS", 50)
+    sizes, train = [], quality.train
+    monkeypatch.setattr(quality, "train", lambda rows, target: sizes.append(len(rows)) or train(rows, target))
+    quality.fit(spark.createDataFrame([(i, f"text {i} of some words, and more.") for i in range(1500) for _ in range(times)], "doc_id long, text string"))
+    assert sizes == [50]
+
+
 def test_quality_of_odd_rows(spark, odd, none):
     out = quality.score_documents(odd, *quality.fit(odd))
     assert out.count() == odd.count() and out.where("__score between 0 and 1 and __posterior between 0 and 1").count() == odd.count()
@@ -239,12 +262,43 @@ def test_bad_pages_take_time_in_proportion():
 
     def took(n):
         page = "<ul>" + "<li><ul><li>some, words" * n + "</b></i>" * n + "<b><i>" * n + "<p>end, of it"
-        start = time.perf_counter()
-        assert htmltext.extract(page).endswith("end, of it")
-        return time.perf_counter() - start
+        best = 9.0
+        for _ in range(3):
+            start = time.perf_counter()
+            assert htmltext.extract(page).endswith("end, of it")
+            best = min(best, time.perf_counter() - start)
+        return best
 
     took(100)
-    assert took(8000) < 40 * took(1000) + 0.5
+    assert took(8000) < 2.5 * took(4000) + 0.05
+
+
+@pytest.mark.parametrize("unit", ["<b></b>|<div>|</b>", "<b><div>x</div>", "<p><i>", "<td><b>", "<li><a><dd>", "<span><p>x</p>"])
+def test_unclosed_elements_take_time_in_proportion(unit):
+    import time
+
+    def took(n):
+        page = "".join(x * n for x in unit.split("|")) + "<p>end, of it"
+        best = 9.0
+        for _ in range(3):
+            start = time.perf_counter()
+            htmltext.extract(page)
+            best = min(best, time.perf_counter() - start)
+        return best
+
+    took(100)
+    assert took(16_000) < 2.5 * took(8_000) + 0.02
+
+
+@pytest.mark.parametrize("mark", ["post-comments", "comment-content", "comment-text", "article-comments", "entry-meta", "post-share", "related-content", "content-footer", "content-sidebar", "comments", "comments post", "comment post"])
+def test_what_is_said_beside_an_article_is_no_part_of_it(mark):
+    text = "<p>The article itself, with commas, and more.</p>"
+    assert htmltext.extract(f'<article>{text}<div class="{mark}"><p>Nice, very nice, I like it, thanks.</p></div>{text}</article>') == "\n".join(["The article itself, with commas, and more."] * 2)
+
+
+@pytest.mark.parametrize("mark", ["post", "post with-sidebar", "entry-content", "main-content", "content has-footer", "page story-text", "blog-post"])
+def test_what_holds_the_article_stays(mark):
+    assert htmltext.extract(f'<div class="{mark}"><p>The article itself, with commas, and more.</p></div><div class="sidebar"><p>Not this, here.</p></div>') == "The article itself, with commas, and more."
 
 
 def test_generated_pages_keep_their_articles(spark):
