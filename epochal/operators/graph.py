@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import heapq
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import fnv1a
 
-#: Rows of (group, item) that a cover's driver takes at most.
-COLLECTED = 1_000_000
+#: Links of a node that one task joins; a node with more is split. Hubs that may be broadcast.
+HUB, BROADCAST_HUBS = 100_000, 1_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -21,30 +21,61 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the one that the cluster shares; it goes when the application ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return path.toString()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the folder that the cluster shares."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """Cuts lineage: writes a table in the folder that the cluster shares, once, and reads it. A lost executor's share is read again, not made again."""
+    path = scratch(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def joined_to_least(edges: DataFrame, links: int) -> DataFrame:
+    """(u, v, m): edges (u, v), of which there are `links` at most, each with the least of u's neighbours.
+
+    A hub is split: a node of more than HUB links counts as so many nodes of at most about HUB links each, told apart by the hash of the other end, and its least
+    neighbour is repeated for each of them. How many links a node has is counted with the minimum; hubs are as many as the links divided by HUB at most.
+    """
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    found = 0
+    if links > HUB:
+        hubs = cut(least.where(F.col("n") > HUB).select("u", F.ceil(F.col("n") / HUB).cast("int").alias("k")))
+        found = hubs.count()
+    least = least.select("u", "m")
+    if not found:
+        return edges.join(least, "u")
+    hubs = F.broadcast(hubs) if found <= BROADCAST_HUBS else hubs
+    k = F.coalesce("k", F.lit(1))
+    dealt = edges.join(hubs, "u", "left").withColumn("part", F.pmod(F.xxhash64("v"), k).cast("int")).drop("k")
+    least = least.join(hubs, "u", "left").withColumn("part", F.explode(F.sequence(F.lit(0), k - 1))).drop("k")
+    return dealt.join(least, ["u", "part"]).drop("part")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): components of an undirected graph, each named by its least node.
 
     Large-star and small-star steps in turn: every node's larger, then its smaller neighbours are linked to the least one around it, until nothing changes. Both
-    are a minimum (combined before the shuffle) and a join back, whose skew at hubs Spark splits as it runs; the rounds grow with the logarithm of the graph's
-    size, and each writes the links once. The end is seen by their number and the exclusive or of their hashes.
+    are a minimum (combined before the shuffle) and a join back, in which hubs are split; the rounds grow with the logarithm of the graph's size, and each writes
+    the links once. The end is seen by their number and the exclusive or of their hashes.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null")
     nodes = e.select(F.col("u").alias("node")).union(e.select(F.col("v").alias("node"))).distinct()
-    e, before = cut(e.where("u <> v").distinct()), None
+    e = cut(e.where("u <> v").distinct())
+    sign = lambda: tuple(e.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first())
+    before = sign()
     while True:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct()
+        links = 2 * before[0]
+        both = joined_to_least(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))), links)
+        large = both.where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("v"))
+        small = joined_to_least(large, links).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least).distinct()
         e = cut(small)
-        now = tuple(e.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first())
+        now = sign()
         if now == before:
             break
         before = now
@@ -58,54 +89,30 @@ def cover_gains(membership: DataFrame, covered: DataFrame, cost: DataFrame, grou
     return gains.select(group, "gain", "cost", (F.col("gain") / F.col("cost")).alias("score"))
 
 
-def _greedy(rows: list) -> list[tuple]:
-    """(pool, -score, -gain, group) of all picks, from rows of (pool, cost, group, item). Gains only shrink, so a group is looked at anew only when it comes first."""
-    items: dict = {}
-    for pool, cost, g, i in rows:
-        items.setdefault((pool, cost, g), set()).add(i)
-    queue = [(pool, -len(x) / cost, -len(x), g, cost) for (pool, cost, g), x in items.items()]
-    heapq.heapify(queue)
-    covered, picks = set(), []
-    while queue:
-        pool, score, n, g, cost = heapq.heappop(queue)
-        own = items[pool, cost, g]
-        own -= covered
-        if len(own) == -n:
-            picks.append((pool, score, n, g))
-            covered |= own
-        elif own:
-            heapq.heappush(queue, (pool, -len(own) / cost, -len(own), g, cost))
-    return picks
-
-
 def greedy_cover(spark: SparkSession, membership: DataFrame, cost: DataFrame, group: str, item: str, rounds: int | None = None, stable: Column | None = None) -> DataFrame:
     """(round, group, gain): a greedy cover's picks by gain for cost until no group has a gain, or the first `rounds`; ties go to more gain, then to the lesser group.
 
     With `stable`, a condition on cost's columns, those groups cover all that they can before any other is picked.
 
     A group that comes before all others with which it shares an uncovered item keeps its gain until it is picked, as gains only shrink. So each step picks all
-    such groups at once, and their order is that of their gains. Groups of the two pools share no item: the second has only what no stable group holds. The
-    picks leave the cluster; what is left of membership does so once it has at most COLLECTED rows, and the driver goes on with the same picks.
+    such groups at once, and their order is that of their gains. Groups of the two pools share no item: the second has only what no stable group holds. Only the
+    picks, which are the plan, leave the cluster.
     """
     pools = cost.select(group, F.col("cost").cast("double").alias("cost"), (F.lit(True) if stable is None else F.coalesce(stable, F.lit(False))).alias("__s"))
     left = membership.select(group, item).where(F.col(group).isNotNull() & F.col(item).isNotNull()).distinct().join(pools, group)
     if stable is not None:
         first = left.where("__s").select(item).distinct()
         left = left.where("__s").unionByName(left.where("not __s").join(first, item, "left_anti").select(left.columns))
-    left, picks = cut(left), []
-    while True:
-        if left.count() <= COLLECTED:
-            picks += _greedy(left.select(F.expr("not __s"), "cost", group, item).collect())
-            break
+    left, picks, kind = cut(left), [], membership.schema[group].dataType.simpleString()
+    while left.take(1):
         gains = left.groupBy(group).agg(F.count("*").alias("gain"))
-        key = F.struct((-F.col("gain") / F.col("cost")).alias("o"), (-F.col("gain")).alias("n"), F.col(group).alias("g"))
+        key = F.struct(F.expr("not __s").alias("s"), (-F.col("gain") / F.col("cost")).alias("o"), (-F.col("gain")).alias("n"), F.col(group).alias("g"))
         best = left.join(gains, group).groupBy(item).agg(F.min(key).alias("k"))
-        won = cut(best.groupBy("k").agg(F.count("*").alias("n")).where("n = -k.n").select("k"))
-        new = [(not r.s, r.o, r.n, r.g) for r in won.join(pools, F.col("k.g") == F.col(group)).select(F.col("__s").alias("s"), "k.*").collect()]
-        picks += new
-        gone = left.join(won.select(F.col("k.g").alias(group)), group).select(item).distinct()
-        left = cut(left.join(gone, item, "left_anti").select(left.columns))
-    schema = f"round int, {group} {membership.schema[group].dataType.simpleString()}, gain long"
+        won = best.groupBy("k").agg(F.count("*").alias("n")).where("n = -k.n").select("k.*").collect()  # a part of the plan
+        picks += [(r.s, r.o, r.n, r.g) for r in won]
+        here = F.broadcast(spark.createDataFrame([(r.g,) for r in won], f"{group} {kind}"))
+        left = cut(left.join(left.join(here, group).select(item).distinct(), item, "left_anti").select(left.columns))
+    schema = f"round int, {group} {kind}, gain long"
     return spark.createDataFrame([(i + 1, g, -n) for i, (_, _, n, g) in enumerate(sorted(picks)[:rounds])], schema)
 
 

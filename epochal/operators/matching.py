@@ -11,6 +11,8 @@ from ..functions.keys import dice, useful_code
 
 # Listings that a name token and a code stem may name, pairs kept a listing and shop, least similarity, members of a family.
 TOKEN_LISTINGS, STEM_LISTINGS, PER_LISTING, LEAST_DICE, FAMILY_MEMBERS = 20, 10, 2, 0.2, 64
+#: Listings of a code whose pairs are made one by one; those of a more common code are told by classes.
+CODE_LISTINGS = 1_000
 
 
 def compatible_makers(a: Column, b: Column) -> Column:
@@ -22,7 +24,7 @@ def key_pairs(keyed: DataFrame, most: int | None = None) -> DataFrame:
     """(a, b, keys): pairs of listings of different stores that share a key, a of the earlier store.
 
     keyed has a row for each listing and key: (id, store, maker, key). Keys of more than `most` listings are left out before the join, so a key makes at most
-    most^2 / 2 rows; without `most`, a key's listings must be few by the data's nature (product codes).
+    most^2 / 2 rows; `class_pairs` tells the pairs of the others.
     """
     rows = keyed.select("id", "store", "maker", "key").distinct()
     if most is not None:
@@ -34,10 +36,52 @@ def key_pairs(keyed: DataFrame, most: int | None = None) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.array_sort(F.collect_set("key")).alias("keys"))
 
 
-def code_candidates(listings: DataFrame, codes: str = "codes") -> DataFrame:
-    """Pairs of listings that share a useful code."""
-    keyed = listings.select("id", "store", "maker", F.explode(codes).alias("key")).where(useful_code(F.col("key")))
-    return key_pairs(keyed)
+def coded(listings: DataFrame, codes: str = "codes") -> DataFrame:
+    """(id, store, maker, key): a row for each useful code of a listing."""
+    return listings.select("id", "store", "maker", F.explode(codes).alias("key")).where(useful_code(F.col("key"))).distinct()
+
+
+def code_candidates(listings: DataFrame, codes: str = "codes", most: int = CODE_LISTINGS) -> DataFrame:
+    """Pairs of listings that share a useful code of at most `most` listings; `common_code_candidates` has those of the other codes."""
+    return key_pairs(coded(listings, codes), most)
+
+
+def code_members(keyed: DataFrame) -> DataFrame:
+    """(key, class, store, maker, id): listings of a key, by class: those of one store and maker (a missing maker is one of its own), named by the least id.
+
+    Whether two listings pair hangs on their classes alone. A class's least id is found by a combined minimum, so a class of any size costs one row a task.
+    """
+    rows = keyed.select("key", "store", F.coalesce("maker", F.lit("")).alias("maker"), "id").distinct()
+    least = rows.groupBy("key", "store", "maker").agg(F.min("id").alias("class"))
+    return rows.join(least, ["key", "store", "maker"]).select("key", "class", "store", "maker", "id")
+
+
+def class_pairs(classes: DataFrame) -> DataFrame:
+    """(key, a, b): classes of different stores and fitting makers, a of the earlier store; each stands for all pairs of their members.
+
+    classes is (key, class, store, maker). Known makers meet by equality, a class without one meets all of its key: as many rows as classes times stores.
+    """
+    side = lambda df, x: df.select("key", F.col("class").alias(x), F.col("store").alias(f"s{x}"), F.col("maker").alias(f"m{x}"))
+    known, unknown = classes.where("maker <> ''"), classes.where("maker = ''")
+    equal = side(known, "a").withColumnRenamed("ma", "maker").join(side(known, "b").withColumnRenamed("mb", "maker"), ["key", "maker"]).where("sa < sb").select("key", "a", "b")
+    free = side(unknown, "a").join(side(classes, "b"), "key").where("sa <> sb and (mb <> '' or sa < sb)")
+    ordered = free.select("key", F.when(F.col("sa") < F.col("sb"), F.col("a")).otherwise(F.col("b")).alias("a"), F.when(F.col("sa") < F.col("sb"), F.col("b")).otherwise(F.col("a")).alias("b"))
+    return equal.unionByName(ordered)
+
+
+def common_code_candidates(listings: DataFrame, codes: str = "codes", most: int = CODE_LISTINGS) -> tuple[DataFrame, DataFrame]:
+    """(pairs of classes, members) of the codes that more than `most` listings have: every pair of listings that they make, in rows that grow with the listings."""
+    keyed = coded(listings, codes)
+    sizes = keyed.groupBy("key").agg(F.count_distinct("id").alias("__n")).where(F.col("__n") > most).select("key")
+    members = code_members(keyed.join(sizes, "key", "left_semi"))
+    return class_pairs(members.select("key", "class", "store", "maker").distinct()), members
+
+
+def expanded(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """(key, a, b) of listings: pairs of classes member by member. As many rows as there are pairs: for keys that were chosen, not for all."""
+    side = lambda x: members.select("key", F.col("class").alias(f"__{x}"), F.col("id").alias(x))
+    rows = pairs.withColumnsRenamed({"a": "__a", "b": "__b"})
+    return rows.join(side("a"), ["key", "__a"]).join(side("b"), ["key", "__b"]).select("key", "a", "b")
 
 
 def tiered(listings: DataFrame, tiers: list[Callable[[DataFrame], DataFrame]]) -> DataFrame:

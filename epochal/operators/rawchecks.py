@@ -11,7 +11,7 @@ from ..functions.times import DAY_MS
 from .compare import eligibility
 
 # Shapes of ids, the least and most of a shop's tax rate, a listing's page and search limits, capabilities, the mark of titles without a shown count.
-SALES_CODE, API_ID, CATEGORY_CODE, SLUG = r"^\d{1,12}$", r"^[1-9]\d{0,8}$", r"^[A-Z0-9]+(-[A-Z0-9]+)*$", r"^[a-z0-9][a-z0-9-]*$"
+SALES_CODE, API_ID, CATEGORY_CODE, SLUG = r"^[0-9]{1,12}\z", r"^[1-9][0-9]{0,8}\z", r"^[0-9A-Z]{1,12}(-[0-9A-Z]{1,12}){0,3}\z", r"^[a-z0-9][a-z0-9._-]{0,63}\z"
 TAX_RATE = (1.0, 1.25)
 PAGE_SIZE, SEARCH_CAP = 40, 2000
 CAPABILITIES = "supportsExactPrice supportsPriceRange supportsVariants supportsCompareAtPrice supportsTaxIncluded supportsTaxExcluded supportsAvailability supportsInventoryQuantity".split()

@@ -111,6 +111,8 @@ def _listings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LIST = """l AS (SELECT p_partkey AS id, CAST(floor(p_size / 10) AS INTEGER) AS store, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE p_brand END AS maker,
 upper(substr(p_type, 1, 3)) || '-' || regexp_extract(p_brand, '([0-9]+)', 1) || '-' || lpad((p_partkey % 97)::VARCHAR, 2, '0') AS code, p_name, p_type, p_brand FROM part)"""
+#: Listings above which a code's pairs are told by classes.
+COMMON = 3
 _FIT = "a.store < b.store AND (a.maker = '' OR b.maker = '' OR a.maker = b.maker)"
 
 
@@ -119,6 +121,19 @@ def code_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.code_candidates(_listings(spark, sf_dir)).select("a", "b", F.array_join("keys", "|").alias("codes"))
 
 
+@query("common_codes", f"""WITH {_LIST}, k AS (SELECT *, upper(substr(p_type, 1, 3)) || '-' || regexp_extract(p_brand, '([0-9]+)', 1) AS key FROM l), n AS (SELECT key FROM k GROUP BY key HAVING count(*) > {COMMON}),
+c AS (SELECT key, store, maker, min(id) AS class, count(*) AS n FROM k WHERE key IN (SELECT key FROM n) GROUP BY ALL)
+SELECT a.key, a.class AS a, b.class AS b, a.n * b.n AS pairs FROM c a JOIN c b ON a.key = b.key AND {_FIT}""")
+def common_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes that many listings share: pairs of classes of listings (one store and maker) and how many pairs of listings each stands for; no pair is made."""
+    rows = _listings(spark, sf_dir)
+    code = F.concat(F.upper(F.substring("p_type", 1, 3)), F.lit("-"), F.regexp_extract("p_brand", r"(\d+)", 1))
+    pairs, members = matching.common_code_candidates(rows.withColumn("codes", F.array(code)), most=COMMON)
+    sizes = members.groupBy("key", "class").agg(F.count("*").alias("n"))
+    a, b = (sizes.select("key", F.col("class").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
+    return pairs.join(a, ["key", "a"]).join(b, ["key", "b"]).select("key", "a", "b", (F.col("n_a") * F.col("n_b")).alias("pairs"))
+
+
 @query("tiered_candidates", f"""WITH {_LIST}, t1 AS (SELECT a.id AS a, b.id AS b FROM l a JOIN l b ON a.code = b.code AND {_FIT}), k AS (SELECT *, p_name || '#' || p_brand AS ref FROM l),
 t2 AS (SELECT a.id AS a, b.id AS b FROM k a JOIN k b ON a.ref = b.ref AND {_FIT}) SELECT a, b, 1 AS tier FROM t1 UNION ALL SELECT a, b, 2 FROM t2 WHERE (a, b) NOT IN (SELECT (a, b) FROM t1)""")
 def tiered_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,11 +147,12 @@ k AS (SELECT id, store, maker, unnest(tokens) AS key FROM w), s AS (SELECT key F
 
 
 def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Listings with the model-like words of their whole names, which hold a code, a measurement, and two words joined by a slash."""
+    """Listings with the model-like words of their whole names, which hold a code, a measurement, two words joined by a slash, and notes of the shop."""
     rows = _listings(spark, sf_dir)
     t = lambda m: (F.col("id") % m).cast("string")
-    name = F.concat_ws(" ", F.lower("p_name"), F.col("codes")[0], F.concat(t(48), F.lit("V")), F.concat(F.lit("x"), t(300), F.lit("z/y"), t(200), F.lit("q2")), F.lit("V2.1"), F.lit("(4-pin)"))
-    return rows.withColumn("name", name).withColumn("tokens", keys.words_with_digits(keys.normal_name(F.col("name"))))
+    note = F.when(F.col("id") % 4 == 0, "《お取り寄せ商品》").when(F.col("id") % 4 == 1, "【NOTE12】").when(F.col("id") % 4 == 2, "[eol]")
+    name = F.concat_ws(" ", note, F.lower("p_name"), F.col("codes")[0], F.concat(t(48), F.lit("V")), F.concat(F.lit("x"), t(300), F.lit("z/y"), t(200), F.lit("q2")), F.lit("V2.1"), F.lit("(4-pin)"))
+    return rows.withColumn("name", name).withColumn("tokens", keys.words_with_digits(keys.clean_name(F.col("name"))))
 
 
 @query("token_blocks", f"{_WORDS} SELECT a, b, n_tokens FROM b")
@@ -148,9 +164,8 @@ def token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 p AS (SELECT b.*, floor(2000.0::DOUBLE * len(list_intersect(x.gr, y.gr)) / (len(x.gr) + len(y.gr)) + 0.5) / 1000 AS similarity FROM b JOIN g x ON x.id = b.a JOIN g y ON y.id = b.b),
 r AS (SELECT *, row_number() OVER (PARTITION BY a, sb ORDER BY similarity DESC, b) AS ra, row_number() OVER (PARTITION BY b, sa ORDER BY similarity DESC, a) AS rb FROM p) SELECT a, b, similarity FROM r WHERE (ra <= 2 OR rb <= 2) AND similarity >= 0.2""")
 def dice_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _named(spark, sf_dir).withColumn("whole", keys.normal_name(F.col("name")))
-    rows = graph.cut(rows.withColumn("grams", keys.trigrams(F.col("whole"))).select("id", "store", "maker", "tokens", "grams"))
-    return matching.mutual_best(matching.token_pairs(rows), rows.select("id", "store", "grams"))
+    rows = graph.cut(_named(spark, sf_dir).select("id", "store", "maker", "tokens", keys.clean_name(F.col("name")).alias("whole")))
+    return matching.mutual_best(matching.token_pairs(rows), rows.select("id", "store", keys.trigrams(F.col("whole")).alias("grams")))
 
 
 @query("stem_pairs", f"""WITH {_LIST}, c AS (SELECT id, store, maker, CASE WHEN id % 2 = 0 THEN code ELSE code || '-X' END AS code FROM l), k AS (SELECT id, store, maker, code, unnest(list_filter([split_part(code, '-', 1), split_part(code, '-', 1) || '-' || split_part(code, '-', 2),

@@ -43,14 +43,14 @@ def raw_listing_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _counts(rawchecks.found(items, "salesCode", rawchecks.listing_rules(F.concat(F.lit("/catalog/g/g"), F.col("salesCode")))))
 
 
-@query("raw_catalogue_issues", _rules_sql("r AS (SELECT p_partkey AS n, p_size AS s, CASE p_partkey % 97 WHEN 1 THEN 'Upper' || p_partkey WHEN 2 THEN '-x' || p_partkey WHEN 3 THEN 'same' ELSE 'h' || p_partkey END AS handle FROM part)", "handle", {
-    "item.handle": "n % 97 IN (1, 2)", "item.duplicate": "n % 97 = 3", "item.product_id": "n % 89 = 1", "item.product_duplicate": "n % 89 = 1", "item.title": "n % 83 = 1", "item.variants": "n % 79 = 1", "item.variant_duplicate": "n % 79 <> 1 AND n % 73 = 1",
+@query("raw_catalogue_issues", _rules_sql("r AS (SELECT p_partkey AS n, p_size AS s, CASE p_partkey % 97 WHEN 1 THEN 'Upper' || p_partkey WHEN 2 THEN '-x' || p_partkey WHEN 3 THEN 'same' WHEN 4 THEN repeat('h', 64) || p_partkey WHEN 5 THEN 'foo.bar_' || p_partkey ELSE 'h' || p_partkey END AS handle FROM part)", "handle", {
+    "item.handle": "n % 97 IN (1, 2, 4)", "item.duplicate": "n % 97 = 3", "item.product_id": "n % 89 = 1", "item.product_duplicate": "n % 89 = 1", "item.title": "n % 83 = 1", "item.variants": "n % 79 = 1", "item.variant_duplicate": "n % 79 <> 1 AND n % 73 = 1",
     "item.price": "n % 79 <> 1 AND n % 71 = 1", "warn.price_zero": "n % 79 <> 1 AND n % 71 = 2", "warn.compare_at": "n % 79 <> 1 AND n % 71 NOT IN (1) AND n % 5 = 0 AND CASE WHEN n % 71 = 2 THEN 0 ELSE s END >= 20", "item.available": "n % 79 <> 1 AND n % 67 = 1"}))
 def raw_catalogue_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("p_partkey")
     at = lambda m, k=1: n % m == k
     text = n.cast("string")
-    handle = F.when(at(97), F.concat(F.lit("Upper"), text)).when(at(97, 2), F.concat(F.lit("-x"), text)).when(at(97, 3), "same").otherwise(F.concat(F.lit("h"), text))
+    handle = F.when(at(97), F.concat(F.lit("Upper"), text)).when(at(97, 2), F.concat(F.lit("-x"), text)).when(at(97, 3), "same").when(at(97, 4), F.concat(F.lit("h" * 64), text)).when(at(97, 5), F.concat(F.lit("foo.bar_"), text)).otherwise(F.concat(F.lit("h"), text))
     price = F.when(at(71, 2), 0).when(~at(71), F.col("p_size")).cast("long")
     one = lambda i: F.struct((n * 10 + i).alias("variantId"), price.alias("priceYen"), F.when(n % 5 == 0, F.lit(20).cast("long")).alias("compareAtPriceYen"), F.when(~at(67), n % 2 == 0).alias("available"))
     variants = F.when(at(79), F.slice(F.array(one(0)), 1, 0)).when(at(73), F.array(one(0), one(0))).otherwise(F.array(one(0), one(1)))
@@ -182,12 +182,14 @@ def same_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy("l_partkey").agg(F.count("*").alias("pairs"), F.count_if(rawchecks.same_listing(F.col("a"), F.col("b"))).alias("same"))
 
 
-@query("id_shapes", r"""SELECT doc_id, regexp_matches(w, '^[1-9][0-9]{0,8}$') AS api, regexp_matches(w, '^[A-Z0-9]+(-[A-Z0-9]+)*$') AS category, regexp_matches(w, '^[0-9]{1,12}$') AS sales, NOT starts_with(w, '《お取り寄せ商品》') AS counted
-FROM (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN doc_id::VARCHAR WHEN 1 THEN '0' || doc_id WHEN 2 THEN 'AB-' || doc_id WHEN 3 THEN 'AB--' || doc_id WHEN 4 THEN '《お取り寄せ商品》' || doc_id ELSE coalesce(substr(text, 1, 9), '') END AS w FROM documents)""")
+@query("id_shapes", r"""SELECT doc_id, regexp_matches(w, '^[1-9][0-9]{0,8}$') AS api, regexp_matches(w, '^[0-9A-Z]{1,12}(-[0-9A-Z]{1,12}){0,3}$') AS category, regexp_matches(w, '^[0-9]{1,12}$') AS sales, NOT starts_with(w, '《お取り寄せ商品》') AS counted
+FROM (SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN doc_id::VARCHAR WHEN 1 THEN '0' || doc_id WHEN 2 THEN 'AB-' || doc_id WHEN 3 THEN 'AB--' || doc_id WHEN 4 THEN '《お取り寄せ商品》' || doc_id WHEN 5 THEN 'A-B-C-' || doc_id WHEN 6 THEN 'A-B-C-D-' || doc_id WHEN 7 THEN 'ABCDEFGHIJKL' || doc_id ELSE coalesce(text, '') END AS w FROM documents)""")
 def id_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
     t = d.cast("string")
-    w = F.when(d % 6 == 0, t).when(d % 6 == 1, F.concat(F.lit("0"), t)).when(d % 6 == 2, F.concat(F.lit("AB-"), t)).when(d % 6 == 3, F.concat(F.lit("AB--"), t)).when(d % 6 == 4, F.concat(F.lit("《お取り寄せ商品》"), t)).otherwise(F.coalesce(F.substring("text", 1, 9), F.lit("")))
+    w = F.coalesce("text", F.lit(""))
+    for k, head in ((7, "ABCDEFGHIJKL"), (6, "A-B-C-D-"), (5, "A-B-C-"), (4, "《お取り寄せ商品》"), (3, "AB--"), (2, "AB-"), (1, "0"), (0, "")):
+        w = F.when(d % 9 == k, F.concat(F.lit(head), t)).otherwise(w)
     rows = table(spark, sf_dir, "documents").select("doc_id", w.alias("w"))
     return rows.select("doc_id", F.col("w").rlike(rawchecks.API_ID).alias("api"), F.col("w").rlike(rawchecks.CATEGORY_CODE).alias("category"), F.col("w").rlike(rawchecks.SALES_CODE).alias("sales"), rawchecks.shows_count(F.col("w")).alias("counted"))
 

@@ -1,13 +1,14 @@
 """The write path: snapshots into a versioned state of observations, series and a published dataset out of it.
 
-State is a folder of files by table and version. A version adds files and never touches older ones; a manifest of its own, written last, lists the versions that
-count, and the latest manifest that is whole is the state. So an import writes what it brings, whatever the history, and a run that fails at any point leaves the
-state as it was. Series are never updated in place: they are what change_points gives over all observations, so the order of imports and repeated ones do not matter.
+State is a folder of files by table, version and writer. A version adds files and never touches older ones or another writer's; a manifest of its own, written last,
+lists the files that count, and the latest manifest that is whole is the state. So an import writes what it brings, whatever the history, a run that fails at any
+point leaves the state as it was, and of two writers of one version the second fails without harm to the first. Series are never updated in place: they are what change_points gives over all observations, so the order of imports and repeated ones do not matter.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,15 +52,18 @@ class State:
             raise ValueError("there is a state already" if bootstrap else "there is no state; a first run must say so")
         return state
 
-    def manifest(self) -> dict | None:
-        """The latest whole manifest: one that was cut off while it was written doesn't read as JSON and doesn't count."""
+    def manifests(self) -> list[str]:
+        """Names of all manifests, the latest first, whole or not."""
         path = self.fs_path(f"{self.root}/manifests")
         if not self.fs.exists(path):
-            return None
-        names = sorted((f.getPath().getName() for f in self.fs.listStatus(path) if f.getPath().getName().endswith(".json")), reverse=True)
-        for name in names:
+            return []
+        return sorted((n for f in self.fs.listStatus(path) if (n := f.getPath().getName()).endswith(".json")), reverse=True)
+
+    def manifest(self) -> dict | None:
+        """The latest whole manifest: one that was cut off while it was written doesn't read as JSON and doesn't count."""
+        for name in self.manifests():
             try:
-                found = json.loads("\n".join(r.value for r in self.spark.read.text(f"{path.toString()}/{name}").collect()))
+                found = json.loads("\n".join(r.value for r in self.spark.read.text(f"{self.root}/manifests/{name}").collect()))
             except ValueError:
                 continue
             if found["format"] > FORMAT:
@@ -70,21 +74,24 @@ class State:
     def read(self, table: str, versions: list[int] | None = None) -> DataFrame | None:
         """A table's rows of all versions that count, or of some of them."""
         m = self.manifest()
-        have = [v for v in (m or {"parts": {}})["parts"].get(table, []) if versions is None or v in versions]
-        return self.spark.read.parquet(*[f"{self.root}/{table}/v{v:08d}" for v in have]) if have else None
+        have = [p for p in (m or {"parts": {}})["parts"].get(table, []) if versions is None or int(p[1:9]) in versions]
+        return self.spark.read.parquet(*[f"{self.root}/{table}/{p}" for p in have]) if have else None
 
     def commit(self, tables: dict[str, DataFrame], runs: list[dict] | None = None, replace: tuple[str, ...] = ()) -> dict:
-        """Adds files for each table, reads back how many rows they have, then writes the manifest that lists them. Tables in `replace` are their new files alone."""
+        """Adds files for each table, reads back how many rows they have, then writes the manifest that lists them. Tables in `replace` are their new files alone.
+
+        The version is above that of every manifest, one that was cut off included, whose name stays taken. Files carry the writer's own mark besides."""
         old = self.manifest() or {"format": FORMAT, "version": 0, "parts": {}, "rows": {}, "runs": []}
-        version = old["version"] + 1
+        version = max([old["version"], *(int(n.removesuffix(".json")) for n in self.manifests())]) + 1
+        part = f"v{version:08d}-{uuid.uuid4().hex}"
         parts, rows = {t: list(v) for t, v in old["parts"].items()}, {t: dict(v) for t, v in old["rows"].items()}
         for name, df in tables.items():
-            path = f"{self.root}/{name}/v{version:08d}"
-            df.write.mode("overwrite").parquet(path)
+            path = f"{self.root}/{name}/{part}"
+            df.write.parquet(path)
             if name in replace:
                 parts[name], rows[name] = [], {}
-            parts.setdefault(name, []).append(version)
-            rows.setdefault(name, {})[str(version)] = self.spark.read.parquet(path).count()
+            parts.setdefault(name, []).append(part)
+            rows.setdefault(name, {})[part] = self.spark.read.parquet(path).count()
         manifest = {"format": FORMAT, "version": version, "parts": parts, "rows": rows, "runs": old["runs"] + [r | {"version": version} for r in runs or []]}
         out = self.fs.create(self.fs_path(f"{self.root}/manifests/{version:08d}.json"), False)  # another writer of this version makes it fail
         out.write(bytearray(json.dumps(manifest).encode()))

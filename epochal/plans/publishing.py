@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gzip
-import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -12,57 +11,19 @@ from pyspark.sql import types as T
 
 from ..functions.times import DAY_MS
 from ..operators import compare, graph, publication, rawchecks
-from ..sources import sitemaps, snapshots, stockpages
+from ..sources import sitemaps, snapshots
 from ..sources.html import sitemap_locations
 from ..sources.tables import EVENTS_SQL, event_stream, table
-from ..streaming import history as streaming
+from ..streaming import neighbours
 from . import history
 from .registry import query
 
-COUNT_CAP = 100
 SHARDS = 4
 REVIEWED_FOR = 60
 STORED_DAYS = (1, 3, 2, 3, 4, 5)  # the third comes twice, the fourth is cut off and must be kept out
 FIRST_DAY = 1_767_225_600_000
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    return f"{graph.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-@query("page_counts", f"""SELECT p_partkey AS part, CAST(CASE p_partkey % 6 WHEN 0 THEN p_size WHEN 1 THEN {COUNT_CAP} END AS BIGINT) AS shown,
-CASE WHEN p_partkey % 6 < 3 THEN '' WHEN p_partkey % 6 = 3 THEN '11=' || p_size || ',12=?' WHEN p_partkey % 12 = 11 THEN '1=' || p_size || ',2=?' END AS counts FROM part""")
-def page_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts as a line of text, in a script, as options, in both, and pages whose signs contradict each other."""
-    n, size = F.col("p_partkey"), F.col("p_size").cast("string")
-    script = F.concat(F.lit('var product = {"handle":"h","variants":[{"id":11},{"id":12}]};\nvariants[0].inventory_quantity = '), size, F.lit(";\nvariants[1].inventory_quantity = -2;\n"))
-    option = lambda value, count: F.concat(F.lit(f'<option value="{value}" data-inventory="'), count, F.lit('">'))
-    html = (
-        F.when(n % 6 == 0, F.concat(F.lit("<p>在庫数: "), size, F.lit("</p>"))).when(n % 6 == 1, f"在庫数：{COUNT_CAP}+").when(n % 6 == 2, "在庫数: 7+")
-        .when(n % 6 == 3, F.concat(script, option(11, size))).when(n % 6 == 4, F.concat(script, option(11, (F.col("p_size") + 1).cast("string"))))
-        .when(n % 12 == 5, F.concat(option(1, size), option(1, size))).otherwise(F.concat(option(1, size), option(2, F.lit("-1"))))
-    )
-    pages = table(spark, sf_dir, "part").select(n.alias("part"), html.alias("html"))
-    counts = F.array_sort(F.map_entries(stockpages.agreed_counts(F.col("html"))))
-    text = F.array_join(F.transform(counts, lambda e: F.concat_ws("=", e["key"], F.coalesce(e["value"].cast("string"), F.lit("?")))), ",")
-    return pages.select("part", stockpages.single_count(F.col("html"), COUNT_CAP).alias("shown"), text.alias("counts"))
-
-
-@query("category_trees", """WITH c AS (SELECT s_suppkey AS supplier, i, j, k, 100 * i + 10 * j + k AS cid FROM supplier, generate_series(1, 3) a(i), generate_series(0, 2) b(j), generate_series(0, 1) d(k)
- WHERE i <= s_suppkey % 3 + 1 AND j <= s_suppkey % 2 + 1 AND (k = 0 OR j > 0))
-SELECT supplier, CAST(row_number() OVER (PARTITION BY supplier ORDER BY cid) - 1 AS INTEGER) AS pos, cid, 'Kind & ' || cid AS name, CAST(CASE WHEN j = 0 THEN 1 WHEN k = 0 THEN 2 ELSE 3 END AS INTEGER) AS level,
-CASE WHEN j = 0 THEN NULL WHEN k = 0 THEN 100 * i ELSE 100 * i + 10 * j END AS parent FROM c""")
-def category_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page a supplier: categories of three levels in its main area, and a link outside of it that is none."""
-    s = F.col("s_suppkey")
-    link = lambda cid: F.concat(F.lit('<a href="/mod/sgk_cart/category.php?cid='), cid.cast("string"), F.lit('"> Kind &amp;  '), cid.cast("string"), F.lit("</a>"))
-    upto = lambda m: F.sequence(F.lit(1).cast("long"), (s % m + 1).cast("long"))
-    under = lambda i: F.transform(upto(2), lambda j: F.concat(F.lit('<div class="category_lv0">■'), link(i * 100 + j * 10), F.lit("</div><p>・"), link(i * 100 + j * 10 + 1), F.lit("</p>")))
-    body = F.transform(upto(3), lambda i: F.concat(F.lit('<div class="category_class">'), link(i * 100), F.lit("</div>"), F.array_join(under(i), "\n")))
-    html = F.concat(F.lit('<div class="category_class">'), link(F.lit(9)), F.lit('</div><div id="main">'), F.array_join(body, "\n"), F.lit("</div>"))
-    return stockpages.category_tree(table(spark, sf_dir, "supplier").select(s.alias("supplier"), html.alias("html")), "supplier", "html")
-
-
 @query("dataset_checks", """WITH r AS (SELECT p_partkey AS n, CASE WHEN p_partkey % 101 = 1 THEN p_partkey + 1 ELSE p_partkey END AS product FROM part), c AS (SELECT *, count(*) OVER (PARTITION BY product) AS k FROM r),
 i AS (SELECT 'repeated key' AS issue FROM c WHERE k > 1 UNION ALL SELECT 'another version' FROM c WHERE n % 97 = 1 UNION ALL SELECT 'times do not rise' FROM c WHERE n % 89 = 1 OR n % 89 = 2
  UNION ALL SELECT 'amounts do not fit' FROM c WHERE n % 83 = 1 OR n % 79 = 1 OR n % 73 = 1 OR n % 71 = 1) SELECT issue, count(*) AS n FROM i GROUP BY issue""")
@@ -132,17 +93,18 @@ def comparison_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("streamed_change_points", f"""WITH {EVENTS_SQL}, b AS (SELECT user_id, t, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY t, event_id) AS before, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS n FROM e)
 SELECT user_id AS key, t * 1048576 + event_id % 1048576 AS t, event_type AS state FROM b WHERE n = 1 OR event_type IS DISTINCT FROM before""")
 def streamed_change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as a stream of four slices, each user's times out of order and some of them twice; what the stream settles on is what a batch gives."""
-    e, base = event_stream(spark, sf_dir), _scratch(spark, "stream")
+    """Events as a stream of four slices whose state is read and written beside what comes in: each user's times out of order and some of them twice; what the stream settles on is what a batch gives."""
+    e, base = event_stream(spark, sf_dir), graph.scratch(spark, "stream")
     at = F.col("t") * 1_048_576 + F.col("event_id") % 1_048_576  # rows of one time follow each other by event
     own, again = F.col("event_id") % 4, F.col("event_id") % 5
     e.select(F.col("user_id").alias("key"), at.alias("t"), F.col("event_type").alias("state"), F.explode(F.array_distinct(F.array(own, F.when(again < 4, again).otherwise(own)))).alias("slice")).write.partitionBy("slice").parquet(f"{base}/in")
     schema = f"key {e.schema['user_id'].dataType.simpleString()}, t long, state string, slice int"
     files = len(spark.read.schema(schema).parquet(f"{base}/in").inputFiles())
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max(1, files // 4)).parquet(f"{base}/in")
-    sink = streaming.updates(stream).writeStream.outputMode("update").foreachBatch(streaming.upsert_into(f"{base}/out", ["key"], "t"))
-    sink.option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).start().awaitTermination()
-    return streaming.settled(spark.read.parquet(f"{base}/out"), ["key"], "t")
+    with neighbours.state_store(spark, spark.sparkContext.defaultParallelism):
+        sink = neighbours.updates(stream).writeStream.outputMode("update").foreachBatch(neighbours.batches_into(f"{base}/out"))
+        sink.option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).start().awaitTermination()
+    return neighbours.settled(spark.read.parquet(f"{base}/out"))
 
 
 def _snapshot(spark: SparkSession, sf_dir: str, day: int) -> DataFrame:
@@ -167,7 +129,7 @@ SELECT 'price' AS kind, product, t, cents AS value FROM b WHERE before IS NULL O
 UNION ALL SELECT 'present', product, t + {DAY_MS}, 0 FROM o WHERE n % 41 = 0 AND d = 2 UNION ALL SELECT 'rejected', NULL, {FIRST_DAY} + 3 * {DAY_MS}::BIGINT, 1""")
 def imported_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snapshots imported out of order, one of them twice, into a state of its own: its price points, its presence and what it kept out."""
-    state = history.State(spark, _scratch(spark, "state"))
+    state = history.State(spark, graph.scratch(spark, "state"))
     for day in STORED_DAYS:
         history.import_snapshot(state, _snapshot(spark, sf_dir, day))
     row = lambda df, kind, product, value: df.select(F.lit(kind).alias("kind"), product.alias("product"), "t", value.cast("long").alias("value"))

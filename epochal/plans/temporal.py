@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from ..functions.money import price_change
 from ..functions.times import DAY_MS, utc_day
-from ..operators import asof, changepoints, intervals, series
+from ..operators import asof, changepoints, intervals, segmented, series
 from ..sources.tables import EVENTS_SQL, PRICES_SQL, daily_prices, event_stream, price_stream
 from .registry import query
 
 #: 2024-01-16T00:00:00Z, within the events; 2000-01-01 and the end of the price observations.
 MID_MS, PRICE_MID_MS, PRICE_END_MS = 1_705_363_200_000, 946_684_800_000, 1_009_756_800_000
 LAST_RUN = 2001 * 12 + 12
+#: Rows of an entity above which the queries on hot entities cut its time.
+HOT_ROWS = 500
 
 _POINTS = """p AS (SELECT * FROM (SELECT *, lag(event_type) OVER w AS before, row_number() OVER w AS n FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)) WHERE n = 1 OR before IS DISTINCT FROM event_type)"""
 _CENTS = """p AS (SELECT * FROM (SELECT *, lag(cents) OVER w AS before, row_number() OVER w AS n FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)) WHERE n = 1 OR before IS DISTINCT FROM cents)"""
@@ -117,6 +119,43 @@ def price_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.islands(intervals.spans(daily_prices(spark, sf_dir), ["part"], "t", F.lit(PRICE_END_MS)).select("part", "cents", "start", "stop"), ["part"], ["cents"])
 
 
+_HOT = """h AS (SELECT CASE WHEN event_id % 2 = 0 THEN 0 ELSE user_id END AS entity, t, event_id, event_type FROM e)"""
+
+
+def _hot_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of which one entity has half."""
+    return event_stream(spark, sf_dir).select(F.when(F.col("event_id") % 2 == 0, 0).otherwise(F.col("user_id")).alias("entity"), "t", "event_id", "event_type")
+
+
+@query("hot_change_points", f"""WITH {EVENTS_SQL}, {_HOT}, p AS (SELECT *, lag(event_type) OVER w AS before, row_number() OVER w AS n FROM h WINDOW w AS (PARTITION BY entity ORDER BY t, event_id))
+SELECT entity, t, event_id, event_type FROM p WHERE n = 1 OR before IS DISTINCT FROM event_type""")
+def hot_change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Change points where one entity is cut into parts of its time."""
+    return segmented.change_points(_hot_events(spark, sf_dir), ["entity"], "t", ["event_type"], ["event_id"], HOT_ROWS).select("entity", "t", "event_id", "event_type")
+
+
+@query("hot_asof", f"""WITH {EVENTS_SQL}, {_HOT}, c AS (SELECT entity, t, max(event_id) AS click FROM h WHERE event_type = 'click' GROUP BY ALL)
+SELECT l.event_id, c.click FROM (SELECT * FROM h WHERE event_type = 'error') l ASOF LEFT JOIN c ON l.entity = c.entity AND l.t >= c.t""")
+def hot_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last click at or before each error, of entities one of which has half of all events."""
+    e = _hot_events(spark, sf_dir)
+    clicks = e.where("event_type = 'click'").groupBy("entity", "t").agg(F.max("event_id").alias("click"))
+    return segmented.asof(e.where("event_type = 'error'").select("event_id", "entity", "t"), clicks, ["entity"], "t", ["click"], HOT_ROWS).select("event_id", "click")
+
+
+@query("hot_price_intervals", f"""WITH {PRICES_SQL}, y AS (SELECT CASE WHEN part % 2 = 0 THEN 0 ELSE part END AS entity, t, min(cents) // 20000 AS band FROM d GROUP BY ALL),
+s AS (SELECT *, coalesce(lead(t) OVER w - 1, {PRICE_END_MS}) AS stop FROM y WINDOW w AS (PARTITION BY entity ORDER BY t)),
+n AS (SELECT *, CASE WHEN lag(band) OVER w IS DISTINCT FROM band OR lag(stop) OVER w + 1 < t THEN 1 ELSE 0 END AS fresh FROM s WHERE t <= stop WINDOW w AS (PARTITION BY entity ORDER BY t)),
+i AS (SELECT *, sum(fresh) OVER (PARTITION BY entity ORDER BY t) AS i FROM n)
+SELECT entity, band, min(t) AS start, max(stop) AS stop FROM i GROUP BY entity, band, i""")
+def hot_price_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How long prices stayed within a band, where one entity has half of the parts: spans end in the next part of its time, and islands reach across parts."""
+    entity = F.when(F.col("part") % 2 == 0, 0).otherwise(F.col("part")).alias("entity")
+    bands = daily_prices(spark, sf_dir).groupBy(entity, "t").agg(F.floor(F.min("cents") / 20000).alias("band"))
+    spans = segmented.spans(bands, ["entity"], "t", F.lit(PRICE_END_MS), HOT_ROWS).select("entity", "band", "start", "stop")
+    return segmented.islands(spans, ["entity"], ["band"], HOT_ROWS).select("entity", "band", "start", "stop")
+
+
 def _month_ms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Presence points of parts, at the first millisecond of their runs."""
     points = changepoints.presence_points(price_stream(spark, sf_dir), ["part"], "run", LAST_RUN)

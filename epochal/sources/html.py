@@ -19,8 +19,10 @@ def links(pages: DataFrame, key: str, html: str) -> DataFrame:
 
 
 def sitemap_locations(pages: DataFrame, key: str, xml: str) -> DataFrame:
-    """(key, loc) in document order, XML entities decoded."""
-    found = F.regexp_extract_all(xml, F.lit(r"<loc>\s*([^<]+?)\s*</loc>"), 1)
+    """(key, loc) in document order, XML entities decoded: what stands between a tag and its end, if that is text."""
+    after = F.split(xml, "<loc>")
+    inside = F.transform(F.slice(after, F.lit(2), F.greatest(F.size(after) - 1, F.lit(0))), lambda x: F.when(x.contains("</loc>"), F.btrim(F.substring_index(x, "</loc>", 1), F.lit(" \t\r\n"))))
+    found = F.filter(inside, lambda x: (x != "") & ~x.contains("<"))
     return pages.select(key, F.posexplode(found).alias("pos", "raw")).select(key, "pos", decoded(F.col("raw")).alias("loc"))
 
 
@@ -77,24 +79,3 @@ def price_lines(block: Column) -> Column:
     lines = F.transform(F.filter(parts, lambda x: x != ""), price_line)
     good = F.transform(lines, lambda x: F.struct(x["least"].alias("least"), x["unit"].alias("unit"), x["label"].alias("label"), x["amount"].alias("amount")))
     return F.when(ended & F.forall(lines, lambda x: x["ok"]), good)
-
-
-def without_descriptions(html: Column) -> Column:
-    """A listing without its descriptions: each runs to the price block after it."""
-    return F.regexp_replace(html, r'(?s)<div class="item_list1_description">.*?(?=<div class="item_list1_price">)', "")
-
-
-def listing_rows(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """(key, pos, code, name, lines): rows of a category listing, whose code stands in the link of the name."""
-    rows = F.regexp_extract_all(without_descriptions(F.col(html)), F.lit(r'(?s)<tr\b[^>]*\bclass="item_list_row"[^>]*>(.*?)</tr>'), 1)
-    out = pages.select(key, F.posexplode(rows).alias("pos", "row"))
-    cell = r'(?s)<td class="item_list1_name">.*?<a href="\./detail\.php\?code=([^"&]+)">(.*?)</a>'
-    block = F.regexp_extract("row", r'(?s)<div class="item_list1_price">(.*?)</div>', 1)
-    name = decoded(F.trim(F.regexp_replace(F.regexp_replace(F.regexp_extract("row", cell, 2), "<[^>]*>", " "), r"[\t\n\r ]+", " ")))
-    return out.select(key, "pos", F.regexp_extract("row", cell, 1).alias("code"), name.alias("name"), price_lines(block).alias("lines"))
-
-
-def listing_counter(html: Column) -> Column:
-    """struct<first, last, total> of the counter over a listing."""
-    run = lambda i: F.regexp_replace(F.regexp_extract(html, r"([\d,]+)件[～〜~]([\d,]+)件\(全([\d,]+)件\)", i), ",", "").try_cast("long")
-    return F.struct(run(1).alias("first"), run(2).alias("last"), run(3).alias("total"))

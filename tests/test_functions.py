@@ -74,9 +74,24 @@ def test_canonical_json_and_handles(spark):
     text = '{"b":[1,{"z":null,"a":"é"}],"a":1}'
     assert one(spark, keys.canonical_json(F.lit(text))) == json.dumps(json.loads(text), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
     assert one(spark, keys.canonical_json(F.lit("{"))) is None
-    key = keys.page_key_of_handle(F.lit("a_b é"))
-    assert one(spark, key) == "h-a_5Fb_20_C3_A9"
-    assert one(spark, keys.handle_of_page_key(key)) == "a_b é"
+    key = keys.page_key_of_handle(F.lit("a_bé+"))
+    assert one(spark, key) == "h-a_5Fb_C3_A9_2B"
+    assert one(spark, keys.handle_of_page_key(key)) == "a_bé+"
+    assert [one(spark, keys.handle_of_page_key(F.lit(k))) for k in ("h-a b", "h-_zz", "h-_61", "x-a", "h-", "h-a")] == [None, None, None, None, None, "a"]
+    assert [one(spark, keys.page_key_of_handle(F.lit(h))) for h in ("a b", "-a", "", "é" * 22, "é" * 21)] == [None, None, None, None, "h-" + "_C3_A9" * 21]
+
+
+def test_shapes_of_codes(spark):
+    from epochal.operators import rawchecks
+
+    say = lambda shape, *texts: [one(spark, F.lit(t).rlike(shape)) for t in texts]
+    assert say(rawchecks.SLUG, "foo.bar_1", "a" * 64, "a" * 65, "-a", "A", "a\n") == [True, True, False, False, False, False]
+    assert say(rawchecks.CATEGORY_CODE, "EEHD-5MAE", "A-B-C-D", "A-B-C-D-E", "ABCDEFGHIJKL", "ABCDEFGHIJKLM", "a", "A-") == [True, True, False, True, False, False, False]
+
+
+def test_names_lose_what_shops_note(spark):
+    names = {"《お取り寄せ商品》 ABC-12": "ABC-12", "ｘ 【取寄せ品】y[eol] z": "X Y Z", "part--販売終了": "PART", "part--販売終了 2": "PART--販売終了 2", "a  b--在庫限り": "A B"}
+    assert [one(spark, keys.clean_name(F.lit(k))) for k in names] == list(names.values())
 
 
 def test_price_lines(spark):
@@ -84,4 +99,3 @@ def test_price_lines(spark):
     got = [tuple(x) for x in one(spark, html.price_lines(F.lit(block)))]
     assert got == [(1, "個", "単価", 1340), (10, "個", "10個以上単価", 1200)]
     assert one(spark, html.price_lines(F.lit("what is this"))) is None
-    assert tuple(one(spark, html.listing_counter(F.lit('<div class="item_nums">1件～40件(全1,234件)</div>')))) == (1, 40, 1234)

@@ -83,6 +83,30 @@ def test_an_import_writes_its_own_files_only_and_a_cut_off_one_changes_nothing(s
     assert history.State.acquire(spark, str(tmp_path / "s")).manifest()["version"] == 4 and state.read("runs").count() == 4
 
 
+def test_two_writers_of_one_version_keep_what_the_first_committed(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "w")
+    rows = lambda a, b: spark.range(a, b).selectExpr("id AS x")
+    first, second = history.State(spark, root), history.State(spark, root)
+    first.commit({"t": rows(0, 3)})
+    seen = second.manifest()
+    first.commit({"t": rows(3, 103)})
+    monkeypatch.setattr(second, "manifest", lambda: seen)  # the second writer read the state before the first committed
+    monkeypatch.setattr(second, "manifests", lambda: ["00000001.json"])
+    with pytest.raises(Exception, match="exists"):
+        second.commit({"t": rows(900, 907)})
+    assert history.State(spark, root).read("t").count() == 103 and first.verify() == []
+
+
+def test_a_state_goes_on_after_a_manifest_that_was_cut_off(spark, tmp_path, load):
+    state = history.State(spark, str(tmp_path / "c"))
+    same = {f"p{i}": i for i in range(9)}
+    assert history.import_snapshot(state, load(snapshot(1, {"a": 1} | same))).outcome == "ok"
+    (tmp_path / "c" / "manifests" / "00000002.json").write_text('{"format": 2, "ver')
+    assert history.import_snapshot(state, load(snapshot(2, {"a": 2} | same))).outcome == "ok"
+    assert state.manifest()["version"] == 3 and state.verify() == []
+    assert history.price_series(state).count() == 11
+
+
 def test_an_older_format_is_brought_up_to_date_and_a_newer_one_refused(spark, tmp_path, load):
     state = history.State(spark, str(tmp_path / "m"))
     for day in (1, 2):

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from epochal.operators import codes, publication
+from epochal.sources import shoppages
 from epochal.sources import stockpages as P
 
 
@@ -16,11 +17,50 @@ def test_single_count(spark, html, want):
     assert one(spark, P.single_count(F.lit(html), 100)) == want
 
 
-def test_counts_of_scripts_and_options(spark):
-    page = 'var product = {"handle":"h","variants":[{"id":11},{"id":12}]};\nvariants[0].inventory_quantity = 5;\nvariants[1].inventory_quantity = -2;\n<option value="11" data-inventory="5">'
-    assert one(spark, P.agreed_counts(F.lit(page))) == {"11": 5, "12": None}
-    assert one(spark, P.agreed_counts(F.lit(page.replace('data-inventory="5"', 'data-inventory="6"')))) is None
-    assert one(spark, P.option_counts(F.lit('<option value="1" data-inventory="3"><option value="1" data-inventory="3">'))) is None
+SCRIPT = """<script>
+  _SIConfig.product = {"handle":"h","variants":[{"id":11},{"id":12}]};
+  _SIConfig.product.variants[0]['inventory_quantity'] = 5;
+  _SIConfig.product.variants[1]['inventory_quantity'] = -2;
+</script><option value="11" data-inventory="5">a</option>"""
+
+
+@pytest.mark.parametrize(
+    ("old", "new", "want"),
+    [
+        ("", "", {"11": 5, "12": None}), ('value="11" data-inventory="5"', 'value="99" data-inventory="3"', {"11": 5, "12": None}), ('data-inventory="5"', 'data-inventory="6"', "script and option disagree"), ('"handle":"h"', '"handle":"other"', "page of another product"),
+        ("variants[1]", "variants[4]", "count beyond the variants"), ("variants[1]", "variants[0]", "variant counted twice"), ('{"id":12}', "{}", "variant without id"), ('[{"id":11},{"id":12}]', "[]", "script without variants"), ("]};", "],};", "script is no JSON"),
+        ('value="11"', 'value="x"', "unknown option"), ("inventory_quantity", "other", "script without counts"), ("_SIConfig.product = ", "product = ", {"11": 5}),
+    ],
+)
+def test_counts_of_scripts_and_options(old, new, want):
+    page = SCRIPT.replace(old, new) if old else SCRIPT
+    if isinstance(want, str):
+        with pytest.raises(shoppages.Refused, match=want):
+            shoppages.counts(page, "h")
+    else:
+        assert shoppages.counts(page, "h") == want
+
+
+def test_pages_without_counts_are_refused():
+    for page, why in (("", "no counts"), ('<option value="1" data-inventory="3"><option value="1" data-inventory="3">', "variant listed twice"), ("<option value='1'>", "no counts")):
+        with pytest.raises(shoppages.Refused, match=why):
+            shoppages.counts(page, "h")
+
+
+def test_table_functions_take_null_and_odd_pages(spark):
+    pages = spark.createDataFrame([(1, None), (2, ""), (3, "<"), (4, "<p>&#99999999;&x;" + "<b>" * 2000)], "k int, html string")
+    assert pages.lateralJoin(shoppages.StockCounts(F.col("html").outer(), F.lit("h"))).where("refused = 'no counts'").count() == 4
+    assert pages.lateralJoin(shoppages.ListingItems(F.col("html").outer())).where("refused = 'no header'").count() == 4
+    assert pages.lateralJoin(shoppages.CategoryTree(F.col("html").outer(), F.lit(1))).where("refused = 'no main area'").count() == 4
+    assert pages.lateralJoin(shoppages.CategoryListing(F.col("html").outer())).where("refused = 'no counter'").count() == 4
+
+
+def test_a_branch_lists_nothing_and_a_listing_ends_where_its_items_do():
+    assert shoppages.listing('<h1 class="h1 block-category-list--header">A &amp; B</h1>') == (("A & B", "none", 0, 1, 1, None), [])
+    item = '<dl class="block-cart-i--goods x"><div class="block-cart-i--goods-name"><a href="/catalog/g/g101/">N</a></div><div class="block-cart-i--code"><strong>c</strong>101</div>'
+    html = f'<h1 class="block-genre-page--header">G</h1><span class="pager-count"><span>1</span></span><ul>{item}</dl></ul></div><div class="block-cart-i--stock-info-a">later</div>'
+    (head, items) = shoppages.listing(html)
+    assert head == ("G", "card", 1, 1, 1, None) and [(x[0], x[1], x[7], x[9]) for x in items] == [("101", "N", "", ["no price block", "no stock status"])]
 
 
 def test_listing_items(spark):
@@ -30,11 +70,14 @@ def test_listing_items(spark):
     assert got == [("101", "Part & more", 1200, "在庫", False, []), ("102", "Part & more", 1200, "在庫", False, ["unusable code text"]), ("104", "Part & more", 1200, "在庫", False, ["code disagrees with link"])]
 
 
-def test_category_tree(spark):
+def test_category_tree():
     a = lambda cid, name: f'<a href="/mod/sgk_cart/search.php?cid={cid}">{name}</a>'
-    html = f'<div id="main"><div class="category_class">{a(1, "A")}</div><div class="category_lv0">■{a(2, "B")}</div><p>・{a(3, "C")}</p><div class="category_class">{a(4, "D")}</div>'
-    got = [(r.cid, r.name, r.level, r.parent) for r in P.category_tree(spark.createDataFrame([(1, html)], "k int, html string"), "k", "html").orderBy("pos").collect()]
-    assert got == [(1, "A", 1, None), (2, "B", 2, 1), (3, "C", 3, 2), (4, "D", 1, None)]
+    menu = "".join(f'<div class="category_sub" data-parent-cid="7">{a(c, "x")}</div>' for c in (1, 4))
+    html = f'{menu}<div id="main"><div class="category_class">{a(1, "A　a")}</div><div class="category_lv0">■{a(2, "B")}</div><p>・{a(3, "C")}</p><div class="category_class">{a(4, "D")}</div></div>'
+    assert shoppages.category_tree(html, 7) == [(1, "A　a", 1, None), (2, "B", 2, 1), (3, "C", 3, 2), (4, "D", 1, None)]
+    for old, new, why in ((menu, "", "disagree"), ("cid=4", "cid=1", "twice"), ('<div class="category_lv0">■', "<p>", "before its parent"), (">B<", "> <", "unreadable"), ('id="main"', "", "no main area")):
+        with pytest.raises(shoppages.Refused, match=why):
+            shoppages.category_tree(html.replace(old, new), 7)
 
 
 @pytest.mark.parametrize(
