@@ -61,6 +61,33 @@ def signed_amount(minor: Column) -> Column:
     return F.when(minor > 0, F.concat(F.lit("+"), minor.cast("string"))).when(minor < 0, F.concat(F.lit("−"), F.abs(minor).cast("string"))).otherwise("±0")
 
 
+# How an amount in a currency is written; others are written as digits and the currency.
+SIGNS = {"JPY": "￥", "USD": "$", "EUR": "€", "KRW": "₩"}
+
+
+def money_text(minor: Column, currency: Column) -> Column:
+    """An amount of minor units with its currency's sign, thousands apart and as many decimals as the currency has."""
+    digits = minor_digits(currency)
+    number = F.when(digits == 0, F.format_number(minor / F.pow(F.lit(10), digits), 0)).otherwise(F.format_number(minor / F.pow(F.lit(10), digits), 2))
+    signs = F.create_map(*[F.lit(x) for kv in SIGNS.items() for x in kv])
+    return F.when(signs[currency].isNotNull(), F.concat(signs[currency], number)).otherwise(F.concat(F.regexp_replace(number, ",", ""), F.lit(" "), currency))
+
+
+def signed_money(minor: Column, currency: Column) -> Column:
+    """An amount with its sign before it, `±` for none."""
+    return F.concat(F.when(minor > 0, "+").when(minor < 0, "−").otherwise("±"), money_text(F.abs(minor), currency))
+
+
+def percent_text(percent: Column) -> Column:
+    """`+1.5%`: one decimal, halves away from zero, with its sign before it."""
+    shown = F.format_string("%.1f", (F.floor(F.abs(percent) * 10 + 0.5) / 10).cast("double"))
+    return F.concat(F.when(percent > 0, "+").when(percent < 0, "−").otherwise("±"), shown, F.lit("%"))
+
+
+def four_places(x: Column) -> Column:
+    return half_up(x, 4)
+
+
 def capped_count(count: Column, cap: Column) -> Column:
     """`100+` at or above the cap that a shop shows."""
     return F.when(cap.isNotNull() & (count >= cap), F.concat(cap.cast("string"), F.lit("+"))).otherwise(count.cast("string"))

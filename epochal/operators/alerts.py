@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The length of a printed reason and how many of them are listed.
-REASON_CHARS, REASONS = 300, 5
+REASON_CHARS, REASONS = 300, 10
 
 
 def printable(text: Column) -> Column:

@@ -79,3 +79,15 @@ def price_lines(block: Column) -> Column:
     lines = F.transform(F.filter(parts, lambda x: x != ""), price_line)
     good = F.transform(lines, lambda x: F.struct(x["least"].alias("least"), x["unit"].alias("unit"), x["label"].alias("label"), x["amount"].alias("amount")))
     return F.when(ended & F.forall(lines, lambda x: x["ok"]), good)
+
+
+# Names of attributes that hold what a fixture must not keep.
+SECRETS = ("csrf", "token", "session", "apikey", "api_key", "api-key")
+
+
+def sanitized(html: Column, banner: Column) -> Column:
+    """A page fit to be kept as a fixture: without scripts, with secrets blanked, and a banner behind its doctype."""
+    t = F.regexp_replace(html, r"(?is)<script\b.*?</script>", "")
+    named = "|".join(SECRETS)
+    t = F.regexp_replace(t, rf'(?i)((?:{named})[a-z_-]*"\s*(?:content|value)=")[^"]*', "$1")
+    return F.regexp_replace(t, r"(?i)^(.*?<!doctype html>\r?\n?)", F.concat(F.lit("$1"), banner))
