@@ -16,8 +16,8 @@ SECOND_LOOK = ".failed-run.json"
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    """(file, value): every file under a folder whole, with its path."""
-    return spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    """(file, value): every file under a folder whole, with its path; an empty one too, which a reader of lines would pass over."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("path").alias("file"), F.decode("content", "UTF-8").alias("value"))
 
 
 def kind(v: Column) -> Column:
