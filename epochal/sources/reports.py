@@ -16,8 +16,15 @@ SECOND_LOOK = ".failed-run.json"
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    """(file, value): every file under a folder whole, with its path; an empty one too, which a reader of lines would pass over."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("path").alias("file"), F.decode("content", "UTF-8").alias("value"))
+    """(file, value): every file under a folder whole, with its path. Readers pass over files without a byte, so these are taken from the folder's listing."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found, empty = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(folder, True), []
+    while found.hasNext():
+        f = found.next()
+        if f.getLen() == 0 and not f.getPath().getName().startswith(("_", ".")):
+            empty.append((f.getPath().toString(), ""))
+    whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    return whole.unionByName(spark.createDataFrame(empty, "file string, value string")) if empty else whole
 
 
 def kind(v: Column) -> Column:
