@@ -12,14 +12,25 @@ from epochal.llm import linededup, mixing, ngramjoin, packing, toxicity
 from epochal.llm.common import Scratch, keep_ids, plain, table
 
 
+#: Rows and bytes of text that go to a Python worker at a time: what both sides hold of a batch, several times over while it is worked on.
+BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below 0.5. The lexicon is learnt from `documents` and `labels` as they came."""
+    _small_batches(spark)
     lexicon = toxicity.fit(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return toxicity.score_documents(docs, lexicon).where("__score < 0.5").select(*_names(docs))
 
 
 def lines_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that repeat; n_chars follows the text where it has changed."""
+    _small_batches(spark)
     out = linededup.line_dedup(docs, Scratch(spark))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
@@ -33,6 +44,7 @@ def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Documents without words are no copies of each other. Where rows repeat a doc_id, each is judged by its own text: rows that are equal in both are one document
     without more ado, others are told apart by a hash of both, the least of which stays where ids are equal. Null ids stay.
     """
+    _small_batches(spark)
     scratch = Scratch(spark)
     repeated = not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
     if not repeated:
@@ -58,6 +70,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences of at most 1024 ids."""
+    _small_batches(spark)
     return packing.pack(docs.select("doc_id", "text"), Scratch(spark))
 
 
