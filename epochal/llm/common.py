@@ -30,6 +30,20 @@ def plain(docs: DataFrame) -> DataFrame:
     return docs.select(*[F.col(f"`{c}`") for c in docs.columns if not c.startswith("__")])
 
 
+LOWER_SQL = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def crc_sql(digits: str) -> str:
+    """The unsigned CRC-32 in SQL of bytes given as hex digits: a byte at a time, with the table of its polynomial made here."""
+    table = []
+    for n in range(256):
+        for _ in range(8):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        table.append(n)
+    one = f"list_transform(range(1, length({digits}), 2), lambda i: CAST('0x' || substr({digits}, i, 2) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {one}), lambda c, b: xor(c >> 8, list_extract(CAST({table} AS BIGINT[]), (xor(c, b) & 255) + 1))), 4294967295)"
+
+
 class Scratch:
     """Tables written to the folder in spark.checkpoint.dir, which all executors share.
 

@@ -36,4 +36,7 @@ def oracle_sql() -> dict[str, str]:
         "op8_linededup": linededup.SQL,
         "op9_ngramjoin": ngramjoin.SQL,
         "op9_ngramjoin_links": ngramjoin.LINKS_SQL,
+        "op11_resampling": resampling.SQL,
+        "op12_spelling": spelling.SQL,
+        "op13_repetition": repetition.SQL,
     }

@@ -135,11 +135,17 @@ def measure(texts: pa.Array, step: int | None = None) -> dict[str, np.ndarray]:
     words = np.bincount(row, minlength=n) if len(row) else np.zeros(n, np.int64)
     word_chars = np.bincount(row, weights=chars, minlength=n).astype(np.int64) if len(row) else np.zeros(n, np.int64)
     lines = np.array([line_repeats(buf[a:b].tobytes()) for a, b in zip(off[:-1], off[1:])], dtype=np.int64).reshape(n, 4)
-    excess = np.zeros(n)
-    some = lines[:, 1] > FREE_LINES
-    np.maximum(excess, some * 100 * lines[:, 1] / np.maximum(lines[:, 0], 1) / LINES, out=excess)
-    np.maximum(excess, some * 100 * lines[:, 3] / np.maximum(lines[:, 2], 1) / LINE_CHARS, out=excess)
-    np.maximum(excess, 100 * symbols / np.maximum(words, 1) / MOST_SYMBOLS, out=excess)
+    excess, over = np.zeros(n), np.zeros(n, dtype=bool)
+
+    def judge(counts: np.ndarray, found: np.ndarray, of: np.ndarray, bound: int) -> None:
+        """A share against its bound, where it counts: compared in whole numbers."""
+        np.maximum(excess, counts * (100 * found / np.maximum(of, 1) / bound), out=excess)
+        np.logical_or(over, counts & (100 * found > bound * of), out=over)
+
+    some, all_ = lines[:, 1] > FREE_LINES, np.ones(n, dtype=bool)
+    judge(some, lines[:, 1], lines[:, 0], LINES)
+    judge(some, lines[:, 3], lines[:, 2], LINE_CHARS)
+    judge(all_, symbols, words, MOST_SYMBOLS)
     repeat_words = np.zeros(n, dtype=np.int64)
     rolled = np.zeros(len(w), dtype=np.uint64)
     for k in range(1, max(REPEATED) + 1):
@@ -154,13 +160,12 @@ def measure(texts: pa.Array, step: int | None = None) -> dict[str, np.ndarray]:
             repeat_words = np.bincount(row, weights=covered(again, k, len(w)), minlength=n).astype(np.int64)
         if k in COMMONEST:
             size, many = most_covered(row, rolled, order, chars, k, n)
-            np.maximum(excess, (many > FREE_WORDS) * 100 * size / np.maximum(word_chars, 1) / COMMONEST[k], out=excess)
+            judge(many > FREE_WORDS, size, word_chars, COMMONEST[k])
         if k in REPEATED:
             on = covered(later, k, len(w))
-            share = np.bincount(row, weights=chars * on, minlength=n) / np.maximum(word_chars, 1)
-            np.maximum(excess, (np.bincount(row, weights=on, minlength=n) > FREE_WORDS) * 100 * share / REPEATED[k], out=excess)
+            judge(np.bincount(row, weights=on, minlength=n) > FREE_WORDS, np.bincount(row, weights=chars * on, minlength=n).astype(np.int64), word_chars, REPEATED[k])
     failed = (words < LEAST_WORDS) | (100 * repeat_words > MOST_REPEAT_WORDS * words)
-    kept = ~failed & (excess <= 1)
+    kept = ~failed & ~over
     return {"n_words": words, "word_chars": word_chars, "n_symbols": symbols, "n_dup_lines": lines[:, 1], "n_repeat_words": repeat_words, "excess": excess, "base_failed": failed, "kept": kept}
 
 
@@ -196,4 +201,31 @@ def repetition_rules(docs: DataFrame) -> DataFrame:
 def op13_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: the base measures, whether they fail it, and whether the repetition rules keep it."""
     out = repetition_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", *[F.col(f"__{c}").alias(c) for c in (*BASE, "base_failed", "kept", "excess")])
+    return out.select("doc_id", *[F.col(f"__{c}").alias(c) for c in (*BASE, "base_failed", "kept")])
+
+
+def _window_sql(n: int) -> str:
+    """Of windows of n words: the words and characters that later copies cover, and those that the copies of one window do at most, by document."""
+    text = "a" + "".join(f" || ' ' || lead(a, {k}) OVER o" for k in range(1, n))
+    return f"""g{n} AS (SELECT id, i, len, upto, {text} AS g, lead(upto, {n - 1}) OVER o AS stop FROM p WINDOW o AS (PARTITION BY id ORDER BY i)),
+h{n} AS (SELECT *, g IS NOT NULL AND count(*) OVER (PARTITION BY id, g) > 1 AS again, CASE WHEN g IS NOT NULL THEN i - lag(i) OVER (PARTITION BY id, g ORDER BY i) END AS gap FROM g{n}),
+k{n} AS (SELECT *, coalesce(bool_or(again) OVER w, false) AS on_any, coalesce(bool_or(gap IS NOT NULL) OVER w, false) AS on_later FROM h{n} WINDOW w AS (PARTITION BY id ORDER BY i ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)),
+c{n} AS (SELECT h.id, h.g, sum(least(coalesce(h.gap, {n}), {n})) AS words, sum(h.stop - CASE WHEN h.gap < {n} THEN q.upto - q.len ELSE h.upto - h.len END) AS chars FROM h{n} h JOIN p q ON q.id = h.id AND q.i = h.i + {n} - least(coalesce(h.gap, {n}), {n}) WHERE h.again GROUP BY h.id, h.g),
+m{n} AS (SELECT id, max(words) AS words, max(chars) AS chars FROM c{n} GROUP BY id),
+r{n} AS (SELECT id, count(*) FILTER (WHERE on_any) AS any_words, count(*) FILTER (WHERE on_later) AS words, coalesce(sum(len) FILTER (WHERE on_later), 0) AS chars FROM k{n} GROUP BY id)"""
+
+
+_EACH = sorted({*REPEATED, *COMMONEST, WINDOW})
+_OVER = [f"r{n}.words > {FREE_WORDS} AND 100 * r{n}.chars > {bound} * d.word_chars" for n, bound in REPEATED.items()] + [f"m{n}.words > {FREE_WORDS} AND 100 * m{n}.chars > {bound} * d.word_chars" for n, bound in COMMONEST.items()]
+SQL = f"""
+WITH t AS (SELECT doc_id AS id, coalesce(text, '') AS t FROM documents), w AS (SELECT id, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w FROM t),
+u AS (SELECT id, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM w), p AS MATERIALIZED (SELECT *, length(a) AS len, sum(length(a)) OVER (PARTITION BY id ORDER BY i) AS upto FROM u),
+l0 AS (SELECT id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM t), l1 AS (SELECT *, row_number() OVER (PARTITION BY id, line ORDER BY i) > 1 AS again FROM l0 WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]')),
+l AS (SELECT id, count(*) AS n, count(*) FILTER (WHERE again) AS dup, sum(length(line)) AS chars, coalesce(sum(length(line)) FILTER (WHERE again), 0) AS dup_chars FROM l1 GROUP BY id),
+{", ".join(_window_sql(n) for n in _EACH)},
+d AS (SELECT w.id, len(w) AS n_words, coalesce((SELECT sum(len) FROM p WHERE p.id = w.id), 0) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols FROM w),
+f AS (SELECT d.*, coalesce(l.dup, 0) AS n_dup_lines, coalesce(r{WINDOW}.any_words, 0) AS n_repeat_words, coalesce(l.dup > {FREE_LINES} AND (100 * l.dup > {LINES} * l.n OR 100 * l.dup_chars > {LINE_CHARS} * l.chars), false) OR 100 * n_symbols > {MOST_SYMBOLS} * n_words
+ OR {" OR ".join(f"coalesce({x}, false)" for x in _OVER)} AS over FROM d LEFT JOIN l USING (id) {" ".join(f"LEFT JOIN r{n} USING (id) LEFT JOIN m{n} USING (id)" for n in _EACH)})
+SELECT id AS doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEAT_WORDS} * n_words AS base_failed,
+NOT (n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEAT_WORDS} * n_words OR over) AS kept FROM f
+"""

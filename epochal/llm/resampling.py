@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import STEP, Scratch, table
+from .common import LOWER_SQL, STEP, Scratch, crc_sql, table
 
 WORD, GAP = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), re.compile(rb"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
 #: Longest run of words that is a feature, and the buckets that features fall into.
@@ -213,3 +213,23 @@ def resample(docs: DataFrame, target: DataFrame, scratch: Scratch, percent: int
 def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: features, weight towards the benchmark's texts, score and rank in the draw."""
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Scratch(spark))
+
+
+def _features_sql(name: str, rows: str) -> str:
+    words = f"regexp_extract_all({LOWER_SQL.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""{name}w AS MATERIALIZED (SELECT {rows}, {words} AS w FROM {'documents' if name == 's' else 'benchmark'}), {name}p AS (SELECT id, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM {name}w),
+{name}r AS (SELECT id, a, a || ' ' || lead(a) OVER o AS b, a || ' ' || lead(a) OVER o || ' ' || lead(a, 2) OVER o AS c FROM {name}p WINDOW o AS (PARTITION BY id ORDER BY i)),
+{name}f AS MATERIALIZED (SELECT id, a AS g FROM {name}r UNION ALL SELECT id, b FROM {name}r WHERE b IS NOT NULL UNION ALL SELECT id, c FROM {name}r WHERE c IS NOT NULL)"""
+
+
+SQL = f"""
+WITH {_features_sql("s", "doc_id AS id")}, {_features_sql("t", "item_id AS id")},
+x AS MATERIALIZED (SELECT g, hex(encode(g)) AS x FROM (SELECT g FROM sf UNION SELECT g FROM tf)), c AS MATERIALIZED (SELECT g, {crc_sql("x")} % {BUCKETS} AS b FROM x),
+s AS (SELECT b, count(*) AS n FROM sf JOIN c USING (g) GROUP BY b), t AS (SELECT b, count(*) AS n FROM tf JOIN c USING (g) GROUP BY b), z AS (SELECT coalesce((SELECT sum(n) FROM s), 0)::DOUBLE AS s, coalesce((SELECT sum(n) FROM t), 0)::DOUBLE AS t),
+k AS (SELECT s.b, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * (z.s + {BUCKETS}) / ((s.n + 1)::DOUBLE * (z.t + {BUCKETS})))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (b), z),
+d AS (SELECT id, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS weight FROM sf JOIN c USING (g) JOIN k USING (b) GROUP BY id),
+e AS (SELECT w.id, len(w.w) AS words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, CAST('0x' || substr(sha256('{SEED}:' || w.id), 1, 8) AS BIGINT) AS h FROM sw w LEFT JOIN d USING (id)),
+f AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM e),
+r AS (SELECT *, CASE WHEN words >= {LEAST_WORDS} THEN row_number() OVER (PARTITION BY words >= {LEAST_WORDS} ORDER BY score DESC, id) END AS place, count(*) FILTER (WHERE words >= {LEAST_WORDS}) OVER () AS able FROM f)
+SELECT id AS doc_id, n_features, weight, score, CASE WHEN place <= {PERCENT} * able // 100 THEN place END AS rank FROM r
+"""

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .common import Scratch, table
+from .common import LOWER_SQL, Scratch, crc_sql, table
 
 RUN, GAP = re.compile("[a-zÀ-ÿ]+"), re.compile(rb"[\x00-\x40\x5b-\x60\x7b-\x7f]")
 LEAST_CHARS, LEAST_COUNT, LOSES = 5, 3, 97
@@ -328,3 +328,18 @@ def variants(words: DataFrame, scratch: Scratch) -> DataFrame:
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per word of the corpus, in which one run of 97 has lost a letter: its form, root and numbers."""
     return variants(word_counts(table(spark, sf_dir, "documents")), Scratch(spark))
+
+
+SQL = f"""
+WITH RECURSIVE a AS (SELECT doc_id, unnest(regexp_extract_all({LOWER_SQL.format("text")}, '[a-zÀ-ÿ]+')) AS w FROM documents),
+o AS (SELECT doc_id, w, count(*) AS n, hex(encode(doc_id || ':' || w)) AS x FROM a GROUP BY ALL), h AS (SELECT *, {crc_sql("x")} AS h FROM o),
+m AS (SELECT CASE WHEN h % {LOSES} = 0 THEN substr(w, 1, CAST(h % length(w) AS INTEGER)) || substr(w, CAST(h % length(w) AS INTEGER) + 2) ELSE w END AS word, n FROM h),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM m WHERE length(word) >= {LEAST_CHARS} GROUP BY word HAVING sum(n) >= {LEAST_COUNT}),
+x AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM v, unnest(range(0, length(word))) u(i)),
+p AS (SELECT DISTINCT a.word, a.n, b.word AS near, b.n AS m FROM x a JOIN x b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word UNION SELECT a.word, a.n, v.word, v.n FROM x a JOIN v ON a.rest = v.word UNION SELECT v.word, v.n, a.word, a.n FROM x a JOIN v ON a.rest = v.word),
+b AS (SELECT word, count(*) AS n_near, arg_min(near, (-m, near)) AS best, max(m) AS best_n FROM p GROUP BY word),
+f AS (SELECT word, CASE WHEN best_n >= 2 * n THEN best END AS form, n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 2 * n THEN best_n END AS form_n FROM v LEFT JOIN b USING (word)),
+r AS (SELECT word, word AS root FROM f UNION ALL SELECT r.word, f.form FROM r JOIN f ON f.word = r.root WHERE f.form IS NOT NULL),
+l AS (SELECT r.word, r.root FROM r JOIN f ON f.word = r.root WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN l USING (word)
+"""
