@@ -71,11 +71,12 @@ def storefront_rules() -> dict[str, Column]:
 
 
 def api_rules() -> dict[str, Column]:
-    """Items of the list API (id, name, price, tax, taxrate, stock, onlist): the tax must be contained in the price, to the yen next to it."""
+    """Items of the list API (id, name, make, model, price, tax, taxrate, stock, onlist, status): the tax must be contained in the price, to the yen next to it."""
     price, rate = F.col("price"), F.col("taxrate")
     return {
         "item.id": ~F.coalesce(F.col("id").cast("string").rlike(API_ID), F.lit(False)), "item.duplicate": repeated("id"), "item.name": blank("name"), "item.price": F.coalesce(price < 0, F.lit(True)), "item.taxrate": ~F.coalesce((rate > TAX_RATE[0]) & (rate < TAX_RATE[1]), F.lit(False)),
         "item.tax": (price > 0) & (F.abs(F.col("tax") - half_up(price - price / rate)) > 1), "item.stock": F.coalesce(F.col("stock") < 0, F.lit(True)), "item.onlist": F.coalesce(F.col("onlist") != 1, F.lit(True)),
+        "item.make": F.col("make").isNull(), "item.model": F.col("model").isNull(), "item.status": F.coalesce(F.col("status.id") < 0, F.lit(True)) | (F.trim(F.coalesce("status.name", F.lit(""))) == ""),
     }
 
 

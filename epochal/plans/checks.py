@@ -78,7 +78,7 @@ def raw_storefront_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("raw_api_issues", _rules_sql("r AS (SELECT p_partkey AS n, p_size, CAST(floor(p_retailprice) AS BIGINT) AS price FROM part)", "CASE WHEN n % 97 = 1 THEN 0 ELSE n END", {
-    "item.id": "n % 97 = 1 OR n = 0", "item.duplicate": "n % 97 = 1 OR n = 0", "item.name": "n % 89 = 1", "item.price": "n % 83 = 1", "item.taxrate": "n % 79 = 1", "item.tax": "n % 83 <> 1 AND n % 73 = 1 AND n % 79 <> 1", "item.stock": "n % 71 = 1", "item.onlist": "n % 67 = 1"}))
+    "item.id": "n % 97 = 1 OR n = 0", "item.duplicate": "n % 97 = 1 OR n = 0", "item.name": "n % 89 = 1", "item.price": "n % 83 = 1", "item.taxrate": "n % 79 = 1", "item.tax": "n % 83 <> 1 AND n % 73 = 1 AND n % 79 <> 1", "item.stock": "n % 71 = 1", "item.onlist": "n % 67 = 1", "item.make": "n % 61 = 1", "item.model": "n % 59 = 1", "item.status": "n % 53 IN (1, 2)"}))
 def raw_api_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Taxes are those contained in the prices, one yen more or less, but for some that were put on top."""
     n, price = F.col("p_partkey"), F.floor("p_retailprice")
@@ -88,6 +88,7 @@ def raw_api_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(at(97), F.lit(0).cast("long")).otherwise(n).alias("id"), F.when(at(89), " ").otherwise(F.col("p_name")).alias("name"), F.when(at(83), -1).otherwise(price).cast("long").alias("price"),
         F.when(at(79), F.lit(1.0)).otherwise(F.lit(1.1)).alias("taxrate"), F.when(at(79), F.lit(0)).when(at(73), F.floor(price / 10)).otherwise(contained + n % 3 - 1).cast("long").alias("tax"),
         F.when(at(71), -1).otherwise(F.col("p_size")).cast("long").alias("stock"), F.when(at(67), 0).otherwise(1).alias("onlist"),
+        F.when(~at(61), "").alias("make"), F.when(~at(59), n.cast("string")).alias("model"), F.struct(F.when(n % 53 == 2, -1).otherwise(3).alias("id"), F.when(at(53), " ").otherwise("on sale").alias("name")).alias("status"),
     )
     return _counts(rawchecks.found(items, "id", rawchecks.api_rules()))
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.times import DAY_MS
-from ..operators import changepoints, imports, intervals
+from ..operators import changepoints, digests, imports, intervals
 from ..sources import snapshots as S
 
 FORMAT = 2
@@ -227,9 +227,12 @@ def published(state: State) -> DataFrame:
 
 
 def publish(state: State, path: str) -> dict:
-    """Writes the dataset by store as JSON and checks what was written: as many products, one version a store."""
+    """Writes the dataset by store as JSON and checks what was written: as many products, one version a store, and the same products as the state gives, by digests
+    that do not depend on order, so that no product is joined with its copy."""
     out = published(state)
     out.write.mode("overwrite").partitionBy("store").json(path, compression="gzip")
     back = state.spark.read.schema(out.schema).json(path)
     found = back.groupBy("store").agg(F.count("*").alias("products"), F.count_distinct("version").alias("versions"), F.count_distinct("product").alias("ids"))
-    return {r.store: {"products": r.products, "ok": r.versions == 1 and r.ids == r.products} for r in found.collect()}
+    texts = lambda df: df.select("store", F.to_json(F.struct(*[c for c in out.columns if c != "store"])).alias("text"))
+    wrong = {r.store for r in digests.disagreements(texts(out), texts(back), ["store"], ["text"]).collect()}  # a row a store
+    return {r.store: {"products": r.products, "ok": r.versions == 1 and r.ids == r.products and r.store not in wrong} for r in found.collect()}

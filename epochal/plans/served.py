@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import keys, money
 from ..functions.times import DAY_MS
 from ..operators import changepoints, chartview, contract, digests, graph, snapshotchecks
-from ..sources import catalogues, html, reports
+from ..sources import catalogues, covers, html, reports
 from ..sources.tables import PRICES_SQL, daily_prices, price_stream, table
 from . import temporal
 from .registry import query
@@ -230,3 +230,27 @@ def sanitized_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as a fixture: scripts out, tokens blank, a banner in place."""
     h = F.concat(F.lit('<!DOCTYPE html>\n<meta name="csrf-token" content="abc'), F.col("page_id").cast("string"), F.lit('">'), "html")
     return table(spark, sf_dir, "pages").select("page_id", F.sha2(html.sanitized(h, F.lit("<!-- kept -->\n")), 256).alias("hash"))
+
+
+_COVER = {
+    "version": 1, "builtAt": "2026-01-02T03:04:05Z", "families": ["c", "r"], "products": ["100", "200", "300"],
+    "listings": [{"id": "c/a", "pages": 2, "layout": "card", "truncated": False, "codes": [0, 1]}, {"id": "r/b", "pages": 50, "layout": "table", "truncated": True, "codes": [1, 2]}],
+}
+_COVER_BREAKS = [
+    ('"version": 1', '"version": 2', "version"), ("2026-01-02T03:04:05Z", "soon", "date"), ('["c", "r"]', '["r", "c"]', "families"), ('["c", "r"]', '["c", "c"]', "families"), ('["c", "r"]', "[]", "families"), ('"200"', '"300"', "products"), ('"300"', '"x"', "products"), ('"listings"', '"lists"', "no listings"),
+    ('"r/b"', '"c/a"', "bad or repeated id"), ('"r/b"', '"x/b"', "bad or repeated id"), ('"pages": 50', '"pages": 51', "r/b: pages"), ('"layout": "table"', '"layout": "grid"', "r/b: layout"), ('"truncated": true', '"truncated": 1', "r/b: truncated"), ("[1, 2]", "[2, 1]", "r/b: codes"), ("[1, 2]", "[1, 3]", "r/b: codes"),
+    ("[1, 2]", "[1]", "a product is shown by no listing"), ('{"version"', '{version"', "unreadable"),
+]
+
+
+@query("cover_sources", "WITH b(k, fault) AS (VALUES " + ", ".join(f"({k + 1}, '{x[2]}')" for k, x in enumerate(_COVER_BREAKS)) + f"""), s AS (SELECT p_partkey AS part, p_partkey % {len(_COVER_BREAKS) + 2} AS k FROM part)
+SELECT part, fault, NULL AS listings, NULL AS shown FROM s JOIN b USING (k) UNION ALL SELECT part, NULL, 2, '100,200,200,300' FROM s WHERE k NOT IN (SELECT k FROM b)""")
+def cover_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored cover sources, written and read again: what is wrong with each, and the listings and products of the sound ones."""
+    n = F.col("p_partkey")
+    text = _replaced(n, len(_COVER_BREAKS) + 2, _COVER, [x[:2] for x in _COVER_BREAKS])
+    path = graph.scratch(spark, "covers")
+    covers.write_covers(table(spark, sf_dir, "part").select(F.concat(n.cast("string"), F.lit("\t"), text).alias("text")), path)
+    rows = covers.read_covers(spark, path).select(F.substring_index("text", "\t", 1).cast("long").alias("part"), F.substring_index("text", "\t", -1).alias("text"))
+    listings = covers.stable_listings(rows, "part").groupBy("part").agg(F.count("*").cast("int").alias("listings"), F.array_join(F.array_sort(F.flatten(F.collect_list("products"))), ",").alias("shown"))
+    return rows.select("part", covers.cover_fault(F.col("text")).alias("fault")).join(listings, "part", "left").select("part", "fault", "listings", "shown")
