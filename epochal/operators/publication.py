@@ -23,15 +23,33 @@ def dataset_issues(files: DataFrame, manifest_version: str, key: str = "product"
     return counted.select(F.explode(bad).alias("issue")).groupBy("issue").agg(F.count("*").alias("n"))
 
 
-def encode(rows: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(rows with an index for each string, dictionary): strings by falling frequency, then by text.
+def presence_tuples(points: Column) -> Column:
+    """JSON of presence points as `[t, 0 or 1]`, by time."""
+    return F.to_json(F.transform(F.array_sort(points), lambda p: F.array(p["t"].cast("long"), p["present"].cast("long"))))
 
-    Indexes are ranks within frequency classes on top of the classes before, so no window sees all strings at once unless they are equally frequent.
-    """
+
+def price_tuples(points: Column) -> Column:
+    """JSON of price points as `[t, state, low, high]`, by time."""
+    amount = lambda x: F.coalesce(x.cast("string"), F.lit("null"))
+    one = lambda p: F.concat(F.lit("["), p["t"].cast("string"), F.lit(',"'), p["state"], F.lit('",'), amount(p["low"]), F.lit(","), amount(p["high"]), F.lit("]"))
+    return F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(points), one), ","), F.lit("]"))
+
+
+def global_rank(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """rows with their place from 0 in this order: rows are dealt by ranges of it, written so, and counted within and before each range. No task holds more than one
+    range, however many rows are alike in what comes first."""
+    dealt = graph.cut(rows.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    sizes = dealt.groupBy("__range").agg(F.count("*").alias("__k"))  # a row a range
+    before = sizes.select("__range", F.coalesce(F.sum("__k").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    own = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
+    return dealt.withColumn("__own", own).join(F.broadcast(before), "__range").withColumn(name, F.col("__own") + F.col("__before")).drop("__range", "__own", "__before")
+
+
+def encode(rows: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows with an index for each string, dictionary): strings by falling frequency, then by text. Most strings of a dictionary are equally frequent, which is why
+    ranks are made by ranges of both."""
     strings = rows.select(F.explode(F.array(*columns)).alias("s")).where("s is not null").groupBy("s").agg(F.count("*").alias("n"))
-    classes = strings.groupBy("n").agg(F.count("*").alias("k"))
-    before = classes.withColumn("before", F.coalesce(F.sum("k").over(Window.orderBy(F.col("n").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("n", "before")
-    table = strings.join(before, "n").select("s", (F.col("before") + F.row_number().over(Window.partitionBy("n").orderBy("s")) - 1).alias("i"))
+    table = global_rank(strings, [F.col("n").desc(), F.col("s")], "i").select("s", "i")
     out = rows
     for c in columns:
         out = out.join(table.select(F.col("s").alias(c), F.col("i").alias(f"{c}_i")), c, "left").drop(c)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys, money
 from ..functions.times import DAY_MS
-from ..operators import changepoints, chartview, contract, digests, graph, snapshotchecks
+from ..operators import changepoints, chartview, contract, digests, graph, publication, snapshotchecks
 from ..sources import catalogues, covers, html, reports
 from ..sources.tables import PRICES_SQL, daily_prices, price_stream, table
 from . import temporal
@@ -254,3 +254,31 @@ def cover_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = covers.read_covers(spark, path).select(F.substring_index("text", "\t", 1).cast("long").alias("part"), F.substring_index("text", "\t", -1).alias("text"))
     listings = covers.stable_listings(rows, "part").groupBy("part").agg(F.count("*").cast("int").alias("listings"), F.array_join(F.array_sort(F.flatten(F.collect_list("products"))), ",").alias("shown"))
     return rows.select("part", covers.cover_fault(F.col("text")).alias("fault")).join(listings, "part", "left").select("part", "fault", "listings", "shown")
+
+
+_RECORD = {
+    "recordVersion": 1, "storeId": "s", "snapshotFile": "s-1.json.gz", "rawSha256": "ab" * 32, "bytes": 12, "retrievedAt": "2026-01-02T03:04:05Z", "complete": True, "errors": ["e"], "warnings": [], "metrics": {"a": 1, "b": 2.5}, "startedAt": "2026-01-02T03:04:04+09:00", "durationMs": 7,
+}
+_RECORD_BREAKS = [
+    ('"recordVersion": 1', '"recordVersion": "1"', "recordVersion must be 1"), ('"storeId": "s"', '"storeId": ""', "storeId must be a non-empty text"), ('"s-1.json.gz"', "null", "snapshotFile must be a non-empty text"), ('"s-1.json.gz"', '"a/s-1.json.gz"', "snapshotFile must be without a directory"),
+    ("ab" * 32, "AB" * 32, "rawSha256 must be 64 lowercase hex digits"), ('"bytes": 12', '"bytes": 1.5', "bytes must be a whole number from 0"), ("03:04:05Z", "03:04:05", "retrievedAt must be a time with an offset"), ('"complete": true', '"complete": "true"', "complete must be true or false"),
+    ('["e"]', "[1]", "errors must be texts"), ('"warnings": []', '"warnings": {}', "warnings must be texts"), ("2.5", '"x"', "metrics must be numbers"), ("03:04:04+09:00", "soon", "startedAt must be a time with an offset"), ('"durationMs": 7', '"durationMs": -7', "durationMs must be a number from 0"), ('{"recordVersion"', '[{"recordVersion"', "the record is not an object"),
+]
+
+
+@query("collect_records", "WITH b(k, fault) AS (VALUES " + ", ".join(f"({k + 1}, '{x[2]}')" for k, x in enumerate(_RECORD_BREAKS)) + f") SELECT p_partkey AS part, fault FROM part LEFT JOIN b ON p_partkey % {len(_RECORD_BREAKS) + 2} = k")
+def collect_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is the first thing wrong with each record of a collect run."""
+    n = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(n.alias("part"), reports.record_fault(_replaced(n, len(_RECORD_BREAKS) + 2, _RECORD, [x[:2] for x in _RECORD_BREAKS])).alias("fault"))
+
+
+@query("tuple_projections", f"""WITH {PRICES_SQL}, {temporal._DAILY}, {temporal._PRESENCE}, a AS (SELECT part, '[' || string_agg('[' || run || ',' || CASE WHEN present THEN 1 ELSE 0 END || ']', ',' ORDER BY run) || ']' AS presence FROM r GROUP BY part),
+b AS (SELECT part, '[' || string_agg('[' || t || ',"exact",' || cents || ',' || cents || ']', ',' ORDER BY t) || ']' AS points FROM q GROUP BY part) SELECT part, presence, points FROM a JOIN b USING (part)""")
+def tuple_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Presence and price points of each part in the short form in which they are published."""
+    presence = changepoints.presence_points(price_stream(spark, sf_dir), ["part"], "run", temporal.LAST_RUN)
+    prices = changepoints.change_points(daily_prices(spark, sf_dir), ["part"], "t", ["cents"])
+    a = presence.groupBy("part").agg(publication.presence_tuples(F.collect_list(F.struct(F.col("run").alias("t"), "present"))).alias("presence"))
+    point = F.struct("t", F.lit("exact").alias("state"), F.col("cents").alias("low"), F.col("cents").alias("high"))
+    return a.join(prices.groupBy("part").agg(publication.price_tuples(F.collect_list(point)).alias("points")), "part")

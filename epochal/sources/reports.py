@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.times import parse_iso
 from ..operators.alerts import capped, printable
 
 # Shape of a store's id in a report, outcomes, how warnings begin that give a reason, and what is said where there is none.
@@ -13,6 +14,8 @@ OUTCOMES = ("published", "unchanged", "quarantined", "failed")
 QUARANTINED, COLLECT_ERROR = "quarantined: ", "collect error: "
 NO_STAGE, NO_ERROR, NO_REASON, NO_REPORT = "no stage recorded an error", "no error recorded", "no reason recorded", "the pipeline exited without writing a failure report; see the job log"
 SECOND_LOOK = ".failed-run.json"
+# The version of a collect record, and the shape of a digest in it.
+RECORD_VERSION, DIGEST = 1, r"^[0-9a-f]{64}\z"
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
@@ -82,3 +85,26 @@ def verdicts(reports: DataFrame, failed: DataFrame, second_look: Column | None =
         "store", F.when(silent, "alert").otherwise(F.col("verdict")).alias("verdict"), F.when(silent, "failed").otherwise(F.col("outcome")).alias("outcome"),
         F.when(~silent, F.col("stage")).alias("stage"), F.when(silent, F.array(F.lit(NO_REPORT))).otherwise(F.col("reasons")).alias("reasons"),
     )
+
+
+def record_fault(text: Column) -> Column:
+    """The first field of a collect record (a JSON text) that isn't as it must be, and how it must be; null for a sound record."""
+    v = F.try_parse_json(text)
+    at = lambda name: part(v, f"$.{name}")
+    said = lambda name: F.when(kind(at(name)) == "STRING", part(v, f"$.{name}", "string"))
+    number = lambda name: F.when(kind(at(name)).isin("BIGINT", "DECIMAL", "DOUBLE"), part(v, f"$.{name}", "double"))
+    no = lambda c: ~F.coalesce(c, F.lit(False))
+    texts = lambda name: (kind(at(name)) == "ARRAY") & F.forall(part(v, f"$.{name}", "array<variant>"), lambda x: kind(x) == "STRING")
+    metrics = F.map_values(part(v, "$.metrics", "map<string,variant>"))
+    rules = [
+        (kind(at("recordVersion")) == "BIGINT") & (part(v, "$.recordVersion", "bigint") == RECORD_VERSION), said("storeId") != "", said("snapshotFile") != "", ~said("snapshotFile").rlike(r"[\\/]"), said("rawSha256").rlike(DIGEST), (kind(at("bytes")) == "BIGINT") & (number("bytes") >= 0),
+        parse_iso(said("retrievedAt")).isNotNull(), kind(at("complete")) == "BOOLEAN", texts("errors"), texts("warnings"), (kind(at("metrics")) == "OBJECT") & F.forall(metrics, lambda m: F.coalesce(kind(m).isin("BIGINT", "DECIMAL", "DOUBLE"), F.lit(False))), parse_iso(said("startedAt")).isNotNull(), number("durationMs") >= 0,
+    ]
+    says = [
+        f"recordVersion must be {RECORD_VERSION}", "storeId must be a non-empty text", "snapshotFile must be a non-empty text", "snapshotFile must be without a directory", "rawSha256 must be 64 lowercase hex digits", "bytes must be a whole number from 0", "retrievedAt must be a time with an offset", "complete must be true or false",
+        "errors must be texts", "warnings must be texts", "metrics must be numbers", "startedAt must be a time with an offset", "durationMs must be a number from 0",
+    ]
+    out = F.when(v.isNull() | no(kind(v) == "OBJECT"), "the record is not an object")
+    for rule, text_ in zip(rules, says):
+        out = out.when(no(rule), text_)
+    return out
