@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.money import decimal_minor
 from ..sources.snapshots import AVAILABILITY, OFFER, QUOTE
+from .snapshotchecks import listing_id
 
 # Stock words of the shops and the price that stands for none.
 NO_PRICE = (0, 99_999_999)
@@ -134,10 +135,33 @@ def of_category(item: Column) -> Column:
 SHAPE_OF = {"listing": lambda i, s: of_listing(i), "catalogue": lambda i, s: of_catalogue(i, s["pageInventory.quantities"]), "storefront": lambda i, s: of_storefront(i, F.when(s["storeId"] == "gbp", "GBP").otherwise("USD")), "api": lambda i, s: of_api(i), "category": lambda i, s: of_category(i)}
 
 
+# What a shop's snapshot covers, where that is always the same, and how what it covers begins.
+COVERS = {"storefront": "shopify:products", "api": "list:public", "category": "category:3000"}
+BY_SITEMAP, BY_COLLECTION, BY_GENRE = "sitemap:", "shopify:collections/", 2
+
+
+def coverage_id(shape: str) -> Column:
+    """What a snapshot claims to have observed, from its `schemaVersion`, `crawl`, `listings`, `genres` and `collection`: two that differ in it are not compared. Of the
+    listing shop the families of listings, in the order of their names; in version 2 the listings' own names."""
+    if shape in COVERS:
+        return F.lit(COVERS[shape])
+    if shape == "catalogue":
+        return F.concat(F.lit(BY_COLLECTION), "collection")
+    urls = F.transform(F.coalesce("listings", "genres", F.array().cast("array<struct<url:string>>")), lambda x: listing_id(x["url"]))
+    ids = F.filter(urls, lambda i: i.isNotNull())
+    joined = lambda names: F.array_join(F.array_sort(F.array_distinct(names)), "+")
+    families = F.coalesce(F.when(F.col("schemaVersion") == 3, F.col("crawl.families")), F.transform(ids, lambda i: F.substring(i, 1, 1)))
+    return F.when(F.col("schemaVersion") == BY_GENRE, joined(F.transform(ids, lambda i: F.substring(i, 3, 1000)))).otherwise(F.concat(F.lit(BY_SITEMAP), joined(families)))
+
+
+#: What a shape's products are sorted by: their ids, or page keys as numbers, as texts or in a dictionary's order.
+ORDER = {"listing": lambda p: p["externalProductId"], "catalogue": lambda p: p["externalProductId"], "storefront": lambda p: F.collate(p["pageKey"], "en"), "api": lambda p: p["pageKey"].try_cast("bigint"), "category": lambda p: p["pageKey"]}
+
+
 def normalize(raw: DataFrame, shape: str) -> DataFrame:
-    """Raw snapshots of a shape in the normalized one, products by id; the hash is of the products as JSON."""
+    """Raw snapshots of a shape in the normalized one, products in the shape's order; the hash is of the products as JSON."""
     one = SHAPE_OF[shape]
     columns = {c: F.col(c) for c in ("storeId", "pageInventory.quantities")}
-    products = F.array_sort(F.transform("items", lambda i: one(i, columns)))
-    out = raw.select("storeId", "observedAt", F.col("schemaVersion").cast("string").alias("sourceSchemaVersion"), "complete", F.lit(shape).alias("coverageId"), products.alias("products"))
+    keyed = F.array_sort(F.transform(F.transform("items", lambda i: one(i, columns)), lambda p: F.struct(ORDER[shape](p).alias("k"), p.alias("p"))))
+    out = raw.select("storeId", "observedAt", F.col("schemaVersion").cast("string").alias("sourceSchemaVersion"), "complete", coverage_id(shape).alias("coverageId"), F.transform(keyed, lambda x: x["p"]).alias("products"))
     return out.withColumn("normalizedHash", F.sha2(F.to_json("products", {"ignoreNullFields": "false"}), 256))

@@ -24,7 +24,7 @@ def _said(code: str, bad: Column, subject: Column | None = None) -> Column:
 def listing_id(url: Column) -> Column:
     """`c/name` of a listing's address, without the number of its page; null for any other."""
     found = F.regexp_extract(url, LISTING, 2)
-    return F.when(found != "", F.concat(F.regexp_extract(url, LISTING, 1), F.lit("/"), found))
+    return F.when(found != "", F.concat(F.regexp_extract(url, LISTING, 1), F.lit("/"), F.lower(found)))
 
 
 def snapshot_issues(snapshots: DataFrame, key: str, json: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys, money
 from ..functions.times import DAY_MS
-from ..operators import changepoints, chartview, contract, digests, graph, publication, snapshotchecks
+from ..operators import changepoints, chartview, contract, digests, graph, normalize, publication, snapshotchecks
 from ..sources import catalogues, covers, html, reports
 from ..sources.tables import PRICES_SQL, daily_prices, price_stream, table
 from . import temporal
@@ -282,3 +282,20 @@ def tuple_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = presence.groupBy("part").agg(publication.presence_tuples(F.collect_list(F.struct(F.col("run").alias("t"), "present"))).alias("presence"))
     point = F.struct("t", F.lit("exact").alias("state"), F.col("cents").alias("low"), F.col("cents").alias("high"))
     return a.join(prices.groupBy("part").agg(publication.price_tuples(F.collect_list(point)).alias("points")), "part")
+
+
+@query("coverage_ids", """WITH s AS (SELECT s_suppkey AS n, s_suppkey % 7 AS k FROM supplier) SELECT n AS supplier, CASE k WHEN 0 THEN 'sitemap:c+r' WHEN 1 THEN 'sitemap:r' WHEN 2 THEN 'a' || n % 10 || '+x' WHEN 3 THEN 'shopify:collections/c' || n WHEN 4 THEN 'shopify:products' WHEN 5 THEN 'list:public' ELSE 'category:3000' END AS coverage FROM s""")
+def coverage_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What snapshots of each shape claim to cover: families from the crawl or from the listings' addresses, names of genres, a collection, or always the same."""
+    n = F.col("s_suppkey")
+    url = lambda tail: F.struct(tail.alias("url"))
+    listings = F.array(url(F.lit("https://shop.example/catalog/r/X_p2/")), url(F.concat(F.lit("https://shop.example/catalog/r/A"), (n % 10).cast("string"), F.lit("/"))), url(F.lit("https://shop.example/other/")))
+    rows = table(spark, sf_dir, "supplier").select(
+        n.alias("supplier"), (n % 7).alias("k"), F.when(n % 7 == 2, 2).otherwise(3).alias("schemaVersion"), F.when(n % 7 == 0, F.struct(F.array(F.lit("r"), F.lit("c"), F.lit("r")).alias("families"))).alias("crawl"),
+        F.when(n % 7 != 2, listings).alias("listings"), F.when(n % 7 == 2, listings).alias("genres"), F.concat(F.lit("c"), n.cast("string")).alias("collection"),
+    )
+    shapes = {3: "catalogue", 4: "storefront", 5: "api", 6: "category"}
+    found = normalize.coverage_id("listing")
+    for k, shape in shapes.items():
+        found = F.when(F.col("k") == k, normalize.coverage_id(shape)).otherwise(found)
+    return rows.select("supplier", found.alias("coverage"))

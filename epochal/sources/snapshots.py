@@ -18,12 +18,15 @@ STOREFRONT_ITEM = "array<struct<id:bigint,handle:string,title:string,vendor:stri
 API_ITEM = "array<struct<id:bigint,name:string,make:string,model:string,price:bigint,tax:bigint,taxrate:double,stock:bigint,status:struct<id:bigint,name:string>>>"
 CATEGORY_ITEM = "array<struct<code:string,name:string,maker:string,model:string,priceLines:array<struct<minQuantity:bigint,quantityUnit:string,label:string,amountYen:bigint>>,outOfStockClass:boolean,stockMark:string,listings:array<bigint>>>"
 SHAPES = {"listing": LISTING_ITEM, "catalogue": CATALOGUE_ITEM, "storefront": STOREFRONT_ITEM, "api": API_ITEM, "category": CATEGORY_ITEM}
+#: What a snapshot was read from: families of listings or the listings, or a collection.
+SCOPE = "crawl struct<families:array<string>>, listings array<struct<url:string>>, genres array<struct<url:string>>, collection string"
 PAGE_COUNTS = "struct<round:bigint,shards:int,shard:int,eligible:int,selected:int,read:int,quantities:map<string,bigint>>"
 
 
 def read_raw(spark: SparkSession, path: str, shape: str) -> DataFrame:
-    """Raw snapshots, plain or gzipped: (storeId, schemaVersion, observedAt, items, pageInventory); a file that isn't such JSON fails the read."""
-    schema = f"storeId string, schemaVersion int, observedAt string, complete boolean, items {SHAPES[shape]}, pageInventory {PAGE_COUNTS}"
+    """Raw snapshots, plain or gzipped: (storeId, schemaVersion, observedAt, items, pageInventory) and what they were read from; a file that isn't such JSON fails the
+    read."""
+    schema = f"storeId string, schemaVersion int, observedAt string, complete boolean, items {SHAPES[shape]}, pageInventory {PAGE_COUNTS}, {SCOPE}"
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
