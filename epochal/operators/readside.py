@@ -87,9 +87,14 @@ def has_drifted(names: Column, models: Column, name: Column, model: Column, susp
     return ~(same(names, name) & same(models, model) & ~F.coalesce(suspicious, F.lit(False)))
 
 
+def of_offer(offer: Column, sku: Column) -> Column:
+    """Whether an entry's own side (own_offer, own_sku) names no offer, or the given one by id and SKU."""
+    return F.col("own_offer").isNull() | (F.col("own_offer").eqNullSafe(offer) & F.col("own_sku").eqNullSafe(sku))
+
+
 def for_offer(entries: DataFrame, offer: str, sku: str) -> DataFrame:
     """Entries whose own side names no offer, or the shown one by id and SKU."""
-    return entries.where(F.col("own_offer").isNull() | (F.col("own_offer").eqNullSafe(F.col(offer)) & F.col("own_sku").eqNullSafe(F.col(sku))))
+    return entries.where(of_offer(F.col(offer), F.col(sku)))
 
 
 # ---- charts ----------------------------------------------------------------------------------------------------------
@@ -148,17 +153,18 @@ def directed(difference: Column, source_first: Column) -> Column:
     return F.when(difference.rlike(shape), turned).otherwise(difference)
 
 
-def related(relations: DataFrame) -> DataFrame:
+def related(relations: DataFrame, tie: list[str] = ()) -> DataFrame:
     """Relations (id, a, b, kind, verified, family, distance, differences) as each of their products shows them: (viewer, target, place, group, card, shown, loaded).
 
     Verified same products come first, then other candidates, similar ones, unresolved ones; within these the nearest. Similar products that differ alike share
     a card, in order of their first; cards beyond VISIBLE_CARDS are folded; the history of the first HISTORY_TARGETS different targets is loaded.
+    Where ids may repeat, the columns in `tie` say which of two comes first.
     """
     ends = F.explode(F.array(F.struct(F.col("a").alias("viewer"), F.col("b").alias("target"), F.lit(True).alias("first")), F.struct(F.col("b").alias("viewer"), F.col("a").alias("target"), F.lit(False).alias("first"))))
     rows = relations.withColumn("__e", ends).select("*", "__e.*").drop("__e").where("viewer <> target or first")
     rank = F.when((F.col("kind") == "same_product") & F.col("verified"), 0).when(F.col("kind") == "same_product", 1).when(F.col("kind") == "similar_product", 2).otherwise(3)
     distance = F.coalesce("distance", F.size("differences"))
-    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("viewer").orderBy(rank, distance, "id")))
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("viewer").orderBy(rank, distance, "id", *tie)))
     group = F.when(rank == 0, "verified").when(rank == 1, "same").when(rank == 2, "similar").otherwise("unresolved")
     alike = F.concat_ws("\n", F.col("family"), F.array_join(F.array_sort(F.transform("differences", lambda d: directed(d, F.col("first")))), "\n"))
     rows = rows.withColumns({"group": group, "__key": F.when((rank == 2) & F.col("family").isNotNull() & (F.size("differences") > 0), alike).otherwise(F.col("id"))})

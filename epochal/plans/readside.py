@@ -126,7 +126,7 @@ def _relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     differences = F.when(n % 7 == 0, F.array().cast("array<string>")).when(n % 2 == 0, F.array(F.concat(F.lit("size: "), size, F.lit(" ↔ 9")), F.lit("pins: x ↔ y"))).otherwise(F.array(F.concat(F.lit("size: 9 ↔ "), size)))
     return table(spark, sf_dir, "part").select(
         F.concat(F.lit("r"), F.lpad(n.cast("string"), 6, "0")).alias("id"), (n % 50).alias("a"), ((n * 7 + 3) % 50 + 50).alias("b"), pick(["same_product", "same_product", "similar_product", "unresolved"], n % 4).alias("kind"), (n % 4 == 0).alias("verified"),
-        F.when(n % 3 > 0, F.concat(F.lit("f"), (s % 3).cast("string"))).alias("family"), F.when(n % 5 > 0, n % 5).alias("distance"), differences.alias("differences"),
+        F.when(n % 3 > 0, F.concat(F.lit("f"), (s % 3).cast("string"))).alias("family"), F.when(n % 5 > 0, n % 5).alias("distance"), differences.alias("differences"), n.alias("n"),
     )
 
 
@@ -137,7 +137,8 @@ m AS (SELECT *, min(place) OVER (PARTITION BY viewer, grp, key) AS top, min(plac
 c AS (SELECT *, dense_rank() OVER (PARTITION BY viewer, grp ORDER BY top) AS card, dense_rank() OVER (PARTITION BY viewer ORDER BY seen) <= 8 AS loaded FROM m)
 SELECT viewer, target, id, place::INTEGER AS place, grp AS "group", card::INTEGER AS card, card <= 3 AS shown, loaded FROM c""")
 def related_products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readside.related(_relations(spark, sf_dir))
+    """Relations as each side shows them. Ids have six digits, so beyond 999,999 parts some are the same; those stand in the order of their parts."""
+    return readside.related(_relations(spark, sf_dir), ["n"])
 
 
 @query("relation_drift", f"""WITH {_REL}, d AS (SELECT id, a, CASE a % 4 WHEN 0 THEN ' Part   ' || a || ' ' WHEN 1 THEN 'other' ELSE 'part ' || a END AS name, CASE WHEN a % 6 = 5 THEN NULL ELSE 'M-' || a END AS model, a % 9 = 8 AS suspicious, CASE WHEN b % 3 = 0 THEN NULL ELSE b % 2 END AS own FROM r)
@@ -149,8 +150,7 @@ def relation_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.when(a % 4 == 0, F.concat(F.lit(" Part   "), t, F.lit(" "))).when(a % 4 == 1, "other").otherwise(F.concat(F.lit("part "), t))
     r = _relations(spark, sf_dir).withColumns({"name": name, "model": F.when(a % 6 != 5, F.concat(F.lit("M-"), t)), "suspicious": a % 9 == 8, "own_offer": F.when(b % 3 != 0, (b % 2).cast("string")), "own_sku": F.when(b % 3 != 0, F.lit("k")), "shown": F.lit("0"), "sku": F.lit("k")})
     drifted = readside.has_drifted(F.array(F.concat(F.lit("PART "), t), F.lit("old name")), F.array(F.concat(F.lit("m-"), t)), F.col("name"), F.col("model"), F.col("suspicious"))
-    kept = readside.for_offer(r, "shown", "sku").select("id", F.lit(True).alias("kept"))
-    return r.select("id", drifted.alias("drifted")).join(kept, "id", "left").select("id", "drifted", F.coalesce("kept", F.lit(False)).alias("kept"))
+    return r.select("id", drifted.alias("drifted"), readside.of_offer(F.col("shown"), F.col("sku")).alias("kept"))
 
 
 @query("shown_offers", f"""WITH {PRICES_SQL}, o AS (SELECT part, offer, max(run) AS last, max(run) >= {2001 * 12 + 6} AS present, min(t) AS first_t, count(*) AS n FROM x GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY offer = part % 100 DESC, present DESC, CASE WHEN NOT present THEN -last END, offer) AS i FROM o),

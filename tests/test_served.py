@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from epochal.functions import keys, money
-from epochal.operators import chartview, contract, digests, snapshotchecks
+from epochal.operators import chartview, contract, digests, readside, snapshotchecks
+from epochal.plans import readside as readside_plans
 from epochal.plans import served
 from epochal.sources import catalogues, html, reports
 
@@ -115,3 +116,16 @@ def test_forms(spark):
     assert one(spark, keys.base_address(F.lit("https://x/a///?q#f"))) == "https://x/a"
     page = one(spark, html.sanitized(F.lit('<!doctype html>\n<SCRIPT>x</script><input name="api_key" value="s"><meta name="csrf-token" content="c">'), F.lit("<!-- b -->")))
     assert page == '<!doctype html>\n<!-- b --><input name="api_key" value=""><meta name="csrf-token" content="">'
+
+
+def test_relations_whose_ids_repeat_stay_single(spark, tmp_path):
+    parts = [(n, "N", "B", "T", s, 1.0) for s, n in enumerate((66, 100_066, 1_000_666, 1_000_660, 1_000_661))]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    assert sorted((r.id, r.kept) for r in readside_plans.relation_drift(spark, str(tmp_path)).collect()) == [("r000066", False), *[("r100066", False)] * 3, ("r100066", True)]
+
+
+def test_relations_of_one_id_have_an_order(spark):
+    schema = "id string, a long, b long, kind string, verified boolean, family string, distance int, differences array<string>, n int"
+    rows = spark.createDataFrame([("r1", 1, 51, "similar_product", False, f"f{n % 5}", 1, [f"size: {n % 5} ↔ 9"], n) for n in range(9, -1, -1)], schema)
+    cards = [r.card for r in readside.related(rows.coalesce(1), ["n"]).where("viewer = 1").orderBy("place").collect()]
+    assert cards == [1, 2, 3, 4, 5] * 2
