@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import cut
+
 Rule = Callable[[Column], Column]
 
 
@@ -19,6 +21,11 @@ def kind(v: Column) -> Column:
     return F.coalesce(F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0), F.lit("MISSING"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is found once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def is_true(v: Column) -> Column:
     """Whether a value is true, not a number or text that could be taken for it."""
     return F.coalesce((kind(v) == "BOOLEAN") & F.try_variant_get(v, "$", "boolean"), F.lit(False))
@@ -43,6 +50,9 @@ class Is:
     most: int | None = None
 
     def issues(self, v: Column, path: Column) -> Column:
+        return let(v, lambda v: self._issues(v, path))
+
+    def _issues(self, v: Column, path: Column) -> Column:
         ok = kind(v).isin(*self.kinds)
         if self.among:
             ok = ok & F.coalesce(F.try_variant_get(v, "$", "string").isin(*self.among), F.lit(False))
@@ -61,10 +71,13 @@ class Has:
     or_null: bool = False
 
     def issues(self, v: Column, path: Column) -> Column:
+        return let(v, lambda v: self._issues(v, path))
+
+    def _issues(self, v: Column, path: Column) -> Column:
         inside = [spec.issues(get(v, name), F.concat(path, F.lit(f".{name}"))) for name, spec in self.fields.items()]
         own = [fault(F.coalesce(rule(v), F.lit(False)), F.concat(path, F.lit(f".{name}" if name else "")), says) for name, rule, says in self.rules]
-        out = F.when(kind(v) != "OBJECT", fault(F.lit(True), path, "expected an object")).otherwise(F.concat(*inside, *own) if inside or own else none())
-        return F.when(kind(v) == "VOID", none()).otherwise(out) if self.or_null else out
+        out = F.when(F.try_variant_get(v, "$", "map<string,variant>").isNull(), fault(F.lit(True), path, "expected an object")).otherwise(F.concat(*inside, *own) if inside or own else none())
+        return F.when(F.coalesce(F.is_variant_null(v), F.lit(False)), none()).otherwise(out) if self.or_null else out
 
 
 @dataclass(frozen=True)
@@ -77,16 +90,18 @@ class Each:
     rules: tuple[tuple[Rule, str], ...] = ()
 
     def issues(self, v: Column, path: Column) -> Column:
-        parts = F.try_variant_get(v, "$", "array<variant>")
+        return let(F.try_variant_get(v, "$", "array<variant>"), lambda parts: self._issues(parts, path))
+
+    def _issues(self, parts: Column, path: Column) -> Column:
         inside = F.flatten(F.transform(parts, lambda x, i: self.of.issues(x, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")))))
         out = [inside]
         if self.filled:
             out.append(fault(F.size(parts) == 0, path, self.filled))
         if self.rising:
             at = F.filter(F.transform(parts, lambda x, i: F.struct(F.when(kind(F.try_variant_get(x, "$[0]", "variant")) == "BIGINT", F.try_variant_get(x, "$[0]", "bigint")).alias("t"), i.alias("i"))), lambda x: x["t"].isNotNull())
-            out.append(F.flatten(F.transform(at, lambda x, i: fault((i > 0) & F.coalesce(F.get(at, i - 1)["t"] >= x["t"], F.lit(False)), F.concat(path, F.lit("["), x["i"].cast("string"), F.lit("]")), "times must rise"))))
+            out.append(let(at, lambda at: F.flatten(F.transform(at, lambda x, i: fault((i > 0) & F.coalesce(F.get(at, i - 1)["t"] >= x["t"], F.lit(False)), F.concat(path, F.lit("["), x["i"].cast("string"), F.lit("]")), "times must rise")))))
         out += [fault(F.coalesce(rule(parts), F.lit(False)), path, says) for rule, says in self.rules]
-        return F.when(kind(v) != "ARRAY", fault(F.lit(True), path, "expected an array")).otherwise(F.concat(*out))
+        return F.when(parts.isNull(), fault(F.lit(True), path, "expected an array")).otherwise(F.concat(*out))
 
 
 @dataclass(frozen=True)
@@ -97,9 +112,11 @@ class Row:
     says: str
 
     def issues(self, v: Column, path: Column) -> Column:
-        n = F.size(F.try_variant_get(v, "$", "array<variant>"))
-        inside = [spec.issues(F.try_variant_get(v, f"$[{i}]", "variant"), F.concat(path, F.lit(f"[{i}]"))) for i, spec in enumerate(self.of)]
-        return F.when((kind(v) != "ARRAY") | F.coalesce(n != len(self.of), F.lit(True)), fault(F.lit(True), path, self.says)).otherwise(F.concat(*inside))
+        return let(F.try_variant_get(v, "$", "array<variant>"), lambda parts: self._issues(parts, path))
+
+    def _issues(self, parts: Column, path: Column) -> Column:
+        inside = [spec.issues(F.get(parts, F.lit(i)), F.concat(path, F.lit(f"[{i}]"))) for i, spec in enumerate(self.of)]
+        return F.when(parts.isNull() | (F.size(parts) != len(self.of)), fault(F.lit(True), path, self.says)).otherwise(F.concat(*inside))
 
 
 # States, meanings of counts, caveats, capabilities and the number of the contract, and the place of a product's file.
@@ -175,6 +192,7 @@ def violations(files: DataFrame, json: str, spec=PRODUCT_FILE) -> DataFrame:
 
 def listed(issues: DataFrame, order: list[str], most: int = 50) -> DataFrame:
     """(rank, order, issue, total): the first `most` violations and how many there are; the rest is counted and not carried."""
+    issues = cut(issues)  # they are found once
     total = issues.agg(F.count("*").alias("total"))
     first = issues.orderBy(*order, "issue").limit(most)
     ranked = first.withColumn("rank", F.row_number().over(Window.orderBy(*order, "issue")))  # `most` rows

@@ -11,7 +11,7 @@ from ..functions import keys, money
 from ..functions.times import DAY_MS
 from ..operators import changepoints, chartview, contract, digests, graph, normalize, publication, snapshotchecks
 from ..sources import catalogues, covers, html, reports
-from ..sources.tables import PRICES_SQL, daily_prices, price_stream, table
+from ..sources.tables import PRICES_SQL, daily_prices, price_stream, spread, table
 from . import temporal
 from .registry import query
 
@@ -114,7 +114,7 @@ _BREAKS = [
 def contract_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Product files, most with one thing that breaks the contract somewhere inside them: each violation with its path. Sound files have none."""
     n = F.col("p_partkey")
-    files = table(spark, sf_dir, "part").select(n.alias("part"), _replaced(n, len(_BREAKS) + 3, _FILE, [x[:2] for x in _BREAKS]).alias("json"))
+    files = spread(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select(n.alias("part"), _replaced(n, len(_BREAKS) + 3, _FILE, [x[:2] for x in _BREAKS]).alias("json"))
     return contract.violations(files, "json").select("part", "issue")
 
 
@@ -250,10 +250,11 @@ def cover_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("p_partkey")
     text = _replaced(n, len(_COVER_BREAKS) + 2, _COVER, [x[:2] for x in _COVER_BREAKS])
     path = graph.scratch(spark, "covers")
-    covers.write_covers(table(spark, sf_dir, "part").select(F.concat(n.cast("string"), F.lit("\t"), text).alias("text")), path)
+    covers.write_covers(spread(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select(F.concat(n.cast("string"), F.lit("\t"), text).alias("text")), path)
     rows = covers.read_covers(spark, path).select(F.substring_index("text", "\t", 1).cast("long").alias("part"), F.substring_index("text", "\t", -1).alias("text"))
-    listings = covers.stable_listings(rows, "part").groupBy("part").agg(F.count("*").cast("int").alias("listings"), F.array_join(F.array_sort(F.flatten(F.collect_list("products"))), ",").alias("shown"))
-    return rows.select("part", covers.cover_fault(F.col("text")).alias("fault")).join(listings, "part", "left").select("part", "fault", "listings", "shown")
+    rows = graph.cut(rows.withColumn("fault", covers.cover_fault(F.col("text"))))
+    listings = covers.stable_listings(rows, "part", F.col("fault")).groupBy("part").agg(F.count("*").cast("int").alias("listings"), F.array_join(F.array_sort(F.flatten(F.collect_list("products"))), ",").alias("shown"))
+    return rows.select("part", "fault").join(listings, "part", "left").select("part", "fault", "listings", "shown")
 
 
 _RECORD = {

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.contract import get, is_true, kind
+from ..operators.contract import get, is_true, kind, let
 
 # The document's version, families of listings, shapes of ids and codes, pages and layouts of a listing.
 VERSION, FAMILIES = 1, ("c", "r")
@@ -38,18 +38,25 @@ def _rising(a: Column) -> Column:
 
 
 def cover_fault(text: Column) -> Column:
-    """The first thing that is wrong with a document; null for a sound one."""
-    v = F.try_parse_json(text)
-    families, products = _texts(get(v, "families")), _texts(get(v, "products"))
-    listings = F.try_variant_get(get(v, "listings"), "$", "array<variant>")
+    """The first thing that is wrong with a document; null for a sound one. It is parsed once, and its parts are taken out once."""
+
+    def parts(v: Column) -> Column:
+        listings = F.try_variant_get(get(v, "listings"), "$", "array<variant>")
+        ids = F.transform(listings, lambda x: F.when(kind(get(x, "id")) == "STRING", F.try_variant_get(x, "$.id", "string")))
+        codes = F.transform(listings, lambda x: F.transform(F.try_variant_get(get(x, "codes"), "$", "array<variant>"), _whole))
+        return F.struct(v.alias("v"), _texts(get(v, "families")).alias("families"), _texts(get(v, "products")).alias("products"), listings.alias("listings"), ids.alias("ids"), codes.alias("codes"))
+
+    return let(F.try_parse_json(text), lambda v: let(parts(v), _first_fault))
+
+
+def _first_fault(d: Column) -> Column:
+    v, families, products, listings, ids, codes = (d[c] for c in ("v", "families", "products", "listings", "ids", "codes"))
     built = F.when(kind(get(v, "builtAt")) == "STRING", F.try_to_timestamp(F.try_variant_get(v, "$.builtAt", "string")))
     bad_families = families.isNull() | (F.size(families) == 0) | ~F.forall(families, lambda f: f.isin(*FAMILIES)) | ~_rising(families)
     bad_products = products.isNull() | (F.size(products) == 0) | ~F.forall(products, lambda p: p.rlike(CODE)) | ~_rising(products)
-    ids = F.transform(listings, lambda x: F.when(kind(get(x, "id")) == "STRING", F.try_variant_get(x, "$.id", "string")))
-    codes = lambda x: F.transform(F.try_variant_get(get(x, "codes"), "$", "array<variant>"), _whole)
 
     def listing(x: Column, i: Column) -> Column:
-        own, pages, c = F.get(ids, i), _whole(get(x, "pages")), codes(x)
+        own, pages, c = F.get(ids, i), _whole(get(x, "pages")), F.get(codes, i)
         wrong = lambda says: F.concat_ws(": ", own, F.lit(says))
         unfit = c.isNull() | (F.size(c) == 0) | F.exists(c, lambda n: n.isNull() | (n < 0) | (n >= F.size(products))) | ~_rising(c)
         return (
@@ -58,16 +65,16 @@ def cover_fault(text: Column) -> Column:
         )
 
     first = F.get(F.filter(F.transform(listings, listing), lambda f: f.isNotNull()), F.lit(0))
-    shown = F.size(F.array_distinct(F.flatten(F.transform(listings, codes))))
+    shown = F.size(F.array_distinct(F.flatten(codes)))
     return (
         F.when(v.isNull(), "unreadable").when(kind(v) != "OBJECT", "not an object").when(~F.coalesce(_whole(get(v, "version")) == VERSION, F.lit(False)), "version").when(built.isNull(), "date").when(F.coalesce(bad_families, F.lit(True)), "families")
-        .when(F.coalesce(bad_products, F.lit(True)), "products").when(listings.isNull() | (F.size(listings) == 0), "no listings").when(first.isNotNull(), first).when(shown < F.size(products), "a product is shown by no listing")
+        .when(F.coalesce(bad_products, F.lit(True)), "products").when(listings.isNull() | (F.size(listings) == 0), "no listings").otherwise(let(first, lambda first: F.when(first.isNotNull(), first).when(shown < F.size(products), "a product is shown by no listing")))
     )
 
 
-def stable_listings(documents: DataFrame, key: str) -> DataFrame:
-    """(key, id, pages, layout, truncated, products) of sound documents' listings: the products that each shows, by code."""
+def stable_listings(documents: DataFrame, key: str, fault: Column | None = None) -> DataFrame:
+    """(key, id, pages, layout, truncated, products) of sound documents' listings: the products that each shows, by code. `fault` is cover_fault, where it is known."""
     v = F.try_parse_json("text")
-    rows = documents.where(cover_fault(F.col("text")).isNull()).select(key, _texts(get(v, "products")).alias("p"), F.explode(F.try_variant_get(get(v, "listings"), "$", "array<variant>")).alias("x"))
+    rows = documents.where((cover_fault(F.col("text")) if fault is None else fault).isNull()).select(key, _texts(get(v, "products")).alias("p"), F.explode(F.try_variant_get(get(v, "listings"), "$", "array<variant>")).alias("x"))
     shown = F.transform(F.try_variant_get(F.col("x"), "$.codes", "array<int>"), lambda i: F.get("p", i))
     return rows.select(key, F.try_variant_get("x", "$.id", "string").alias("id"), F.try_variant_get("x", "$.pages", "int").alias("pages"), F.try_variant_get("x", "$.layout", "string").alias("layout"), is_true(get(F.col("x"), "truncated")).alias("truncated"), shown.alias("products"))

@@ -13,6 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, *key: str) -> DataFrame:
+    """rows dealt over the whole cluster by a key. A table of some MB is read by a task or two, which would then do all costly work on its rows."""
+    spark = rows.sparkSession
+    return rows.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *key)
+
+
 def cents(c: str) -> Column:
     return half_up(F.col(c) * 100)
 

@@ -9,7 +9,7 @@ from epochal.functions import keys, money
 from epochal.operators import chartview, contract, digests, readside, snapshotchecks
 from epochal.plans import readside as readside_plans
 from epochal.plans import served
-from epochal.sources import catalogues, html, reports
+from epochal.sources import catalogues, covers, html, reports
 
 
 def one(spark, column):
@@ -129,3 +129,11 @@ def test_relations_of_one_id_have_an_order(spark):
     rows = spark.createDataFrame([("r1", 1, 51, "similar_product", False, f"f{n % 5}", 1, [f"size: {n % 5} ↔ 9"], n) for n in range(9, -1, -1)], schema)
     cards = [r.card for r in readside.related(rows.coalesce(1), ["n"]).where("viewer = 1").orderBy("place").collect()]
     assert cards == [1, 2, 3, 4, 5] * 2
+
+
+def test_documents_are_parsed_once_and_dealt_over_tasks(spark):
+    assert str(covers.cover_fault(F.col("text"))).count("try_parse_json") == 1
+    for query in (served.contract_paths, served.contract_report):
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("try_parse_json") <= 1
+    assert served.contract_paths(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
