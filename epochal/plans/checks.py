@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import rawchecks
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from .registry import query
 
 
@@ -204,10 +204,10 @@ def price_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("p_partkey")
     whole = F.concat(F.lit("<p>【数量1個〜】単価&nbsp;¥"), F.col("p_size").cast("string"), F.lit("<br>\n【数量10個〜】10個以上単価&nbsp;&yen;"), F.format_number(F.floor("p_retailprice"), 0), F.lit("<br /></p>"))
     block = F.when(n % 11 == 0, F.concat(whole, F.lit("new"))).when(n % 7 == 0, "価格お見積り&nbsp;¥0<br>").otherwise(whole)
-    rows = table(spark, sf_dir, "part").select("p_partkey", html.price_lines(block).alias("lines"))
-    read = rows.select("p_partkey", F.posexplode("lines").alias("pos", "x")).select("p_partkey", "pos", "x.*")
-    none = [F.lit(None).cast(t).alias(c) for c, t in (("pos", "int"), ("least", "bigint"), ("unit", "string"))]
-    return read.unionByName(rows.where("lines is null").select("p_partkey", *none, F.lit("unreadable").alias("label"), F.lit(None).cast("bigint").alias("amount")))
+    rows = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice"), "p_partkey").select("p_partkey", html.price_lines(block).alias("lines"))
+    lines = F.transform("lines", lambda x, i: F.struct(i.alias("pos"), x["least"].alias("least"), x["unit"].alias("unit"), x["label"].alias("label"), x["amount"].alias("amount")))
+    none = F.from_json(F.lit('{"label":"unreadable"}'), "pos int, least bigint, unit string, label string, amount bigint")
+    return rows.select("p_partkey", F.explode(F.coalesce(lines, F.array(none))).alias("x")).select("p_partkey", "x.*")
 
 
 @query("stock_card_items", """WITH b AS (SELECT p_partkey AS n, p_name, p_size, CAST(floor(p_retailprice) AS BIGINT) AS y FROM part) SELECT n % 10 AS page, CASE WHEN n % 13 = 0 THEN (n + 1)::VARCHAR ELSE n::VARCHAR END AS code, p_name || ' & more' AS name, CASE WHEN n % 3 = 0 THEN NULL ELSE 'M-' || n END AS model, CASE WHEN n % 5 = 0 THEN NULL ELSE y END AS price,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources import html as H
 from ..sources import shoppages, stockpages
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from .registry import query
 
 COUNT_CAP = 100
@@ -45,7 +45,7 @@ SELECT n AS part, NULL AS variant, NULL AS quantity, refused FROM r WHERE refuse
 def product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts by variant of product pages with a script and options; every way in which a page may be unfit is there, and refuses it. A script alone decides."""
     n = F.col("p_partkey")
-    pages = table(spark, sf_dir, "part").select(n.alias("part"), _product_page(n, F.col("p_size")).alias("html"), F.concat(F.lit("h"), _text(n)).alias("handle"))
+    pages = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey").select(n.alias("part"), _product_page(n, F.col("p_size")).alias("html"), F.concat(F.lit("h"), _text(n)).alias("handle"))
     return _read(pages, shoppages.StockCounts(F.col("html").outer(), F.col("handle").outer())).select("part", "variant", "quantity", "refused")
 
 
@@ -61,7 +61,7 @@ def page_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(n % 6 == 3, F.concat(script, option(11, size))).when(n % 6 == 4, F.concat(script, option(11, _text(F.col("p_size") + 1))))
         .when(n % 12 == 5, F.concat(option(1, size), option(1, size))).otherwise(F.concat(option(1, size), option(2, F.lit("-1"))))
     )
-    pages = table(spark, sf_dir, "part").select(n.alias("part"), html.alias("html"))
+    pages = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey").select(n.alias("part"), html.alias("html"))
     read = _read(pages, shoppages.StockCounts(F.col("html").outer(), F.lit("h"))).withColumn("shown", stockpages.single_count(F.col("html"), COUNT_CAP))
     each = F.when(F.col("variant").isNotNull(), F.concat_ws("=", "variant", F.coalesce(_text(F.col("quantity")), F.lit("?"))))
     return read.groupBy("part").agg(F.first("shown").alias("shown"), F.nullif(F.array_join(F.array_sort(F.collect_list(each)), ","), F.lit("")).alias("counts"), F.max("refused").alias("refused"))
@@ -160,7 +160,7 @@ def category_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = table(spark, sf_dir, "part").select(F.floor(n / ROWS_A_PAGE).alias("page"), n.alias("n"), row.alias("row"))
     p = F.col("page") % 29
-    pages = rows.groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "row"))), lambda x: x["row"]), "").alias("body"))
+    pages = spread(rows, "page").groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "row"))), lambda x: x["row"]), "").alias("body"))
     counter = F.when(p == 1, "").otherwise('<div class="item_nums"> 1件～40件(全1,234件) </div>')
     heading = F.concat(F.lit('<tr class="item_list_row"><th>'), F.when(p == 3, "価格").otherwise(shoppages.TAX_HEADING), F.lit("</th></tr>"))
     html = F.concat(counter, F.when(p == 2, "<table>").otherwise('<table class="t item_list_table" border="0">'), heading, "body", F.lit("</table>"))

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.contract import let
+
 # Words of a price line.
 QUANTITY, QUOTE_REQUEST = "数量", "価格お見積り"
 
@@ -75,10 +77,13 @@ def price_lines(block: Column) -> Column:
     """array<struct<least, unit, label, amount>> of a price block, a line for each break; null where any of its text is no such line."""
     text = F.regexp_replace(F.regexp_replace(F.regexp_replace(block, r"(?i)<(?!br\b)[^>]*>", ""), "&yen;", "¥"), r"&nbsp;|\s+", " ")
     parts = F.transform(F.split(text, r"(?i)<br\s*/?>"), lambda x: F.trim(x))
-    ended = F.element_at(parts, -1) == ""
-    lines = F.transform(F.filter(parts, lambda x: x != ""), price_line)
-    good = F.transform(lines, lambda x: F.struct(x["least"].alias("least"), x["unit"].alias("unit"), x["label"].alias("label"), x["amount"].alias("amount")))
-    return F.when(ended & F.forall(lines, lambda x: x["ok"]), good)
+
+    def read(d: Column) -> Column:
+        good = F.transform(d["lines"], lambda x: F.struct(x["least"].alias("least"), x["unit"].alias("unit"), x["label"].alias("label"), x["amount"].alias("amount")))
+        return F.when(d["ended"] & F.forall(d["lines"], lambda x: x["ok"]), good)
+
+    lines = lambda parts: F.transform(F.filter(parts, lambda x: x != ""), price_line)
+    return let(parts, lambda parts: let(F.struct((F.element_at(parts, -1) == "").alias("ended"), lines(parts).alias("lines")), read))
 
 
 # Names of attributes that hold what a fixture must not keep.

@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from epochal.operators import codes, publication
+from epochal.plans import checks, pages
+from epochal.sources import html as html_source
 from epochal.sources import shoppages
 from epochal.sources import stockpages as P
 
@@ -146,3 +148,9 @@ def test_dataset_checks(spark):
     bad = [row("a", "v", good), row("b", "w", good), row("c", "v", good[::-1]), row("d", "v", [(1, "exact", 5, 6)]), row("a", "v", good)]
     got = {r.issue: r.n for r in publication.dataset_issues(spark.createDataFrame(bad, schema), "v").collect()}
     assert got == {"repeated key": 2, "another version": 1, "times do not rise": 1, "amounts do not fit": 1}
+
+
+@pytest.mark.parametrize("query", [checks.price_lines, pages.product_pages])
+def test_pages_are_read_by_many_tasks(spark, query):
+    assert query(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    assert str(html_source.price_lines(F.col("block"))).count("split(") == 1
