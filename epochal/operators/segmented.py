@@ -20,18 +20,21 @@ PART, EDGE = "__part", "__edge"
 def cut(rows: DataFrame, key: list[str], t: str, most: int = MOST_ROWS) -> DataFrame:
     """rows with PART: 0, or for an entity of more than `most` rows the part of its time, about `most` / 2 rows each. Rows of one time stay together.
 
-    Sizes are counts that combine before the shuffle; the cuts of an entity are approximate quantiles of its times, and only entities that are cut have any.
+    A row finds its part by halving, so that many parts cost a row little. Sizes are counts that combine before the shuffle; the cuts of an entity are approximate quantiles of its times, and only entities that are cut have any.
     """
     big = kept(rows.groupBy(*key).agg(F.count("*").alias("__n")).where(F.col("__n") > most).select(*key, F.ceil(F.col("__n") * 2 / most).cast("int").alias("__k")))
     found, parts = big.agg(F.count("*"), F.max("__k")).first()
     if not found:
         return rows.withColumn(PART, F.lit(0))
     hint = F.broadcast if found <= BROADCAST_KEYS else lambda df: df
-    share = [i / parts for i in range(1, parts)]
+    share = F.split(F.lit(",".join(str(i / parts) for i in range(1, parts))), ",").cast("array<double>")
     cuts = rows.join(hint(big.select(*key)), key).groupBy(*key).agg(F.percentile_approx(t, share, 20 * parts).alias("__cuts"))
     cuts = kept(cuts.select(*key, F.array_sort(F.array_distinct("__cuts")).alias("__cuts")))
-    part = F.when(F.col("__cuts").isNull(), 0).otherwise(F.size(F.filter("__cuts", lambda c: c <= F.col(t))))
-    return rows.join(hint(cuts), key, "left").withColumn(PART, part).drop("__cuts")
+    rows = rows.join(hint(cuts), key, "left").withColumn(PART, F.lit(0))
+    for i in range(parts.bit_length() - 1, -1, -1):  # how many cuts are at or before t, by halving: plain columns, so that the array is never copied beside a row
+        beyond = F.get("__cuts", F.col(PART) + (2**i - 1)) <= F.col(t)
+        rows = rows.withColumn(PART, F.when(beyond, F.col(PART) + 2**i).otherwise(F.col(PART)))
+    return rows.drop("__cuts")
 
 
 def edged(rows: DataFrame, key: list[str], order: list[str], carried: list[str], ahead: bool = False, what: Column | None = None) -> DataFrame:

@@ -153,3 +153,9 @@ def test_stream_with_neighbour_state_equals_batch(spark, tmp_path):
     got = neighbours.settled(spark.read.parquet(str(tmp_path / "out")))
     used = {r for i in range(3) for r in rows[i * 20 : i * 20 + 25]}
     same(got, changepoints.change_points(spark.createDataFrame(sorted(used), "key int, t long, state string"), ["key"], "t", ["state"]))
+
+
+def test_no_row_carries_or_walks_all_cuts(spark, hot):
+    plan = segmented.cut(hot, KEY, "t", 20)._jdf.queryExecution().optimizedPlan().toString()
+    assert "__cuts" in plan and "lambda" not in plan
+    assert plan.count("percentile") == 0  # cuts are found once
