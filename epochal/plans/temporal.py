@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.money import price_change
 from ..functions.times import DAY_MS, utc_day
 from ..operators import asof, changepoints, intervals, segmented, series
-from ..sources.tables import EVENTS_SQL, PRICES_SQL, daily_prices, event_stream, price_stream
+from ..sources.tables import EVENTS_SQL, PRICES_SQL, by_size, daily_prices, event_stream, price_stream, table
 from .registry import query
 
 #: 2024-01-16T00:00:00Z, within the events; 2000-01-01 and the end of the price observations.
@@ -72,7 +72,7 @@ def offer_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     # one shuffle by part: its runs are numbered by a dense rank, and the last of them is known beside each row
-    x = price_stream(spark, sf_dir).select("part", "offer", "run").repartition("part")
+    x = by_size(price_stream(spark, sf_dir).select("part", "offer", "run"), table(spark, sf_dir, "lineitem"), "part")
     seen = x.distinct().withColumn("k", F.dense_rank().over(Window.partitionBy("part").orderBy("run")))
     seen = seen.withColumn("last", F.max("k").over(Window.partitionBy("part")))
     w = Window.partitionBy("part", "offer").orderBy("k")
@@ -84,8 +84,6 @@ def offer_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("series_invariants", """SELECT conv_id, count(*) FILTER (WHERE prev >= turn) AS n_broken, count(*) AS n_rows FROM (SELECT *, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations) GROUP BY conv_id""")
 def series_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..sources.tables import table
-
     return changepoints.broken_order(table(spark, sf_dir, "conversations"), ["conv_id"], "turn")
 
 

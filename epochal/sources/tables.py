@@ -19,6 +19,15 @@ def spread(rows: DataFrame, *key: str) -> DataFrame:
     return rows.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *key)
 
 
+#: Rows of a series table that one task takes.
+TASK_ROWS = 500_000
+
+
+def by_size(rows: DataFrame, whole: DataFrame, *key: str) -> DataFrame:
+    """rows dealt by a key into tasks of about TASK_ROWS, as many as `whole`, the table they come from, needs: a task's memory does not grow with the table."""
+    return rows.repartition(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-whole.count() // TASK_ROWS)), *key)
+
+
 def cents(c: str) -> Column:
     return half_up(F.col(c) * 100)
 
@@ -41,7 +50,8 @@ def price_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def daily_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One price a part and day: the least of the day, so that no time has two states."""
-    return price_stream(spark, sf_dir).groupBy("part", "t").agg(F.min("cents").alias("cents"), F.min("run").alias("run"))
+    x = by_size(price_stream(spark, sf_dir).select("part", "t", "cents", "run"), table(spark, sf_dir, "lineitem"), "part")
+    return x.groupBy("part", "t").agg(F.min("cents").alias("cents"), F.min("run").alias("run"))
 
 
 #: The same shapes in SQL, for the registered queries.

@@ -102,3 +102,12 @@ def test_unknown_counts_break_steps_and_stock_outs_read_as_zero(spark):
     state = spark.createDataFrame([(1, 3, "out_of_stock")], "k int, t long, availability string")
     r = series.estimated_sales(series.read_counts(counts, state, ["k"], "t"), ["k"], "t", F.lit(0), F.lit(9), 3).first()
     assert (r.sold, r.decreases, r.at_least) == (3, 1, 1)
+
+
+def test_tasks_of_series_follow_the_table(spark, monkeypatch):
+    from epochal.plans import temporal
+    from epochal.sources import tables
+
+    monkeypatch.setattr(tables, "TASK_ROWS", 500)
+    for rows in (tables.daily_prices(spark, "/root/testdata/sf0.001"), temporal.offer_presence(spark, "/root/testdata/sf0.001")):
+        assert rows.rdd.getNumPartitions() >= 12
