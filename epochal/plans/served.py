@@ -36,7 +36,7 @@ UNION ALL SELECT NULL, 'unusable', NULL, NULL, CASE n % 3 WHEN 0 THEN 'no JSON'
 def run_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts over a folder of reports, a file each: good, quarantined, failed, broken and missing ones, and copies from before a repair."""
     n = F.col("s_suppkey")
-    s = table(spark, sf_dir, "supplier").select(n, F.concat(F.lit("s"), n.cast("string")).alias("store"))
+    s = spread(table(spark, sf_dir, "supplier").select(n, F.concat(F.lit("s"), n.cast("string")).alias("store")), "s_suppkey")
     say = lambda outcome, stages, warnings="[]": F.concat(F.lit('{"storeId":"'), "store", F.lit(f'","outcome":"{outcome}","stages":{stages},"warnings":{warnings}}}'))
     ok = '[{"name":"collect","status":"ok"},7]'
     broken = F.when(n % 3 == 0, '{"storeId":').when(n % 3 == 1, say("gone", "[]")).otherwise(say("failed", "{}"))
