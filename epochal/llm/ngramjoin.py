@@ -18,6 +18,9 @@ WORDS, NUM, DEN = 4, 85, 100
 COUNTERS, PART = 1 << 20, 1 << 16
 #: Documents of one side of a block of the product (at least and at most), and its shingles at most.
 LEAST_BLOCK, BLOCK_DOCS, BLOCK_SHINGLES = 256, 2_048, 1_500_000
+#: Blocks of a candidate component that is multiplied whole, each set being sent once a block. In larger ones: sets of a signature whose pairs are made one by
+#: one, and common signatures from which on a pair closes a component of its own.
+CLOSED_BLOCKS, PAIRED_SETS, STRONG = 4, 64, 8
 U = np.uint64
 
 
@@ -154,9 +157,9 @@ def frequent_bits(sets: DataFrame) -> bytes:
     return np.packbits(counts.reshape(-1) > mean + 8 * math.sqrt(mean + 1) + 24).tobytes()
 
 
-def signature_rows(rows: DataFrame, words: int, rule: Threshold, frequent) -> DataFrame:
+def signature_rows(rows: DataFrame, words: int, rule: Threshold, frequent, whole: bool = False) -> DataFrame:
     """(sig, node): signatures of each set, its first digest as the node. Sets that share one within a batch come as pairs of their own, and as one row for
-    that signature, so that a signature that very many sets share has a row a batch at most."""
+    that signature, so that a signature that very many sets share has a row a batch at most; with `whole` every set has a row for each of its signatures."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = np.unpackbits(np.frombuffer(frequent.value, dtype=np.uint8)).astype(bool)
@@ -177,6 +180,9 @@ def signature_rows(rows: DataFrame, words: int, rule: Threshold, frequent) -> Da
             if not sigs:
                 continue
             s, n = np.concatenate(sigs), np.concatenate(nodes)
+            if whole:
+                yield pa.record_batch([_i64(s), _i64(n)], names=["sig", "node"])
+                continue
             order = np.argsort(s, kind="stable")
             s, n = s[order], n[order]
             new = np.concatenate([[True], s[1:] != s[:-1]])
@@ -267,12 +273,8 @@ def product_links(ids: np.ndarray, side: np.ndarray, cut: np.ndarray, h: np.ndar
     return links, linked
 
 
-def verified_links(docs: DataFrame, comps: DataFrame, words: int, rule: Threshold) -> DataFrame:
-    """(a, b, d1, d2, n), within each candidate component: doc_ids of links that connect what is linked; and for sets, by their digests, how many rows of other
-    sets they link to, in parts that are to be summed.
-
-    comps has the digests of each set and the number of its rows (same); rows of the same doc_id that hold another text are left out. A component is cut into blocks by hash so that a block has a bounded number of documents and shingles, and each pair of its blocks is one group.
-    """
+def hashed(docs: DataFrame, comps: DataFrame, words: int) -> DataFrame:
+    """(doc_id, comp, blocks, d1, d2, same, h): comps with each set's sorted shingles; rows of the same doc_id that hold another text are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -286,7 +288,18 @@ def verified_links(docs: DataFrame, comps: DataFrame, words: int, rule: Threshol
                 yield pa.record_batch([*(b.column(i).slice(a, n) for i in range(6)), raw], names=names).filter(pa.array(own))
 
     names = ["doc_id", "comp", "blocks", "d1", "d2", "same", "h"]
-    rows = docs.join(comps, "doc_id").select(*names[:-1], "text").mapInArrow(run, "doc_id long, comp long, blocks int, d1 long, d2 long, same long, h binary")
+    return docs.join(comps.select(*names[:-1]), "doc_id").select(*names[:-1], "text").mapInArrow(run, "doc_id long, comp long, blocks int, d1 long, d2 long, same long, h binary")
+
+
+def verified_links(docs: DataFrame, comps: DataFrame, words: int, rule: Threshold) -> DataFrame:
+    """(a, b, d1, d2, n), within each candidate component: doc_ids of links that connect what is linked; and for sets, by their digests, how many rows of other
+    sets they link to, in parts that are to be summed.
+
+    comps has the digests of each set and the number of its rows (same). A component is cut into blocks by hash so that a block has a bounded number of documents
+    and shingles, and each pair of its blocks is one group.
+    """
+
+    rows = hashed(docs, comps, words)
     block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("comp", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "doc_id", "d1", "d2", "same", "h")
@@ -309,6 +322,67 @@ def verified_links(docs: DataFrame, comps: DataFrame, words: int, rule: Threshol
     return rows.groupBy("comp", "x", "y").applyInArrow(product, "a long, b long, d1 long, d2 long, n long")
 
 
+def signed_pairs(sized: DataFrame, rule: Threshold) -> DataFrame:
+    """(a, b, shared): first digests of sets that share signatures, and how many, and whose sizes let them link. sized is (sig, node, n)."""
+    side = lambda x: sized.select("sig", F.col("node").alias(x), F.col("n").alias(f"n{x}"))
+    fit = rule.den * F.least("na", "nb") >= rule.num * F.greatest("na", "nb")
+    return side("a").join(side("b"), "sig").where((F.col("a") < F.col("b")) & fit).groupBy("a", "b").agg(F.count("*").alias("shared"))
+
+
+def paired_links(pairs: DataFrame, sets: DataFrame, rule: Threshold) -> DataFrame:
+    """As verified_links, of single pairs (a, b) of sets by their first digests. sets is (doc_id, d1, d2, same, h)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ok = np.zeros(b.num_rows, dtype=bool)
+            for i, (x, y) in enumerate(zip(b.column(8), b.column(9))):
+                x, y = (np.frombuffer(v.as_buffer(), dtype=U) for v in (x, y))
+                at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+                ok[i] = rule.reaches(int((x[at] == y).sum()), len(x) + len(y))
+            yield pa.record_batch([b.column(i) for i in range(8)], names=names).filter(pa.array(ok))
+
+    side = lambda x: sets.select(*[F.col(c).alias(f"{c}{x}") for c in ("doc_id", "d1", "d2", "same", "h")])
+    names = [f"{c}{x}" for x in "ab" for c in ("doc_id", "d1", "d2", "same")]
+    both = pairs.join(side("a"), F.col("a") == F.col("d1a")).join(side("b"), F.col("b") == F.col("d1b")).select(*names, "ha", "hb")
+    links = both.mapInArrow(run, ", ".join(f"{c} long" for c in names)).distinct()  # rows that repeat an id and its text are one set
+    null = F.lit(None).cast("long")
+    row = lambda *c: F.struct(*[x.alias(n) for x, n in zip(c, ("a", "b", "d1", "d2", "n"))])
+    c = F.col
+    told = F.array(row(c("doc_ida"), c("doc_idb"), null, null, null), row(null, null, c("d1a"), c("d2a"), c("sameb")), row(null, null, c("d1b"), c("d2b"), c("samea")))
+    return links.select(F.explode(told).alias("x")).select("x.*")
+
+
+def in_blocks(sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc_id, comp, blocks, d1, d2, same, n): sets (doc_id, comp, d1, d2, same, n) of components of more than one set, and into how many blocks each is cut."""
+    comps = sets.groupBy("comp").agg(F.count("*").alias("docs"), F.sum("n").alias("size")).where("docs > 1")
+    side = F.least(F.greatest(F.col("docs") / 16, F.lit(LEAST_BLOCK)), F.lit(BLOCK_DOCS))  # a group of copies is work for several tasks
+    blocks = F.greatest(F.ceil(F.col("docs") / side), F.ceil(F.col("size") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+    return scratch.write(sets.join(comps, "comp").select("doc_id", "comp", blocks, "d1", "d2", "same", "n"))
+
+
+def links_by_signature(rows: DataFrame, wide: DataFrame, scratch: Scratch, words: int, rule: Threshold, frequent) -> DataFrame:
+    """As verified_links, for components that chance signatures chain together: nearly all of a component's pairs share none, so pairs are made by signature.
+
+    Signatures of many sets, and pairs that share many signatures, as near copies do, close components of their own, which are multiplied by blocks. All other pairs
+    that share a signature are met one by one. Two sets that link share one, so no link is lost, and a pair is told once.
+    """
+    texts = scratch.write(keep_ids(rows, wide.select("doc_id").distinct()))
+    node = wide.select(F.col("d1").alias("node"), "n")
+    signed = scratch.write(signature_rows(texts, words, rule, frequent, whole=True).join(node, "node").distinct())
+    sizes = signed.groupBy("sig").agg(F.count("*").alias("m")).where("m > 1")
+    sized = scratch.write(signed.join(sizes, "sig"))
+    scratch.drop(signed)
+    pairs = scratch.write(signed_pairs(sized.where(F.col("m") <= PAIRED_SETS), rule))
+    strong = candidate_links(sized.where(F.col("m") > PAIRED_SETS).select("sig", "node")).unionByName(pairs.where(F.col("shared") >= STRONG).select("a", "b"))
+    roots = components(strong, scratch)
+    dense = in_blocks(wide.drop("comp", "blocks").join(roots.select(F.col("node").alias("d1"), F.col("root").alias("comp")), "d1"), scratch)
+    told = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"c{x}"))
+    pairs = pairs.join(told("a"), "a", "left").join(told("b"), "b", "left").where("ca is null or cb is null or ca <> cb")
+    pairs = scratch.write(pairs.select("a", "b"))
+    sets = scratch.write(hashed(texts, wide, words).select("doc_id", "d1", "d2", "same", "h"))
+    return verified_links(texts, dense, words, rule).unionByName(paired_links(pairs, sets, rule))
+
+
 def join_classes(docs: DataFrame, scratch: Scratch, words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each row of docs; as join_links, without the numbers of links."""
     return join_links(docs, scratch, words, num, den).drop("n_links")
@@ -333,12 +407,12 @@ def join_links(docs: DataFrame, scratch: Scratch, words: int = WORDS, num: int =
     # one document for each distinct set, and of those the ones in candidate components
     reps = own.where("n > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.count("*").alias("same"))
     reps = scratch.write(reps.join(cands.select(F.col("node").alias("d1"), F.col("root").alias("comp")), "d1", "left").where("same > 1 or comp is not null"))
-    comps = reps.where("comp is not null").groupBy("comp").agg(F.count("*").alias("docs"), F.sum("n").alias("size")).where("docs > 1")
-    side = F.least(F.greatest(F.col("docs") / 16, F.lit(LEAST_BLOCK)), F.lit(BLOCK_DOCS))  # a group of copies is work for several tasks
-    blocks = F.greatest(F.ceil(F.col("docs") / side), F.ceil(F.col("size") / BLOCK_SHINGLES)).cast("int").alias("blocks")
-    todo = scratch.write(reps.join(comps, "comp").select("doc_id", "comp", blocks, "d1", "d2", "same"))
-    few = keep_ids(rows, todo.select("doc_id").distinct())
-    found = scratch.write(verified_links(few, todo, words, rule))
+    todo = in_blocks(reps.where("comp is not null"), scratch)
+    closed, wide = todo.where(F.col("blocks") <= CLOSED_BLOCKS), todo.where(F.col("blocks") > CLOSED_BLOCKS)
+    found = verified_links(keep_ids(rows, closed.select("doc_id").distinct()), closed, words, rule)
+    if wide.take(1):
+        found = found.unionByName(links_by_signature(rows, wide, scratch, words, rule, frequent))
+    found = scratch.write(found)
     roots = components(found.where("a is not null").select("a", "b"), scratch)
     linked = found.where("d1 is not null").groupBy("d1", "d2").agg(F.sum("n").alias("linked"))
     least = scratch.write(roots.groupBy("root").agg(F.min("node").alias("component")))

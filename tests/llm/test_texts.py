@@ -382,6 +382,28 @@ def test_signatures_lose_no_pair():
         assert sigs[0] & sigs[1]
 
 
+def test_chained_candidates_are_paired_by_signature(spark, monkeypatch):
+    """Texts that share passages chain into one large candidate component; its sets must not be sent once a block of it, and no link may be lost."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    passages = [" ".join(word() for _ in range(20)) for _ in range(30)]
+    texts = [" ".join([*rng.sample(passages, 2), word(), word(), word()]) for _ in range(240)]
+    texts += [t.rsplit(" ", 1)[0] + " " + word() for t in texts[::6]]
+    docs = spark.createDataFrame([*enumerate(texts), (0, texts[0])], "doc_id long, text string")
+    want, sets = {}, [{" ".join(w[i : i + 4]) for i in range(len(w) - 3)} for w in map(str.split, texts)]
+    for i, x in enumerate(sets):
+        want[i] = sum(100 * len(x & y) >= 85 * len(x | y) for j, y in enumerate(sets) if j != i) + (sum(100 * len(x & y) >= 85 * len(x | y) for y in sets[:1]) if i else 1)
+    monkeypatch.setattr(ngramjoin, "LEAST_BLOCK", 16)
+    sent, old = [], ngramjoin.verified_links
+    monkeypatch.setattr(ngramjoin, "verified_links", lambda d, comps, *a: sent.append(comps.agg(F.max("blocks")).first()[0] or 0) or old(d, comps, *a))
+    for paired in (64, 3):  # pairs are met one by one, or by the components that signatures of four sets close
+        monkeypatch.setattr(ngramjoin, "PAIRED_SETS", paired, raising=False)
+        got = ngramjoin.join_links(docs, common.Scratch(spark)).distinct().collect()
+        assert {r.doc_id: r.n_links for r in got} == want and sum(r.component_id < r.doc_id for r in got) > 20
+        if paired == 64:
+            assert sent and max(sent) <= 4
+
+
 def test_classes_of_odd_rows(spark, odd, none):
     got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in ngramjoin.join_classes(odd, common.Scratch(spark)).collect())
     assert ("1", 7, "1") in got and ("2", 7, "1") in got and ("3", 0, "3") in got and ("5", 0, "5") in got and ("9", 1, "9") in got and len(got) == 10
