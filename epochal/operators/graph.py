@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +14,8 @@ from ..functions.keys import fnv1a
 
 #: Links of a node that one task joins; a node with more is split. Hubs that may be broadcast.
 HUB, BROADCAST_HUBS = 100_000, 1_000_000
+#: Groups of a cover that one step looks at, and their uncovered items, at most.
+STEP_GROUPS, STEP_ITEMS = 10_000, 4_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -94,9 +99,9 @@ def greedy_cover(spark: SparkSession, membership: DataFrame, cost: DataFrame, gr
 
     With `stable`, a condition on cost's columns, those groups cover all that they can before any other is picked.
 
-    A group that comes before all others with which it shares an uncovered item keeps its gain until it is picked, as gains only shrink. So each step picks all
-    such groups at once, and their order is that of their gains. Groups of the two pools share no item: the second has only what no stable group holds. Only the
-    picks, which are the plan, leave the cluster.
+    Gains only shrink, so what a group gains now bounds what it gains later. Each step takes the groups that come first, as far as their items stay within
+    STEP_ITEMS, and picks among them for as long as the best comes before the first group that was not taken. Groups of the two pools share no item: the second has
+    only what no stable group holds. Only the keys of a step's groups and the picks, which are the plan, leave the cluster.
     """
     pools = cost.select(group, F.col("cost").cast("double").alias("cost"), (F.lit(True) if stable is None else F.coalesce(stable, F.lit(False))).alias("__s"))
     left = membership.select(group, item).where(F.col(group).isNotNull() & F.col(item).isNotNull()).distinct().join(pools, group)
@@ -104,18 +109,51 @@ def greedy_cover(spark: SparkSession, membership: DataFrame, cost: DataFrame, gr
         first = left.where("__s").select(item).distinct()
         left = left.where("__s").unionByName(left.where("not __s").join(first, item, "left_anti").select(left.columns))
     left, picks, kind = cut(left), [], membership.schema[group].dataType.simpleString()
-    while left.take(1):
-        gains = left.groupBy(group).agg(F.count("*").alias("gain"))
-        key = F.struct(F.expr("not __s").alias("s"), (-F.col("gain") / F.col("cost")).alias("o"), (-F.col("gain")).alias("n"), F.col(group).alias("g"))
-        best = left.join(gains, group).groupBy(item).agg(F.min(key).alias("k"))
-        won = best.groupBy("k").agg(F.count("*").alias("n")).where("n = -k.n").select("k.*").collect()  # a part of the plan
-        picks += [(r.s, r.o, r.n, r.g) for r in won]
-        here = F.broadcast(spark.createDataFrame([(r.g,) for r in won], f"{group} {kind}"))
+    key = F.struct(F.expr("not __s").alias("s"), (-F.col("gain") / F.col("cost")).alias("o"), (-F.col("gain")).alias("n"), F.col(group).alias("g"))
+    while True:
+        keys = left.groupBy(group, "cost", "__s").agg(F.count("*").alias("gain")).select(key.alias("k")).orderBy("k").limit(STEP_GROUPS + 1)
+        keys = [tuple(r.k) for r in keys.collect()]
+        if not keys:
+            break
+        size = np.cumsum([-k[2] for k in keys])
+        many = min(int(np.searchsorted(size, STEP_ITEMS, side="right")), STEP_GROUPS)
+        won = keys[:1]  # a group larger than a step comes first all the same
+        if many > 1:
+            taken = F.broadcast(spark.createDataFrame([(k[3],) for k in keys[:many]], f"{group} {kind}"))
+            step = left.join(taken, group).select("__s", "cost", F.col(group).alias("g"), F.col(item).alias("i"))
+            bound = keys[many] if many < len(keys) else None
+            won = [tuple(r) for r in step.withColumn("__one", F.lit(0)).groupBy("__one").applyInPandas(lambda x: _greedy_step(x, bound), f"s boolean, o double, n long, g {kind}").collect()]
+        picks += won
+        here = F.broadcast(spark.createDataFrame([(k[3],) for k in won], f"{group} {kind}"))
         left = cut(left.join(left.join(here, group).select(item).distinct(), item, "left_anti").select(left.columns))
     schema = f"round int, {group} {kind}, gain long"
     return spark.createDataFrame([(i + 1, g, -n) for i, (_, _, n, g) in enumerate(sorted(picks)[:rounds])], schema)
 
 
+def _greedy_step(rows: pd.DataFrame, bound: tuple | None) -> pd.DataFrame:
+    """(s, o, n, g): picks in their order among groups (__s, cost, g) of items i, before the first whose key doesn't come before `bound`."""
+    item, _ = pd.factorize(rows["i"])
+    groups = rows.groupby("g", sort=False).indices
+    s, cost = ~rows["__s"].to_numpy(dtype=bool), rows["cost"].to_numpy()
+    key = lambda g, n: (bool(s[groups[g][0]]), -n / cost[groups[g][0]], -n, g)
+    heap = [key(g, len(at)) for g, at in groups.items()]
+    heapq.heapify(heap)
+    covered, out = np.zeros(len(rows), dtype=bool), []
+    while heap:
+        best = heapq.heappop(heap)
+        mine = item[groups[best[3]]]
+        n = int((~covered[mine]).sum())
+        if n < -best[2]:  # others took some of its items since
+            if n:
+                heapq.heappush(heap, key(best[3], n))
+            continue
+        if bound is not None and best >= bound:
+            break
+        covered[mine] = True
+        out.append(best)
+    return pd.DataFrame(out, columns=["s", "o", "n", "g"])
+
+
 def rotation_slice(keys: DataFrame, key: str, round_: int, shards: int, cap: int) -> DataFrame:
     """The keys of a round's shard, in an order that changes with the round, at most `cap` of them."""
     h = fnv1a(F.col(key))

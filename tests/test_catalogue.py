@@ -135,6 +135,23 @@ def test_cover_plan_against_a_greedy_loop(spark):
     assert [tuple(r) for r in graph.greedy_cover(spark, m, c, "g", "i", stable=F.col("g") % 2 == 0).orderBy("round").collect()] == plain(sets, cost, even)
 
 
+def test_cover_takes_many_picks_a_step(spark, monkeypatch):
+    """Groups that all share items with others: a plan of many picks takes few rounds of jobs, and is the same however small a step is."""
+    rng = random.Random(8)
+    rows = [(g, i) for g in range(120) for i in rng.sample(range(400), rng.randrange(10, 30))]
+    m = spark.createDataFrame(rows, "g long, i long")
+    c = m.groupBy("g").agg(F.count("*").alias("cost"))
+    cuts, old = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: cuts.append(1) or old(df))
+    got = [tuple(r) for r in graph.greedy_cover(spark, m, c, "g", "i").orderBy("round").collect()]
+    assert sum(n for *_, n in got) == len({i for _, i in rows}) and len(got) > 15 and len(cuts) <= 3
+    for groups, items in ((10_000, 900), (20, 4_000_000), (10_000, 1)):
+        monkeypatch.setattr(graph, "STEP_GROUPS", groups)
+        monkeypatch.setattr(graph, "STEP_ITEMS", items)
+        assert [tuple(r) for r in graph.greedy_cover(spark, m, c, "g", "i", rounds=8).orderBy("round").collect()] == got[:8]
+        cuts.clear()
+
+
 def test_cover_plan_covers_every_part(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet").select("l_suppkey", "l_partkey").collect()
     got = catalogue.set_cover_plan(spark, "/root/testdata/sf0.01").collect()
