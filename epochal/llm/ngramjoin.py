@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,7 +20,7 @@ COUNTERS, PART = 1 << 20, 1 << 16
 LEAST_BLOCK, BLOCK_DOCS, BLOCK_SHINGLES = 256, 2_048, 1_500_000
 #: Blocks of a candidate component that is multiplied whole, each set being sent once a block. In larger ones: sets of a signature whose pairs are made one by
 #: one, and common signatures from which on a pair closes a component of its own.
-CLOSED_BLOCKS, PAIRED_SETS, STRONG = 4, 64, 8
+CLOSED_BLOCKS, PAIRED_SETS, STRONG = 4, 32, 8
 U = np.uint64
 
 
@@ -53,10 +53,18 @@ class Threshold:
         return d, d + 2 + (d + 1) // 10
 
     def signatures(self, h: np.ndarray, n: int, rare: np.ndarray) -> list[np.ndarray]:
-        """Of one document: h its sorted shingles, rare those of them that the sketch doesn't call frequent.
+        """The lists that `signed` gives, alone."""
+        return [s for s, _ in self.signed(h, n, rare)]
+
+    def signed(self, h: np.ndarray, n: int, rare: np.ndarray) -> list[tuple[np.ndarray, int]]:
+        """Of one document: h its sorted shingles, rare those of them that the sketch doesn't call frequent. With each list, how many of it are to spare.
 
         Signing the rare shingles alone loses no pair (their sets differ in no more), and spares the parts that hold common passages only. Where too few parts
         have rare shingles, all shingles are signed as well, under other names, for partners that are in the same case.
+
+        A set of n differs from no partner in more shingles than d(n + the largest partner's size): of its parts that are not empty all but so many agree, each of
+        which signs. All but one of those are to spare: where both sets go without as many of their most common signatures, in one order of all of them, the rarest
+        that they share is left to both.
         """
         c = int(np.searchsorted(self.bounds, n, side="right")) - 1
         out = []
@@ -64,15 +72,19 @@ class Threshold:
             if window < 0:
                 continue
             d, k = self.parts(window)
+            differ = (self.den - self.num) * (n + min(int(self.bounds[window + 2]) - 1, n * self.den // self.num)) // (self.den + self.num)
             sums, full = self._parts(rare, k)
-            out.append(mix(sums[full] + (np.nonzero(full)[0].astype(U) * U(2) + U(1)) * U(0x9E3779B97F4A7C15) + U(window + 1)))
+            spare = max(int(full.sum()) - differ - 1, 0)
+            out.append((mix(sums[full] + (np.nonzero(full)[0].astype(U) * U(2) + U(1)) * U(0x9E3779B97F4A7C15) + U(window + 1)), spare))
             if full.sum() <= d:
                 sums, full = self._parts(h, k)
+                spare = 0
                 if full.sum() > d:
+                    spare = max(int(full.sum()) - differ - 1, 0)
                     sums, at = sums[full], np.nonzero(full)[0]
                 else:
                     at = np.arange(k)
-                out.append(mix(mix(sums + U(7)) + (at.astype(U) * U(2) + U(1)) * U(0xD6E8FEB86659FD93) + U(window + 1)))
+                out.append((mix(mix(sums + U(7)) + (at.astype(U) * U(2) + U(1)) * U(0xD6E8FEB86659FD93) + U(window + 1)), spare))
         return out
 
     @staticmethod
@@ -159,12 +171,13 @@ def frequent_bits(sets: DataFrame) -> bytes:
 
 def signature_rows(rows: DataFrame, words: int, rule: Threshold, frequent, whole: bool = False) -> DataFrame:
     """(sig, node): signatures of each set, its first digest as the node. Sets that share one within a batch come as pairs of their own, and as one row for
-    that signature, so that a signature that very many sets share has a row a batch at most; with `whole` every set has a row for each of its signatures."""
+    that signature, so that a signature that very many sets share has a row a batch at most; with `whole` every set has a row for each of its signatures, with the
+    list that it is of and how many of that list are to spare."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = np.unpackbits(np.frombuffer(frequent.value, dtype=np.uint8)).astype(bool)
         for b in batches:
-            sigs, nodes, seen = [], [], set()
+            sigs, nodes, lists, spares, seen = [], [], [], [], set()
             for _, h, cut in _sets(b, 0, words):
                 d1, _ = _digests(h, cut)
                 rare = ~often[(h & U(COUNTERS - 1)).astype(np.int64)]
@@ -174,14 +187,16 @@ def signature_rows(rows: DataFrame, words: int, rule: Threshold, frequent, whole
                         continue
                     seen.add(int(node))
                     own = h[x:y]
-                    for s in rule.signatures(own, int(y - x), own[rare[x:y]]):
+                    for at, (s, spare) in enumerate(rule.signed(own, int(y - x), own[rare[x:y]])):
                         sigs.append(s)
                         nodes.append(np.full(len(s), node, dtype=U))
+                        lists.append(np.full(len(s), at, dtype=np.int32))
+                        spares.append(np.full(len(s), spare, dtype=np.int32))
             if not sigs:
                 continue
             s, n = np.concatenate(sigs), np.concatenate(nodes)
             if whole:
-                yield pa.record_batch([_i64(s), _i64(n)], names=["sig", "node"])
+                yield pa.record_batch([_i64(s), _i64(n), pa.array(np.concatenate(lists)), pa.array(np.concatenate(spares))], names=["sig", "node", "list", "spare"])
                 continue
             order = np.argsort(s, kind="stable")
             s, n = s[order], n[order]
@@ -194,7 +209,7 @@ def signature_rows(rows: DataFrame, words: int, rule: Threshold, frequent, whole
                 s, n = np.concatenate([s[new], own, own]), np.concatenate([n[new], pair[:, 0], pair[:, 1]])
             yield pa.record_batch([_i64(s), _i64(n)], names=["sig", "node"])
 
-    return rows.select("text").mapInArrow(run, "sig long, node long")
+    return rows.select("text").mapInArrow(run, "sig long, node long" + (", list int, spare int" if whole else ""))
 
 
 def candidate_links(sigs: DataFrame) -> DataFrame:
@@ -322,6 +337,17 @@ def verified_links(docs: DataFrame, comps: DataFrame, words: int, rule: Threshol
     return rows.groupBy("comp", "x", "y").applyInArrow(product, "a long, b long, d1 long, d2 long, n long")
 
 
+def without_spare(signed: DataFrame) -> DataFrame:
+    """(sig, node, n, m): signatures that more than one set has, without those that a set can spare, its most common ones; m sets have it, of those that keep it.
+
+    signed is (sig, node, n, list, spare). A passage that many sets hold signs the same in all of them, and would pair each with each.
+    """
+    count = lambda x: x.groupBy("sig").agg(F.count("*").alias("m")).where("m > 1")
+    place = F.row_number().over(Window.partitionBy("node", "list").orderBy(F.desc("m"), F.desc("sig")))
+    kept = signed.join(count(signed), "sig").withColumn("place", place).where("place > spare").select("sig", "node", "n").distinct()
+    return kept.join(count(kept), "sig")
+
+
 def signed_pairs(sized: DataFrame, rule: Threshold) -> DataFrame:
     """(a, b, shared): first digests of sets that share signatures, and how many, and whose sizes let them link. sized is (sig, node, n)."""
     side = lambda x: sized.select("sig", F.col("node").alias(x), F.col("n").alias(f"n{x}"))
@@ -369,8 +395,7 @@ def links_by_signature(rows: DataFrame, wide: DataFrame, scratch: Scratch, words
     texts = scratch.write(keep_ids(rows, wide.select("doc_id").distinct()))
     node = wide.select(F.col("d1").alias("node"), "n")
     signed = scratch.write(signature_rows(texts, words, rule, frequent, whole=True).join(node, "node").distinct())
-    sizes = signed.groupBy("sig").agg(F.count("*").alias("m")).where("m > 1")
-    sized = scratch.write(signed.join(sizes, "sig"))
+    sized = scratch.write(without_spare(signed))
     scratch.drop(signed)
     pairs = scratch.write(signed_pairs(sized.where(F.col("m") <= PAIRED_SETS), rule))
     strong = candidate_links(sized.where(F.col("m") > PAIRED_SETS).select("sig", "node")).unionByName(pairs.where(F.col("shared") >= STRONG).select("a", "b"))

@@ -404,6 +404,26 @@ def test_chained_candidates_are_paired_by_signature(spark, monkeypatch):
             assert sent and max(sent) <= 4
 
 
+def test_signatures_to_spare_lose_no_pair_and_make_few(spark):
+    """Texts that hold one of a few common passages share its signatures: those that a set can spare make no pairs, and pairs at the threshold keep one."""
+    rng, rule = np.random.default_rng(5), ngramjoin.Threshold()
+    some = lambda n: rng.integers(0, 2**64, n, dtype=np.uint64)
+    common_part = some(100)
+    sets = []
+    for _ in range(60):
+        a = np.concatenate([some(int(rng.integers(100, 130))), common_part])
+        n, most = len(a), 0
+        while rule.reaches(n - most - 1, n + n):
+            most += 1
+        sets += [np.sort(a), np.sort(np.concatenate([a[most // 2 :], some(most // 3)]))]
+    rows = [(int(s.view(np.int64)), i, len(x), at, spare) for i, x in enumerate(sets) for at, (sigs, spare) in enumerate(rule.signed(x, len(x), x)) for s in sigs]
+    signed = spark.createDataFrame(rows, "sig long, node long, n long, list int, spare int")
+    got = {(r.a, r.b) for r in ngramjoin.signed_pairs(ngramjoin.without_spare(signed), rule).collect()}
+    near = {(i, j) for i, x in enumerate(sets) for j, y in enumerate(sets) if i < j and rule.reaches(len(np.intersect1d(x, y)), len(x) + len(y))}
+    every = {(r.a, r.b) for r in ngramjoin.signed_pairs(signed, rule).collect()}
+    assert len(near) >= 50 and near <= got and len(got) < 0.7 * len(every)
+
+
 def test_classes_of_odd_rows(spark, odd, none):
     got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in ngramjoin.join_classes(odd, common.Scratch(spark)).collect())
     assert ("1", 7, "1") in got and ("2", 7, "1") in got and ("3", 0, "3") in got and ("5", 0, "5") in got and ("9", 1, "9") in got and len(got) == 10
