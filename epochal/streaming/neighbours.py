@@ -1,14 +1,19 @@
 """Change points of a stream whose keyed state is read and written around what comes in: an observation looks at its two neighbours, however long the entity's history is.
 
-Observations lie in map state by time. Beside them a tree of bitmaps says which times there are: 64 bits of a time are LEVELS digits of BITS bits, and for every
-prefix of digits that occurs, a bitmap of the digits that follow it. The nearest time before or after another is found by going up to a prefix that has a lower or
-higher digit, and down again: some entries of state, never a scan. A new time writes its observation and a bitmap a level at most.
+An entity's observations lie in blocks of at most BLOCK, by time. What a batch brings is merged into the blocks that it falls in, so an entity of one block costs one
+entry read and one written a batch. An entity of more keeps the times at which its further blocks begin in a tree of bitmaps: 64 bits of a time are LEVELS digits of
+BITS bits, and for every prefix of digits that occurs, a bitmap of the digits that follow it. The nearest time before or after another is found by going up to a
+prefix that has a lower or higher digit, and down again: some entries of state, never a scan. A new block writes itself and a bitmap a level at most.
+
+Entities are dealt into GROUPS by their hash, as a call of the processor and its frames cost far more than the few rows that a batch brings of an entity.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from contextlib import contextmanager
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -18,8 +23,12 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 BITS, LEVELS = 8, 8
 _OFFSET = 1 << 63
+#: Observations of a block, and groups that entities are dealt into (for good, as the state lies by group).
+BLOCK, GROUPS = 512, 4096
+#: Level and prefix of an entity's first block, which its count of changes lies with.
+FIRST = (-1, 0)
+_NONE = object()  # the state before an entity's first
 
-KEY = T.StructType([T.StructField("level", T.IntegerType()), T.StructField("prefix", T.LongType())])
 VALUE = T.StructType([T.StructField("bits", T.BinaryType()), T.StructField("state", T.StringType())])
 
 
@@ -86,36 +95,128 @@ def insert(times: Times, t: int, state: str | None) -> list[tuple[int, str | Non
     return out
 
 
+def merged(times: list[int], states: list, fresh: list[tuple[int, str | None]], before) -> tuple[list[int], list, list[tuple[int, str | None, bool]]]:
+    """A block's times and states with fresh observations, both by time, and (time, state, added) of the change points that come or go in it.
+
+    before is the state ahead of the block, as it was and as it is. The first state told for a time stays.
+    """
+    was, now = before
+    at, into, changes, i = [], [], [], 0
+    for t, state in [*fresh, (None, None)]:
+        while i < len(times) and (t is None or times[i] <= t):
+            s = states[i]
+            if (stood := was is _NONE or was != s) != (stands := now is _NONE or now != s):
+                changes.append((times[i], s, stands))
+            at.append(times[i])
+            into.append(s)
+            was = now = s
+            i += 1
+        if t is not None and (not at or at[-1] != t):
+            if now is _NONE or now != state:
+                changes.append((t, state, True))
+            at.append(t)
+            into.append(state)
+            now = state
+    return at, into, changes
+
+
+class Blocks:
+    """An entity's observations in blocks over a mapping (level, prefix) -> (bitmap, text) that `get` and `put` reach."""
+
+    def __init__(self, get, put):
+        self.get, self.put, self.times = get, put, Times(get, put)
+        found = get(*FIRST)
+        self.n, self.more, *self.first = json.loads(found[1]) if found else (0, False, [], [])
+
+    def block(self, start: int | None) -> list:
+        """[times, states] of the block that begins there; None names the first."""
+        return self.first if start is None else json.loads(self.get(LEVELS, start)[1])
+
+    def start(self, t: int) -> int | None:
+        """Where the block begins that t lies in."""
+        if not self.more or self.get(LEVELS, t) is not None:
+            return t if self.more else None
+        return self.times.beside(t, False)
+
+    def next(self, start: int | None) -> int | None:
+        return self.times.beside(-_OFFSET if start is None else start, True) if self.more else None
+
+    def insert(self, rows: list[tuple[int, str | None]]) -> list[tuple[int, str | None, bool, int]]:
+        """(time, state, added, n) of the change points that come or go when rows come in, which lie by time; n counts the entity's changes."""
+        out, i, behind, wrote = [], 0, None, False  # behind: the block after the one just done, and the state ahead of it as it was and is
+        while i < len(rows) or behind:
+            if behind:
+                start, before = behind
+            else:
+                start = self.start(rows[i][0])
+                ahead = None if start is None else self.start(start - 1)
+                before = (_NONE, _NONE) if start is None else (self.block(ahead)[1][-1],) * 2
+            after, mine = self.next(start), []
+            while i < len(rows) and (after is None or rows[i][0] < after):
+                mine.append(rows[i])
+                i += 1
+            times, states = self.block(start)
+            at, into, changes = merged(times, states, mine, before)
+            out += changes
+            last = states[-1] if states else _NONE
+            grown = len(at) > len(times)
+            if grown:
+                wrote |= start is None
+                self.write(start, at, into)
+            behind = (after, (last, into[-1])) if after is not None and grown else None
+        out = [(*change, self.n + k) for k, change in enumerate(out, 1)]
+        if out or wrote:
+            self.n += len(out)
+            self.put(*FIRST, (None, json.dumps([self.n, self.more, *self.first])))
+        return out
+
+    def write(self, start: int | None, at: list[int], into: list) -> None:
+        """Writes a block, in pieces if it is too large; the first is written with the count of changes."""
+        step = len(at) if len(at) <= BLOCK else BLOCK // 2
+        for k in range(0, len(at), step):
+            piece = [at[k : k + step], into[k : k + step]]
+            if k == 0 and start is None:
+                self.first = piece
+                continue
+            here = start if k == 0 else at[k]
+            if k:
+                self.more = True
+                self.times.add(here, None)
+            self.put(LEVELS, here, (None, json.dumps(piece)))
+
+
 class ChangePoints(StatefulProcessor):
     """Emits (key, t, state, added, n): the change points that came or went, the n-th of the entity's changes."""
 
+    def __init__(self, key: T.DataType):
+        self.key = key
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.map = handle.getMapState("times", KEY, VALUE)
-        self.count = handle.getValueState("changes", T.StructType([T.StructField("n", T.LongType())]))
+        self.map = handle.getMapState("blocks", T.StructType([T.StructField("key", self.key), T.StructField("level", T.IntegerType()), T.StructField("prefix", T.LongType())]), VALUE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        seen: dict[tuple[int, int], tuple | None] = {}  # what this batch read and wrote of the entity's state
+        for batch in rows:
+            batch = batch.sort_values(["key", "t"], kind="stable")
+            found = zip(batch["key"].tolist(), batch["t"].tolist(), (s if isinstance(s, str) else None for s in batch["state"].tolist()))
+            out = [(entity, *change) for entity, mine in groupby(found, key=lambda r: r[0]) for change in self.changes(entity, [r[1:] for r in mine])]
+            yield pd.DataFrame(out, columns=["key", "t", "state", "added", "n"])
+
+    def changes(self, entity, rows: list[tuple[int, str | None]]) -> list[tuple[int, str | None, bool, int]]:
+        seen, fresh = {}, {}  # what these rows read and write of the entity's state
 
         def get(level, prefix):
             if (level, prefix) not in seen:
-                at = (level, prefix)
-                seen[at] = tuple(self.map.getValue(at)) if self.map.containsKey(at) else None
+                at = (entity, level, prefix)
+                seen[level, prefix] = tuple(self.map.getValue(at)) if self.map.containsKey(at) else None
             return seen[level, prefix]
 
         def put(level, prefix, value):
-            seen[level, prefix] = value
-            self.map.updateValue((level, prefix), value)
+            seen[level, prefix] = fresh[level, prefix] = value
 
-        times, out = Times(get, put), []
-        n = self.count.get()[0] if self.count.exists() else 0
-        for batch in rows:
-            for t, state in zip(batch["t"], batch["state"]):
-                for change in insert(times, int(t), state):
-                    n += 1
-                    out.append((key[0], *change, n))
-        if out:
-            self.count.update((n,))
-        yield pd.DataFrame(out, columns=["key", "t", "state", "added", "n"])
+        out = Blocks(get, put).insert(rows)
+        for (level, prefix), value in fresh.items():
+            self.map.updateValue((entity, level, prefix), value)
+        return out
 
     def close(self) -> None:
         pass
@@ -126,9 +227,9 @@ def updates(stream: DataFrame, key: str = "key") -> DataFrame:
 
     The session keeps state in RocksDB: spark.sql.streaming.stateStore.providerClass names its provider.
     """
-    kind = stream.schema[key].dataType.simpleString()
-    rows = stream.select(F.col(key).alias("key"), F.col("t").cast("long"), "state")
-    return rows.groupBy("key").transformWithStateInPandas(ChangePoints(), f"key {kind}, t long, state string, added boolean, n long", "Update", "None")
+    kind = stream.schema[key].dataType
+    rows = stream.select(F.pmod(F.xxhash64(key), F.lit(GROUPS)).cast("int").alias("group"), F.col(key).alias("key"), F.col("t").cast("long"), "state")
+    return rows.groupBy("group").transformWithStateInPandas(ChangePoints(kind), f"key {kind.simpleString()}, t long, state string, added boolean, n long", "Update", "None")
 
 
 def batches_into(path: str):

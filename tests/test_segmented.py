@@ -155,6 +155,43 @@ def test_stream_with_neighbour_state_equals_batch(spark, tmp_path):
     same(got, changepoints.change_points(spark.createDataFrame(sorted(used), "key int, t long, state string"), ["key"], "t", ["state"]))
 
 
+@pytest.mark.parametrize("block", [4, 512])
+def test_blocks_change_what_a_batch_would(monkeypatch, block):
+    monkeypatch.setattr(neighbours, "BLOCK", block)
+    rng = random.Random(6)
+    for _ in range(40):
+        store, stands, told, count = {}, {}, {}, 0
+        edge = rng.choice([0, -(2**63), 2**63 - 60])
+        for _ in range(12):
+            rows = sorted(((edge + rng.randrange(60), rng.choice(["A", "B", None])) for _ in range(rng.randrange(1, 12))), key=lambda r: r[0])
+            for t, s in rows:
+                told.setdefault(t, s)
+            for t, s, added, n in neighbours.Blocks(lambda *k: store.get(k), lambda level, prefix, v: store.__setitem__((level, prefix), v)).insert(rows):
+                count += 1
+                assert n == count and added != (t in stands)
+                stands[t] = s
+                if not added:
+                    del stands[t]
+            want = sorted(told.items())
+            assert stands == {t: s for i, (t, s) in enumerate(want) if i == 0 or want[i - 1][1] != s}
+
+
+def test_a_batch_reads_and_writes_an_entity_once():
+    store, reads, writes = {}, [], []
+    put = lambda level, prefix, v: (writes.append(level), store.__setitem__((level, prefix), v))
+    insert = lambda rows: neighbours.Blocks(lambda *k: (reads.append(k), store.get(k))[1], put).insert(rows)
+    for k in range(4):
+        reads.clear(), writes.clear()
+        insert([(t, "AB"[t % 2]) for t in range(k, 400, 4)])
+        assert len(reads) == len(writes) == 1
+    reads.clear(), writes.clear()
+    assert insert([(t, "A") for t in range(0, 400, 2)]) == [] and len(reads) == 1 and not writes  # known already
+    insert([(t * 10, "AB"[t % 2]) for t in range(100, 60_000)])
+    reads.clear(), writes.clear()
+    assert [r[:3] for r in insert([(300_001, "B")])] == [(300_001, "B", True), (300_010, "B", False)]
+    assert len(reads) < 4 * neighbours.LEVELS and len(writes) <= 2 and max(len(v[1] or "") for v in store.values()) < 20 * neighbours.BLOCK
+
+
 def test_no_row_carries_or_walks_all_cuts(spark, hot):
     plan = segmented.cut(hot, KEY, "t", 20)._jdf.queryExecution().optimizedPlan().toString()
     assert "__cuts" in plan and "lambda" not in plan
