@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.times import DAY_MS
-from ..operators import changepoints, digests, imports, intervals
+from ..operators import changepoints, digests, graph, imports, intervals
 from ..sources import snapshots as S
+from ..sources.tables import spread
 
 FORMAT = 2
 
@@ -127,11 +128,12 @@ def check(snapshot: DataFrame, before: DataFrame | None) -> list[str]:
     p = snapshot.select("complete", F.explode_outer("products").alias("p"))
     quotes = F.flatten(F.transform("p.offers", lambda o: o["priceQuotes"]))
     key = F.col("p.pageKey")
-    r = p.agg(
-        F.min("complete").alias("complete"), F.count("p").alias("n"), F.count_distinct("p.externalProductId").alias("ids"), F.count_distinct("p.pageKey").alias("pages"),
-        F.sum(F.when(F.col("p").isNotNull() & ~F.coalesce(key.rlike("^[A-Za-z0-9][A-Za-z0-9._-]{0,127}$") & ~key.startswith(".."), F.lit(False)), 1).otherwise(0)).alias("unsafe"),
-        F.sum(F.when(F.exists(quotes, lambda q: ~S.is_valid_price(q)), 1).otherwise(0)).alias("prices"),
-    ).first()
+    p = p.select(  # what is counted alone: counts of distinct values repeat their rows
+        "complete", F.when(F.col("p").isNotNull(), 1).alias("p"), F.col("p.externalProductId").alias("id"), key.alias("page"),
+        F.when(F.col("p").isNotNull() & ~F.coalesce(key.rlike("^[A-Za-z0-9][A-Za-z0-9._-]{0,127}$") & ~key.startswith(".."), F.lit(False)), 1).otherwise(0).alias("unsafe"),
+        F.when(F.exists(quotes, lambda q: ~S.is_valid_price(q)), 1).otherwise(0).alias("prices"),
+    )
+    r = p.agg(F.min("complete").alias("complete"), F.count("p").alias("n"), F.count_distinct("id").alias("ids"), F.count_distinct("page").alias("pages"), F.sum("unsafe").alias("unsafe"), F.sum("prices").alias("prices")).first()
     out = [name for name, bad in (("incomplete", not r.complete), ("empty", r.n == 0), ("repeated id", r.ids < r.n), ("repeated page", r.pages < r.n), ("unsafe key", r.unsafe), ("invalid price", r.prices)) if bad]
     if before is not None and not out:
         c = imports.compare_runs(before, primary_prices(S.observations(snapshot)), ["product"], "price").first()
@@ -145,6 +147,12 @@ def primary_prices(obs: DataFrame) -> DataFrame:
     return obs.groupBy("product").agg(F.min_by(price, F.struct("offer", "basis")).alias("price"))
 
 
+def dealt(snapshot: DataFrame) -> DataFrame:
+    """A snapshot as rows of one product each, dealt over the cluster and written once: it may be one file, and checks and tables read it time and again."""
+    rows = snapshot.withColumn("__p", F.explode_outer("products"))
+    return graph.cut(spread(rows.withColumn("products", F.when(F.col("__p").isNotNull(), F.array("__p"))).drop("__p")))
+
+
 def import_snapshot(state: State, snapshot: DataFrame) -> Report:
     """Validates one snapshot against the latest run of its shop and adds its observations; one that fails is kept out and noted.
 
@@ -152,7 +160,6 @@ def import_snapshot(state: State, snapshot: DataFrame) -> Report:
     """
     report = Report()
     spark = state.spark
-    obs, stock = S.observations(snapshot), S.stock_observations(snapshot)
     run = snapshot.select(F.col("storeId").alias("store"), S_time().alias("t"), "normalizedHash").distinct()
     this = run.first()
     known = [r for r in (state.manifest() or {"runs": []})["runs"] if r["store"] == this.store]
@@ -163,6 +170,8 @@ def import_snapshot(state: State, snapshot: DataFrame) -> Report:
         else:
             report.stages.append({"name": "import", "status": "skipped", "detail": "known already"})
         return report
+    snapshot = dealt(snapshot)
+    obs, stock = S.observations(snapshot), S.stock_observations(snapshot)
     before = None
     if known:
         last = max(known, key=lambda r: r["t"])
@@ -172,7 +181,7 @@ def import_snapshot(state: State, snapshot: DataFrame) -> Report:
     if reasons:
         manifest = state.commit({"rejected": spark.createDataFrame([(this.store, this.t, ", ".join(reasons))], "store string, t long, reason string")})
     else:
-        manifest = state.commit({"runs": run, "prices": obs, "stock": stock, "offers": offer_attributes(obs)}, [{"store": this.store, "t": this.t, "hash": this.normalizedHash}])
+        manifest = state.commit({"runs": spark.createDataFrame([this], run.schema), "prices": obs, "stock": stock, "offers": offer_attributes(obs)}, [{"store": this.store, "t": this.t, "hash": this.normalizedHash}])
     report.outcome = "quarantined" if reasons else "ok"
     report.stages.append({"name": "import", "status": "skipped" if reasons else "ok", "detail": f"version {manifest['version']}"})
     return report

@@ -13,7 +13,7 @@ from ..functions.times import DAY_MS
 from ..operators import compare, graph, publication, rawchecks
 from ..sources import sitemaps, snapshots
 from ..sources.html import sitemap_locations
-from ..sources.tables import EVENTS_SQL, event_stream, table
+from ..sources.tables import EVENTS_SQL, event_stream, spread, table
 from ..streaming import neighbours
 from . import history
 from .registry import query
@@ -119,7 +119,7 @@ def _snapshot(spark: SparkSession, sf_dir: str, day: int) -> DataFrame:
     names = F.struct(F.col("p_name"), null, null, F.lit("/"))
     key = F.concat(F.lit("p"), n.cast("string"))
     product = F.struct(key, key, F.array().cast("array<struct<kind:string,value:string>>"), names, F.array(offer)).cast(snapshots.PRODUCT)
-    rows = p.groupBy(F.floor(n / 1000).alias("g")).agg(F.collect_list(product).alias("products"))
+    rows = spread(p.withColumn("g", F.floor(n / 1000)), "g").groupBy("g").agg(F.collect_list(product).alias("products"))
     return rows.select(F.lit("shop").alias("storeId"), F.lit(f"2026-01-{day:02d}T00:00:00.000Z").alias("observedAt"), F.lit("1").alias("sourceSchemaVersion"), F.lit(True).alias("complete"), F.lit("all").alias("coverageId"), F.lit("").alias("rawSha256"), F.lit(f"day {day}").alias("normalizedHash"), "products")
 
 

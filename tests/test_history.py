@@ -2,6 +2,7 @@
 
 import json
 import random
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -166,3 +167,22 @@ def test_stream_equals_batch_on_shuffled_batches(spark, tmp_path):
 def test_late_observations_split_spans():
     rows, added, gone = streaming.changed([(1, "A"), (9, "A")], [(5, "B")])
     assert (added, gone) == ([5, 9], []) and streaming.changed(rows, [(7, "A")])[1:] == ([7], [9])
+
+
+def test_a_snapshot_is_read_twice_and_dealt(spark, tmp_path):
+    rows = snapshot(1, {f"p{i}": i for i in range(2_000)})
+    source = spark.createDataFrame([rows], snapshots.NORMALIZED)
+    reads = tmp_path / "reads"
+    reads.mkdir()
+
+    def told(batches):
+        (reads / uuid.uuid4().hex).touch()
+        yield from batches
+
+    state = history.State(spark, str(tmp_path / "s"))
+    assert history.import_snapshot(state, source.coalesce(1).mapInArrow(told, source.schema)).outcome == "ok"
+    assert len(list(reads.iterdir())) <= 2  # what run it is, and the products
+    assert {t: state.read(t).count() for t in ("runs", "prices", "stock", "offers")} == {"runs": 1, "prices": 2_000, "stock": 2_000, "offers": 2_000}
+    kept = history.dealt(source)
+    assert kept.count() == 2_000 and len(kept.inputFiles()) > 4 and kept.select(F.explode("products.pageKey")).distinct().count() == 2_000
+    assert history.check(history.dealt(spark.createDataFrame([rows | {"products": []}], snapshots.NORMALIZED)), None) == ["empty"]
