@@ -5,18 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import by_size
 
-def segments(series: dict[str, tuple[DataFrame, str]], key: list[str], t: str, end: Column) -> DataFrame:
+
+def segments(series: dict[str, tuple[DataFrame, str]], key: list[str], t: str, end: Column, whole: DataFrame | None = None) -> DataFrame:
     """(key, start, stop, one column a series): what each series says between two borders, from the first border of any to `end`.
 
     series names change points and the column that they change; all are dealt and sorted by key once. At a border every series that has a point there has changed;
-    `stop` is the millisecond before the next border. Segments without length are left out; neighbours may be alike where a series repeats itself.
+    `stop` is the millisecond before the next border. Segments without length are left out; neighbours may be alike where a series repeats itself. `whole` is the table
+    that the series come from: tasks are as many as it needs.
     """
     rows = None
     for name, (points, column) in series.items():
         mine = [F.struct(F.col(column).alias("v")).alias(n) if n == name else F.lit(None).cast(f"struct<v:{p.schema[c].dataType.simpleString()}>").alias(n) for n, (p, c) in series.items()]
         own = points.select(*key, F.col(t).alias("start"), *mine)
         rows = own if rows is None else rows.unionByName(own)
+    rows = rows if whole is None else by_size(rows, whole, *key)
     rows = rows.groupBy(*key, "start").agg(*[F.max(n).alias(n) for n in series])  # one row a border: the same key, so it sorts once
     w = Window.partitionBy(*key).orderBy("start")
     before = w.rowsBetween(Window.unboundedPreceding, 0)

@@ -11,7 +11,7 @@ from ..functions import keys, money
 from ..functions.times import DAY_MS
 from ..operators import changepoints, chartview, contract, digests, graph, normalize, publication, snapshotchecks
 from ..sources import catalogues, covers, html, reports
-from ..sources.tables import PRICES_SQL, daily_prices, price_stream, spread, table
+from ..sources.tables import PRICES_SQL, by_size, daily_prices, price_stream, spread, table
 from . import temporal
 from .registry import query
 
@@ -160,8 +160,9 @@ v AS (SELECT *, lag(stock) OVER w - stock AS fall, lag(listed) OVER w AS was FRO
 def chart_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a product's chart draws between any two borders: price, whether it is listed, its count, and what was sold at the border."""
     prices = changepoints.change_points(daily_prices(spark, sf_dir), ["part"], "t", ["cents"])
-    stock = price_stream(spark, sf_dir).groupBy("part", "t").agg(F.min("quantity").alias("stock"))
-    rows = chartview.segments({"cents": (prices, "cents"), "listed": (temporal._month_ms(spark, sf_dir), "present"), "stock": (stock, "stock")}, ["part"], "t", F.lit(temporal.PRICE_END_MS))
+    whole = table(spark, sf_dir, "lineitem")
+    stock = by_size(price_stream(spark, sf_dir).select("part", "t", "quantity"), whole, "part").groupBy("part", "t").agg(F.min("quantity").alias("stock"))
+    rows = chartview.segments({"cents": (prices, "cents"), "listed": (temporal._month_ms(spark, sf_dir), "present"), "stock": (stock, "stock")}, ["part"], "t", F.lit(temporal.PRICE_END_MS), whole)
     return chartview.sold(rows, ["part"], "stock", "listed")
 
 

@@ -156,7 +156,8 @@ def hot_price_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _month_ms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Presence points of parts, at the first millisecond of their runs."""
-    points = changepoints.presence_points(price_stream(spark, sf_dir), ["part"], "run", LAST_RUN)
+    seen = by_size(price_stream(spark, sf_dir).select("part", "run"), table(spark, sf_dir, "lineitem"), "part")
+    points = changepoints.presence_points(seen, ["part"], "run", LAST_RUN)
     first = F.make_date(F.floor((F.col("run") - 1) / 12).cast("int"), ((F.col("run") - 1) % 12 + 1).cast("int"), F.lit(1))
     return points.select("part", (F.datediff(first, F.lit("1970-01-01").cast("date")).cast("long") * DAY_MS).alias("t"), "present")
 

@@ -137,3 +137,14 @@ def test_documents_are_parsed_once_and_dealt_over_tasks(spark):
         plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("try_parse_json") <= 1
     assert served.contract_paths(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_chart_tasks_follow_the_size_of_the_table(spark, monkeypatch):
+    from epochal.plans import registry
+    from epochal.sources import tables
+
+    from .conftest import DATA
+
+    monkeypatch.setattr(tables, "TASK_ROWS", 500)
+    lines = spark.read.parquet(f"{DATA}/sf0.001/lineitem.parquet").count()
+    assert registry.QUERIES["chart_segments"](spark, f"{DATA}/sf0.001").rdd.getNumPartitions() >= lines // 500
